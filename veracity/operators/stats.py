@@ -159,14 +159,13 @@ def total_sources(stats: DataFrame) -> DataFrame:
 def credibility_distribution(articles: DataFrame) -> DataFrame:
     """A4: articles per level (NULL is a group) and their percentage.
 
-    The grand total comes from a one-row aggregate joined back by broadcast
-    (one row by construction), never from a global window on one task.
+    The grand total is a scalar subquery (evaluated once, inlined as a
+    literal), never a global window on one task or a join.
     """
     per = articles.groupBy("credibility_level").agg(F.count(F.lit(1)).alias("count"))
-    total = articles.agg(F.count(F.lit(1)).alias("_total"))
-    pct = F.round((F.col("count") / F.col("_total") * 100).cast("decimal(18,6)"), 1).cast("double")
-    return (per.join(F.broadcast(total), how="inner", on=F.lit(True))
-            .select("credibility_level", "count", pct.alias("percentage")))
+    total = articles.agg(F.count(F.lit(1))).scalar()
+    pct = F.round((F.col("count") / total * 100).cast("decimal(18,6)"), 1).cast("double")
+    return per.select("credibility_level", "count", pct.alias("percentage"))
 
 
 def corpus_totals(articles: DataFrame, approximate: bool = False) -> DataFrame:

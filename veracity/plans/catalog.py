@@ -54,3 +54,137 @@ def q_credibility_distribution(spark, d):
 @register("corpus_totals")
 def q_corpus_totals(spark, d):
     return stats.corpus_totals(views.articles(spark, d, level=False, url=False))
+
+
+# ------------------------------------------------------------------ history
+from pyspark.sql import functions as F  # noqa: E402
+
+from veracity.functions.text import join_set  # noqa: E402
+from veracity.operators import history as H  # noqa: E402
+
+AS_OF = "2024-01-10"
+
+
+def _ah(spark, d, level=False, url=False):
+    return views.articles(spark, d, level=level, url=url), views.history(spark, d)
+
+
+@register("multi_analysis_articles")
+def q_multi_analysis_articles(spark, d):
+    return H.multi_analysis_articles(*_ah(spark, d))
+
+
+@register("latest_analysis")
+def q_latest_analysis(spark, d):
+    a, h = _ah(spark, d, level=True)
+    j = H.articles_with_latest(a.select("id", "title", "source", "credibility_level", "created_at"),
+                               h.select("id", "article_id", "created_at", "credibility_score",
+                                        "sentiment_score", "bias_score", "topics"))
+    return j.select("id", "title", "source", "credibility_level", "created_at", "analysis_id",
+                    "analysis_created_at", "analysis_credibility_score", "analysis_sentiment_score",
+                    "analysis_bias_score", join_set("analysis_topics").alias("analysis_topics"))
+
+
+@register("article_with_history")
+def q_article_with_history(spark, d):
+    a, h = _ah(spark, d)
+    j = H.article_with_history(a.select("id", "title"),
+                               h.select("id", "article_id", "created_at", "credibility_score"))
+    return j.select("id", "title", "analysis_id", "analysis_created_at", "position",
+                    "analysis_credibility_score")
+
+
+@register("analysis_counts")
+def q_analysis_counts(spark, d):
+    a, h = _ah(spark, d)
+    return H.with_analysis_counts(a.select("id", "title"), h).select("id", "title", "analysis_count")
+
+
+@register("analysis_quality")
+def q_analysis_quality(spark, d):
+    return H.analysis_quality(*_ah(spark, d))
+
+
+for _metric in ("consistency", "depth", "completeness", "timeliness"):
+    def _mk(metric):
+        def q(spark, d):
+            return H.analysis_quality(*_ah(spark, d)).select("id", metric)
+        return q
+    register(_metric)(_mk(_metric))
+
+
+@register("quality_summary")
+def q_quality_summary(spark, d):
+    return H.quality_summary(*_ah(spark, d))
+
+
+@register("score_trend")
+def q_score_trend(spark, d):
+    return H.score_trend(*_ah(spark, d))
+
+
+@register("topic_evolution")
+def q_topic_evolution(spark, d):
+    r = H.topic_evolution(*_ah(spark, d), kind="topic")
+    return r.withColumn("all_topics", F.array_join("all_topics", ","))
+
+
+@register("perspective_evolution")
+def q_perspective_evolution(spark, d):
+    r = H.topic_evolution(*_ah(spark, d), kind="perspective")
+    return r.withColumn("all_perspectives", F.array_join("all_perspectives", ","))
+
+
+@register("analysis_evolution")
+def q_analysis_evolution(spark, d):
+    r = H.analysis_evolution(*_ah(spark, d)).drop("first_analysis_date", "last_analysis_date")
+    return (r.withColumn("all_topics", F.array_join("all_topics", ","))
+            .withColumn("all_perspectives", F.array_join("all_perspectives", ",")))
+
+
+@register("evolution_summary")
+def q_evolution_summary(spark, d):
+    return H.evolution_summary(*_ah(spark, d))
+
+
+@register("analysis_comparison")
+def q_analysis_comparison(spark, d):
+    return H.analysis_comparison(*_ah(spark, d))
+
+
+@register("topic_diff")
+def q_topic_diff(spark, d):
+    r = H.topic_diff(*_ah(spark, d))
+    return r.select("id", *[F.array_join(c, ",").alias(c)
+                            for c in ("topics_added", "topics_removed", "topics_common")])
+
+
+@register("perspective_diff")
+def q_perspective_diff(spark, d):
+    return H.perspective_diff(*_ah(spark, d))
+
+
+@register("comparison_summary")
+def q_comparison_summary(spark, d):
+    return H.comparison_summary(*_ah(spark, d))
+
+
+@register("credibility_changes")
+def q_credibility_changes(spark, d):
+    return H.credibility_changes(*_ah(spark, d))
+
+
+@register("credibility_trend")
+def q_credibility_trend(spark, d):
+    a, h = _ah(spark, d, level=True)
+    return H.credibility_trend(a, h, days=7, as_of=AS_OF)
+
+
+@register("multiple_analyses")
+def q_multiple_analyses(spark, d):
+    return H.multiple_analyses(*_ah(spark, d))
+
+
+@register("analysis_trends")
+def q_analysis_trends(spark, d):
+    return H.multiple_analyses(*_ah(spark, d), days=7, as_of=AS_OF)

@@ -31,3 +31,318 @@ FROM articles GROUP BY credibility_level""", "articles")
 
 sql("corpus_totals", """
 SELECT count(*) AS total_articles, count(DISTINCT source) AS total_sources FROM articles""", "articles")
+
+
+# ------------------------------------------------------------------ history
+_CANDS = """,
+cands AS (
+  SELECT a.id, a.title, a.source, count(h.id) AS analysis_count,
+    min(h.created_at) AS first_analysis_date, max(h.created_at) AS last_analysis_date
+  FROM articles a JOIN analysis_history h ON a.id = h.article_id
+  GROUP BY a.id, a.title, a.source HAVING count(h.id) > 1
+),
+ordered AS (
+  SELECT h.*, row_number() OVER (PARTITION BY article_id ORDER BY created_at, id) AS rn,
+    count(*) OVER (PARTITION BY article_id) AS cnt
+  FROM analysis_history h
+)"""
+
+_QUALITY = _CANDS + """,
+cons AS (
+  SELECT article_id,
+    max(abs(credibility_score - pc)) AS mc, max(abs(sentiment_score - ps)) AS ms, max(abs(bias_score - pb)) AS mb
+  FROM (SELECT article_id, credibility_score, sentiment_score, bias_score,
+      lag(credibility_score IGNORE NULLS) OVER w AS pc,
+      lag(sentiment_score IGNORE NULLS) OVER w AS ps,
+      lag(bias_score IGNORE NULLS) OVER w AS pb
+    FROM analysis_history WINDOW w AS (PARTITION BY article_id ORDER BY created_at, id)) x
+  GROUP BY article_id
+),
+first_rows AS (SELECT * FROM ordered WHERE rn = 1),
+quality AS (
+  SELECT c.*,
+    CASE WHEN (s.mc IS NOT NULL)::INT + (s.ms IS NOT NULL)::INT + (s.mb IS NOT NULL)::INT = 0 THEN 1.0::DOUBLE
+      ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE -
+        ((coalesce(s.mc, 0.0::DOUBLE) + coalesce(s.ms, 0.0::DOUBLE)) + coalesce(s.mb, 0.0::DOUBLE))
+        / ((s.mc IS NOT NULL)::INT + (s.ms IS NOT NULL)::INT + (s.mb IS NOT NULL)::INT))) END AS consistency,
+    (((((coalesce(least(1.0::DOUBLE, len(f.perspective_keys) / 4), 0.0::DOUBLE)
+      + coalesce(least(1.0::DOUBLE, len(f.key_arguments) / 5), 0.0::DOUBLE))
+      + coalesce(least(1.0::DOUBLE, len(f.topics) / 5), 0.0::DOUBLE))
+      + CASE WHEN f.credibility_score IS NOT NULL THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END)
+      + CASE WHEN f.sentiment_score IS NOT NULL THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END)
+      + CASE WHEN f.bias_score IS NOT NULL THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END) / 5 AS depth,
+    ((f.credibility_score IS NOT NULL)::INT + (f.sentiment_score IS NOT NULL)::INT + (f.bias_score IS NOT NULL)::INT
+      + (f.topics IS NOT NULL)::INT + (f.key_arguments IS NOT NULL)::INT + (f.perspective_keys IS NOT NULL)::INT
+      + (f.summary IS NOT NULL)::INT) / 8 AS completeness,
+    greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE / (1.0::DOUBLE +
+      (date_diff('microsecond', c.first_analysis_date, c.last_analysis_date) / 1000000.0::DOUBLE
+        / 3600 / (c.analysis_count - 1)) / 24))) AS timeliness
+  FROM cands c JOIN first_rows f ON f.article_id = c.id LEFT JOIN cons s ON s.article_id = c.id
+),
+quality2 AS (
+  SELECT *, (((consistency + depth) + completeness) + timeliness) / 4 AS overall_rating FROM quality
+)"""
+
+sql("multi_analysis_articles", _CANDS + """
+SELECT id, title, source, analysis_count, first_analysis_date, last_analysis_date FROM cands""",
+    "articles", "analysis_history")
+
+sql("latest_analysis", """
+SELECT a.id, a.title, a.source, a.credibility_level, a.created_at, h.id AS analysis_id,
+  h.created_at AS analysis_created_at, h.credibility_score AS analysis_credibility_score,
+  h.sentiment_score AS analysis_sentiment_score, h.bias_score AS analysis_bias_score,
+  array_to_string(list_sort(list_distinct(h.topics)), ',') AS analysis_topics
+FROM articles a LEFT JOIN (
+  SELECT x.* FROM analysis_history x
+  JOIN (SELECT article_id, max(created_at) AS mx FROM analysis_history GROUP BY article_id) m
+    ON m.article_id = x.article_id AND m.mx = x.created_at) h ON a.id = h.article_id""",
+    "articles", "analysis_history")
+
+sql("article_with_history", """
+SELECT a.id, a.title, h.id AS analysis_id, h.created_at AS analysis_created_at,
+  row_number() OVER (PARTITION BY h.article_id ORDER BY h.created_at DESC, h.id DESC) AS position,
+  h.credibility_score AS analysis_credibility_score
+FROM articles a JOIN analysis_history h ON a.id = h.article_id""", "articles", "analysis_history")
+
+sql("analysis_counts", """
+SELECT a.id, a.title, count(h.id) AS analysis_count
+FROM articles a LEFT JOIN analysis_history h ON a.id = h.article_id GROUP BY a.id, a.title""",
+    "articles", "analysis_history")
+
+sql("analysis_quality", _QUALITY + """
+SELECT id, title, source, analysis_count, first_analysis_date, last_analysis_date,
+  consistency, depth, completeness, timeliness, overall_rating FROM quality2""",
+    "articles", "analysis_history")
+
+for _m in ("consistency", "depth", "completeness", "timeliness"):
+    sql(_m, _QUALITY + f"\nSELECT id, {_m} FROM quality2", "articles", "analysis_history")
+
+
+def _band(col: str, texts: tuple[str, str, str]) -> str:
+    return f"CASE WHEN {col} > 0.8::DOUBLE THEN '{texts[0]}' WHEN {col} > 0.5::DOUBLE THEN '{texts[1]}' ELSE '{texts[2]}' END"
+
+
+def _quality_summary_sql() -> str:
+    from veracity.operators.history import QUALITY_PREFIX, QUALITY_SENTENCES
+    parts = ", ".join(_band(k, t) for k, t in QUALITY_SENTENCES.items())
+    return _QUALITY + f"""
+SELECT id, title, source, analysis_count, overall_rating,
+  '{QUALITY_PREFIX}' || concat_ws('. ', {parts}) || '.' AS quality_summary FROM quality2"""
+
+
+sql("quality_summary", _quality_summary_sql(), "articles", "analysis_history")
+
+_TRENDS = _CANDS + """,
+firsts AS (
+  SELECT article_id,
+    count(credibility_score) AS cn,
+    first(credibility_score ORDER BY created_at, id) FILTER (WHERE credibility_score IS NOT NULL) AS cf,
+    last(credibility_score ORDER BY created_at, id) FILTER (WHERE credibility_score IS NOT NULL) AS cl,
+    count(sentiment_score) AS sn,
+    first(sentiment_score ORDER BY created_at, id) FILTER (WHERE sentiment_score IS NOT NULL) AS sf,
+    last(sentiment_score ORDER BY created_at, id) FILTER (WHERE sentiment_score IS NOT NULL) AS sl,
+    count(bias_score) AS bn,
+    first(bias_score ORDER BY created_at, id) FILTER (WHERE bias_score IS NOT NULL) AS bf,
+    last(bias_score ORDER BY created_at, id) FILTER (WHERE bias_score IS NOT NULL) AS bl
+  FROM analysis_history GROUP BY article_id
+),
+trends AS (
+  SELECT c.id, c.title, c.source, c.analysis_count,
+    {cols}
+  FROM cands c JOIN firsts f ON f.article_id = c.id
+),
+steps AS (
+  SELECT article_id, rn, tset, pset,
+    lag(tset) OVER w AS ptset, lag(pset) OVER w AS ppset
+  FROM (SELECT article_id, created_at, id, row_number() OVER (PARTITION BY article_id ORDER BY created_at, id) AS rn,
+      list_sort(list_distinct(coalesce(topics, []::VARCHAR[]))) AS tset,
+      list_sort(list_distinct(coalesce(perspective_keys, []::VARCHAR[]))) AS pset
+    FROM analysis_history) s
+  WINDOW w AS (PARTITION BY article_id ORDER BY rn)
+),
+evo AS (
+  SELECT article_id,
+    count(*) FILTER (WHERE rn > 1 AND tset <> ptset) AS topic_changes,
+    array_to_string(list_sort(list_distinct(flatten(list(tset)))), ',') AS all_topics,
+    count(*) FILTER (WHERE rn > 1 AND pset <> ppset) AS perspective_changes,
+    array_to_string(list_sort(list_distinct(flatten(list(pset)))), ',') AS all_perspectives
+  FROM steps GROUP BY article_id
+)"""
+
+
+def _trend_cols() -> str:
+    out = []
+    for p, name, up, down in (("c", "credibility", "increasing", "decreasing"),
+                              ("s", "sentiment", "more_positive", "more_negative"),
+                              ("b", "bias", "increasing", "decreasing")):
+        ok = f"f.{p}n >= 2"
+        ch = f"CASE WHEN {ok} THEN f.{p}l - f.{p}f ELSE 0.0::DOUBLE END"
+        out.append(f"""CASE WHEN {ok} AND f.{p}l - f.{p}f > 0.1::DOUBLE THEN '{up}'
+      WHEN {ok} AND f.{p}l - f.{p}f < -0.1::DOUBLE THEN '{down}' ELSE 'stable' END AS {name}_trend,
+    {ch} AS {name}_change,
+    CASE WHEN {ok} THEN f.{p}f END AS {name}_first, CASE WHEN {ok} THEN f.{p}l END AS {name}_last,
+    f.{p}n AS {name}_n""")
+    return ",\n    ".join(out)
+
+
+_TRENDS = _TRENDS.replace("{cols}", _trend_cols())
+
+sql("score_trend", _TRENDS + """
+SELECT id, 'credibility' AS field, credibility_n AS n_values, credibility_trend AS trend, credibility_change AS change,
+  credibility_first AS first_value, credibility_last AS last_value FROM trends
+UNION ALL
+SELECT id, 'sentiment', sentiment_n, sentiment_trend, sentiment_change, sentiment_first, sentiment_last FROM trends
+UNION ALL
+SELECT id, 'bias', bias_n, bias_trend, bias_change, bias_first, bias_last FROM trends""",
+    "articles", "analysis_history")
+
+sql("topic_evolution", _TRENDS + """
+SELECT c.id, c.title, c.source, c.analysis_count, e.topic_changes AS changes, e.all_topics
+FROM cands c JOIN evo e ON e.article_id = c.id""", "articles", "analysis_history")
+
+sql("perspective_evolution", _TRENDS + """
+SELECT c.id, c.title, c.source, c.analysis_count, e.perspective_changes AS changes, e.all_perspectives
+FROM cands c JOIN evo e ON e.article_id = c.id""", "articles", "analysis_history")
+
+_EVO_COLS = ", ".join(f"t.{n}_{s}" for n in ("credibility", "sentiment", "bias")
+                      for s in ("trend", "change", "first", "last"))
+
+sql("analysis_evolution", _TRENDS + f"""
+SELECT t.id, t.title, t.source, t.analysis_count, {_EVO_COLS},
+  e.topic_changes, e.all_topics, e.perspective_changes, e.all_perspectives
+FROM trends t JOIN evo e ON e.article_id = t.id""", "articles", "analysis_history")
+
+
+def _fmt(x: str) -> str:
+    return f"CAST(CAST(round(CAST({x} AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) AS VARCHAR)"
+
+
+def _evolution_summary_sql() -> str:
+    from veracity.operators.history import (EVOLUTION_PREFIX, EVOLUTION_SENTENCES, PERSPECTIVE_CHANGED,
+                                            PERSPECTIVE_STABLE, TOPIC_CHANGED, TOPIC_STABLE, TREND_LABELS)
+    parts = []
+    for f, name in (("credibility_score", "credibility"), ("sentiment_score", "sentiment"),
+                    ("bias_score", "bias")):
+        up, down, stable = EVOLUTION_SENTENCES[f]
+        lu, ld = TREND_LABELS[f]
+
+        def render(t: str) -> str:
+            t = "'" + t.replace("{f}", "' || " + _fmt(f"t.{name}_first") + " || '")
+            t = t.replace("{l}", "' || " + _fmt(f"t.{name}_last") + " || '") + "'"
+            return t
+        parts.append(f"""CASE WHEN t.{name}_first IS NULL THEN NULL
+      WHEN t.{name}_trend = '{lu}' THEN {render(up)}
+      WHEN t.{name}_trend = '{ld}' THEN {render(down)} ELSE {render(stable)} END""")
+    for col, ch, st in (("topic_changes", TOPIC_CHANGED, TOPIC_STABLE),
+                        ("perspective_changes", PERSPECTIVE_CHANGED, PERSPECTIVE_STABLE)):
+        pre, post = ch.split("{n}")
+        parts.append(f"CASE WHEN e.{col} > 0 THEN '{pre}' || CAST(e.{col} AS VARCHAR) || '{post}' ELSE '{st}' END")
+    return _TRENDS + f"""
+SELECT t.id, t.title, t.source, t.analysis_count,
+  '{EVOLUTION_PREFIX}' || concat_ws('. ', {", ".join(parts)}) || '.' AS evolution_summary
+FROM trends t JOIN evo e ON e.article_id = t.id"""
+
+
+sql("evolution_summary", _evolution_summary_sql(), "articles", "analysis_history")
+
+_FIRST_LAST = _CANDS + """,
+fl AS (
+  SELECT c.id, c.title, c.source, c.analysis_count,
+    o.credibility_score AS oc, n.credibility_score AS nc, o.sentiment_score AS os, n.sentiment_score AS ns,
+    o.bias_score AS ob, n.bias_score AS nb, o.topics AS ot, n.topics AS nt,
+    o.perspective_keys AS op, n.perspective_keys AS np, o.key_arguments AS oa, n.key_arguments AS na,
+    o.id AS oid, n.id AS nid
+  FROM cands c JOIN ordered o ON o.article_id = c.id AND o.rn = 1
+  JOIN ordered n ON n.article_id = c.id AND n.rn = n.cnt
+)"""
+
+
+def _minus(a: str, b: str) -> str:
+    return f"list_sort(list_distinct(list_filter({a}, lambda x: NOT list_contains({b}, x))))"
+
+
+sql("analysis_comparison", _FIRST_LAST + """
+SELECT id, title, source, analysis_count,
+  CASE WHEN oc IS NOT NULL AND nc IS NOT NULL THEN oc END AS credibility_old,
+  CASE WHEN oc IS NOT NULL AND nc IS NOT NULL THEN nc END AS credibility_new,
+  nc - oc AS credibility_change,
+  CASE WHEN os IS NOT NULL AND ns IS NOT NULL THEN os END AS sentiment_old,
+  CASE WHEN os IS NOT NULL AND ns IS NOT NULL THEN ns END AS sentiment_new,
+  ns - os AS sentiment_change,
+  CASE WHEN ob IS NOT NULL AND nb IS NOT NULL THEN ob END AS bias_old,
+  CASE WHEN ob IS NOT NULL AND nb IS NOT NULL THEN nb END AS bias_new,
+  nb - ob AS bias_change
+FROM fl""", "articles", "analysis_history")
+
+_BOTH_T = "CASE WHEN ot IS NOT NULL AND nt IS NOT NULL THEN "
+_COMMON = "list_sort(list_distinct(list_filter(ot, lambda x: list_contains(nt, x))))"
+sql("topic_diff", _FIRST_LAST + f"""
+SELECT id,
+  {_BOTH_T} array_to_string({_minus('nt', 'ot')}, ',') END AS topics_added,
+  {_BOTH_T} array_to_string({_minus('ot', 'nt')}, ',') END AS topics_removed,
+  {_BOTH_T} array_to_string({_COMMON}, ',') END AS topics_common
+FROM fl""", "articles", "analysis_history")
+
+sql("perspective_diff", _FIRST_LAST + """
+SELECT f.id, k.pkey AS perspective, o.pcred AS old_credibility, n.pcred AS new_credibility,
+  o.psummary IS DISTINCT FROM n.psummary AS summary_changed
+FROM fl f
+JOIN (SELECT DISTINCT id, pkey FROM perspective_rows) k ON k.id IN (f.oid, f.nid)
+LEFT JOIN perspective_rows o ON o.id = f.oid AND o.pkey = k.pkey
+LEFT JOIN perspective_rows n ON n.id = f.nid AND n.pkey = k.pkey
+WHERE f.op IS NOT NULL AND f.np IS NOT NULL
+GROUP BY ALL""", "articles", "analysis_history", "perspective_rows")
+
+
+def _comparison_summary_sql() -> str:
+    from veracity.operators.history import COMPARISON_PREFIX, NO_CHANGES
+    parts = []
+    for o, n, name in (("oc", "nc", "credibility"), ("os", "ns", "sentiment"), ("ob", "nb", "bias")):
+        parts.append(f"""CASE WHEN {o} IS NOT NULL AND {n} IS NOT NULL AND abs({n} - {o}) > 0.1::DOUBLE THEN
+      'The {name} score ' || CASE WHEN {n} - {o} > 0 THEN 'increased' ELSE 'decreased' END
+      || ' from ' || {_fmt(o)} || ' to ' || {_fmt(n)} END""")
+    for o, n, label in (("ot", "nt", "topics"), ("op", "np", "perspectives"), ("oa", "na", "key arguments")):
+        both = f"{o} IS NOT NULL AND {n} IS NOT NULL"
+        parts.append(f"CASE WHEN {both} AND len({_minus(n, o)}) > 0 THEN 'Added {label}: ' || array_to_string({_minus(n, o)}, ', ') END")
+        parts.append(f"CASE WHEN {both} AND len({_minus(o, n)}) > 0 THEN 'Removed {label}: ' || array_to_string({_minus(o, n)}, ', ') END")
+    body = "concat_ws('. ', " + ", ".join(parts) + ")"
+    return _FIRST_LAST + f"""
+SELECT id, title, source, analysis_count,
+  CASE WHEN {body} = '' THEN '{NO_CHANGES}' ELSE '{COMPARISON_PREFIX}' || {body} || '.' END AS comparison_summary
+FROM fl"""
+
+
+sql("comparison_summary", _comparison_summary_sql(), "articles", "analysis_history")
+
+# H1 keeps the reference's self-join shape as an independent check
+sql("credibility_changes", """,
+lv AS (
+  SELECT article_id, created_at,
+    CASE WHEN credibility_score >= 0.8 THEN 'High' WHEN credibility_score >= 0.6 THEN 'Medium'
+         WHEN credibility_score IS NOT NULL THEN 'Low' END AS level
+  FROM analysis_history
+)
+SELECT DISTINCT a.id, a.title, a.source
+FROM articles a JOIN lv h1 ON a.id = h1.article_id JOIN lv h2 ON a.id = h2.article_id
+WHERE h1.level <> h2.level AND h1.created_at < h2.created_at""", "articles", "analysis_history")
+
+sql("credibility_trend", """
+SELECT a.id, a.title, a.source, a.credibility_level AS current_credibility, a.created_at,
+  count(h.id) AS analysis_count, min(h.created_at) AS first_analysis_date, max(h.created_at) AS last_analysis_date
+FROM articles a JOIN analysis_history h ON a.id = h.article_id
+WHERE CAST(a.created_at AS DATE) >= DATE '2024-01-10' - INTERVAL 7 DAY
+GROUP BY a.id, a.title, a.source, a.credibility_level, a.created_at HAVING count(h.id) > 1""",
+    "articles", "analysis_history")
+
+
+def _multiple_sql(where: str) -> str:
+    return _CANDS + f"""
+SELECT c.id, c.title, c.source, c.analysis_count, o.id AS analysis_id, o.created_at AS analysis_created_at,
+  o.cnt - o.rn + 1 AS position, o.credibility_score, o.sentiment_score, o.bias_score
+FROM cands c JOIN ordered o ON o.article_id = c.id
+JOIN articles a ON a.id = c.id {where}"""
+
+
+sql("multiple_analyses", _multiple_sql(""), "articles", "analysis_history")
+sql("analysis_trends", _multiple_sql("WHERE CAST(a.created_at AS DATE) >= DATE '2024-01-10' - INTERVAL 7 DAY"),
+    "articles", "analysis_history")
