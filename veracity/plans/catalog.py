@@ -188,3 +188,143 @@ def q_multiple_analyses(spark, d):
 @register("analysis_trends")
 def q_analysis_trends(spark, d):
     return H.multiple_analyses(*_ah(spark, d), days=7, as_of=AS_OF)
+
+
+# ------------------------------------------------------------------ lookups
+from veracity.operators import lookup as L  # noqa: E402
+from veracity.sources.tables import read_table  # noqa: E402
+
+SEARCH_TERM = "The_"
+SIMILAR_TOPICS = ["Ether", "ü"]
+TOPIC_TERMS = ["ai_", "ether"]
+
+
+def lookup_keys(spark, d):
+    """Existence probes derived from the data: every page (its <title> and
+    url) and every benchmark passage (its first 60 characters, no url)."""
+    p = read_table(spark, d, "pages").select(
+        F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("key_id"),
+        F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), "url")
+    b = read_table(spark, d, "benchmark").select(
+        F.concat(F.lit("bench:"), F.col("item_id").cast("string")).alias("key_id"),
+        F.substring("text", 1, 60).alias("title"), F.lit(None).cast("string").alias("url"))
+    return p.unionByName(b)
+
+
+def _labelled_ids(spark, d):
+    return read_table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+
+
+@register("article_exists")
+def q_article_exists(spark, d):
+    a = views.articles(spark, d, level=False)
+    return L.article_exists(a, lookup_keys(spark, d))
+
+
+def _hist_rows(df):
+    return df.select("id", "title", "analysis_id", "analysis_created_at", "position")
+
+
+@register("article_by_id")
+def q_article_by_id(spark, d):
+    a, h = _ah(spark, d)
+    return _hist_rows(L.article_by_id(a, h, _labelled_ids(spark, d)))
+
+
+@register("article_by_url")
+def q_article_by_url(spark, d):
+    a, h = _ah(spark, d, url=True)
+    urls = read_table(spark, d, "pages").select("url")
+    return _hist_rows(L.article_by_url(a, h, urls))
+
+
+@register("daily_buzz")
+def q_daily_buzz(spark, d):
+    return _hist_rows(L.daily_buzz(*_ah(spark, d)))
+
+
+@register("article_history")
+def q_article_history(spark, d):
+    h = views.history(spark, d)
+    return L.article_history(h, _labelled_ids(spark, d)).select(
+        "id", "article_id", "created_at", "position", "credibility_score")
+
+
+def _full(spark, d):
+    return views.articles(spark, d), views.history(spark, d)
+
+
+@register("articles_by_source")
+def q_articles_by_source(spark, d):
+    return L.articles_by_source(*_full(spark, d), source="src3", limit=10)
+
+
+@register("recent_articles")
+def q_recent_articles(spark, d):
+    return L.recent_articles(*_full(spark, d), days=7, limit=10, as_of=AS_OF)
+
+
+FILTER_ARGS = dict(source="src1", level="High", date_from="2024-01-02", date_to="2024-01-20",
+                   limit=5, offset=2)
+RANGE_ARGS = dict(start="2024-01-03", end="2024-01-09", limit=10, offset=5)
+
+
+@register("filter_articles")
+def q_filter_articles(spark, d):
+    return L.filter_articles(*_full(spark, d), **FILTER_ARGS)[0]
+
+
+@register("filter_articles_info")
+def q_filter_articles_info(spark, d):
+    return L.filter_articles(*_full(spark, d), **FILTER_ARGS)[1]
+
+
+@register("articles_in_range")
+def q_articles_in_range(spark, d):
+    return L.articles_in_range(*_full(spark, d), **RANGE_ARGS)[0]
+
+
+@register("articles_in_range_info")
+def q_articles_in_range_info(spark, d):
+    return L.articles_in_range(*_full(spark, d), **RANGE_ARGS)[1]
+
+
+@register("history_page")
+def q_history_page(spark, d):
+    return L.history_page(*_full(spark, d), limit=10, offset=20)[0]
+
+
+@register("page_info")
+def q_page_info(spark, d):
+    return L.history_page(*_full(spark, d), limit=10, offset=20)[1]
+
+
+@register("article_page")
+def q_article_page(spark, d):
+    a = views.articles(spark, d, level=False, url=False).select("id", "title", "created_at")
+    return L.page(a, [F.desc("created_at"), F.asc("id")], limit=10, offset=30)
+
+
+@register("search_articles")
+def q_search_articles(spark, d):
+    return L.search_articles(*_full(spark, d), term=SEARCH_TERM, limit=10)
+
+
+@register("similar_articles")
+def q_similar_articles(spark, d):
+    return L.similar_articles(*_full(spark, d), topics=SIMILAR_TOPICS, limit=5)
+
+
+@register("articles_with_topics")
+def q_articles_with_topics(spark, d):
+    return L.articles_with_topics(*_full(spark, d), topics=TOPIC_TERMS, limit=10, offset=10)[0]
+
+
+@register("articles_with_topics_info")
+def q_articles_with_topics_info(spark, d):
+    return L.articles_with_topics(*_full(spark, d), topics=TOPIC_TERMS, limit=10, offset=10)[1]
+
+
+@register("similar_for_all")
+def q_similar_for_all(spark, d):
+    return L.similar_for_all(views.articles(spark, d, level=False, url=False), k=3)

@@ -346,3 +346,134 @@ JOIN articles a ON a.id = c.id {where}"""
 sql("multiple_analyses", _multiple_sql(""), "articles", "analysis_history")
 sql("analysis_trends", _multiple_sql("WHERE CAST(a.created_at AS DATE) >= DATE '2024-01-10' - INTERVAL 7 DAY"),
     "articles", "analysis_history")
+
+
+# ------------------------------------------------------------------ lookups
+def _like(col: str, term: str) -> str:
+    """SQLite LIKE '%term%': ASCII-only case folding, % and _ wildcards."""
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    folded = term.translate(str.maketrans(up, low)).replace("'", "''")
+    return f"(translate({col}, '{up}', '{low}') LIKE '%{folded}%')"
+
+
+def _any_like(cols: list[str], terms: list[str]) -> str:
+    return "(" + " OR ".join(f"coalesce({_like(c, t)}, false)" for t in terms for c in cols) + ")"
+
+
+_LATEST = """,
+lat AS (
+  SELECT x.article_id, x.id AS analysis_id, x.created_at AS analysis_created_at,
+    x.credibility_score AS analysis_credibility_score
+  FROM analysis_history x JOIN (SELECT article_id, max(created_at) AS mx FROM analysis_history GROUP BY article_id) m
+    ON m.article_id = x.article_id AND m.mx = x.created_at
+),
+cnt AS (SELECT article_id, count(*) AS analysis_count FROM analysis_history GROUP BY article_id)"""
+
+_PAGE_COLS = "c.id, c.title, c.source, c.short_summary, c.credibility_level, c.url, c.created_at, c.updated_at"
+
+
+def _page_sql(where: str, order: str, limit: int, offset: int = 0, extra: str = "",
+              drop_source: bool = False, extra_names: tuple[str, ...] = ()) -> str:
+    cols = _PAGE_COLS.replace("c.source, ", "") if drop_source else _PAGE_COLS
+    more = "".join(f", c.{n}" for n in extra_names)
+    return _LATEST + f""",
+cand AS (SELECT *{extra} FROM articles WHERE {where})
+SELECT {cols}{more},
+  l.analysis_id, l.analysis_created_at, l.analysis_credibility_score,
+  coalesce(n.analysis_count, 0) AS analysis_count
+FROM cand c LEFT JOIN lat l ON l.article_id = c.id LEFT JOIN cnt n ON n.article_id = c.id
+ORDER BY {order}, l.analysis_id NULLS FIRST LIMIT {limit} OFFSET {offset}"""
+
+
+def _info_sql(where: str, limit: int, offset: int) -> str:
+    return f"""
+SELECT count(*) AS total, {limit} AS "limit", {offset} AS "offset", {offset + limit} < count(*) AS has_more
+FROM articles WHERE {where}"""
+
+
+_NEWEST = "c.created_at DESC, c.id"
+
+
+def _lookup_sql():
+    from veracity.plans import catalog as C
+    out = {}
+    out["article_exists"] = """,
+keys AS (
+  SELECT 'page:' || CAST(page_id AS VARCHAR) AS key_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, url FROM pages
+  UNION ALL
+  SELECT 'bench:' || CAST(item_id AS VARCHAR), substring(text, 1, 60), CAST(NULL AS VARCHAR) FROM benchmark
+),
+k AS (SELECT key_id, nullif(title, '') AS title, nullif(url, '') AS url FROM keys)
+SELECT key_id, title, url,
+  EXISTS (SELECT 1 FROM articles a WHERE a.title = k.title) OR EXISTS (SELECT 1 FROM articles a WHERE a.url = k.url) AS "exists"
+FROM k"""
+    hist_rows = """
+SELECT a.id, a.title, h.id AS analysis_id, h.created_at AS analysis_created_at,
+  row_number() OVER (PARTITION BY h.article_id ORDER BY h.created_at DESC, h.id DESC) AS position
+FROM articles a JOIN analysis_history h ON h.article_id = a.id WHERE {cond}"""
+    out["article_by_id"] = hist_rows.format(cond="a.id IN (SELECT doc_id FROM labels)")
+    out["article_by_url"] = hist_rows.format(
+        cond="a.id IN (SELECT min(id) FROM articles WHERE url IN (SELECT url FROM pages WHERE url <> '') GROUP BY url)")
+    out["daily_buzz"] = hist_rows.format(
+        cond="a.id = (SELECT id FROM articles WHERE is_featured ORDER BY created_at DESC, id LIMIT 1)")
+    out["article_history"] = """
+SELECT id, article_id, created_at,
+  row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS position, credibility_score
+FROM analysis_history WHERE article_id IN (SELECT doc_id FROM labels)"""
+    out["articles_by_source"] = _page_sql("source = 'src3'", _NEWEST, 10, drop_source=True)
+    recent = f"CAST(created_at AS DATE) >= DATE '{C.AS_OF}' - INTERVAL 7 DAY"
+    out["recent_articles"] = _page_sql(recent, _NEWEST, 10)
+    fa = C.FILTER_ARGS
+    fw = (f"source = '{fa['source']}' AND credibility_level = '{fa['level']}' AND created_at >= TIMESTAMP '{fa['date_from']}'"
+          f" AND created_at <= TIMESTAMP '{fa['date_to']}'")
+    out["filter_articles"] = _page_sql(fw, _NEWEST, fa["limit"], fa["offset"])
+    out["filter_articles_info"] = _info_sql(fw, fa["limit"], fa["offset"])
+    ra = C.RANGE_ARGS
+    rw = f"created_at BETWEEN TIMESTAMP '{ra['start']}' AND TIMESTAMP '{ra['end']}'"
+    out["articles_in_range"] = _page_sql(rw, _NEWEST, ra["limit"], ra["offset"])
+    out["articles_in_range_info"] = _info_sql(rw, ra["limit"], ra["offset"])
+    out["history_page"] = _page_sql("true", _NEWEST, 10, 20)
+    out["page_info"] = _info_sql("true", 10, 20)
+    out["article_page"] = "\nSELECT id, title, created_at FROM articles ORDER BY created_at DESC, id LIMIT 10 OFFSET 30"
+    t = C.SEARCH_TERM
+    search_where = _any_like(["title", "short_summary", "content"], [t])
+    rank = (f", CASE WHEN coalesce({_like('title', t)}, false) THEN 1 WHEN coalesce({_like('short_summary', t)}, false)"
+            f" THEN 2 ELSE 3 END AS match_rank, CASE credibility_level WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END"
+            f" AS level_rank")
+    out["search_articles"] = _page_sql(search_where, "c.match_rank, c.level_rank, " + _NEWEST, 10, extra=rank,
+                                       extra_names=("match_rank", "level_rank"))
+    sim_where = (_any_like(["short_summary", "content"], C.SIMILAR_TOPICS)
+                 + " AND credibility_level IN ('High', 'Medium')")
+    lrank = ", CASE credibility_level WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END AS level_rank"
+    out["similar_articles"] = _page_sql(sim_where, "c.level_rank, " + _NEWEST, 5, extra=lrank,
+                                        extra_names=("level_rank",))
+    tw = _any_like(["short_summary", "content"], C.TOPIC_TERMS)
+    out["articles_with_topics"] = _page_sql(tw, _NEWEST, 10, 10)
+    out["articles_with_topics_info"] = _info_sql(tw, 10, 10)
+    out["similar_for_all"] = f""",
+tagged AS (SELECT id, created_at, {tags_sql('content')} AS tags FROM articles),
+q AS (SELECT id, list_distinct(tags[1:3]) AS qt FROM tagged),
+pairs AS (
+  SELECT q.id, t.id AS similar_id, t.created_at AS similar_created_at,
+    len(list_intersect(q.qt, list_distinct(t.tags))) AS shared_topics
+  FROM q JOIN tagged t ON t.id <> q.id AND len(list_intersect(q.qt, t.tags)) > 0
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similar_created_at DESC, similar_id) AS rank FROM pairs)
+SELECT id, rank, similar_id, shared_topics FROM ranked WHERE rank <= 3"""
+    return out
+
+
+def tags_sql(col: str) -> str:
+    """E7 in SQL: first three keyword topics, else the two fallback names."""
+    from veracity.functions.text import FALLBACK_TOPICS, TOPIC_KEYWORDS
+    low = f"lower({col})"
+    hits = ", ".join(
+        "CASE WHEN " + " OR ".join(f"contains({low}, '{k}')" for k in kws) + f" THEN '{name}' END"
+        for name, kws in TOPIC_KEYWORDS.items())
+    fb = "[" + ", ".join(f"'{n}'" for n, _ in FALLBACK_TOPICS[:2]) + "]"
+    arr = f"list_filter([{hits}], lambda x: x IS NOT NULL)"
+    return f"(CASE WHEN {col} IS NULL OR {col} = '' OR len({arr}) = 0 THEN {fb} ELSE {arr}[1:3] END)"
+
+
+for _k, _v in _lookup_sql().items():
+    sql(_k, _v, "articles", "analysis_history")
