@@ -117,18 +117,15 @@ def short_summary(content: Column | str) -> Column:
 
 
 def content_preview(content: Column | str) -> Column:
-    """Text fed to scoring; long texts keep head, a middle cut and tail."""
+    """Text fed to scoring; a long text keeps its first 200 characters, a
+    marker, 4550 characters of the middle, a dotted break and the last 200."""
     c = col_of(content)
     n = F.length(c)
     middle_len = PREVIEW_MAX - 2 * PREVIEW_EDGE - 50
-    middle = F.when(n > 2 * PREVIEW_EDGE,
-                    F.substring(c, PREVIEW_EDGE + 1, middle_len)).otherwise(F.lit(""))
-    # the middle part is content[200:-200]; cut it where the tail begins
-    middle = F.substring(middle, 1, F.greatest(F.least(n - 2 * PREVIEW_EDGE, F.lit(middle_len)), F.lit(0)))
-    tail = F.substring(c, F.greatest(n - PREVIEW_EDGE + 1, F.lit(1)), PREVIEW_EDGE)
-    long_form = F.substring(
-        F.concat(F.substring(c, 1, PREVIEW_EDGE), F.lit(PREVIEW_MARKER), middle, F.lit(PREVIEW_DOTS), tail),
-        1, PREVIEW_MAX)
+    long_form = F.substring(F.concat(
+        F.substring(c, 1, PREVIEW_EDGE), F.lit(PREVIEW_MARKER),
+        F.substring(c, PREVIEW_EDGE + 1, middle_len), F.lit(PREVIEW_DOTS),
+        F.substring(c, -PREVIEW_EDGE, PREVIEW_EDGE)), 1, PREVIEW_MAX)
     return (F.when(c.isNull() | (c == ""), F.lit("No content available"))
             .when(n <= PREVIEW_MAX, c).otherwise(long_form))
 
@@ -154,10 +151,12 @@ def topic_relevances(topics: Column | str) -> Column:
 
 def topic_query(topics: Column | str, query: Column | str | None = None,
                 default: str = DEFAULT_TOPIC_QUERY) -> Column:
-    """Stored query, else first three topic names joined by ' OR '."""
-    t = col_of(topics)
-    names = F.array_join(F.slice(F.filter(t, lambda x: x.isNotNull() & (x != "")), 1, 3), " OR ")
-    built = F.when(t.isNotNull() & (F.size(t) > 0) & (names != ""), names).otherwise(F.lit(default))
+    """Stored query, else the first three topic names joined by ' OR ',
+    else ``default`` ("general news"; the uncalled second variant used
+    "technology")."""
+    first3 = F.slice(col_of(topics), 1, 3)
+    built = F.when(F.coalesce(F.size(first3), F.lit(0)) > 0, F.array_join(first3, " OR ")).otherwise(
+        F.lit(default))
     if query is None:
         return built
     q = col_of(query)

@@ -328,3 +328,89 @@ def q_articles_with_topics_info(spark, d):
 @register("similar_for_all")
 def q_similar_for_all(spark, d):
     return L.similar_for_all(views.articles(spark, d, level=False, url=False), k=3)
+
+
+# ------------------------------------------------------------------ scoring / text
+from veracity.functions import scoring as SF  # noqa: E402
+from veracity.functions import text as TX  # noqa: E402
+from veracity.operators import scoring as SC  # noqa: E402
+
+
+@register("source_level")
+def q_source_level(spark, d):
+    a = views.articles(spark, d, level=False)
+    return a.select("id", "source", "url", TX.source_level("source").alias("level_by_source"),
+                    TX.source_level("url").alias("level_by_url"))
+
+
+@register("score_band")
+def q_score_band(spark, d):
+    h = views.history(spark, d)
+    return h.select("id", "credibility_score", TX.score_band("credibility_score").alias("faq_band"),
+                    TX.chart_band("credibility_score").alias("chart_band"))
+
+
+@register("credibility_index")
+def q_credibility_index(spark, d):
+    return SC.score_history(views.history(spark, d), views.articles(spark, d, level=False, url=False))
+
+
+@register("short_summary")
+def q_short_summary(spark, d):
+    a = views.articles(spark, d, level=False, url=False)
+    return a.select("id", TX.short_summary("content").alias("short_summary"))
+
+
+@register("content_preview")
+def q_content_preview(spark, d):
+    a = views.articles(spark, d, level=False, url=False)
+    return a.select("id", TX.content_preview("content").alias("content_preview"))
+
+
+@register("tag_topics")
+def q_tag_topics(spark, d):
+    a = views.articles(spark, d, level=False, url=False)
+    return a.select("id", F.array_join(TX.tag_topics("content"), ",").alias("topics"))
+
+
+@register("topic_counts")
+def q_topic_counts(spark, d):
+    return SC.topic_counts(views.articles(spark, d, level=False, url=False))
+
+
+@register("build_topic_query")
+def q_build_topic_query(spark, d):
+    h = views.history(spark, d)
+    return h.select("id", TX.topic_query("topics").alias("query"))
+
+
+@register("host_counts")
+def q_host_counts(spark, d):
+    return SC.host_counts(read_table(spark, d, "pages").select("url"))
+
+
+@register("normalize_analysis")
+def q_normalize_analysis(spark, d):
+    h = views.history(spark, d)
+    c, t = SF.normalize_scores("credibility_score", "topics")
+    return h.select("id", c.alias("credibility_score"), F.array_join(t, ",").alias("topics"))
+
+
+@register("decode_response")
+def q_decode_response(spark, d):
+    r = SC.decode_responses(views.stored_responses(spark, d))
+    return r.select("conv_id", "turn", "credibility_score", "explanation",
+                    F.array_join("topics", ",").alias("topics"),
+                    F.array_join("key_points", "|").alias("key_points"),
+                    "similar_articles_query", "error", "outcome")
+
+
+@register("build_prompt")
+def q_build_prompt(spark, d):
+    a = views.articles(spark, d, level=False, url=False)
+    return a.select("id", SF.build_prompt("content", "source").alias("prompt"))
+
+
+@register("analyze_articles")
+def q_analyze_articles(spark, d):
+    return SC.analyze_articles(views.articles(spark, d, level=False, url=False), views.history(spark, d))

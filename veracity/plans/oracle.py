@@ -477,3 +477,145 @@ def tags_sql(col: str) -> str:
 
 for _k, _v in _lookup_sql().items():
     sql(_k, _v, "articles", "analysis_history")
+
+
+# ------------------------------------------------------------------ scoring / text
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def source_level_sql(col: str) -> str:
+    from veracity.functions.text import HIGH_SOURCES, LOW_SOURCES, MEDIUM_SOURCES
+    low = f"lower({col})"
+
+    def anyof(xs):
+        return "(" + " OR ".join(f"contains({low}, '{x}')" for x in xs) + ")"
+    net = f"regexp_extract({low}, '^https?://([^/?#]*)', 1)"
+    return (f"(CASE WHEN {col} IS NULL OR {col} = '' THEN 'Medium' WHEN {anyof(HIGH_SOURCES)} THEN 'High' "
+            f"WHEN {anyof(MEDIUM_SOURCES)} THEN 'Medium' WHEN {anyof(LOW_SOURCES)} THEN 'Low' "
+            f"WHEN ({low} LIKE 'http://%' OR {low} LIKE 'https://%') AND ({net} LIKE '%.gov' OR {net} LIKE '%.edu') "
+            f"THEN 'High' ELSE 'Medium' END)")
+
+
+def _d(x: float) -> str:
+    return f"{x!r}::DOUBLE"
+
+
+def weight_sql(level: str) -> str:
+    from veracity.functions.scoring import SOURCE_WEIGHT_DEFAULT, SOURCE_WEIGHTS
+    whens = " ".join(f"WHEN '{k}' THEN {_d(v)}" for k, v in SOURCE_WEIGHTS.items())
+    return f"(CASE lower({level}) {whens} ELSE {_d(SOURCE_WEIGHT_DEFAULT)} END)"
+
+
+def index_sql(level: str, score: str, bias: str) -> str:
+    from veracity.functions import scoring as S
+    w = S.CONTENT_WEIGHTS
+    content = (f"((((coalesce({score}, {_d(S.DEFAULT_CREDIBILITY)}) * {_d(w['evidence'])})"
+               f" + ({_d(S.DEFAULT_LOGIC)} * {_d(w['logical_consistency'])}))"
+               f" + ({_d(S.DEFAULT_COMPLETENESS)} * {_d(w['completeness'])}))"
+               f" + ((1 - coalesce({bias}, {_d(S.DEFAULT_BIAS)})) * {_d(w['bias'])}))")
+    return f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {weight_sql(level)} + {content}))"
+
+
+def preview_sql(col: str) -> str:
+    nl2 = "chr(10) || chr(10)"
+    return (f"(CASE WHEN {col} IS NULL OR {col} = '' THEN 'No content available' "
+            f"WHEN length({col}) <= 5000 THEN {col} ELSE substring(substring({col}, 1, 200) || {nl2} || "
+            f"'[CONTENT TRIMMED FOR ANALYSIS]' || {nl2} || substring({col}, 201, 4550) || {nl2} || '...' || "
+            f"right({col}, 200), 1, 5000) END)")
+
+
+def _scoring_sql():
+    from veracity.functions import scoring as S
+    out = {}
+    out["source_level"] = f"""
+SELECT id, source, url, {source_level_sql('source')} AS level_by_source, {source_level_sql('url')} AS level_by_url
+FROM articles"""
+    out["score_band"] = """
+SELECT id, credibility_score,
+  CASE WHEN credibility_score >= 0.8 THEN 'High' WHEN credibility_score >= 0.6 THEN 'Medium'
+       WHEN credibility_score IS NOT NULL THEN 'Low' END AS faq_band,
+  CASE WHEN credibility_score > 0.8 THEN 'High' WHEN credibility_score > 0.6 THEN 'Medium'
+       WHEN credibility_score IS NOT NULL THEN 'Low' END AS chart_band
+FROM analysis_history"""
+    lv = source_level_sql("a.source")
+    out["credibility_index"] = f"""
+SELECT h.id AS analysis_id, h.article_id, {lv} AS source_credibility,
+  {index_sql(lv, 'h.credibility_score', 'h.bias_score')} AS credibility_index,
+  {weight_sql(lv)} AS source_contribution,
+  {index_sql(lv, 'h.credibility_score', 'h.bias_score')} - {weight_sql(lv)} AS content_contribution
+FROM analysis_history h JOIN articles a ON a.id = h.article_id"""
+    out["short_summary"] = "\nSELECT id, short_summary FROM articles"
+    out["content_preview"] = f"\nSELECT id, {preview_sql('content')} AS content_preview FROM articles"
+    out["tag_topics"] = f"\nSELECT id, array_to_string({tags_sql('content')}, ',') AS topics FROM articles"
+    out["topic_counts"] = f"""
+SELECT topic, count(*) AS articles FROM (SELECT unnest({tags_sql('content')}) AS topic FROM articles) t GROUP BY topic"""
+    q3 = "topics[1:3]"
+    out["build_topic_query"] = f"""
+SELECT id, CASE WHEN coalesce(len({q3}), 0) > 0 THEN array_to_string({q3}, ' OR ') ELSE 'general news' END AS query
+FROM analysis_history"""
+    out["host_counts"] = """
+SELECT replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', '') AS host, count(*) AS pages
+FROM pages GROUP BY 1"""
+    out["normalize_analysis"] = """
+SELECT id, coalesce(credibility_score, 0.6::DOUBLE) AS credibility_score,
+  array_to_string(coalesce(topics, ['General News', 'Politics']), ',') AS topics
+FROM analysis_history"""
+    found = "regexp_extract(text, '(?s)\\{.*\\}', 0)"
+    ok = f"(json_valid(nullif({found}, '')) AND json_type(nullif({found}, '')) = 'OBJECT')"
+    j = f"nullif({found}, '')"
+    names = (f"list_transform(CAST(json_extract({j}, '$.topics') AS JSON[]), lambda t: coalesce("
+             f"json_extract_string(t, '$.name'), CASE WHEN json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$') END))")
+    tp = f"array_to_string({tags_sql('text')}, ',')"
+    out["decode_response"] = f"""
+SELECT conv_id, turn,
+  CASE WHEN text IS NULL OR text = '' THEN {_d(S.FALLBACK_SCORE)}
+       WHEN {ok} THEN CASE WHEN json_extract({j}, '$.credibility') IS NOT NULL
+         THEN CAST(json_extract({j}, '$.credibility.score') AS DOUBLE) ELSE {_d(S.FALLBACK_SCORE)} END
+       ELSE {_d(S.FALLBACK_SCORE)} END AS credibility_score,
+  CASE WHEN text IS NULL OR text = '' THEN {_q(S.FALLBACK_EXPLANATION + S.EMPTY_RESPONSE_ERROR)}
+       WHEN {ok} THEN coalesce(json_extract_string({j}, '$.credibility.explanation'), {_q(S.NORMALIZED_EXPLANATION)})
+       ELSE {_q(S.TEXT_EXPLANATION)} END AS explanation,
+  CASE WHEN text IS NULL OR text = '' THEN 'General News,Politics'
+       WHEN {ok} THEN CASE WHEN json_extract({j}, '$.topics') IS NOT NULL THEN array_to_string({names}, ',')
+         ELSE 'General News,Politics' END
+       ELSE {tp} END AS topics,
+  CASE WHEN text IS NULL OR text = '' THEN ''
+       WHEN {ok} THEN array_to_string(CAST(json_extract({j}, '$.key_points') AS VARCHAR[]), '|')
+       ELSE {_q('|'.join(S.TEXT_KEY_POINTS))} END AS key_points,
+  CASE WHEN {ok} AND NOT (text IS NULL OR text = '') THEN json_extract_string({j}, '$.similar_articles_query')
+       ELSE 'general news' END AS similar_articles_query,
+  CASE WHEN text IS NULL OR text = '' THEN {_q(S.EMPTY_RESPONSE_ERROR)}
+       WHEN {ok} THEN json_extract_string({j}, '$.error') END AS error,
+  CASE WHEN text IS NULL OR text = '' THEN 'error_fallback' WHEN {ok} THEN 'parsed' ELSE 'text_fallback' END AS outcome
+FROM conversations WHERE role = 'assistant'"""
+    head, rest = S.PROMPT_TEMPLATE.split("{source}")
+    mid, tail = rest.split("{preview}")
+    src = f"CASE WHEN source IS NULL OR source = '' THEN {_q(S.UNKNOWN_SOURCE)} ELSE source END"
+    cnt = f"CASE WHEN content IS NULL OR content = '' THEN {_q(S.NO_CONTENT)} ELSE content END"
+    out["build_prompt"] = f"""
+SELECT id, {_q(head)} || ({src}) || {_q(mid)} || {preview_sql('(' + cnt + ')')} || {_q(tail)} AS prompt
+FROM articles"""
+    lv = source_level_sql("a.source")
+    cred = f"CASE WHEN l.analysis_id IS NOT NULL THEN coalesce(l.cs, {_d(S.FALLBACK_SCORE)}) ELSE {_d(S.FALLBACK_SCORE)} END"
+    bias = "CASE WHEN l.analysis_id IS NOT NULL THEN l.bs END"
+    topics = f"CASE WHEN l.analysis_id IS NOT NULL THEN coalesce(l.tp, ['General News', 'Politics']) ELSE {tags_sql('a.content')} END"
+    idx = index_sql(lv, cred, bias)
+    out["analyze_articles"] = f""",
+lat AS (
+  SELECT article_id, id AS analysis_id, credibility_score AS cs, bias_score AS bs, topics AS tp
+  FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS rn
+        FROM analysis_history) x WHERE rn = 1
+)
+SELECT a.id, {lv} AS source_credibility, l.analysis_id IS NOT NULL AS from_history,
+  {cred} AS credibility_score, {idx} AS credibility_index, {weight_sql(lv)} AS source_contribution,
+  {idx} - {weight_sql(lv)} AS content_contribution,
+  CASE WHEN length(a.content) > 200 THEN substring(a.content, 1, 200) || '...' ELSE a.content END AS short_summary,
+  CASE WHEN coalesce(len(({topics})[1:3]), 0) > 0 THEN array_to_string(({topics})[1:3], ' OR ') ELSE 'general news' END
+    AS similar_query
+FROM articles a LEFT JOIN lat l ON l.article_id = a.id"""
+    return out
+
+
+for _k, _v in _scoring_sql().items():
+    sql(_k, _v, "articles", "analysis_history")
