@@ -130,16 +130,36 @@ def content_preview(content: Column | str) -> Column:
             .when(n <= PREVIEW_MAX, c).otherwise(long_form))
 
 
-def tag_topics(text: Column | str) -> Column:
-    """Up to three keyword topics, else the two fallback names."""
+def topic_tag_string(text: Column | str) -> Column:
+    """Matching topic names in topic order, comma-joined ('' when none).
+
+    Plain ``contains`` checks under one ``concat_ws``: stays in whole-stage
+    codegen (no lambda) and lowercases the text once.
+    """
     low = F.lower(col_of(text))
-    hits = F.filter(
-        F.array(*[F.when(contains_any(low, kws), F.lit(name)) for name, kws in TOPIC_KEYWORDS.items()]),
-        lambda x: x.isNotNull())
+    return F.concat_ws(",", *[F.when(contains_any(low, kws), F.lit(name))
+                              for name, kws in TOPIC_KEYWORDS.items()])
+
+
+def tags_from_string(tag_string: Column | str) -> Column:
+    """E7 result from ``topic_tag_string``: first three hits, else the two
+    fallback topics (also for NULL or empty text)."""
+    s = col_of(tag_string)
     fallback = F.array(*[F.lit(n) for n, _ in FALLBACK_TOPICS[:2]])
-    return (F.when(low.isNull() | (low == ""), fallback)
-            .when(F.size(hits) == 0, fallback)
-            .otherwise(F.slice(hits, 1, 3)))
+    return F.when(s == "", fallback).otherwise(F.slice(F.split(s, ","), 1, 3))
+
+
+def tag_topics(text: Column | str) -> Column:
+    """Up to three keyword topics, else the two fallback names."""
+    return tags_from_string(topic_tag_string(text))
+
+
+def with_tags(df, text_col: str, out: str = "tags"):
+    """Add the E7 tags of ``text_col`` as column ``out``, scanning the text
+    once (the tag string is projected first, so the optimizer does not
+    duplicate the scan into every use)."""
+    tmp = f"_{out}_str"
+    return df.withColumn(tmp, topic_tag_string(text_col)).withColumn(out, tags_from_string(tmp)).drop(tmp)
 
 
 def topic_relevances(topics: Column | str) -> Column:

@@ -249,16 +249,27 @@ def _consistency(history: DataFrame, grain: str) -> DataFrame:
 
 def analysis_quality(articles: DataFrame, history: DataFrame, limit: int | None = None,
                      grain: str = "hour") -> DataFrame:
-    """Consistency, depth, completeness, timeliness and their mean."""
-    cands = multi_analysis_articles(articles, history, limit)
-    h = _scope(history, cands, limit)
-    facts = _oldest_facts(h).select(
-        "article_id", _depth().alias("depth"), _completeness().alias("completeness"),
-        "analysis_count", "first_analysis_date", "last_analysis_date")
-    facts = facts.select("article_id", "depth", "completeness", _timeliness().alias("timeliness"))
+    """Consistency, depth, completeness, timeliness and their mean.
+
+    Without a limit the analysis count, first/last time and the oldest
+    analysis' facts come from one aggregation; the consecutive changes
+    (consistency) from a second, chunked pass.
+    """
+    if limit is None:
+        h = history
+        facts = _oldest_facts(h).filter(F.col("analysis_count") > 1)
+        a = articles.select("id", "title", "source")
+        base = a.join(facts, a["id"] == facts["article_id"], "inner").drop("article_id")
+    else:
+        cands = multi_analysis_articles(articles, history, limit)
+        h = _scope(history, cands, limit)
+        facts = _oldest_facts(h).select("article_id", "oldest")
+        base = cands.join(facts, cands["id"] == facts["article_id"], "inner").drop("article_id")
+    base = base.select("id", "title", "source", "analysis_count", "first_analysis_date",
+                       "last_analysis_date", _depth().alias("depth"),
+                       _completeness().alias("completeness"), _timeliness().alias("timeliness"))
     cons = _consistency(h, grain)
-    res = (cands.join(facts, cands["id"] == facts["article_id"], "inner").drop("article_id")
-           .join(cons, cands["id"] == cons["article_id"], "left").drop("article_id")
+    res = (base.join(cons, base["id"] == cons["article_id"], "left").drop("article_id")
            .withColumn("consistency", F.coalesce("consistency", F.lit(1.0))))
     overall = (((F.col("consistency") + F.col("depth")) + F.col("completeness")) + F.col("timeliness")) / 4
     res = res.withColumn("overall_rating", overall)

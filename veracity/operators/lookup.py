@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veracity.functions.text import any_like_ci, level_rank, like_ci, tag_topics
+from veracity.functions.text import any_like_ci, level_rank, like_ci, with_tags
 from veracity.operators.history import latest_analysis
 
 PAGE_COLUMNS = ["id", "title", "source", "short_summary", "credibility_level", "url",
@@ -263,20 +263,24 @@ def similar_for_all(articles: DataFrame, k: int = 3, salt: int = 64) -> DataFram
     tags x (k+1) rows — bounded by the fixed tag vocabulary — and is
     broadcast to every article.
     """
+    from pyspark.storagelevel import StorageLevel
     from pyspark.sql import Window
-    tagged = articles.select("id", "created_at", tag_topics("content").alias("tags"))
-    per_tag = tagged.select("id", "created_at", F.explode(F.array_distinct("tags")).alias("tag"))
+    # the tags are needed twice (candidates and queries); keep the narrow
+    # (id, created_at, tags) projection instead of scanning the text twice
+    tagged = (with_tags(articles.select("id", "created_at", "content"), "content")
+              .select("id", "created_at", F.array_distinct("tags").alias("tags"),
+                      F.array_distinct(F.slice("tags", 1, 3)).alias("query_tags"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    per_tag = tagged.select("id", "created_at", "tags", F.explode("tags").alias("tag"))
     salted = per_tag.withColumn("_s", F.abs(F.xxhash64("id")) % salt)
     w1 = Window.partitionBy("tag", "_s").orderBy(F.desc("created_at"), "id")
     local = salted.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k + 1)
     w2 = Window.partitionBy("tag").orderBy(F.desc("created_at"), "id")
     best = (local.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= k + 1)
             .select("tag", F.col("id").alias("similar_id"),
-                    F.col("created_at").alias("similar_created_at")))
-    best = best.join(tagged.select(F.col("id").alias("similar_id"),
-                                   F.array_distinct("tags").alias("similar_tags")), "similar_id")
-    queries = tagged.select("id", F.array_distinct(F.slice("tags", 1, 3)).alias("query_tags"))
-    pairs = (queries.select("id", "query_tags", F.explode("query_tags").alias("tag"))
+                    F.col("created_at").alias("similar_created_at"),
+                    F.col("tags").alias("similar_tags")))
+    pairs = (tagged.select("id", "query_tags", F.explode("query_tags").alias("tag"))
              .join(F.broadcast(best), "tag")
              .filter(F.col("similar_id") != F.col("id"))
              .select("id", "similar_id", "similar_created_at",

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veracity.functions import scoring as S
-from veracity.functions.text import bare_host, short_summary, source_level, tag_topics, topic_query
+from veracity.functions.text import (bare_host, short_summary, source_level, tags_from_string,
+                                     topic_query, topic_tag_string, with_tags)
 from veracity.operators.history import latest_analysis
 
 
@@ -26,10 +27,14 @@ def analyze_articles(articles: DataFrame, history: DataFrame) -> DataFrame:
                      F.col("topics").alias("_tp"))
     a = articles.select("id", "source", "content").join(lat, F.col("id") == F.col("article_id"), "left")
     stored = F.col("analysis_id").isNotNull()
+    # tags only for articles without a stored analysis; projected once
+    a = (a.withColumn("_tag_str", F.when(~stored, topic_tag_string("content")))
+         .withColumn("_tags", F.when(~stored, tags_from_string("_tag_str"))))
     level = source_level("source")
     cred = F.when(stored, F.coalesce("_cs", F.lit(S.FALLBACK_SCORE))).otherwise(F.lit(S.FALLBACK_SCORE))
-    topics = F.when(stored, F.coalesce("_tp", S.fallback_topics())).otherwise(tag_topics("content"))
+    topics = F.when(stored, F.coalesce("_tp", S.fallback_topics())).otherwise(F.col("_tags"))
     bias = F.when(stored, F.col("_bs"))
+    a = a.withColumn("_topics", topics)
     idx = S.index_breakdown(level, cred, bias)
     return a.select(
         "id",
@@ -40,7 +45,7 @@ def analyze_articles(articles: DataFrame, history: DataFrame) -> DataFrame:
         idx["source_contribution"].alias("source_contribution"),
         idx["content_contribution"].alias("content_contribution"),
         short_summary("content").alias("short_summary"),
-        topic_query(topics).alias("similar_query"),
+        topic_query("_topics").alias("similar_query"),
     )
 
 
@@ -70,5 +75,6 @@ def host_counts(pages: DataFrame) -> DataFrame:
 
 def topic_counts(articles: DataFrame) -> DataFrame:
     """Articles per keyword topic."""
-    return (articles.select(F.explode(tag_topics("content")).alias("topic"))
+    return (with_tags(articles.select("content"), "content")
+            .select(F.explode_outer("tags").alias("topic"))  # never empty; no inferred filter
             .groupBy("topic").agg(F.count(F.lit(1)).alias("articles")))

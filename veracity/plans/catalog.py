@@ -370,7 +370,8 @@ def q_content_preview(spark, d):
 @register("tag_topics")
 def q_tag_topics(spark, d):
     a = views.articles(spark, d, level=False, url=False)
-    return a.select("id", F.array_join(TX.tag_topics("content"), ",").alias("topics"))
+    return TX.with_tags(a.select("id", "content"), "content").select(
+        "id", F.array_join("tags", ",").alias("topics"))
 
 
 @register("topic_counts")

@@ -16,12 +16,32 @@ TABLES = (
 )
 
 
+# Tables whose rows carry long text: per-row CPU (folding, tagging, parsing)
+# dominates their plans, so they are worth rebalancing when under-split.
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one driver table (a parquet file or folder)."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = True) -> DataFrame:
+    """Scan one driver table (a parquet file or folder).
+
+    A scan is split at parquet row-group boundaries, so a file written as one
+    row group is read by one task and everything fused into that stage
+    (text folding, tagging, partial aggregation) runs on one core.  When the
+    scan has fewer splits than the session's parallelism it is rebalanced
+    round-robin right after the scan (column pruning and filters still reach
+    the parquet reader).  Large inputs already have at least that many
+    splits and are left alone, so no shuffle is added at scale.  Only the
+    text tables are considered: rows of the others are cheap to process.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if rebalance and name in TEXT_TABLES:
+        target = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            df = df.repartition(target)
+    return df
