@@ -90,34 +90,34 @@ def restate_source_stats(stats: DataFrame, before: DataFrame, after: DataFrame,
                          compat: bool = False) -> DataFrame:
     """Move counters when an article's source or level changed.
 
-    ``before``/``after`` hold ``id, source, credibility_level`` of the changed
-    articles.  Intended semantics: the old (source, level) is decremented and
-    the new one incremented.  ``compat=True`` reproduces the observed rule:
-    only a source change decrements the old source.
+    ``before``/``after`` hold ``id, source, credibility_level`` of the
+    articles before and after an update.  The new (source, level) is counted
+    like a save (High, Medium, anything else low; total +1; clears
+    is_initial).  The old one is taken back from an existing counter row
+    only: high/medium/low by exact level, total -1, is_initial untouched.
+    Intended semantics take back on any change; ``compat=True`` keeps the
+    observed rule (only a source change takes back).
     """
     b = before.select("id", F.col("source").alias("old_source"),
                       F.col("credibility_level").alias("old_level"))
     a = after.select("id", F.col("source").alias("new_source"),
                      F.col("credibility_level").alias("new_level"))
-    ch = b.join(a, "id").filter(
-        ~F.col("old_source").eqNullSafe(F.col("new_source"))
-        | ~F.col("old_level").eqNullSafe(F.col("new_level")))
-    dec_cond = (~F.col("old_source").eqNullSafe(F.col("new_source"))) if compat else F.lit(True)
-    minus = ch.filter(dec_cond).select(
-        F.col("old_source").alias("source"), F.col("old_level").alias("credibility_level"),
-        F.lit(-1).alias("sign"))
-    plus = ch.select(F.col("new_source").alias("source"),
-                     F.col("new_level").alias("credibility_level"), F.lit(1).alias("sign"))
-    lv, sg = F.col("credibility_level"), F.col("sign")
-    deltas = minus.unionByName(plus).groupBy("source").agg(
-        F.sum(F.when(lv == "High", sg).otherwise(0)).cast("long").alias("high"),
-        F.sum(F.when(lv == "Medium", sg).otherwise(0)).cast("long").alias("medium"),
-        F.sum(F.when(F.coalesce(lv.isin("High", "Medium"), F.lit(False)), 0).otherwise(sg)).cast("long").alias("low"),
-        F.sum(sg).cast("long").alias("total_analyzed"),
-        F.lit(False).alias("is_initial"),
-        F.lit(None).cast("timestamp_ntz").alias("last_updated"),
-    )
-    return merge_counts(stats, deltas)
+    moved = ~F.col("old_source").eqNullSafe(F.col("new_source"))
+    ch = b.join(a, "id").filter(moved | ~F.col("old_level").eqNullSafe(F.col("new_level")))
+    lv = F.col("credibility_level")
+    minus = (ch.filter(moved if compat else F.lit(True))
+             .select(F.col("old_source").alias("source"), F.col("old_level").alias("credibility_level"))
+             .join(stats.select("source"), "source", "left_semi")
+             .groupBy("source").agg(
+                 (-F.count_if(lv == "High")).alias("high"),
+                 (-F.count_if(lv == "Medium")).alias("medium"),
+                 (-F.count_if(lv == "Low")).alias("low"),
+                 (-F.count(F.lit(1))).alias("total_analyzed"),
+                 F.lit(True).alias("is_initial"),
+                 F.lit(None).cast("timestamp_ntz").alias("last_updated")))
+    plus = batch_counts(ch.select(F.col("new_source").alias("source"),
+                                  F.col("new_level").alias("credibility_level")))
+    return merge_counts(merge_counts(stats, minus), plus)
 
 
 def source_stats_from(articles: DataFrame, stats: DataFrame | None = None) -> DataFrame:

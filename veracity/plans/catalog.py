@@ -415,3 +415,135 @@ def q_build_prompt(spark, d):
 @register("analyze_articles")
 def q_analyze_articles(spark, d):
     return SC.analyze_articles(views.articles(spark, d, level=False, url=False), views.history(spark, d))
+
+
+# ------------------------------------------------------------------ store
+from veracity.operators import store as ST  # noqa: E402
+
+NOW = "2024-02-01 00:00:00"
+TALK_HOST = "talk.example.org"
+FEATURED_TITLE = "Featured: how the sources compare this week"
+
+
+def save_batch(spark, d):
+    """Submissions derived from the data: every page (its <title>, host and
+    url: all urls already stored, so updates), every benchmark passage (no
+    url: inserts) and every user turn of a conversation filed under one of
+    50 discussion urls (new urls, each repeated: first row creates, last
+    row's values win)."""
+    p = read_table(spark, d, "pages").select("page_id", "url", "html")
+    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
+    pages = p.select(F.col("page_id").alias("seq"), title.alias("title"), TX.bare_host("url").alias("source"),
+                     "url", title.alias("content"), TX.source_level("url").alias("credibility_level"),
+                     F.lit(False).alias("is_featured"))
+    bench = read_table(spark, d, "benchmark").select(
+        (F.lit(1_000_000_000) + F.col("item_id")).alias("seq"), F.substring("text", 1, 60).alias("title"),
+        F.lit("benchmark").alias("source"), F.lit(None).cast("string").alias("url"),
+        F.col("text").alias("content"), F.lit("Medium").alias("credibility_level"),
+        F.lit(False).alias("is_featured"))
+    c = read_table(spark, d, "conversations").filter(F.col("role") == "user")
+    talk = c.select(
+        (F.lit(2_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+        F.substring("text", 1, 60).alias("title"), F.lit(TALK_HOST).alias("source"),
+        F.concat(F.lit(f"https://{TALK_HOST}/"), (F.col("conv_id") % 50).cast("string")).alias("url"),
+        F.col("text").alias("content"), F.lit("Low").alias("credibility_level"),
+        F.lit(False).alias("is_featured"))
+    return pages.unionByName(bench).unionByName(talk)
+
+
+def _store_articles(spark, d):
+    return views.articles(spark, d).drop("lang")
+
+
+@register("upsert_articles")
+def q_upsert_articles(spark, d):
+    out = ST.upsert_articles(_store_articles(spark, d), save_batch(spark, d), NOW)
+    return out.select("id", "title", "source", "url", "short_summary", "credibility_level",
+                      "created_at", "updated_at", "is_featured")
+
+
+@register("append_history")
+def q_append_history(spark, d):
+    h = views.history(spark, d)
+    return ST.append_history(h, _store_articles(spark, d), save_batch(spark, d), NOW, analysis_cols=[])
+
+
+def label_patch(spark, d):
+    """Partial updates derived from the labels: toxic -> level Low,
+    good and clean -> featured; other fields left alone."""
+    lab = read_table(spark, d, "labels")
+    return lab.select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"),
+                      F.when(F.col("toxic") == 1, F.lit("Low")).alias("credibility_level"),
+                      F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(True)).alias("is_featured"))
+
+
+@register("update_articles")
+def q_update_articles(spark, d):
+    out = ST.update_articles(_store_articles(spark, d), label_patch(spark, d), NOW)
+    return out.select("id", "source", "credibility_level", "is_featured", "updated_at", "was_updated")
+
+
+@register("restate_source_stats")
+def q_restate_source_stats(spark, d):
+    a = _store_articles(spark, d)
+    after = ST.update_articles(a, label_patch(spark, d), NOW)
+    st = stats.source_stats_from(a)
+    return stats.restate_source_stats(st, a, after).select(
+        "source", "high", "medium", "low", "total_analyzed", "is_initial")
+
+
+@register("update_source_stats")
+def q_update_source_stats(spark, d):
+    st = stats.source_stats_from(_store_articles(spark, d))
+    b = save_batch(spark, d).withColumn("updated_at", F.to_timestamp_ntz(F.lit(NOW)))
+    return stats.update_source_stats(st, b).select(
+        "source", "high", "medium", "low", "total_analyzed", "is_initial", "last_updated")
+
+
+@register("validate_articles")
+def q_validate_articles(spark, d):
+    good, bad = ST.validate_articles(_store_articles(spark, d))
+    g = good.select("id", F.lit("").alias("reasons"))
+    b = bad.select("id", F.array_join("reasons", "; ").alias("reasons"))
+    return g.unionByName(b)
+
+
+@register("orphan_history")
+def q_orphan_history(spark, d):
+    return ST.orphan_history(views.history(spark, d), views.articles(spark, d, level=False, url=False)) \
+        .select("id", "article_id", "created_at")
+
+
+@register("cascade_delete")
+def q_cascade_delete(spark, d):
+    toxic = read_table(spark, d, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("id"))
+    _, h = ST.cascade_delete(views.articles(spark, d, level=False, url=False), views.history(spark, d), toxic)
+    return h.select("id", "article_id")
+
+
+@register("seed_featured")
+def q_seed_featured(spark, d):
+    a = _store_articles(spark, d)
+    feat = a.limit(0).unionByName(spark.createDataFrame(
+        [(0, FEATURED_TITLE, "veracity", None, FEATURED_TITLE, FEATURED_TITLE, "High", None, None, True)],
+        a.schema))
+    feat = feat.withColumn("created_at", F.to_timestamp_ntz(F.lit(NOW))).withColumn(
+        "updated_at", F.to_timestamp_ntz(F.lit(NOW)))
+    return ST.seed_featured(a, feat).select("id", "title", "is_featured")
+
+
+@register("encode_analysis")
+def q_encode_analysis(spark, d):
+    h = views.history(spark, d).drop("k")
+    return ST.encode_analysis(h.select("id", "credibility_score", "sentiment_score", "bias_score", "topics",
+                                       "key_arguments", "perspectives"))
+
+
+@register("decode_analysis")
+def q_decode_analysis(spark, d):
+    enc = q_encode_analysis(spark, d)
+    dec = ST.decode_analysis(enc)
+    return dec.select("id", "credibility_score", "sentiment_score", "bias_score",
+                      F.array_join("topics", ",").alias("topics"),
+                      F.array_join("key_arguments", ",").alias("key_arguments"),
+                      F.array_join(F.array_sort(F.map_keys("perspectives")), ",").alias("perspectives"))

@@ -619,3 +619,126 @@ FROM articles a LEFT JOIN lat l ON l.article_id = a.id"""
 
 for _k, _v in _scoring_sql().items():
     sql(_k, _v, "articles", "analysis_history")
+
+
+# ------------------------------------------------------------------ store
+def host_sql(col: str) -> str:
+    return f"replace(regexp_extract({col}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', '')"
+
+
+def _store_sql():
+    from veracity.plans import catalog as C
+    now = f"TIMESTAMP '{C.NOW}'"
+    title = "regexp_extract(html, '<title>(.*?)</title>', 1)"
+    batch = f""",
+batch AS (
+  SELECT page_id AS seq, {title} AS title, {host_sql('url')} AS source, url, {title} AS content,
+    {source_level_sql('url')} AS credibility_level, false AS is_featured FROM pages
+  UNION ALL
+  SELECT 1000000000 + item_id, substring(text, 1, 60), 'benchmark', CAST(NULL AS VARCHAR), text, 'Medium', false
+  FROM benchmark
+  UNION ALL
+  SELECT 2000000000 + conv_id * 1000 + turn, substring(text, 1, 60), '{C.TALK_HOST}',
+    'https://{C.TALK_HOST}/' || CAST(conv_id % 50 AS VARCHAR), text, 'Low', false
+  FROM conversations WHERE role = 'user'
+),
+b AS (SELECT *, nullif(url, '') AS k FROM batch),
+existing AS (SELECT url AS k, min(id) AS eid FROM articles WHERE url IS NOT NULL AND url <> '' GROUP BY url),
+per_url AS (
+  SELECT b.k, min(b.seq) AS first_seq, max(b.seq) AS last_seq, any_value(e.eid) AS eid
+  FROM b LEFT JOIN existing e ON e.k = b.k WHERE b.k IS NOT NULL GROUP BY b.k
+),
+creators AS (SELECT k, first_seq AS seq FROM per_url WHERE eid IS NULL UNION ALL SELECT k, seq FROM b WHERE k IS NULL),
+new_ids AS (SELECT k, seq, (SELECT coalesce(max(id), 0) FROM articles) + row_number() OVER (ORDER BY seq) AS nid
+            FROM creators),
+resolved AS (
+  SELECT b.*, coalesce(p.eid, nu.nid, nb.nid) AS article_id,
+    (b.k IS NULL OR p.eid IS NULL) AS created_in_batch, (b.k IS NULL OR b.seq = p.last_seq) AS is_last
+  FROM b LEFT JOIN per_url p ON p.k = b.k
+  LEFT JOIN new_ids nu ON nu.k = b.k AND b.k IS NOT NULL
+  LEFT JOIN new_ids nb ON nb.seq = b.seq AND b.k IS NULL
+),
+last_rows AS (SELECT * FROM resolved WHERE is_last)"""
+    summ = "CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END"
+    out = {}
+    out["upsert_articles"] = batch + f"""
+SELECT a.id, CASE WHEN u.article_id IS NULL THEN a.title ELSE u.title END AS title,
+  CASE WHEN u.article_id IS NULL THEN a.source ELSE u.source END AS source, a.url,
+  CASE WHEN u.article_id IS NULL THEN a.short_summary ELSE
+    (CASE WHEN length(u.content) > 200 THEN substring(u.content, 1, 200) || '...' ELSE u.content END) END AS short_summary,
+  CASE WHEN u.article_id IS NULL THEN a.credibility_level ELSE u.credibility_level END AS credibility_level,
+  a.created_at, CASE WHEN u.article_id IS NULL THEN a.updated_at ELSE {now} END AS updated_at,
+  CASE WHEN u.article_id IS NULL THEN a.is_featured ELSE u.is_featured END AS is_featured
+FROM articles a LEFT JOIN (SELECT * FROM last_rows WHERE NOT created_in_batch) u ON u.article_id = a.id
+UNION ALL
+SELECT article_id, title, source, url, {summ}, credibility_level, {now}, {now}, is_featured
+FROM last_rows WHERE created_in_batch"""
+    out["append_history"] = batch + f"""
+SELECT (SELECT max(id) FROM analysis_history) + row_number() OVER (ORDER BY seq) AS id, article_id,
+  {now} AS created_at
+FROM resolved"""
+    patch = """,
+patch AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'Low' END AS lvl,
+  CASE WHEN quality = 1 AND toxic = 0 THEN true END AS feat FROM labels),
+updated AS (
+  SELECT a.id, a.source, a.credibility_level AS old_level, coalesce(p.lvl, a.credibility_level) AS credibility_level,
+    coalesce(p.feat, a.is_featured) AS is_featured,
+    CASE WHEN p.lvl IS NOT NULL OR p.feat IS NOT NULL THEN """ + now + """ ELSE a.updated_at END AS updated_at,
+    coalesce(p.lvl IS NOT NULL OR p.feat IS NOT NULL, false) AS was_updated
+  FROM articles a LEFT JOIN patch p ON p.id = a.id
+)"""
+    out["update_articles"] = patch + """
+SELECT id, source, credibility_level, is_featured, updated_at, was_updated FROM updated"""
+    out["restate_source_stats"] = patch + """,
+changed AS (SELECT * FROM updated WHERE old_level IS DISTINCT FROM credibility_level),
+deltas AS (
+  SELECT source, -count(*) FILTER (WHERE old_level = 'High') AS high, -count(*) FILTER (WHERE old_level = 'Medium') AS medium,
+    -count(*) FILTER (WHERE old_level = 'Low') AS low, -count(*) AS total, true AS is_initial
+  FROM changed WHERE source IN (SELECT source FROM source_stats) GROUP BY source
+  UNION ALL
+  SELECT source, count(*) FILTER (WHERE credibility_level = 'High'), count(*) FILTER (WHERE credibility_level = 'Medium'),
+    count(*) FILTER (WHERE credibility_level IS NULL OR credibility_level NOT IN ('High', 'Medium')), count(*), false
+  FROM changed GROUP BY source
+  UNION ALL
+  SELECT source, high, medium, low, total_analyzed, is_initial FROM source_stats
+)
+SELECT source, CAST(sum(high) AS BIGINT) AS high, CAST(sum(medium) AS BIGINT) AS medium, CAST(sum(low) AS BIGINT) AS low,
+  CAST(sum(total) AS BIGINT) AS total_analyzed, bool_and(is_initial) AS is_initial
+FROM deltas GROUP BY source"""
+    out["update_source_stats"] = batch + f"""
+SELECT source, CAST(sum(high) AS BIGINT) AS high, CAST(sum(medium) AS BIGINT) AS medium, CAST(sum(low) AS BIGINT) AS low,
+  CAST(sum(total) AS BIGINT) AS total_analyzed, bool_and(is_initial) AS is_initial, max(last_updated) AS last_updated
+FROM (
+  SELECT source, high, medium, low, total_analyzed AS total, is_initial, last_updated FROM source_stats
+  UNION ALL
+  SELECT source, count(*) FILTER (WHERE credibility_level = 'High'), count(*) FILTER (WHERE credibility_level = 'Medium'),
+    count(*) FILTER (WHERE credibility_level IS NULL OR credibility_level NOT IN ('High', 'Medium')), count(*), false, {now}
+  FROM batch GROUP BY source
+) u GROUP BY source"""
+    out["validate_articles"] = """
+SELECT id, concat_ws('; ',
+  CASE WHEN title IS NULL THEN 'title is null' END, CASE WHEN source IS NULL THEN 'source is null' END,
+  CASE WHEN content IS NULL THEN 'content is null' END,
+  CASE WHEN credibility_level IS NOT NULL AND credibility_level NOT IN ('High', 'Medium', 'Low') THEN 'unknown credibility level' END,
+  CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id' END) AS reasons
+FROM articles"""
+    out["orphan_history"] = """
+SELECT id, article_id, created_at FROM analysis_history h
+WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.id = h.article_id)"""
+    out["cascade_delete"] = """
+SELECT id, article_id FROM analysis_history
+WHERE article_id IS NULL OR article_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)"""
+    out["seed_featured"] = f"""
+SELECT id, title, is_featured FROM articles
+UNION ALL
+SELECT (SELECT max(id) FROM articles) + 1, '{C.FEATURED_TITLE}', true
+WHERE NOT EXISTS (SELECT 1 FROM articles WHERE title = '{C.FEATURED_TITLE}')"""
+    out["decode_analysis"] = """
+SELECT id, credibility_score, sentiment_score, bias_score, array_to_string(topics, ',') AS topics,
+  array_to_string(key_arguments, ',') AS key_arguments, array_to_string(list_sort(perspective_keys), ',') AS perspectives
+FROM analysis_history"""
+    return out
+
+
+for _k, _v in _store_sql().items():
+    sql(_k, _v, "articles", "analysis_history", "source_stats")

@@ -71,3 +71,33 @@ def first_last(order_ts: str, order_id: str, value: Column | str, name: str) ->
         F.max_by(v, o).alias(f"{name}_last"),
         F.count(v).alias(f"{name}_n"),
     ]
+
+
+def dense_index(df: DataFrame, order: list[str], name: str = "idx", start: Column | int = 1,
+                partitions: int | None = None) -> DataFrame:
+    """Number the rows 1..n (plus ``start`` - 1) in ``order`` without a
+    global window on one task (zipWithIndex, in DataFrame form).
+
+    The rows are range-partitioned and sorted on ``order`` (which must be
+    unique), each row's position inside its partition comes from
+    ``monotonically_increasing_id`` (partition id in the high bits, position
+    in the low 33 bits), and per-partition counts — one row per partition,
+    so a bounded, broadcastable table — give the running offsets.
+    """
+    from pyspark.storagelevel import StorageLevel
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    # persisted so the counts and the rows read one and the same partitioning
+    # (a lost cached block is recomputed deterministically: unique order keys)
+    ranged = (df.repartitionByRange(n, *[F.col(c) for c in order])
+              .sortWithinPartitions(*order)
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
+        .withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    first = start if isinstance(start, Column) else F.lit(start)
+    return (ranged.join(F.broadcast(offsets), "_pid")
+            .withColumn(name, (first + F.col("_off") + F.col("_pos")).cast("long"))
+            .drop("_mid", "_pid", "_pos", "_off"))
