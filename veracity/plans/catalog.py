@@ -547,3 +547,77 @@ def q_decode_analysis(spark, d):
                       F.array_join("topics", ",").alias("topics"),
                       F.array_join("key_arguments", ",").alias("key_arguments"),
                       F.array_join(F.array_sort(F.map_keys("perspectives")), ",").alias("perspectives"))
+
+
+# ------------------------------------------------------------------ pages / feed
+from veracity.operators import feed as FD  # noqa: E402
+from veracity.sources import pages as PG  # noqa: E402
+
+NEWS_QUERY = "Ether OR the_"
+EVERYTHING_QUERY = "ether OR ai_"
+
+
+@register("extract_pages")
+def q_extract_pages(spark, d):
+    return PG.extract_pages(read_table(spark, d, "pages"))
+
+
+@register("page_extraction_report")
+def q_page_extraction_report(spark, d):
+    return PG.page_extraction_report(PG.extract_pages(read_table(spark, d, "pages")))
+
+
+def route_inputs(spark, d):
+    """Submissions as typed: every conversation turn and every page url."""
+    c = read_table(spark, d, "conversations").select(
+        F.concat(F.lit("turn:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"))
+        .alias("input_id"), F.col("text").alias("input_text"))
+    p = read_table(spark, d, "pages").select(
+        F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("input_id"),
+        F.concat(F.lit("  "), F.col("url"), F.lit("\n")).alias("input_text"))
+    return c.unionByName(p)
+
+
+@register("route_input")
+def q_route_input(spark, d):
+    return PG.route_input(route_inputs(spark, d)).select("input_id", "kind", "error", "title", "source",
+                                                         F.length("input").alias("input_length"))
+
+
+def _feed_articles(spark, d):
+    return views.articles(spark, d, level=False)
+
+
+@register("search_news")
+def q_search_news(spark, d):
+    return FD.search_news(_feed_articles(spark, d), NEWS_QUERY, "2024-01-02", "2024-01-20", "en")[0]
+
+
+@register("search_news_total")
+def q_search_news_total(spark, d):
+    return FD.search_news(_feed_articles(spark, d), NEWS_QUERY, "2024-01-02", "2024-01-20", "en")[1]
+
+
+@register("get_everything")
+def q_get_everything(spark, d):
+    return FD.get_everything(_feed_articles(spark, d), EVERYTHING_QUERY, page_size=5)
+
+
+@register("news_article_by_url")
+def q_news_article_by_url(spark, d):
+    return FD.news_article_by_url(_feed_articles(spark, d), read_table(spark, d, "pages").select("url"))
+
+
+@register("top_headlines")
+def q_top_headlines(spark, d):
+    return FD.top_headlines(_feed_articles(spark, d), country="fr", category="technology")[0]
+
+
+@register("top_headlines_total")
+def q_top_headlines_total(spark, d):
+    return FD.top_headlines(_feed_articles(spark, d), country="fr", category="technology")[1]
+
+
+@register("list_sources")
+def q_list_sources(spark, d):
+    return FD.list_sources(_feed_articles(spark, d), language="en")

@@ -742,3 +742,48 @@ FROM analysis_history"""
 
 for _k, _v in _store_sql().items():
     sql(_k, _v, "articles", "analysis_history", "source_stats")
+
+
+# ------------------------------------------------------------------ pages / feed
+_RE2_STRIP = ("[\\t\\n\\x0B\\f\\r \\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}"
+              "\\x{202F}\\x{205F}\\x{3000}]")
+
+
+def _feed_sql():
+    from veracity.operators.feed import query_terms
+    from veracity.plans import catalog as C
+    from veracity.sources import pages as PG
+    out = {}
+    strip = f"regexp_replace(input_text, '^{_RE2_STRIP}+|{_RE2_STRIP}+$', '', 'g')"
+    out["route_input"] = f""",
+inputs AS (
+  SELECT 'turn:' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS input_id, text AS input_text FROM conversations
+  UNION ALL
+  SELECT 'page:' || CAST(page_id AS VARCHAR), '  ' || url || chr(10) FROM pages
+),
+t AS (SELECT input_id, {strip} AS input FROM inputs),
+k AS (SELECT *, CASE WHEN input IS NULL OR input = '' THEN 'empty'
+  WHEN starts_with(input, 'http://') OR starts_with(input, 'https://') THEN 'url' ELSE 'text' END AS kind FROM t)
+SELECT input_id, kind, CASE WHEN kind = 'empty' THEN '{PG.EMPTY_INPUT}' END AS error,
+  CASE WHEN kind = 'text' THEN '{PG.DIRECT_TITLE}' END AS title,
+  CASE WHEN kind = 'text' THEN '{PG.DIRECT_SOURCE}' END AS source, length(input) AS input_length
+FROM k"""
+    cols = "id, title, short_summary AS description, source, url, created_at AS published_at, lang"
+    match = _any_like(["title", "short_summary", "content"], query_terms(C.NEWS_QUERY))
+    where = (f"{match} AND lang = 'en' AND CAST(created_at AS DATE) >= DATE '2024-01-02' "
+             f"AND CAST(created_at AS DATE) <= DATE '2024-01-20'")
+    out["search_news"] = f"\nSELECT {cols} FROM articles WHERE {where} ORDER BY created_at DESC, id LIMIT 20"
+    out["search_news_total"] = f"\nSELECT count(*) AS total_results FROM articles WHERE {where}"
+    ev = _any_like(["title", "short_summary", "content"], query_terms(C.EVERYTHING_QUERY))
+    out["get_everything"] = f"\nSELECT {cols} FROM articles WHERE {ev} ORDER BY created_at DESC, id LIMIT 5"
+    out["news_article_by_url"] = f"\nSELECT {cols} FROM articles WHERE url IN (SELECT url FROM pages WHERE url <> '')"
+    th = f"lang = 'fr' AND list_contains({tags_sql('content')}, 'technology')"
+    out["top_headlines"] = f"\nSELECT {cols} FROM articles WHERE {th} ORDER BY created_at DESC, id LIMIT 20"
+    out["top_headlines_total"] = f"\nSELECT count(*) AS total_results FROM articles WHERE {th}"
+    out["list_sources"] = """
+SELECT source, count(*) AS articles, max(created_at) AS latest_published_at FROM articles WHERE lang = 'en' GROUP BY source"""
+    return out
+
+
+for _k, _v in _feed_sql().items():
+    sql(_k, _v, "articles")
