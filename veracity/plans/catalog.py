@@ -621,3 +621,55 @@ def q_top_headlines_total(spark, d):
 @register("list_sources")
 def q_list_sources(spark, d):
     return FD.list_sources(_feed_articles(spark, d), language="en")
+
+
+# ------------------------------------------------------------------ streams
+from veracity.streaming import streams as SS  # noqa: E402
+
+QUOTA_PER, QUOTA_N = "1 minute", 10
+REUSE_TTL = 3600
+
+
+@register("source_stats_stream")
+def q_source_stats_stream(spark, d):
+    return SS.source_stats_stream(spark, d).select("source", "high", "medium", "low", "total_analyzed",
+                                                   "is_initial")
+
+
+def _events(spark, d):
+    return read_table(spark, d, "events")
+
+
+@register("quota_windows")
+def q_quota_windows(spark, d):
+    return SS.quota_windows(_events(spark, d), QUOTA_PER, QUOTA_N)
+
+
+@register("quota_admissions")
+def q_quota_admissions(spark, d):
+    return SS.quota_admissions(_events(spark, d), QUOTA_PER, QUOTA_N)
+
+
+@register("quota_windows_stream")
+def q_quota_windows_stream(spark, d):
+    return SS.quota_windows_stream(spark, d, QUOTA_PER, QUOTA_N)
+
+
+@register("reusable_results")
+def q_reusable_results(spark, d):
+    return SS.reusable_results(SS.submissions_from_events(_events(spark, d)), REUSE_TTL)
+
+
+@register("reusable_results_stream")
+def q_reusable_results_stream(spark, d):
+    return SS.reusable_results_stream(spark, d, REUSE_TTL)
+
+
+@register("latest_analysis_stream")
+def q_latest_analysis_stream(spark, d):
+    return SS.latest_analysis_stream(spark, d)
+
+
+@register("feedback_check")
+def q_feedback_check(spark, d):
+    return SS.feedback_check(views.feedback(spark, d)).select("conv_id", "turn", "valid", "reason")

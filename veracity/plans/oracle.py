@@ -787,3 +787,61 @@ SELECT source, count(*) AS articles, max(created_at) AS latest_published_at FROM
 
 for _k, _v in _feed_sql().items():
     sql(_k, _v, "articles")
+
+
+# ------------------------------------------------------------------ streams
+def _streams_sql():
+    from veracity.plans import catalog as C
+    from veracity.streaming import streams as SS
+    out = {}
+    out["source_stats_stream"] = "\nSELECT source, high, medium, low, total_analyzed, is_initial FROM source_stats"
+    n = C.QUOTA_N
+    out["quota_windows"] = f"""
+SELECT user_id, date_trunc('minute', ts) AS window_start, count(*) AS requests,
+  least(count(*), {n}) AS admitted, greatest(count(*) - {n}, 0) AS rejected
+FROM events GROUP BY user_id, date_trunc('minute', ts)"""
+    out["quota_windows_stream"] = out["quota_windows"]
+    out["quota_admissions"] = f"""
+SELECT event_id, user_id, date_trunc('minute', ts) AS window_start,
+  row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS position,
+  row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) <= {n} AS admitted
+FROM events"""
+    reuse = f""",
+subs AS (SELECT event_id, ts, sha256(event_type || chr(1) || props) AS key FROM events),
+s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM subs),
+r AS (
+  SELECT key, rn, event_id, ts, ts AS anchor, false AS hit FROM s WHERE rn = 1
+  UNION ALL
+  SELECT s.key, s.rn, s.event_id, s.ts,
+    CASE WHEN s.ts >= r.anchor + INTERVAL {C.REUSE_TTL} SECOND THEN s.ts ELSE r.anchor END,
+    s.ts < r.anchor + INTERVAL {C.REUSE_TTL} SECOND
+  FROM r JOIN s ON s.key = r.key AND s.rn = r.rn + 1
+)
+SELECT event_id, key, ts, hit, anchor AS cached_at FROM r"""
+    out["reusable_results"] = reuse.replace(",\nsubs AS", "RECURSIVE_MARK subs AS", 1)
+    out["reusable_results_stream"] = out["reusable_results"]
+    out["latest_analysis_stream"] = """
+SELECT article_id, id, created_at, credibility_score, sentiment_score, bias_score
+FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS rn
+      FROM analysis_history) x WHERE rn = 1"""
+    sp = ("[\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}"
+          "\\x{3000}\\x{FEFF}]")
+    nsp = sp.replace("[", "[^@", 1)
+
+    def tr(c):
+        return f"regexp_replace({c}, '^{sp}+|{sp}+$', '', 'g')"
+    types = ", ".join(f"'{t}'" for t in SS.FEEDBACK_TYPES)
+    out["feedback_check"] = f""",
+t AS (SELECT conv_id, turn, {tr('name')} AS n, {tr('email')} AS e, type, {tr('message')} AS m FROM feedback),
+c AS (SELECT *, CASE
+  WHEN coalesce(n, '') = '' OR coalesce(e, '') = '' OR coalesce(type, '') = '' OR coalesce(m, '') = '' THEN '{SS.MISSING_FIELDS}'
+  WHEN NOT regexp_matches(e, '^{nsp}+@{nsp}+\\.{nsp}+$') THEN '{SS.BAD_EMAIL}'
+  WHEN type NOT IN ({types}) THEN '{SS.BAD_TYPE}' END AS reason FROM t)
+SELECT conv_id, turn, reason IS NULL AS valid, reason FROM c"""
+    return out
+
+
+for _k, _v in _streams_sql().items():
+    _sql = W(_v, "articles", "analysis_history", "feedback", "source_stats")
+    ORACLE[_k] = _sql.replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_MARK", ",") \
+        if "RECURSIVE_MARK" in _sql else _sql

@@ -87,7 +87,12 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``perspectives`` is a map key -> {credibility, summary, key_points}; the
     credibility of a perspective is the FAQ band of the analysis' score.
     """
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    return history_from_events(read_table(spark, sf_dir, "events"))
+
+
+def history_from_events(events: DataFrame) -> DataFrame:
+    """The history projection of an events DataFrame (batch or stream)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "props")
     k = _k(F.col("props"))
     et = F.col("event_type")
     e = ev.select("event_id", "ts", "user_id", et.alias("et"), k.alias("k"))
