@@ -39,8 +39,9 @@ def read_stream_table(spark: SparkSession, folder: str, name: str,
                       max_files_per_trigger: int | None = None) -> DataFrame:
     """Stream the parquet files of table ``name`` in ``folder`` (schema from
     the current files; new files arriving there become new micro-batches)."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    glob = f"{name}*.parquet"
+    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.parquet(folder)
