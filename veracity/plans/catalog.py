@@ -185,6 +185,12 @@ def q_multiple_analyses(spark, d):
     return H.multiple_analyses(*_ah(spark, d))
 
 
+@register("analysis_complexity")
+def q_analysis_complexity(spark, d):
+    # the reference has two identical operators (H3); one plan, both names
+    return H.multiple_analyses(*_ah(spark, d))
+
+
 @register("analysis_trends")
 def q_analysis_trends(spark, d):
     return H.multiple_analyses(*_ah(spark, d), days=7, as_of=AS_OF)
@@ -254,6 +260,10 @@ def _full(spark, d):
     return views.articles(spark, d), views.history(spark, d)
 
 
+def _full_text(spark, d):
+    return views.articles(spark, d, text_work=True), views.history(spark, d)
+
+
 @register("articles_by_source")
 def q_articles_by_source(spark, d):
     return L.articles_by_source(*_full(spark, d), source="src3", limit=10)
@@ -307,27 +317,27 @@ def q_article_page(spark, d):
 
 @register("search_articles")
 def q_search_articles(spark, d):
-    return L.search_articles(*_full(spark, d), term=SEARCH_TERM, limit=10)
+    return L.search_articles(*_full_text(spark, d), term=SEARCH_TERM, limit=10)
 
 
 @register("similar_articles")
 def q_similar_articles(spark, d):
-    return L.similar_articles(*_full(spark, d), topics=SIMILAR_TOPICS, limit=5)
+    return L.similar_articles(*_full_text(spark, d), topics=SIMILAR_TOPICS, limit=5)
 
 
 @register("articles_with_topics")
 def q_articles_with_topics(spark, d):
-    return L.articles_with_topics(*_full(spark, d), topics=TOPIC_TERMS, limit=10, offset=10)[0]
+    return L.articles_with_topics(*_full_text(spark, d), topics=TOPIC_TERMS, limit=10, offset=10)[0]
 
 
 @register("articles_with_topics_info")
 def q_articles_with_topics_info(spark, d):
-    return L.articles_with_topics(*_full(spark, d), topics=TOPIC_TERMS, limit=10, offset=10)[1]
+    return L.articles_with_topics(*_full_text(spark, d), topics=TOPIC_TERMS, limit=10, offset=10)[1]
 
 
 @register("similar_for_all")
 def q_similar_for_all(spark, d):
-    return L.similar_for_all(views.articles(spark, d, level=False, url=False), k=3)
+    return L.similar_for_all(views.articles(spark, d, level=False, url=False, text_work=True), k=3)
 
 
 # ------------------------------------------------------------------ scoring / text
@@ -363,20 +373,20 @@ def q_short_summary(spark, d):
 
 @register("content_preview")
 def q_content_preview(spark, d):
-    a = views.articles(spark, d, level=False, url=False)
+    a = views.articles(spark, d, level=False, url=False, text_work=True)
     return a.select("id", TX.content_preview("content").alias("content_preview"))
 
 
 @register("tag_topics")
 def q_tag_topics(spark, d):
-    a = views.articles(spark, d, level=False, url=False)
+    a = views.articles(spark, d, level=False, url=False, text_work=True)
     return TX.with_tags(a.select("id", "content"), "content").select(
         "id", F.array_join("tags", ",").alias("topics"))
 
 
 @register("topic_counts")
 def q_topic_counts(spark, d):
-    return SC.topic_counts(views.articles(spark, d, level=False, url=False))
+    return SC.topic_counts(views.articles(spark, d, level=False, url=False, text_work=True))
 
 
 @register("build_topic_query")
@@ -408,13 +418,14 @@ def q_decode_response(spark, d):
 
 @register("build_prompt")
 def q_build_prompt(spark, d):
-    a = views.articles(spark, d, level=False, url=False)
+    a = views.articles(spark, d, level=False, url=False, text_work=True)
     return a.select("id", SF.build_prompt("content", "source").alias("prompt"))
 
 
 @register("analyze_articles")
 def q_analyze_articles(spark, d):
-    return SC.analyze_articles(views.articles(spark, d, level=False, url=False), views.history(spark, d))
+    return SC.analyze_articles(views.articles(spark, d, level=False, url=False, text_work=True),
+                               views.history(spark, d))
 
 
 # ------------------------------------------------------------------ store
@@ -559,12 +570,12 @@ EVERYTHING_QUERY = "ether OR ai_"
 
 @register("extract_pages")
 def q_extract_pages(spark, d):
-    return PG.extract_pages(read_table(spark, d, "pages"))
+    return PG.extract_pages(read_table(spark, d, "pages", rebalance=True))
 
 
 @register("page_extraction_report")
 def q_page_extraction_report(spark, d):
-    return PG.page_extraction_report(PG.extract_pages(read_table(spark, d, "pages")))
+    return PG.page_extraction_report(PG.extract_pages(read_table(spark, d, "pages", rebalance=True)))
 
 
 def route_inputs(spark, d):
@@ -585,7 +596,7 @@ def q_route_input(spark, d):
 
 
 def _feed_articles(spark, d):
-    return views.articles(spark, d, level=False)
+    return views.articles(spark, d, level=False, text_work=True)
 
 
 @register("search_news")

@@ -344,6 +344,7 @@ JOIN articles a ON a.id = c.id {where}"""
 
 
 sql("multiple_analyses", _multiple_sql(""), "articles", "analysis_history")
+sql("analysis_complexity", _multiple_sql(""), "articles", "analysis_history")
 sql("analysis_trends", _multiple_sql("WHERE CAST(a.created_at AS DATE) >= DATE '2024-01-10' - INTERVAL 7 DAY"),
     "articles", "analysis_history")
 

@@ -25,7 +25,7 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = False) -> DataFrame:
     """Scan one driver table (a parquet file or folder).
 
     A scan is split at parquet row-group boundaries, so a file written as one
@@ -35,7 +35,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool = Tr
     round-robin right after the scan (column pruning and filters still reach
     the parquet reader).  Large inputs already have at least that many
     splits and are left alone, so no shuffle is added at scale.  Only the
-    text tables are considered: rows of the others are cheap to process.
+    text tables are considered, and only when the caller does per-row text
+    work (``rebalance=True``): for plain lookups the extra shuffle costs more
+    than the single-core scan.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")

@@ -38,7 +38,7 @@ def _pick(index: Column, values: list) -> Column:
 
 
 def articles(spark: SparkSession, sf_dir: str, *, level: bool = True,
-             url: bool = True) -> DataFrame:
+             url: bool = True, text_work: bool = False) -> DataFrame:
     """Article table: id, title, source, url, lang, content, short_summary,
     credibility_level, created_at, updated_at, is_featured.
 
@@ -138,6 +138,6 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses kept for re-decoding: the assistant turns."""
-    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    c = read_table(spark, sf_dir, "conversations", rebalance=True).select("conv_id", "turn", "role", "text")
     return (c.filter(F.col("role") == "assistant")
              .select("conv_id", "turn", F.col("text").alias("response_text")))
