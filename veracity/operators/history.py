@@ -167,8 +167,9 @@ def _scope(history: DataFrame, cands: DataFrame, limit: int | None) -> DataFrame
     """Narrow the history to the candidates when they are a bounded top-k."""
     if limit is None:
         return history
+    from veracity.plans.ordered import bounded_broadcast
     ids = cands.select(F.col("id").alias("article_id"))
-    return history.join(F.broadcast(ids), "article_id", "left_semi")
+    return history.join(bounded_broadcast(ids, limit), "article_id", "left_semi")
 
 
 # --------------------------------------------------------------- per-article aggs

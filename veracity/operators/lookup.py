@@ -56,8 +56,9 @@ def _newest() -> list[Column]:
 
 
 def _bounded(ids: DataFrame, k: int) -> DataFrame:
-    """Mark a DataFrame of at most ``k`` ids for broadcast (size proven by k)."""
-    return F.broadcast(ids)
+    """Broadcast a DataFrame of at most ``k`` ids when k is small."""
+    from veracity.plans.ordered import bounded_broadcast
+    return bounded_broadcast(ids, k)
 
 
 def with_latest_and_counts(page_articles: DataFrame, history: DataFrame, k: int | None) -> DataFrame:
@@ -280,8 +281,11 @@ def similar_for_all(articles: DataFrame, k: int = 3, salt: int = 64) -> DataFram
             .select("tag", F.col("id").alias("similar_id"),
                     F.col("created_at").alias("similar_created_at"),
                     F.col("tags").alias("similar_tags")))
+    from veracity.functions.text import FALLBACK_TOPICS, TOPIC_KEYWORDS
+    from veracity.plans.ordered import bounded_broadcast
+    n_tags = len(TOPIC_KEYWORDS) + len(FALLBACK_TOPICS)
     pairs = (tagged.select("id", "query_tags", F.explode("query_tags").alias("tag"))
-             .join(F.broadcast(best), "tag")
+             .join(bounded_broadcast(best, n_tags * (k + 1)), "tag")
              .filter(F.col("similar_id") != F.col("id"))
              .select("id", "similar_id", "similar_created_at",
                      F.size(F.array_intersect("query_tags", "similar_tags")).alias("shared_topics"))

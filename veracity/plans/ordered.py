@@ -61,6 +61,19 @@ def with_previous(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
             .drop(*drop))
 
 
+# Largest row count we broadcast on a bound proven by parameters (a page's k,
+# tags x (k+1), one row per partition).  Beyond it the plan falls back to a
+# shuffle join and AQE decides at runtime.
+BROADCAST_ROWS_MAX = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` when its row count is bounded by ``max_rows`` (a
+    bound the caller proves from its parameters) and that bound is small;
+    otherwise leave the choice to AQE's size-checked runtime planning."""
+    return F.broadcast(df) if max_rows <= BROADCAST_ROWS_MAX else df
+
+
 def first_last(order_ts: str, order_id: str, value: Column | str, name: str) -> list[Column]:
     """Aggregates: first and last non-NULL ``value`` in (ts, id) order and
     the count of non-NULL values — partial aggregation, skew-safe."""
@@ -98,6 +111,6 @@ def dense_index(df: DataFrame, order: list[str], name: str = "idx", start: Colum
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     first = start if isinstance(start, Column) else F.lit(start)
-    return (ranged.join(F.broadcast(offsets), "_pid")
+    return (ranged.join(bounded_broadcast(offsets, n), "_pid")  # one row per partition
             .withColumn(name, (first + F.col("_off") + F.col("_pos")).cast("long"))
             .drop("_mid", "_pid", "_pos", "_off"))
