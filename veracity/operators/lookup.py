@@ -288,8 +288,8 @@ def similar_for_all(articles: DataFrame, k: int = 3, salt: int = 64) -> DataFram
              .join(bounded_broadcast(best, n_tags * (k + 1)), "tag")
              .filter(F.col("similar_id") != F.col("id"))
              .select("id", "similar_id", "similar_created_at",
-                     F.size(F.array_intersect("query_tags", "similar_tags")).alias("shared_topics"))
+                     F.size(F.array_intersect("query_tags", "similar_tags")).cast("long").alias("shared_topics"))
              .dropDuplicates(["id", "similar_id"]))
     w3 = Window.partitionBy("id").orderBy(F.desc("similar_created_at"), "similar_id")
-    return (pairs.withColumn("rank", F.row_number().over(w3)).filter(F.col("rank") <= k)
+    return (pairs.withColumn("rank", F.row_number().over(w3).cast("long")).filter(F.col("rank") <= k)
             .select("id", "rank", "similar_id", "shared_topics"))

@@ -592,7 +592,7 @@ def route_inputs(spark, d):
 @register("route_input")
 def q_route_input(spark, d):
     return PG.route_input(route_inputs(spark, d)).select("input_id", "kind", "error", "title", "source",
-                                                         F.length("input").alias("input_length"))
+                                                         F.length("input").cast("long").alias("input_length"))
 
 
 def _feed_articles(spark, d):

@@ -75,6 +75,12 @@ def articles(spark: SparkSession, sf_dir: str, *, level: bool = True,
     )
 
 
+def _hour_ntz(ts: Column) -> Column:
+    """Truncate a TIMESTAMP_NTZ to the hour without a time-zone round trip
+    (``date_trunc`` would pass through the session time zone)."""
+    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0))
+
+
 def _k(props: Column) -> Column:
     return F.regexp_extract(props, r"([0-9]+)", 1).try_cast("int")
 
@@ -108,7 +114,7 @@ def history_from_events(events: DataFrame) -> DataFrame:
     return e.select(
         F.col("event_id").alias("id"),
         F.when(k >= 97, F.col("event_id")).otherwise(F.col("user_id")).alias("article_id"),
-        F.date_trunc("HOUR", F.col("ts")).alias("created_at"),
+        _hour_ntz(F.col("ts")).alias("created_at"),
         cred.alias("credibility_score"),
         F.when(et != "signup", ((k * 7) % 100).cast("double") / 100).alias("sentiment_score"),
         F.when(et != "view", ((k * 13) % 100).cast("double") / 100).alias("bias_score"),

@@ -114,7 +114,7 @@ def quota_admissions(events: DataFrame, per: str = "1 minute", n: int = 10) -> D
     from pyspark.sql import Window
     e = events.withColumn("window_start", F.window("ts", per)["start"])
     w = Window.partitionBy("user_id", "window_start").orderBy("ts", "event_id")
-    return (e.withColumn("position", F.row_number().over(w))
+    return (e.withColumn("position", F.row_number().over(w).cast("long"))
             .select("event_id", "user_id", "window_start", "position",
                     (F.col("position") <= n).alias("admitted")))
 
