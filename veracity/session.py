@@ -51,3 +51,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="veracity-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``veracity`` importable in Python workers (what ``--py-files``
+    does at submit time): zip the package once per application and add it
+    with ``addPyFile``.  Needed by the operators that run Python in tasks
+    (page extraction, result reuse); a no-op when already shipped."""
+    import pathlib
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = pathlib.Path(__file__).resolve().parent
+    out = pathlib.Path(tempfile.mkdtemp(prefix="veracity-pyfiles-")) / "veracity.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in pkg.rglob("*.py"):
+            z.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(str(out))
+    _SHIPPED.add(app)

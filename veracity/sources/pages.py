@@ -138,6 +138,8 @@ def _extract_batches(batches):
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, host, title, error for every stored page."""
+    from veracity.session import ship_package
+    ship_package(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInPandas(_extract_batches, EXTRACT_SCHEMA)
 
 

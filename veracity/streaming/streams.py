@@ -176,6 +176,8 @@ def reusable_results(submissions: DataFrame, ttl_seconds: int = 3600) -> DataFra
     The expiry chain is sequential per key, so each key's submissions are
     walked in order by ``applyInPandas`` (Arrow batches per key).
     """
+    from veracity.session import ship_package
+    ship_package(submissions.sparkSession)
     return (submissions.select("event_id", "key", "ts")
             .groupBy("key").applyInPandas(_reuse_group(ttl_seconds * 1_000_000), REUSE_SCHEMA))
 
@@ -212,6 +214,8 @@ def reusable_results_stream(spark: SparkSession, sf_dir: str, ttl_seconds: int =
                             max_files_per_trigger: int | None = None) -> DataFrame:
     """T3 stream: per key, the anchor time lives in the state store; expired
     anchors are dropped by an event-time timeout."""
+    from veracity.session import ship_package
+    ship_package(spark)
     base = base or stream_base(spark, "reusable_results")
     ev = read_stream_table(spark, sf_dir, "events", max_files_per_trigger)
     subs = (submissions_from_events(ev).withColumn("ets", F.col("ts").cast("timestamp"))
