@@ -84,3 +84,43 @@ def test_streams_equal_batch_twins_over_many_batches(spark, tmp_path):
     qs = SS.quota_windows_stream(spark, d, base=str(tmp_path / "s2"), max_files_per_trigger=1)
     qb = SS.quota_windows(ev)
     assert sorted(qs.collect()) == sorted(qb.select(*qs.columns).collect())
+
+
+def test_save_job_writes_three_versions(spark, tmp_path):
+    from veracity.operators import stats as st
+    a = spark.createDataFrame([(1, "old", "s", "u1", "c", "c", "High", T0, T0, False)], ART)
+    h = spark.createDataFrame([(1, 1, T0)], "id long, article_id long, created_at timestamp_ntz")
+    b = spark.createDataFrame([(1, "n", "s2", "u1", "x", "Low", False), (2, "m", "s3", "", "y", "High", False)],
+                              BATCH)
+    arts, hist, counters = ST.save_articles(a, h, st.source_stats_from(a), b, "2024-02-01 00:00:00")
+    paths = ST.commit_save(str(tmp_path / "store"), 1, arts, hist, counters)
+    ST.commit_save(str(tmp_path / "store"), 1, arts, hist, counters)      # a retry is idempotent
+    assert spark.read.parquet(paths["articles"]).count() == 2
+    assert spark.read.parquet(paths["history"]).count() == 3
+    got = {r.source: (r.high, r.low, r.total_analyzed) for r in spark.read.parquet(paths["source_stats"]).collect()}
+    assert got["s"] == (1, 0, 1) and got["s2"] == (0, 1, 1) and got["s3"] == (1, 0, 1)
+
+
+def test_source_stats_and_reuse_streams_over_many_batches(spark, tmp_path):
+    src = "/root/testdata/sf0.001"
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    docs = spark.read.parquet(f"{src}/documents.parquet").toPandas()
+    for i in range(4):
+        docs.iloc[i::4].to_parquet(folder / f"documents_{i}.parquet", index=False)
+    spark.read.parquet(f"{src}/labels.parquet").toPandas().to_parquet(folder / "labels.parquet", index=False)
+    from veracity.operators import stats as st
+    from veracity.sources import views
+    got = SS.source_stats_stream(spark, str(folder), base=str(tmp_path / "t1"), max_files_per_trigger=1)
+    want = st.source_stats_from(views.articles(spark, src, url=False))
+    cols = ["source", "high", "medium", "low", "total_analyzed"]
+    assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
+    ev = spark.read.parquet(f"{src}/events.parquet")
+    n = ev.count()
+    for i in range(3):
+        ev.filter((F.col("event_id") >= i * n // 3) & (F.col("event_id") < (i + 1) * n // 3)).toPandas() \
+            .to_parquet(folder / f"events_{i}.parquet", index=False, coerce_timestamps="us")
+    rs = SS.reusable_results_stream(spark, str(folder), base=str(tmp_path / "t3"), max_files_per_trigger=1)
+    rb = SS.reusable_results(SS.submissions_from_events(ev))
+    assert sorted(rs.select("event_id", "hit", "cached_at").collect()) == \
+        sorted(rb.select("event_id", "hit", "cached_at").collect())

@@ -241,3 +241,31 @@ def write_version(df: DataFrame, base: str, version: int | str, partition_by: li
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return path
+
+
+# ------------------------------------------------------------ the save job
+
+def save_articles(articles: DataFrame, history: DataFrame, stats: DataFrame, batch: DataFrame,
+                  now: str | Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The reference's ``save_article`` for a whole batch, as three new
+    table versions: articles after the upsert, history with one new row per
+    batch row, source counters with one count per batch row."""
+    from veracity.operators import stats as st
+    new_articles = upsert_articles(articles, batch, now)
+    new_rows = append_history(history, articles, batch, now,
+                              analysis_cols=[c for c in history.columns
+                                             if c not in ("id", "article_id", "created_at") and c in batch.columns])
+    new_history = history.unionByName(new_rows, allowMissingColumns=True)
+    counted = batch.withColumn("updated_at", _now(now))
+    return new_articles, new_history, st.update_source_stats(stats, counted)
+
+
+def commit_save(base: str, version: int | str, articles: DataFrame, history: DataFrame,
+                stats: DataFrame) -> dict[str, str]:
+    """Write the three tables of one save as version ``version`` under
+    ``base`` (``articles/``, ``history/``, ``source_stats/``).  Each table is
+    written whole into its own version folder, so a retry of the same version
+    rewrites it and readers never see a half-written version (they read the
+    highest version that has all three ``_SUCCESS`` markers)."""
+    return {name: write_version(df, f"{base.rstrip('/')}/{name}", version)
+            for name, df in (("articles", articles), ("history", history), ("source_stats", stats))}
