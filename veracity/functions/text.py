@@ -60,12 +60,28 @@ def like_ci(c: Column | str, term: str) -> Column:
     return F.like(ascii_lower(c), F.lit(like_pattern(term)), F.lit(esc))
 
 
+def like_regex(terms: list[str]) -> str:
+    """One Java regex that finds any of the ``%term%`` LIKE patterns.
+
+    ``%`` -> ``.*``, ``_`` -> ``.``, everything else literal; ``(?i)`` without
+    the Unicode flag folds ASCII letters only (SQLite's LIKE), ``(?s)`` lets
+    the wildcards cross newlines.
+    """
+    import re as _re
+
+    def one(t: str) -> str:
+        return "".join(".*" if ch == "%" else "." if ch == "_" else _re.escape(ch) for ch in t)
+    return "(?is)(?:" + "|".join(one(t) for t in terms) + ")"
+
+
 def any_like_ci(cols: list[Column | str], terms: list[str]) -> Column:
-    """OR-fold of ``like_ci`` over every (column, term) pair."""
-    preds = [like_ci(c, t) for t in terms for c in cols]
-    if not preds:
+    """OR-fold of ``like_ci`` over every (column, term) pair: one regex scan
+    per column (NULL columns do not match)."""
+    if not terms:
         return F.lit(False)
-    return reduce(lambda a, b: a | b, [F.coalesce(p, F.lit(False)) for p in preds])
+    rx = like_regex(terms)
+    preds = [F.coalesce(col_of(c).rlike(rx), F.lit(False)) for c in cols]
+    return reduce(lambda a, b: a | b, preds)
 
 
 def contains_any(c: Column, needles: list[str]) -> Column:

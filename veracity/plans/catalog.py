@@ -595,8 +595,9 @@ def q_route_input(spark, d):
                                                          F.length("input").cast("long").alias("input_length"))
 
 
-def _feed_articles(spark, d):
-    return views.articles(spark, d, level=False, text_work=True)
+def _feed_articles(spark, d, tags: bool = False):
+    # feed searches are one regex per column; tagging pays for rebalancing the scan
+    return views.articles(spark, d, level=False, text_work=tags)
 
 
 @register("search_news")
@@ -621,12 +622,12 @@ def q_news_article_by_url(spark, d):
 
 @register("top_headlines")
 def q_top_headlines(spark, d):
-    return FD.top_headlines(_feed_articles(spark, d), country="fr", category="technology")[0]
+    return FD.top_headlines(_feed_articles(spark, d, tags=True), country="fr", category="technology")[0]
 
 
 @register("top_headlines_total")
 def q_top_headlines_total(spark, d):
-    return FD.top_headlines(_feed_articles(spark, d), country="fr", category="technology")[1]
+    return FD.top_headlines(_feed_articles(spark, d, tags=True), country="fr", category="technology")[1]
 
 
 @register("list_sources")
