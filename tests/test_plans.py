@@ -124,3 +124,17 @@ def test_source_stats_and_reuse_streams_over_many_batches(spark, tmp_path):
     rb = SS.reusable_results(SS.submissions_from_events(ev))
     assert sorted(rs.select("event_id", "hit", "cached_at").collect()) == \
         sorted(rb.select("event_id", "hit", "cached_at").collect())
+
+
+def test_reuse_parallel_equals_walk(spark):
+    from veracity.operators import reuse
+    ts = [T0 + dt.timedelta(seconds=s) for s in (0, 3599, 3600, 3601, 7300, 7300, 20000, 23599, 23600)]
+    df = spark.createDataFrame([(i, "k", t) for i, t in enumerate(ts)], "event_id long, key string, ts timestamp_ntz")
+    got = sorted(reuse.reuse_parallel(df, 3600).collect(), key=lambda r: r.event_id)
+    assert [r.hit for r in got] == [False, True, False, True, False, True, False, True, False]
+    assert got[3].cached_at == ts[2] and got[5].cached_at == ts[4]
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    subs = SS.submissions_from_events(ev)
+    a = sorted(reuse.reuse_sequential(subs, 3600).select("event_id", "hit", "cached_at").collect())
+    b = sorted(reuse.reusable_results(subs, 3600, hot_rows=0).select("event_id", "hit", "cached_at").collect())
+    assert a == b

@@ -168,18 +168,14 @@ def _reuse_group(ttl_us: int):
     return run
 
 
-def reusable_results(submissions: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
-    """T3 batch: is each submission answered from a result computed at most
-    ``ttl_seconds`` before (strictly less)?  A miss recomputes and restarts
-    the expiry clock; a hit does not renew it.
-
-    The expiry chain is sequential per key, so each key's submissions are
-    walked in order by ``applyInPandas`` (Arrow batches per key).
-    """
-    from veracity.session import ship_package
-    ship_package(submissions.sparkSession)
-    return (submissions.select("event_id", "key", "ts")
-            .groupBy("key").applyInPandas(_reuse_group(ttl_seconds * 1_000_000), REUSE_SCHEMA))
+def reusable_results(submissions: DataFrame, ttl_seconds: int = 3600, hot_rows: int | None = None) -> DataFrame:
+    """T3 batch: is each submission answered from a result computed less
+    than ``ttl_seconds`` before?  A miss recomputes and restarts the expiry
+    clock; a hit does not renew it.  See ``operators.reuse``: small keys are
+    walked per key, hot keys by an exact parallel plan."""
+    from veracity.operators import reuse
+    return reuse.reusable_results(submissions, ttl_seconds,
+                                  reuse.HOT_ROWS if hot_rows is None else hot_rows)
 
 
 def _reuse_stateful(ttl_us: int):
