@@ -100,6 +100,17 @@ def url_authority(url: Column | str) -> Column:
 
 def source_level(source: Column | str) -> Column:
     """Credibility level of a source name or URL."""
+    if isinstance(source, str):   # one SQL expression: a single JVM call to build
+        low, net = f"lower(`{source}`)", f"lower(try_parse_url(`{source}`, 'AUTHORITY'))"
+
+        def anyof(xs):
+            return "(" + " OR ".join(f"contains({low}, '{x}')" for x in xs) + ")"
+        return F.expr(
+            f"CASE WHEN {low} IS NULL OR {low} = '' THEN 'Medium' WHEN {anyof(HIGH_SOURCES)} THEN 'High' "
+            f"WHEN {anyof(MEDIUM_SOURCES)} THEN 'Medium' WHEN {anyof(LOW_SOURCES)} THEN 'Low' "
+            f"WHEN (startswith({low}, 'http://') OR startswith({low}, 'https://')) "
+            f"AND coalesce(endswith({net}, '.gov') OR endswith({net}, '.edu'), false) THEN 'High' "
+            f"ELSE 'Medium' END")
     s = F.lower(col_of(source))
     net = F.lower(url_authority(col_of(source)))
     is_url = s.startswith("http://") | s.startswith("https://")
@@ -152,6 +163,12 @@ def topic_tag_string(text: Column | str) -> Column:
     Plain ``contains`` checks under one ``concat_ws``: stays in whole-stage
     codegen (no lambda) and lowercases the text once.
     """
+    if isinstance(text, str):   # one SQL expression: a single JVM call to build
+        low = f"lower(`{text}`)"
+        parts = ", ".join(
+            "CASE WHEN " + " OR ".join(f"contains({low}, '{k}')" for k in kws) + f" THEN '{name}' END"
+            for name, kws in TOPIC_KEYWORDS.items())
+        return F.expr(f"concat_ws(',', {parts})")
     low = F.lower(col_of(text))
     return F.concat_ws(",", *[F.when(contains_any(low, kws), F.lit(name))
                               for name, kws in TOPIC_KEYWORDS.items()])

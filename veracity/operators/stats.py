@@ -123,8 +123,7 @@ def restate_source_stats(stats: DataFrame, before: DataFrame, after: DataFrame,
 def source_stats_from(articles: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Counters after saving every article of ``articles`` into ``stats``
     (seeded when empty or not given)."""
-    spark = articles.sparkSession
-    base = seed_source_stats(stats if stats is not None else empty_source_stats(spark))
+    base = seed_rows(articles.sparkSession) if stats is None else seed_source_stats(stats)
     return update_source_stats(base, articles)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracity.functions.text import score_band, short_summary
+from veracity.functions.text import short_summary
 from veracity.sources.tables import read_table
 
 # Fixed values of the fixture mapping (FIXTURES.md §2).
@@ -75,16 +75,6 @@ def articles(spark: SparkSession, sf_dir: str, *, level: bool = True,
     )
 
 
-def _hour_ntz(ts: Column) -> Column:
-    """Truncate a TIMESTAMP_NTZ to the hour without a time-zone round trip
-    (``date_trunc`` would pass through the session time zone)."""
-    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0))
-
-
-def _k(props: Column) -> Column:
-    return F.regexp_extract(props, r"([0-9]+)", 1).try_cast("int")
-
-
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis history in the canonical flat shape:
     id, article_id, created_at, credibility_score, sentiment_score,
@@ -96,35 +86,47 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history_from_events(read_table(spark, sf_dir, "events"))
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _case(index: str, values: list) -> str:
+    """SQL ``CASE index WHEN 0 THEN values[0] ...`` for a small fixed list."""
+    def lit(v):
+        return "array(" + ", ".join(_sql_str(x) for x in v) + ")" if isinstance(v, list) else _sql_str(v)
+    whens = " ".join(f"WHEN {i} THEN {lit(v)}" for i, v in enumerate(values))
+    return f"CASE {index} {whens} END"
+
+
 def history_from_events(events: DataFrame) -> DataFrame:
-    """The history projection of an events DataFrame (batch or stream)."""
-    ev = events.select("event_id", "ts", "user_id", "event_type", "props")
-    k = _k(F.col("props"))
-    et = F.col("event_type")
-    e = ev.select("event_id", "ts", "user_id", et.alias("et"), k.alias("k"))
-    k = F.col("k")
-    et = F.col("et")
-    cred = F.when(et != "error", k.cast("double") / 100)
-    keys = F.when(et != "click", _pick(k % 4, PERSPECTIVES_BY_K4))
-    band = score_band(cred)
-    persp = F.map_from_arrays(keys, F.transform(keys, lambda key: F.struct(
-        band.alias("credibility"),
-        F.concat(key, F.lit(":"), (k % 3).cast("string")).alias("summary"),
-        F.array().cast("array<string>").alias("key_points"))))
-    return e.select(
-        F.col("event_id").alias("id"),
-        F.when(k >= 97, F.col("event_id")).otherwise(F.col("user_id")).alias("article_id"),
-        _hour_ntz(F.col("ts")).alias("created_at"),
-        cred.alias("credibility_score"),
-        F.when(et != "signup", ((k * 7) % 100).cast("double") / 100).alias("sentiment_score"),
-        F.when(et != "view", ((k * 13) % 100).cast("double") / 100).alias("bias_score"),
-        F.when(et != "error", F.array(_pick(k % 5, TOPIC_BY_K5), _pick(k % 3, TOPIC_BY_K3))).alias("topics"),
-        F.when(et != "purchase", F.array(
-            F.concat(F.lit("arg"), (k % 6).cast("string")),
-            F.concat(F.lit("arg"), (k % 4).cast("string")))).alias("key_arguments"),
-        F.when(keys.isNotNull(), persp).alias("perspectives"),
-        F.lit(None).cast("string").alias("summary"),
-        k.alias("k"),
+    """The history projection of an events DataFrame (batch or stream).
+
+    Written as SQL expression text: the fixed lookup tables become CASE
+    expressions and the whole projection is two JVM calls to build.
+    """
+    e = events.selectExpr("event_id", "ts", "user_id", "event_type AS et",
+                          "try_cast(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k")
+    cred = "CAST(k AS DOUBLE) / 100"
+    band = (f"CASE WHEN {cred} >= 0.8D THEN 'High' WHEN {cred} >= 0.6D THEN 'Medium' "
+            f"WHEN {cred} IS NOT NULL THEN 'Low' END")
+    keys = f"CASE WHEN et <> 'click' THEN {_case('k % 4', PERSPECTIVES_BY_K4)} END"
+    persp = (f"map_from_arrays({keys}, transform({keys}, key -> named_struct("
+             f"'credibility', CASE WHEN et <> 'error' THEN {band} END, "
+             f"'summary', concat(key, ':', CAST(k % 3 AS STRING)), "
+             f"'key_points', CAST(array() AS ARRAY<STRING>))))")
+    return e.selectExpr(
+        "event_id AS id",
+        "CASE WHEN k >= 97 THEN event_id ELSE user_id END AS article_id",
+        "make_timestamp_ntz(year(ts), month(ts), dayofmonth(ts), hour(ts), 0, 0) AS created_at",
+        f"CASE WHEN et <> 'error' THEN {cred} END AS credibility_score",
+        "CASE WHEN et <> 'signup' THEN CAST((k * 7) % 100 AS DOUBLE) / 100 END AS sentiment_score",
+        "CASE WHEN et <> 'view' THEN CAST((k * 13) % 100 AS DOUBLE) / 100 END AS bias_score",
+        f"CASE WHEN et <> 'error' THEN array({_case('k % 5', TOPIC_BY_K5)}, {_case('k % 3', TOPIC_BY_K3)}) END AS topics",
+        "CASE WHEN et <> 'purchase' THEN array(concat('arg', CAST(k % 6 AS STRING)), "
+        "concat('arg', CAST(k % 4 AS STRING))) END AS key_arguments",
+        f"CASE WHEN {keys} IS NOT NULL THEN {persp} END AS perspectives",
+        "CAST(NULL AS STRING) AS summary",
+        "k",
     )
 
 
