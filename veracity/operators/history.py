@@ -353,6 +353,19 @@ def evolution_steps(history: DataFrame, grain: str = "hour") -> DataFrame:
     return out
 
 
+def change_steps(articles: DataFrame, history: DataFrame, kind: str = "topic", limit: int | None = None,
+                 grain: str = "hour") -> DataFrame:
+    """H14/H15 step list, one row per change: the analysis (id, date) whose
+    topic (or perspective) set differs from the previous analysis, with the
+    values added and removed (sorted).  Articles with >1 analysis only."""
+    cands = multi_analysis_articles(articles, history, limit)
+    steps = (evolution_steps(_scope(history, cands, limit), grain).filter(F.col(f"{kind}_changed"))
+             .select("article_id", F.col("id").alias("analysis_id"), F.col("created_at").alias("date"),
+                     F.col(f"{kind}s_added").alias("added"), F.col(f"{kind}s_removed").alias("removed")))
+    ids = cands.select(F.col("id").alias("article_id"))
+    return ids.join(steps, "article_id", "inner").withColumnRenamed("article_id", "id")
+
+
 def _evolution_aggs(history: DataFrame, grain: str) -> DataFrame:
     steps = evolution_steps(history, grain)
     return steps.groupBy("article_id").agg(

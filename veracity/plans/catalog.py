@@ -135,6 +135,20 @@ def q_perspective_evolution(spark, d):
     return r.withColumn("all_perspectives", F.array_join("all_perspectives", ","))
 
 
+@register("topic_change_steps")
+def q_topic_change_steps(spark, d):
+    r = H.change_steps(*_ah(spark, d), kind="topic")
+    return r.select("id", "analysis_id", "date", F.array_join("added", ",").alias("added"),
+                    F.array_join("removed", ",").alias("removed"))
+
+
+@register("perspective_change_steps")
+def q_perspective_change_steps(spark, d):
+    r = H.change_steps(*_ah(spark, d), kind="perspective")
+    return r.select("id", "analysis_id", "date", F.array_join("added", ",").alias("added"),
+                    F.array_join("removed", ",").alias("removed"))
+
+
 @register("analysis_evolution")
 def q_analysis_evolution(spark, d):
     r = H.analysis_evolution(*_ah(spark, d)).drop("first_analysis_date", "last_analysis_date")

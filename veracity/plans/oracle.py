@@ -348,6 +348,28 @@ sql("analysis_complexity", _multiple_sql(""), "articles", "analysis_history")
 sql("analysis_trends", _multiple_sql("WHERE CAST(a.created_at AS DATE) >= DATE '2024-01-10' - INTERVAL 7 DAY"),
     "articles", "analysis_history")
 
+for _kind, _col in (("topic", "t"), ("perspective", "p")):
+    sql(f"{_kind}_change_steps", _TRENDS + f""",
+ids AS (SELECT id AS aid, created_at, article_id FROM analysis_history),
+st AS (
+  SELECT s.article_id, s.rn, {_col}set AS cur, pt AS prev
+  FROM (SELECT *, ptset AS pt FROM steps) s WHERE '{_col}' = 't'
+  UNION ALL
+  SELECT s.article_id, s.rn, pset, ppset FROM steps s WHERE '{_col}' = 'p'
+),
+numbered AS (
+  SELECT h.id AS analysis_id, h.article_id, h.created_at,
+    row_number() OVER (PARTITION BY h.article_id ORDER BY h.created_at, h.id) AS rn
+  FROM analysis_history h
+)
+SELECT c.id, n.analysis_id, n.created_at AS date,
+  array_to_string({_minus('st.cur', 'st.prev')}, ',') AS added,
+  array_to_string({_minus('st.prev', 'st.cur')}, ',') AS removed
+FROM cands c JOIN st ON st.article_id = c.id
+JOIN numbered n ON n.article_id = st.article_id AND n.rn = st.rn
+WHERE st.rn > 1 AND st.cur <> st.prev""", "articles", "analysis_history")
+
+
 
 # ------------------------------------------------------------------ lookups
 def _like(col: str, term: str) -> str:
