@@ -562,6 +562,21 @@ def credibility_trend(articles: DataFrame, history: DataFrame, days: int = 30, a
         "credibility_level", "current_credibility")
 
 
+def credibility_history(articles: DataFrame, history: DataFrame, days: int = 30, as_of: str = "2024-01-26",
+                        limit: int | None = None) -> DataFrame:
+    """H2 list: for each article of ``credibility_trend`` one row per
+    analysis with its date and the article's current level (the reference
+    repeats that level on every entry), oldest first (``position``)."""
+    cands = credibility_trend(articles, history, days, as_of, limit)
+    ids = cands.select(F.col("id").alias("article_id"), F.col("current_credibility").alias("credibility"))
+    h = history.join(ids.select("article_id"), "article_id", "left_semi") if limit is None \
+        else _scope(history, cands, limit)
+    seq = with_previous(h.select("article_id", "id", "created_at"), ["article_id"], "created_at", "id", [])
+    return (ids.join(seq, "article_id", "inner")
+            .select(F.col("article_id").alias("id"), F.col("id").alias("analysis_id"),
+                    F.col("created_at").alias("date"), "credibility", F.col("seq").alias("position")))
+
+
 def multiple_analyses(articles: DataFrame, history: DataFrame, limit: int | None = None,
                       days: int | None = None, as_of: str = "2024-01-26") -> DataFrame:
     """H3/H4: multi-analysis articles (optionally recent) with their full

@@ -194,6 +194,12 @@ def q_credibility_trend(spark, d):
     return H.credibility_trend(a, h, days=7, as_of=AS_OF)
 
 
+@register("credibility_history")
+def q_credibility_history(spark, d):
+    a, h = _ah(spark, d, level=True)
+    return H.credibility_history(a, h, days=7, as_of=AS_OF)
+
+
 @register("multiple_analyses")
 def q_multiple_analyses(spark, d):
     return H.multiple_analyses(*_ah(spark, d))

@@ -335,6 +335,15 @@ GROUP BY a.id, a.title, a.source, a.credibility_level, a.created_at HAVING count
     "articles", "analysis_history")
 
 
+sql("credibility_history", """
+SELECT a.id, h.id AS analysis_id, h.created_at AS date, a.credibility_level AS credibility,
+  row_number() OVER (PARTITION BY h.article_id ORDER BY h.created_at, h.id) AS position
+FROM articles a JOIN analysis_history h ON h.article_id = a.id
+WHERE CAST(a.created_at AS DATE) >= DATE '2024-01-10' - INTERVAL 7 DAY
+  AND a.id IN (SELECT article_id FROM analysis_history GROUP BY article_id HAVING count(*) > 1)""",
+    "articles", "analysis_history")
+
+
 def _multiple_sql(where: str) -> str:
     return _CANDS + f"""
 SELECT c.id, c.title, c.source, c.analysis_count, o.id AS analysis_id, o.created_at AS analysis_created_at,
