@@ -11,7 +11,7 @@ Order of analyses is (created_at, id) everywhere.
 Skew: per-article results come from partial aggregations (``count``,
 ``min``/``max``, ``min_by``/``max_by``) that combine map-side, and the
 consecutive-pair metrics use ``plans.ordered.with_previous``, which splits a
-long history into time chunks.  No article's history is ever gathered into
+long history over balanced range partitions.  No article's history is ever gathered into
 one task or one array.
 """
 
@@ -220,7 +220,7 @@ def _timeliness() -> Column:
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))
 
 
-def score_changes(history: DataFrame, grain: str = "hour") -> DataFrame:
+def score_changes(history: DataFrame) -> DataFrame:
     """Consecutive changes of each score over its present values.
 
     Rows: article_id, field, created_at, id, value, prev_value, change.
@@ -228,14 +228,14 @@ def score_changes(history: DataFrame, grain: str = "hour") -> DataFrame:
     long = (history.select("article_id", "created_at", "id", *SCORE_FIELDS)
             .unpivot(["article_id", "created_at", "id"], list(SCORE_FIELDS), "field", "value")
             .filter(F.col("value").isNotNull()))
-    seq = with_previous(long, ["article_id", "field"], "created_at", "id", ["value"], grain)
+    seq = with_previous(long, ["article_id", "field"], "created_at", "id", ["value"])
     return (seq.filter("has_prev")
             .select("article_id", "field", "created_at", "id", "value",
                     F.col("prev_value"), F.abs(F.col("value") - F.col("prev_value")).alias("change")))
 
 
-def _consistency(history: DataFrame, grain: str) -> DataFrame:
-    ch = score_changes(history, grain)
+def _consistency(history: DataFrame) -> DataFrame:
+    ch = score_changes(history)
     per = ch.groupBy("article_id").agg(*[
         F.max(F.when(F.col("field") == f, F.col("change"))).alias(f"_mx_{f}") for f in SCORE_FIELDS])
     total, n = None, None
@@ -248,8 +248,7 @@ def _consistency(history: DataFrame, grain: str) -> DataFrame:
     return per.select("article_id", cons.alias("consistency"))
 
 
-def analysis_quality(articles: DataFrame, history: DataFrame, limit: int | None = None,
-                     grain: str = "hour") -> DataFrame:
+def analysis_quality(articles: DataFrame, history: DataFrame, limit: int | None = None) -> DataFrame:
     """Consistency, depth, completeness, timeliness and their mean.
 
     Without a limit the analysis count, first/last time and the oldest
@@ -269,7 +268,7 @@ def analysis_quality(articles: DataFrame, history: DataFrame, limit: int | None
     base = base.select("id", "title", "source", "analysis_count", "first_analysis_date",
                        "last_analysis_date", _depth().alias("depth"),
                        _completeness().alias("completeness"), _timeliness().alias("timeliness"))
-    cons = _consistency(h, grain)
+    cons = _consistency(h)
     res = (base.join(cons, base["id"] == cons["article_id"], "left").drop("article_id")
            .withColumn("consistency", F.coalesce("consistency", F.lit(1.0))))
     overall = (((F.col("consistency") + F.col("depth")) + F.col("completeness")) + F.col("timeliness")) / 4
@@ -283,10 +282,9 @@ def _band_sentence(x: Column, texts: tuple[str, str, str]) -> Column:
     return F.when(x > 0.8, texts[0]).when(x > 0.5, texts[1]).otherwise(texts[2])
 
 
-def quality_summary(articles: DataFrame, history: DataFrame, limit: int | None = None,
-                    grain: str = "hour") -> DataFrame:
+def quality_summary(articles: DataFrame, history: DataFrame, limit: int | None = None) -> DataFrame:
     """The five quality sentences per article."""
-    q = analysis_quality(articles, history, limit, grain)
+    q = analysis_quality(articles, history, limit)
     parts = [_band_sentence(F.col(k), t) for k, t in QUALITY_SENTENCES.items()]
     text = F.concat(F.lit(QUALITY_PREFIX), F.concat_ws(". ", *parts), F.lit("."))
     return q.select("id", "title", "source", "analysis_count", "overall_rating",
@@ -332,7 +330,7 @@ def score_trend(articles: DataFrame, history: DataFrame, limit: int | None = Non
     return ids.join(long, ids["id"] == long["article_id"], "inner").drop("article_id")
 
 
-def evolution_steps(history: DataFrame, grain: str = "hour") -> DataFrame:
+def evolution_steps(history: DataFrame) -> DataFrame:
     """H14/H15 step rows: topic and perspective sets of each analysis next to
     the previous analysis' sets (absent = empty set), with added/removed."""
     empty = F.array().cast("array<string>")
@@ -341,7 +339,7 @@ def evolution_steps(history: DataFrame, grain: str = "hour") -> DataFrame:
         F.array_sort(F.array_distinct(F.coalesce("topics", empty))).alias("topic_set"),
         F.array_sort(F.coalesce(F.map_keys("perspectives"), empty)).alias("perspective_set"))
     seq = with_previous(sets, ["article_id"], "created_at", "id",
-                        ["topic_set", "perspective_set"], grain)
+                        ["topic_set", "perspective_set"])
     out = seq
     for kind in ("topic", "perspective"):
         cur, prev = F.col(f"{kind}_set"), F.col(f"prev_{kind}_set")
@@ -353,21 +351,20 @@ def evolution_steps(history: DataFrame, grain: str = "hour") -> DataFrame:
     return out
 
 
-def change_steps(articles: DataFrame, history: DataFrame, kind: str = "topic", limit: int | None = None,
-                 grain: str = "hour") -> DataFrame:
+def change_steps(articles: DataFrame, history: DataFrame, kind: str = "topic", limit: int | None = None) -> DataFrame:
     """H14/H15 step list, one row per change: the analysis (id, date) whose
     topic (or perspective) set differs from the previous analysis, with the
     values added and removed (sorted).  Articles with >1 analysis only."""
     cands = multi_analysis_articles(articles, history, limit)
-    steps = (evolution_steps(_scope(history, cands, limit), grain).filter(F.col(f"{kind}_changed"))
+    steps = (evolution_steps(_scope(history, cands, limit)).filter(F.col(f"{kind}_changed"))
              .select("article_id", F.col("id").alias("analysis_id"), F.col("created_at").alias("date"),
                      F.col(f"{kind}s_added").alias("added"), F.col(f"{kind}s_removed").alias("removed")))
     ids = cands.select(F.col("id").alias("article_id"))
     return ids.join(steps, "article_id", "inner").withColumnRenamed("article_id", "id")
 
 
-def _evolution_aggs(history: DataFrame, grain: str) -> DataFrame:
-    steps = evolution_steps(history, grain)
+def _evolution_aggs(history: DataFrame) -> DataFrame:
+    steps = evolution_steps(history)
     return steps.groupBy("article_id").agg(
         F.count_if("topic_changed").alias("topic_changes"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("topic_set")))).alias("all_topics"),
@@ -376,20 +373,18 @@ def _evolution_aggs(history: DataFrame, grain: str) -> DataFrame:
     )
 
 
-def topic_evolution(articles: DataFrame, history: DataFrame, limit: int | None = None,
-                    grain: str = "hour", kind: str = "topic") -> DataFrame:
+def topic_evolution(articles: DataFrame, history: DataFrame, limit: int | None = None, kind: str = "topic") -> DataFrame:
     """H14 (kind='topic') / H15 (kind='perspective'): number of steps whose
     set differs from the previous analysis, and every value seen."""
     cands = multi_analysis_articles(articles, history, limit)
-    ev = _evolution_aggs(_scope(history, cands, limit), grain)
+    ev = _evolution_aggs(_scope(history, cands, limit))
     return (cands.join(ev, cands["id"] == ev["article_id"], "inner")
             .select("id", "title", "source", "analysis_count",
                     F.col(f"{kind}_changes").alias("changes"),
                     F.col(f"all_{kind}s").alias(f"all_{kind}s")))
 
 
-def analysis_evolution(articles: DataFrame, history: DataFrame, limit: int | None = None,
-                       grain: str = "hour") -> DataFrame:
+def analysis_evolution(articles: DataFrame, history: DataFrame, limit: int | None = None) -> DataFrame:
     """The three score trends plus topic and perspective evolution."""
     cands = multi_analysis_articles(articles, history, limit)
     h = _scope(history, cands, limit)
@@ -398,7 +393,7 @@ def analysis_evolution(articles: DataFrame, history: DataFrame, limit: int | Non
     for f in SCORE_FIELDS:
         cols.update(_trend_cols(f))
     t = t.select("article_id", *[c.alias(k) for k, c in cols.items()])
-    ev = _evolution_aggs(h, grain)
+    ev = _evolution_aggs(h)
     res = (cands.join(t, cands["id"] == t["article_id"], "inner").drop("article_id")
            .join(ev, cands["id"] == ev["article_id"], "inner").drop("article_id"))
     return res
@@ -419,11 +414,10 @@ def _fmt_sentence(template: str, first: Column, last: Column) -> Column:
     return F.concat(*parts)
 
 
-def evolution_summary(articles: DataFrame, history: DataFrame, limit: int | None = None,
-                      grain: str = "hour") -> DataFrame:
+def evolution_summary(articles: DataFrame, history: DataFrame, limit: int | None = None) -> DataFrame:
     """One sentence per score trend (skipped when the score has fewer
     than two values) and one each for topics and perspectives."""
-    ev = analysis_evolution(articles, history, limit, grain)
+    ev = analysis_evolution(articles, history, limit)
     parts = []
     for f in SCORE_FIELDS:
         name = SCORE_NAMES[f]

@@ -2,22 +2,24 @@
 
 A plain ``Window.partitionBy(group).orderBy(ts)`` puts every row of a group in
 one task; with one article holding a third of all analyses that task is the
-job.  ``with_previous`` splits each group into time chunks (``grain``),
-runs the row-level window per (group, chunk), and repairs the first row of
-every chunk from a per-chunk summary:
-
-1. rows:    ``lag`` / ``row_number`` over (group, chunk) ordered by (ts, id)
-2. chunks:  one partial aggregation per (group, chunk): row count and the
-            last row's values (``max_by`` on (ts, id)); map-side combined
-3. offsets: a window over the chunk summaries of a group (one row per chunk,
-            so its size is the number of distinct chunks, not of rows) gives
-            the previous chunk's last row and the running row offset
-4. join the offsets back on (group, chunk) — a key that splits hot groups.
+job.  ``with_previous`` instead range-partitions the rows on
+(group, ts, tiebreak): the partitioner samples that key, so a hot group is cut
+into several balanced partitions, each a contiguous piece of the group's
+order.  Then:
+
+1. rows:    ``lag`` / ``row_number`` over (group, partition) ordered by the
+            row's position in its sorted partition
+2. pieces:  one aggregation per (group, partition): row count and the last
+            row's values
+3. offsets: a window over a group's pieces (at most one row per partition,
+            so bounded by the partition count, not by the group's rows) gives
+            the previous piece's last row and the running row offset
+4. join the offsets back on (group, partition).
 
 Result: every row gets ``seq`` (1-based position in its group),
-``group_size`` and
-``prev_<c>`` for each requested column; ``has_prev`` marks rows with a
-predecessor (a predecessor's value may itself be NULL).
+``group_size`` and ``prev_<c>`` for each requested column; ``has_prev`` marks
+rows with a predecessor (a predecessor's value may itself be NULL).  The
+order (ts, tiebreak) must be unique within a group.
 """
 
 from __future__ import annotations
@@ -25,23 +27,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veracity.session import ensure_checkpoint_dir
+
+_POS_MASK = (1 << 33) - 1
+
 
 def with_previous(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
-                  cols: list[str], grain: str = "hour") -> DataFrame:
-    chunk = F.date_trunc(grain, F.col(ts))
+                  cols: list[str], partitions: int | None = None) -> DataFrame:
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    order = [*keys, ts, tiebreak]
+    # the rows and the piece summary must see one and the same numbering:
+    # materialise it (checkpoint in the session's checkpoint folder) instead
+    # of trusting two evaluations of a sampled range partitioning to agree
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(n, *[F.col(c) for c in order])
+              .sortWithinPartitions(*order)
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .select("*", F.shiftright("_mid", 33).alias("_chunk"),
+                      F.col("_mid").bitwiseAND(_POS_MASK).alias("_pos"))
+              .drop("_mid")
+              .checkpoint())
     part = [*keys, "_chunk"]
-    base = df.withColumn("_chunk", chunk)
-    w_row = Window.partitionBy(*part).orderBy(F.col(ts), F.col(tiebreak))
-    rows = base.select(
+    w_row = Window.partitionBy(*part).orderBy("_pos")
+    rows = ranged.select(
         "*",
         F.row_number().over(w_row).alias("_rn"),
         *[F.lag(c).over(w_row).alias(f"_lag_{c}") for c in cols],
     )
-    order = F.struct(F.col(ts), F.col(tiebreak))
     aggs = [F.count(F.lit(1)).alias("_n")]
     if cols:
-        aggs.append(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_last"))
-    summary = base.groupBy(*part).agg(*aggs)
+        aggs.append(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("_pos")).alias("_last"))
+    summary = ranged.groupBy(*part).agg(*aggs)
     w_chunk = Window.partitionBy(*keys).orderBy("_chunk")
     offsets = summary.select(
         *part,
@@ -53,7 +69,7 @@ def with_previous(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
     joined = rows.join(offsets, part)
     first = F.col("_rn") == 1
     prev = {f"prev_{c}": F.when(first, F.col("_plast")[c]).otherwise(F.col(f"_lag_{c}")) for c in cols}
-    drop = ["_chunk", "_rn", "_off", *[f"_lag_{c}" for c in cols]] + (["_plast"] if cols else [])
+    drop = ["_chunk", "_pos", "_rn", "_off", *[f"_lag_{c}" for c in cols]] + (["_plast"] if cols else [])
     return (joined
             .withColumns(prev)
             .withColumn("seq", F.col("_off") + F.col("_rn"))
@@ -97,14 +113,13 @@ def dense_index(df: DataFrame, order: list[str], name: str = "idx", start: Colum
     in the low 33 bits), and per-partition counts — one row per partition,
     so a bounded, broadcastable table — give the running offsets.
     """
-    from pyspark.storagelevel import StorageLevel
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    # persisted so the counts and the rows read one and the same partitioning
-    # (a lost cached block is recomputed deterministically: unique order keys)
+    # materialised so the counts and the rows read one and the same numbering
+    ensure_checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(n, *[F.col(c) for c in order])
               .sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id())
-              .persist(StorageLevel.MEMORY_AND_DISK))
+              .checkpoint())
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
         .withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
