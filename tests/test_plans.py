@@ -140,3 +140,13 @@ def test_reuse_parallel_equals_walk(spark):
     a = sorted(reuse.reuse_sequential(subs, 3600).select("event_id", "hit", "cached_at").collect())
     b = sorted(reuse.reusable_results(subs, 3600, hot_rows=0).select("event_id", "hit", "cached_at").collect())
     assert a == b
+
+
+def test_patch_with_analysis_adds_history_rows(spark):
+    a = spark.createDataFrame([(1, "t", "s", "u", "c", "c", "High", T0, T0, False)], ART)
+    h = spark.createDataFrame([(5, 1, T0, 0.5)], "id long, article_id long, created_at timestamp_ntz, credibility_score double")
+    patch = spark.createDataFrame([(1, 1, 0.9), (2, 1, None), (3, 7, 0.4)],
+                                  "seq long, id long, credibility_score double")
+    rows = ST.history_from_update(h, a, patch, "2024-02-01 00:00:00", ["credibility_score"]).collect()
+    # only the patch that carries an analysis and targets an existing article
+    assert [(r.id, r.article_id, r.credibility_score) for r in rows] == [(6, 1, 0.9)]

@@ -195,13 +195,6 @@ def with_tags(df, text_col: str, out: str = "tags"):
     return df.withColumn(tmp, topic_tag_string(text_col)).withColumn(out, tags_from_string(tmp)).drop(tmp)
 
 
-def topic_relevances(topics: Column | str) -> Column:
-    """Relevance per tag produced by ``tag_topics`` (keyword hits 0.8)."""
-    rel = {n: r for n, r in FALLBACK_TOPICS}
-    return F.transform(col_of(topics), lambda t: F.coalesce(
-        F.when(t == "Politics", F.lit(rel["Politics"])), F.lit(0.8)))
-
-
 def topic_query(topics: Column | str, query: Column | str | None = None,
                 default: str = DEFAULT_TOPIC_QUERY) -> Column:
     """Stored query, else the first three topic names joined by ' OR ',

@@ -11,9 +11,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from veracity.functions import scoring as SF
+from veracity.functions import text as TX
+from veracity.functions.text import join_set
+from veracity.operators import feed as FD
+from veracity.operators import history as H
+from veracity.operators import lookup as L
+from veracity.operators import scoring as SC
 from veracity.operators import stats
+from veracity.operators import store as ST
+from veracity.sources import pages as PG
 from veracity.sources import views
+from veracity.sources.tables import read_table
+from veracity.streaming import streams as SS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,10 +69,7 @@ def q_corpus_totals(spark, d):
 
 
 # ------------------------------------------------------------------ history
-from pyspark.sql import functions as F  # noqa: E402
 
-from veracity.functions.text import join_set  # noqa: E402
-from veracity.operators import history as H  # noqa: E402
 
 AS_OF = "2024-01-10"
 
@@ -217,8 +226,6 @@ def q_analysis_trends(spark, d):
 
 
 # ------------------------------------------------------------------ lookups
-from veracity.operators import lookup as L  # noqa: E402
-from veracity.sources.tables import read_table  # noqa: E402
 
 SEARCH_TERM = "The_"
 SIMILAR_TOPICS = ["Ether", "ü"]
@@ -361,9 +368,6 @@ def q_similar_for_all(spark, d):
 
 
 # ------------------------------------------------------------------ scoring / text
-from veracity.functions import scoring as SF  # noqa: E402
-from veracity.functions import text as TX  # noqa: E402
-from veracity.operators import scoring as SC  # noqa: E402
 
 
 @register("source_level")
@@ -449,7 +453,6 @@ def q_analyze_articles(spark, d):
 
 
 # ------------------------------------------------------------------ store
-from veracity.operators import store as ST  # noqa: E402
 
 NOW = "2024-02-01 00:00:00"
 TALK_HOST = "talk.example.org"
@@ -581,8 +584,6 @@ def q_decode_analysis(spark, d):
 
 
 # ------------------------------------------------------------------ pages / feed
-from veracity.operators import feed as FD  # noqa: E402
-from veracity.sources import pages as PG  # noqa: E402
 
 NEWS_QUERY = "Ether OR the_"
 EVERYTHING_QUERY = "ether OR ai_"
@@ -656,7 +657,6 @@ def q_list_sources(spark, d):
 
 
 # ------------------------------------------------------------------ streams
-from veracity.streaming import streams as SS  # noqa: E402
 
 QUOTA_PER, QUOTA_N = "1 minute", 10
 REUSE_TTL = 3600
