@@ -30,3 +30,19 @@ def test_broadcasts_are_bounded():
     raw = [(str(p), i) for p, s in _sources().items() for i, line in enumerate(s.splitlines())
            if "F.broadcast(" in line and "bounded_broadcast" not in line and "if max_rows" not in line]
     assert not raw, raw
+
+
+def test_no_cross_or_nested_loop_joins_in_any_plan(spark):
+    import contextlib
+    import io
+
+    import __spark_entry__ as entry
+    bad = []
+    for name, q in entry.queries().items():
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            q(spark, "/root/testdata/sf0.001").explain()
+        plan = buf.getvalue()
+        if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
+            bad.append(name)
+    assert not bad, bad
