@@ -1,12 +1,15 @@
-"""The queries of this subpackage: op<N>_<name>(spark, sf_dir) -> DataFrame."""
+"""The queries of this subpackage, op<N>_<name>(spark, sf_dir) -> DataFrame, each
+over its whole tables, and their DuckDB SQL where SQL can say the same."""
 
 from __future__ import annotations
 
-from veracity.llm import near_dup
+from pyspark.sql import functions as F
+
+from veracity.llm import decontaminate, mixing, near_dup, oracle, sharding
 from veracity.sources.tables import read_table
 
 QUERIES = {}
-ORACLE = {}
+ORACLE = oracle.ORACLE
 
 
 def query(fn):
@@ -17,3 +20,22 @@ def query(fn):
 @query
 def op3_superminhash(spark, d):
     return near_dup.near_duplicates(read_table(spark, d, "documents"), words=3, percent=85)
+
+
+@query
+def op5_decontamination(spark, d):
+    found = decontaminate.contamination(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op8_virtual_slots(spark, d):
+    rows, _ = sharding.shard_documents(read_table(spark, d, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"), "v_slot", "map_version")
+
+
+@query
+def op9_raking(spark, d):
+    return mixing.mix(read_table(spark, d, "documents"))
