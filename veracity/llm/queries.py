@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veracity.llm import decontaminate, mixing, near_dup, oracle, sharding
+from veracity.llm import decontaminate, mixing, near_dup, oracle, quality_rules, sharding
 from veracity.sources.tables import read_table
 
 QUERIES = {}
@@ -39,3 +39,10 @@ def op8_virtual_slots(spark, d):
 @query
 def op9_raking(spark, d):
     return mixing.mix(read_table(spark, d, "documents"))
+
+
+@query
+def op7_risk_controlled_rules(spark, d):
+    return quality_rules.quality_rules(read_table(spark, d, "documents"), read_table(spark, d, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("failed", ",").alias("failed_rules"))
