@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veracity.llm import decontaminate, mixing, near_dup, oracle, quality_rules, sharding
+from veracity.llm import decontaminate, language_id, mixing, near_dup, oracle, quality_rules, sharding
+from veracity.llm._shared import id_bucket
 from veracity.sources.tables import read_table
 
 QUERIES = {}
@@ -17,6 +18,14 @@ def query(fn):
     return fn
 
 
+@query
+def op2_string_kernel(spark, d):
+    docs = read_table(spark, d, "documents")
+    held_out = id_bucket("doc_id", 4) == 2
+    model = language_id.learn(docs.where(~held_out), "text", "lang")
+    return language_id.classify(docs, model, "doc_id", "text", held_out.alias("held_out"))
+
+
 @query
 def op3_superminhash(spark, d):
     return near_dup.near_duplicates(read_table(spark, d, "documents"), words=3, percent=85)
