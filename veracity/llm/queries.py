@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veracity.llm import decontaminate, language_id, mixing, near_dup, oracle, quality_rules, sharding
+from veracity.llm import decontaminate, language_id, mixing, near_dup, oracle, quality_rules, sharding, toxicity
 from veracity.llm._shared import id_bucket
 from veracity.sources.tables import read_table
 
@@ -55,3 +55,12 @@ def op7_risk_controlled_rules(spark, d):
     return quality_rules.quality_rules(read_table(spark, d, "documents"), read_table(spark, d, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.array_join("failed", ",").alias("failed_rules"))
+
+
+@query
+def op6_nb_ngrams(spark, d):
+    docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
+    held_out = id_bucket("doc_id", 5) == 0
+    model = toxicity.learn(toxicity.labelled_texts(docs.where(~held_out), labels, "doc_id", "text", "doc_id", "toxic"))
+    return (toxicity.score(docs, model, "doc_id", "text", held_out.alias("held_out"))
+            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
