@@ -5,14 +5,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veracity.llm import decontaminate, language_id, mixing, near_dup, oracle, quality_rules, sharding, toxicity
-from veracity.llm._shared import id_bucket
+from veracity.llm import decontaminate, language_id, mixing, near_dup, oracle, quality_cnn, quality_rules, sharding, toxicity
+from veracity.llm._shared import id_bucket, labelled_texts
 from veracity.sources.tables import read_table
 
 QUERIES = {}
 ORACLE = oracle.ORACLE
 
 
+QUALITY_AT, TOXIC_AT = 0.3, 0.5
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -31,6 +34,15 @@ def op3_superminhash(spark, d):
     return near_dup.near_duplicates(read_table(spark, d, "documents"), words=3, percent=85)
 
 
+@query
+def op4_byte_cnn(spark, d):
+    docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
+    held_out = id_bucket("doc_id", 5) == 0
+    net = quality_cnn.learn(labelled_texts(docs.where(~held_out), labels, "doc_id", "text", "doc_id", "quality"))
+    return (quality_cnn.score(docs, net, "doc_id", "text", held_out.alias("held_out"))
+            .withColumn("predicted", (F.col("score") >= QUALITY_AT).cast("int")))
+
+
 @query
 def op5_decontamination(spark, d):
     found = decontaminate.contamination(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
@@ -61,6 +73,6 @@ def op7_risk_controlled_rules(spark, d):
 def op6_nb_ngrams(spark, d):
     docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
     held_out = id_bucket("doc_id", 5) == 0
-    model = toxicity.learn(toxicity.labelled_texts(docs.where(~held_out), labels, "doc_id", "text", "doc_id", "toxic"))
+    model = toxicity.learn(labelled_texts(docs.where(~held_out), labels, "doc_id", "text", "doc_id", "toxic"))
     return (toxicity.score(docs, model, "doc_id", "text", held_out.alias("held_out"))
-            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+            .withColumn("predicted", (F.col("score") >= TOXIC_AT).cast("int")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veracity.llm._shared import binary_values, session_of
+from veracity.llm._shared import binary_values, labelled_texts, session_of
 
 HASH_BITS = 18
 SPACE = 1 << HASH_BITS
@@ -212,16 +212,6 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str, *extra: Col
     return src.mapInArrow(run, f"{ddl}, score double")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id_col: str,
-                   label_col: str) -> DataFrame:
-    """(text, y) of the documents with a label; a document with contradicting labels
-    counts as 1, a null label or id is no label."""
-    y = (labels.select(F.col(label_id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
-         .where("__id is not null and y is not null").groupBy("__id").agg(F.max("y").alias("y")))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(y, "__id").select("text", "y")
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label_id_col: str = "doc_id", label_col: str = "toxic", *, training: Column | None = None,
              threshold: float = 0.5) -> DataFrame:
