@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veracity.llm import decontaminate, language_id, mixing, near_dup, oracle, quality_cnn, quality_rules, sharding, toxicity
+from veracity.llm import decontaminate, language_id, lm_score, mixing, near_dup, oracle, quality_cnn, quality_rules, sharding, toxicity
 from veracity.llm._shared import id_bucket, labelled_texts
 from veracity.sources.tables import read_table
 
@@ -76,3 +76,11 @@ def op6_nb_ngrams(spark, d):
     model = toxicity.learn(labelled_texts(docs.where(~held_out), labels, "doc_id", "text", "doc_id", "toxic"))
     return (toxicity.score(docs, model, "doc_id", "text", held_out.alias("held_out"))
             .withColumn("predicted", (F.col("score") >= TOXIC_AT).cast("int")))
+
+
+@query
+def op10_deleted_interpolation(spark, d):
+    held_out = id_bucket("doc_id", 7) == 2
+    scored = lm_score.lm_scores(read_table(spark, d, "documents"), training=~held_out)
+    return scored.withColumn("held_out", held_out).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
