@@ -28,6 +28,7 @@ SAMPLE_MAX = 20_000      # texts in the fit, at most
 LANDMARKS = 40           # landmarks of a language, at most
 LANGUAGES_MAX = 500
 RIDGE = 1e-2
+MIN_SCORE = 0.4          # below it no learned language fits; 0.5 is no evidence either way
 TRIGRAM_BITS = 17
 SPACE = 256 + (1 << 16) + (1 << TRIGRAM_BITS)
 BATCH_DOCS, BATCH_BYTES = 64, 1 << 20
@@ -202,3 +203,16 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled rows everything is ``und``."""
     model = learn(docs if training is None else docs.where(training), text_col, lang_col)
     return classify(docs, model, id_col, text_col)
+
+
+def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
+                         training: Column | None = None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The documents in a learned language with all their columns; ``lang_col`` becomes
+    the predicted language.  ``und`` and scores below ``min_score`` are rejected.  Each
+    row is judged alone and nothing is joined, so extra columns and repeated ids pass."""
+    model = learn(docs if training is None else docs.where(training), text_col, lang_col)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                         F.col(f"`{text_col}`").alias("text"))
+    judged = classify(packed, model, "row", "text").where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+    return judged.select(*[(F.col("lang_pred") if c == lang_col else F.col(f"row.`{c}`")).alias(c)
+                           for c in docs.columns])

@@ -73,6 +73,25 @@ def rake(cells: DataFrame, given: dict[str, dict[str, float]] | None = None, rou
     return cells.select(*DIMENSIONS, "tokens", (F.col("weight") / F.lit(total)).alias("weight"))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, *more: Column) -> DataFrame:
+    """id, source, lang, topic, n_tokens and ``more`` of every row."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.select(
+        F.col(f"`{id_col}`").alias("id"),
+        F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(NONE)).alias("source"),
+        F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NONE)).alias("lang"), topic_of(text).alias("topic"),
+        F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("long").alias("n_tokens"), *more)
+
+
+def cell_rates(rows: DataFrame, fraction: float = FRACTION, rounds: int = ROUNDS,
+               given: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """source, lang, topic, rate: how often a cell's documents are wanted, for keyed rows."""
+    cells = materialise(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "sums")
+    total = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0
+    rate = F.round(F.lit(float(fraction) * total) * F.col("weight") / F.col("tokens"), 6)
+    return rake(cells, given, rounds).select(*DIMENSIONS, rate.alias("rate"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         lang_col: str = "lang", *, fraction: float = FRACTION, rounds: int = ROUNDS,
         given: dict[str, dict[str, float]] | None = None) -> DataFrame:
@@ -85,18 +104,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``given`` may name target weights by dimension and value (values not named
     get 0).  Rows that repeat an id share their draw.  An empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = materialise(docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)).alias("source"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)).alias("lang"), topic_of(text).alias("topic"),
-        F.greatest(F.regexp_count(text, F.lit(WORD)), F.lit(1)).cast("long").alias("n_tokens")), "tokens")
-    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    total = rows.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0
-    fitted = rake(cells, given, rounds)
-    rate = F.round(F.lit(float(fraction) * total) * F.col("weight") / F.col("tokens"), 6)
-    joined = rows.join(fitted.select(*DIMENSIONS, rate.alias("rate")), list(DIMENSIONS))
-    return joined.select(
+    rows = materialise(_keyed(docs, id_col, text_col, source_col, lang_col), "tokens")
+    return (rows.join(cell_rates(rows, fraction, rounds, given), list(DIMENSIONS)).select(
         F.col("id").alias(id_col), "source", "lang", "topic", "n_tokens", "rate",
         F.least(F.col("rate"), F.lit(1.0)).alias("probability"),
-        F.greatest(F.col("rate"), F.lit(1.0)).alias("weight"),
-        (unit_hash("id") < F.col("rate")).alias("sampled"))
+        F.greatest(F.col("rate"), F.lit(1.0)).alias("weight"), (unit_hash("id") < F.col("rate")).alias("sampled")))
+
+
+def sample_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               lang_col: str = "lang", **options) -> DataFrame:
+    """The sampled documents with all their columns.  Documents meet only the rates of
+    their cells, never each other."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = _keyed(docs, id_col, text_col, source_col, lang_col)
+    rates = cell_rates(keyed, **options)
+    return (_keyed(docs, id_col, text_col, source_col, lang_col, row).drop("n_tokens")
+            .join(rates, list(DIMENSIONS)).where(unit_hash("id") < F.col("rate")).select("row.*"))

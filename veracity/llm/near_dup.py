@@ -238,6 +238,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+                         words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with all their columns, one of each group of near duplicates: the
+    one with the smallest id.  Of rows that repeat an id one stays, with the text that
+    stood for the id.  Rows with a null id stay."""
+    found = near_duplicates(docs, id_col, text_col, words=words, percent=percent)
+    kept = found.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    standing = (rows.join(kept, "__id", "left_semi").groupBy("__id")
+                .agg(F.max_by("row", F.xxhash64(F.col(f"row.`{text_col}`").cast("string"))).alias("row")))
+    return standing.select("row.*").unionByName(rows.where("__id is null").select("row.*"))
+
+
 def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """bucket, node, component of the buckets that hold two components or more."""
     named = (buckets.join(labels, "node", "left")

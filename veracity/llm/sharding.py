@@ -86,6 +86,27 @@ def map_table(spark: SparkSession, versions: list[list[int]], label: str = "slot
     return materialise(rows, label)
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, slots: int, *more: Column) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+                       F.crc32(text).cast("long").alias("text_crc32"),
+                       record_slot(f"`{id_col}`", f"`{text_col}`", slots).alias("v_slot"), *more)
+
+
+def balanced_map(sized: DataFrame, shards: int, slots: int) -> tuple[list[list[int]], list[int]]:
+    """(map versions, rows of each slot) for sized rows: the first map and, if it can be
+    evened, its rebalanced successor.  Only the ``slots`` sums reach the driver."""
+    sums = sized.groupBy("v_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).take(slots)
+    slot_bytes, slot_rows = [0] * slots, [0] * slots
+    for r in sums:
+        slot_bytes[r["v_slot"]], slot_rows[r["v_slot"]] = r["bytes"], r["n"]
+    versions = [first_map(slots, shards)]
+    edits = rebalance(versions[0], slot_bytes, shards)
+    if edits:
+        versions.append(apply_edits(versions[0], edits))
+    return versions, slot_rows
+
+
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                     shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """(rows, map).  rows has one row per input row: id, size (UTF-8 bytes of the text
@@ -98,19 +119,8 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows and the unedited map.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = materialise(docs.select(
-        F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).cast("long").alias("text_crc32"), record_slot(id_col, text_col, slots).alias("v_slot")), "sizes")
-    sums = base.groupBy("v_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).take(slots)
-    slot_bytes, slot_rows = [0] * slots, [0] * slots
-    for r in sums:
-        slot_bytes[r["v_slot"]], slot_rows[r["v_slot"]] = r["bytes"], r["n"]
-
-    versions = [first_map(slots, shards)]
-    edits = rebalance(versions[0], slot_bytes, shards)
-    if edits:
-        versions.append(apply_edits(versions[0], edits))
+    base = materialise(_sized(docs, id_col, text_col, slots), "sizes")
+    versions, slot_rows = balanced_map(base, shards, slots)
     stored = map_table(spark, versions)
     latest = len(versions) - 1
     # a slot's rows take consecutive places after those of the shard's earlier slots
@@ -120,7 +130,6 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         start[shard] += slot_rows[s]
     offsets = materialise(spark.range(1).select(
         F.posexplode(F.from_json(F.lit(json.dumps(offset)), "array<bigint>")).alias("v_slot", "first")), "offsets")
-
     place = F.row_number().over(Window.partitionBy("v_slot").orderBy("id", "text_crc32", "size"))
     rows = (base.withColumn("place", place)
             .join(stored.where(F.col("version") == latest).select("v_slot", "shard"), "v_slot")
@@ -129,3 +138,14 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     (F.col("first") + F.col("place") - 1).cast("long").alias("slot"),
                     F.lit(latest).alias("map_version")))
     return rows, stored
+
+
+def with_shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = SHARDS,
+               slots: int = SLOTS) -> DataFrame:
+    """The documents with all their columns, and last ``v_slot`` and ``shard`` (replacing
+    columns of these names).  Texts stay where they are: rows meet only the map."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("v_slot", "shard")]).alias("row")
+    versions, _ = balanced_map(_sized(docs, id_col, text_col, slots), shards, slots)
+    stored = map_table(docs.sparkSession, versions).where(F.col("version") == len(versions) - 1)
+    return (docs.select(row, record_slot(f"`{id_col}`", f"`{text_col}`", slots).alias("v_slot"))
+            .join(stored.select("v_slot", "shard"), "v_slot").select("row.*", "v_slot", "shard"))
