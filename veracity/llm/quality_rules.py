@@ -102,8 +102,12 @@ def certified_cutoffs(table: DataFrame, good: DataFrame, *, alpha: float = ALPHA
     ``table``: measures; ``good``: the ids labelled good (column id)."""
     values = rule_values()
     grid = F.array(*[F.lit(float(c)) for c in CUTOFFS])
+
+    def exceeded(value: Column) -> Column:
+        return F.size(F.filter(grid, lambda cutoff: value > cutoff))
+
     held = table.join(good, "id", "left_semi").select("stratum", F.explode(F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.size(F.filter(grid, lambda c, v=v: v > c)).alias("bin"))
+        F.struct(F.lit(r).alias("rule"), exceeded(v).alias("bin"))
         for r, v in values.items()])).alias("x"))
     bins = held.groupBy("stratum", "x.rule", "x.bin").agg(F.count("*").alias("c"))
     # rejected at cutoff j: documents whose value exceeds more than j cutoffs
