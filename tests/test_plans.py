@@ -128,18 +128,74 @@ def test_source_stats_and_reuse_streams_over_many_batches(spark, tmp_path):
         sorted(rb.select("event_id", "hit", "cached_at").collect())
 
 
-def test_reuse_parallel_equals_walk(spark):
-    from veracity.operators import reuse
-    ts = [T0 + dt.timedelta(seconds=s) for s in (0, 3599, 3600, 3601, 7300, 7300, 20000, 23599, 23600)]
-    df = spark.createDataFrame([(i, "k", t) for i, t in enumerate(ts)], "event_id long, key string, ts timestamp_ntz")
-    got = sorted(reuse.reuse_parallel(df, 3600).collect(), key=lambda r: r.event_id)
-    assert [r.hit for r in got] == [False, True, False, True, False, True, False, True, False]
-    assert got[3].cached_at == ts[2] and got[5].cached_at == ts[4]
-    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    subs = SS.submissions_from_events(ev)
-    a = sorted(reuse.reuse_sequential(subs, 3600).select("event_id", "hit", "cached_at").collect())
-    b = sorted(reuse.reusable_results(subs, 3600, hot_rows=0).select("event_id", "hit", "cached_at").collect())
-    assert a == b
+def walk(rows, ttl):
+    """(id, key, t) rows one after another: id -> (hit, cached at)."""
+    out, anchor = {}, {}
+    for k, t, i in sorted((k, t, i) for i, k, t in rows):
+        a = anchor.get(k)
+        if a is None or t >= a + ttl:
+            anchor[k] = t
+        out[i] = (anchor[k] != a, anchor[k])
+    return out
+
+
+def _submissions(spark, rows):
+    return spark.createDataFrame([(i, k, T0 + dt.timedelta(seconds=t)) for i, k, t in rows],
+                                 "event_id long, key string, ts timestamp_ntz")
+
+
+def test_reuse_equals_walk_with_a_hot_key_over_many_pieces(spark):
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # dense (a ttl spans pieces), sparse, many ties, a single key
+        for seed, (n, span, keys) in enumerate([(1500, 6000, 3), (1500, 900_000, 3), (800, 50, 2), (1000, 100_000, 1)]):
+            rnd = random.Random(seed)
+            rows = [(i, "hot" if rnd.random() < 0.5 else f"k{rnd.randrange(keys)}", rnd.randrange(span)) for i in range(n)]
+            got = {r.event_id: (not r.hit, int((r.cached_at - T0).total_seconds()))
+                   for r in SS.reusable_results(_submissions(spark, rows), 3600).collect()}
+            assert got == {i: (new, at) for i, (new, at) in walk(rows, 3600).items()}
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+def test_reuse_stream_answers_in_any_file_order(spark, tmp_path):
+    """File 1 holds second 5000, file 2 holds 0 and 4000; the stream gives the batch answer."""
+    import os
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    rows = [[(1, 5000)], [(2, 0), (3, 4000)], [(4, 8999), (5, 9000), (6, 100)]]
+    for n, part in enumerate(rows):
+        df = spark.createDataFrame([(i, "login", T0 + dt.timedelta(seconds=s), "p") for i, s in part],
+                                   "event_id long, event_type string, ts timestamp_ntz, props string").toPandas()
+        df.to_parquet(folder / f"events_{n}.parquet", index=False, coerce_timestamps="us")
+        os.utime(folder / f"events_{n}.parquet", (1_700_000_000 + 100 * n, 1_700_000_000 + 100 * n))
+    got = SS.reusable_results_stream(spark, str(folder), base=str(tmp_path / "s"), max_files_per_trigger=1)
+    want = SS.reusable_results(SS.submissions_from_events(spark.read.parquet(str(folder))))
+    cols = ("event_id", "hit", "cached_at")
+    assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
+    # anchors at 0, 4000 and 8999
+    assert {r.event_id: r.hit for r in got.collect()} == {1: True, 2: False, 3: False, 4: False, 5: True, 6: True}
+    assert SS.dropped_rows(spark, str(tmp_path / "s")) == 0
+
+
+def test_streams_read_folder_tables_and_compact(spark, tmp_path):
+    src = "/root/testdata/sf0.001"
+    d = tmp_path / "tables"
+    spark.read.parquet(f"{src}/events.parquet").repartition(3).write.parquet(str(d / "events.parquet"))
+    base = str(tmp_path / "s")
+    got = SS.quota_windows_stream(spark, str(d), watermark="60 days", base=base, max_files_per_trigger=1)
+    want = SS.quota_windows(spark.read.parquet(f"{src}/events.parquet"))
+    rows = sorted(got.collect())
+    assert rows == sorted(want.select(*got.columns).collect())
+    SS.compact_changelog(spark, base, ["user_id", "window_start"])
+    import os
+    assert len([f for f in os.listdir(f"{base}/changes") if f.startswith("batch_id=")]) == 1
+    again = SS.read_changelog(spark, base, ["user_id", "window_start"])
+    assert sorted((r.user_id, r.window_start, r.requests) for r in again.collect()) == \
+        [(r[0], r[1], r[2]) for r in rows]
 
 
 def test_patch_with_analysis_adds_history_rows(spark):
@@ -172,6 +228,9 @@ def test_quota_stream_with_events_behind_the_watermark(spark, tmp_path):
     assert late.count() > 0
     got = SS.quota_windows_stream(spark, str(folder), base=str(tmp_path / "s"), max_files_per_trigger=1)
     got_rows = sorted(got.collect())
+    dropped = SS.dropped_rows(spark, str(tmp_path / "s"))
     only_on_time = sorted(SS.quota_windows(on_time).select(*got.columns).collect())
     everything = sorted(SS.quota_windows(on_time.unionByName(late)).select(*got.columns).collect())
-    assert got_rows in (only_on_time, everything)
+    # counted whole, or dropped and reported
+    assert got_rows == (only_on_time if dropped else everything)
+    assert dropped in (0, late.count())

@@ -39,18 +39,19 @@ def _total(df: DataFrame) -> DataFrame:
 
 def search_news(articles: DataFrame, query: str, from_date: str | None = None, to_date: str | None = None,
                 language: str | None = "en", sort_by: str = "publishedAt", page_size: int = 20,
-                domains: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                domains: list[str] | None = None, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(page, total) of the articles matching ``query`` and the filters.
 
     Dates are whole days (inclusive); ``domains`` match the url's host
-    without ``www.``.  ``relevancy`` ranks title matches first.
+    without ``www.``.  ``relevancy`` ranks title matches first.  ``keys`` may give
+    the article table without joins the filters don't need: the page is chosen there.
     """
     terms = query_terms(query or "")
     if not terms:
         raise ValueError("Query parameter is required")
     if sort_by not in SORTS:
         raise ValueError(f"sort_by must be one of {SORTS}")
-    f = feed(articles)
+    f = feed(articles if keys is None else keys)
     conds: list[Column] = [any_like_ci(["title", "description", "content"], terms)]
     if language:
         conds.append(F.col("lang") == language)
@@ -65,13 +66,19 @@ def search_news(articles: DataFrame, query: str, from_date: str | None = None, t
     if sort_by == "relevancy":
         title_hit = reduce(lambda a, b: a | b, [F.coalesce(like_ci("title", t), F.lit(False)) for t in terms])
         order = [F.when(title_hit, 1).otherwise(2), *order]
-    page = cand.orderBy(*order).limit(page_size).select(*FEED_COLUMNS)
-    return page, _total(cand)
+    return _feed_page(cand, articles, order, page_size), _total(cand)
+
+
+def _feed_page(cand: DataFrame, articles: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """The first ``size`` candidates: ids first, then their records."""
+    ids = cand.select("id", "published_at", "title").orderBy(*order).limit(size).select("id")
+    rows = feed(articles).join(ids, "id", "left_semi")
+    return rows.select(*FEED_COLUMNS).orderBy(*order).limit(size)
 
 
-def get_everything(articles: DataFrame, query: str, page_size: int = 5) -> DataFrame:
+def get_everything(articles: DataFrame, query: str, page_size: int = 5, keys: DataFrame | None = None) -> DataFrame:
     """The first ``page_size`` matches of ``query``, newest first."""
-    return search_news(articles, query, language=None, page_size=page_size)[0]
+    return search_news(articles, query, language=None, page_size=page_size, keys=keys)[0]
 
 
 def news_article_by_url(articles: DataFrame, urls: DataFrame) -> DataFrame:
@@ -81,16 +88,16 @@ def news_article_by_url(articles: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def top_headlines(articles: DataFrame, country: str = "us", category: str | None = None,
-                  sources: list[str] | None = None, page_size: int = 20) -> tuple[DataFrame, DataFrame]:
+                  sources: list[str] | None = None, page_size: int = 20,
+                  keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Newest articles of the country's language, optionally of one
     topic tag (E7) and of some sources; (page, total)."""
-    f = feed(articles).filter(F.col("lang") == COUNTRY_LANGUAGE.get(country, country))
+    f = feed(articles if keys is None else keys).filter(F.col("lang") == COUNTRY_LANGUAGE.get(country, country))
     if sources:
         f = f.filter(F.col("source").isin(*sources))
     if category:
         f = with_tags(f, "content").filter(F.array_contains("tags", category.lower()))
-    page = f.orderBy(F.desc("published_at"), F.asc("id")).limit(page_size).select(*FEED_COLUMNS)
-    return page, _total(f)
+    return _feed_page(f, articles, [F.desc("published_at"), F.asc("id")], page_size), _total(f)
 
 
 def list_sources(articles: DataFrame, category: str | None = None, language: str | None = "en",

@@ -128,14 +128,17 @@ def articles_with_latest(articles: DataFrame, history: DataFrame, dedup: bool =
     return articles.join(lat, articles["id"] == lat["article_id"], "left").drop("article_id")
 
 
-def article_with_history(articles: DataFrame, history: DataFrame,
-                         newest_first: bool = True) -> DataFrame:
-    """One row per (article, analysis) with its position in the history.
+def article_with_history(articles: DataFrame, history: DataFrame, newest_first: bool = True,
+                         columns: list[str] | None = None) -> DataFrame:
+    """One row per (article, analysis) with its position in the history and the
+    history's ``columns`` (all by default; name few, they are carried through a shuffle).
 
     Long format instead of a nested list: a history of any length stays
     spread over tasks.  ``position`` counts from the newest analysis when
     ``newest_first`` (the reference's order), else from the oldest.
     """
+    if columns is not None:
+        history = history.select(*dict.fromkeys(["article_id", "created_at", "id", *columns]))
     seq = with_previous(history, ["article_id"], "created_at", "id", [])
     pos = (F.col("group_size") - F.col("seq") + 1) if newest_first else F.col("seq")
     h = seq.withColumn("position", pos).drop("seq", "has_prev", "group_size")
@@ -167,9 +170,8 @@ def _scope(history: DataFrame, cands: DataFrame, limit: int | None) -> DataFrame
     """Narrow the history to the candidates when they are a bounded top-k."""
     if limit is None:
         return history
-    from veracity.plans.ordered import bounded_broadcast
     ids = cands.select(F.col("id").alias("article_id"))
-    return history.join(bounded_broadcast(ids, limit), "article_id", "left_semi")
+    return history.join(ids, "article_id", "left_semi")
 
 
 # --------------------------------------------------------------- per-article aggs
@@ -235,9 +237,12 @@ def score_changes(history: DataFrame) -> DataFrame:
 
 
 def _consistency(history: DataFrame) -> DataFrame:
-    ch = score_changes(history)
-    per = ch.groupBy("article_id").agg(*[
-        F.max(F.when(F.col("field") == f, F.col("change"))).alias(f"_mx_{f}") for f in SCORE_FIELDS])
+    """article_id, consistency: one pass over the history that carries the last known
+    value of each score, then a partial aggregation of the largest changes."""
+    seq = with_previous(history.select("article_id", "created_at", "id", *SCORE_FIELDS), ["article_id"],
+                        "created_at", "id", list(SCORE_FIELDS), known=True)
+    per = seq.groupBy("article_id").agg(*[
+        F.max(F.abs(F.col(f) - F.col(f"prev_{f}"))).alias(f"_mx_{f}") for f in SCORE_FIELDS])
     total, n = None, None
     for f in SCORE_FIELDS:
         v, has = F.coalesce(F.col(f"_mx_{f}"), F.lit(0.0)), F.col(f"_mx_{f}").isNotNull().cast("int")
@@ -248,6 +253,23 @@ def _consistency(history: DataFrame) -> DataFrame:
     return per.select("article_id", cons.alias("consistency"))
 
 
+def consistency(articles: DataFrame, history: DataFrame) -> DataFrame:
+    """H7 alone: id, consistency of the articles with more than one analysis."""
+    counts = history.groupBy("article_id").agg(F.count("id").alias("n")).filter(F.col("n") > 1).select("article_id")
+    ids = articles.select(F.col("id").alias("article_id")).join(counts, "article_id")
+    return (ids.join(_consistency(history), "article_id", "left")
+            .select(F.col("article_id").alias("id"), F.coalesce("consistency", F.lit(1.0)).alias("consistency")))
+
+
+def oldest_metrics(articles: DataFrame, history: DataFrame) -> DataFrame:
+    """H8-H10 alone: id, depth, completeness, timeliness of the articles with more than
+    one analysis, from one aggregation of the history."""
+    facts = _oldest_facts(history).filter(F.col("analysis_count") > 1)
+    return (articles.select(F.col("id").alias("article_id")).join(facts, "article_id")
+            .select(F.col("article_id").alias("id"), _depth().alias("depth"),
+                    _completeness().alias("completeness"), _timeliness().alias("timeliness")))
+
+
 def analysis_quality(articles: DataFrame, history: DataFrame, limit: int | None = None) -> DataFrame:
     """Consistency, depth, completeness, timeliness and their mean.
 
@@ -330,18 +352,22 @@ def score_trend(articles: DataFrame, history: DataFrame, limit: int | None = Non
     return ids.join(long, ids["id"] == long["article_id"], "inner").drop("article_id")
 
 
-def evolution_steps(history: DataFrame) -> DataFrame:
-    """H14/H15 step rows: topic and perspective sets of each analysis next to
-    the previous analysis' sets (absent = empty set), with added/removed."""
+KINDS = ("topic", "perspective")
+
+
+def _value_sets() -> dict[str, Column]:
     empty = F.array().cast("array<string>")
-    sets = history.select(
-        "article_id", "created_at", "id",
-        F.array_sort(F.array_distinct(F.coalesce("topics", empty))).alias("topic_set"),
-        F.array_sort(F.coalesce(F.map_keys("perspectives"), empty)).alias("perspective_set"))
-    seq = with_previous(sets, ["article_id"], "created_at", "id",
-                        ["topic_set", "perspective_set"])
-    out = seq
-    for kind in ("topic", "perspective"):
+    return {"topic": F.array_sort(F.array_distinct(F.coalesce("topics", empty))),
+            "perspective": F.array_sort(F.coalesce(F.map_keys("perspectives"), empty))}
+
+
+def evolution_steps(history: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """H14/H15 step rows: the sets (of the asked kinds) of each analysis next to
+    the previous analysis' sets (absent = empty set), with added/removed."""
+    sets = history.select("article_id", "created_at", "id",
+                          *[_value_sets()[k].alias(f"{k}_set") for k in kinds])
+    out = with_previous(sets, ["article_id"], "created_at", "id", [f"{k}_set" for k in kinds])
+    for kind in kinds:
         cur, prev = F.col(f"{kind}_set"), F.col(f"prev_{kind}_set")
         added = F.when(F.col("has_prev"), F.array_sort(F.array_except(cur, prev)))
         removed = F.when(F.col("has_prev"), F.array_sort(F.array_except(prev, cur)))
@@ -356,28 +382,33 @@ def change_steps(articles: DataFrame, history: DataFrame, kind: str = "topic", l
     topic (or perspective) set differs from the previous analysis, with the
     values added and removed (sorted).  Articles with >1 analysis only."""
     cands = multi_analysis_articles(articles, history, limit)
-    steps = (evolution_steps(_scope(history, cands, limit)).filter(F.col(f"{kind}_changed"))
+    steps = (evolution_steps(_scope(history, cands, limit), (kind,)).filter(F.col(f"{kind}_changed"))
              .select("article_id", F.col("id").alias("analysis_id"), F.col("created_at").alias("date"),
                      F.col(f"{kind}s_added").alias("added"), F.col(f"{kind}s_removed").alias("removed")))
     ids = cands.select(F.col("id").alias("article_id"))
     return ids.join(steps, "article_id", "inner").withColumnRenamed("article_id", "id")
 
 
-def _evolution_aggs(history: DataFrame) -> DataFrame:
-    steps = evolution_steps(history)
-    return steps.groupBy("article_id").agg(
-        F.count_if("topic_changed").alias("topic_changes"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("topic_set")))).alias("all_topics"),
-        F.count_if("perspective_changed").alias("perspective_changes"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("perspective_set")))).alias("all_perspectives"),
-    )
+def _all_values(history: DataFrame, kind: str) -> DataFrame:
+    """article_id, all_<kind>s: every value seen, sorted.  Distinct (article, value) rows
+    first, so only an article's distinct values ever meet."""
+    return (history.select("article_id", F.explode_outer(_value_sets()[kind]).alias("v")).distinct()
+            .groupBy("article_id").agg(F.array_sort(F.collect_list("v")).alias(f"all_{kind}s")))
+
+
+def _evolution_aggs(history: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    out = evolution_steps(history, kinds).groupBy("article_id").agg(
+        *[F.count_if(f"{k}_changed").alias(f"{k}_changes") for k in kinds])
+    for kind in kinds:
+        out = out.join(_all_values(history, kind), "article_id")
+    return out
 
 
 def topic_evolution(articles: DataFrame, history: DataFrame, limit: int | None = None, kind: str = "topic") -> DataFrame:
     """H14 (kind='topic') / H15 (kind='perspective'): number of steps whose
     set differs from the previous analysis, and every value seen."""
     cands = multi_analysis_articles(articles, history, limit)
-    ev = _evolution_aggs(_scope(history, cands, limit))
+    ev = _evolution_aggs(_scope(history, cands, limit), (kind,))
     return (cands.join(ev, cands["id"] == ev["article_id"], "inner")
             .select("id", "title", "source", "analysis_count",
                     F.col(f"{kind}_changes").alias("changes"),
@@ -579,6 +610,7 @@ def multiple_analyses(articles: DataFrame, history: DataFrame, limit: int | None
     cands = multi_analysis_articles(articles, history, limit, recent_from=since)
     h = history.join(cands.select(F.col("id").alias("article_id")), "article_id", "left_semi") \
         if limit is None else _scope(history, cands, limit)
+    h = h.select("article_id", "created_at", "id", "credibility_score", "sentiment_score", "bias_score")
     seq = with_previous(h, ["article_id"], "created_at", "id", [])
     seq = seq.select("article_id", F.col("id").alias("analysis_id"),
                      F.col("created_at").alias("analysis_created_at"),

@@ -5,9 +5,12 @@ answers any number of requests.  Every ordered result breaks ties by id
 (and analysis id), so a page is the same page in every engine.
 
 Top-k pages are planned so the expensive part only touches the page: the
-``k = offset + limit`` best articles are chosen first (TakeOrderedAndProject:
-each task keeps k rows), then their latest analysis and analysis counts are
-looked up through a broadcast semi join whose size is bounded by k.  The page
+``k = offset + limit`` best ids are chosen first (TakeOrderedAndProject:
+each task keeps k rows) from ``keys``, a narrow form of the article table that
+joins nothing the filter and the order don't need (the article table itself when
+not given); url, level, text and history are then looked up for those ids only,
+through semi joins that Catalyst pushes below the table's own joins.  Totals are
+counted on ``keys`` too.  The page
 is exact even when latest-analysis ties add rows, because every article
 contributes at least one row, so the page never needs more than k articles.
 """
@@ -55,44 +58,42 @@ def _newest() -> list[Column]:
     return [F.desc("created_at"), F.asc("id")]
 
 
-def _bounded(ids: DataFrame, k: int) -> DataFrame:
-    """Broadcast a DataFrame of at most ``k`` ids when k is small."""
-    from veracity.plans.ordered import bounded_broadcast
-    return bounded_broadcast(ids, k)
-
-
-def with_latest_and_counts(page_articles: DataFrame, history: DataFrame, k: int | None) -> DataFrame:
+def with_latest_and_counts(page_articles: DataFrame, history: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Attach the latest analysis (ties multiply rows) and the analysis count
-    to a set of articles.  With ``k`` the history is first narrowed to those
-    articles through a broadcast semi join (the set has at most k rows)."""
-    h = history
-    if k is not None:
-        ids = page_articles.select(F.col("id").alias("article_id"))
-        h = history.join(_bounded(ids, k), "article_id", "left_semi")
-    lat = latest_analysis(h).select(
-        "article_id", F.col("id").alias("analysis_id"),
-        F.col("created_at").alias("analysis_created_at"),
-        F.col("credibility_score").alias("analysis_credibility_score"))
-    cnt = h.groupBy("article_id").agg(F.count("id").alias("analysis_count"))
-    a = page_articles
-    a = a.join(lat, a["id"] == lat["article_id"], "left").drop("article_id")
-    a = a.join(cnt, a["id"] == cnt["article_id"], "left").drop("article_id")
+    to a set of articles.  With ``ids`` (article_id) the history is first narrowed to
+    those articles."""
+    h = history.select("article_id", "id", "created_at", "credibility_score")
+    if ids is not None:
+        h = h.join(ids, "article_id", "left_semi")
+    per = h.groupBy("article_id").agg(F.count("id").alias("analysis_count"), F.max("created_at").alias("created_at"))
+    lat = h.join(per, ["article_id", "created_at"]).select(
+        "article_id", F.col("id").alias("analysis_id"), F.col("created_at").alias("analysis_created_at"),
+        F.col("credibility_score").alias("analysis_credibility_score"), "analysis_count")
+    a = page_articles.join(lat, page_articles["id"] == lat["article_id"], "left").drop("article_id")
     return a.withColumn("analysis_count", F.coalesce("analysis_count", F.lit(0).cast("long")))
 
 
-def _page_with_latest(candidates: DataFrame, history: DataFrame, order: list[Column],
+def _page_with_latest(candidates: DataFrame, articles: DataFrame, history: DataFrame, order: list[Column],
                       limit: int, offset: int = 0, rank_cols: tuple[str, ...] = ()) -> DataFrame:
-    k = limit + offset
-    top = page(candidates, order, k)
-    rows = with_latest_and_counts(top, history, k)
-    return page(rows, [*order, F.asc_nulls_first("analysis_id")], limit, offset).drop(*rank_cols)
+    """``candidates``: id, created_at and ``rank_cols`` of the matching articles."""
+    top = page(candidates.select("id", "created_at", *rank_cols), order, limit + offset)
+    ids = top.select("id")
+    rows = articles.select(*PAGE_COLUMNS).join(ids, "id", "left_semi")
+    if rank_cols:
+        rows = rows.join(top.select("id", *rank_cols), "id")
+    rows = with_latest_and_counts(rows, history, ids.withColumnRenamed("id", "article_id"))
+    names = [*PAGE_COLUMNS, *rank_cols, "analysis_id", "analysis_created_at", "analysis_credibility_score", "analysis_count"]
+    return page(rows.select(*names), [*order, F.asc_nulls_first("analysis_id")], limit, offset)
 
 
 # ------------------------------------------------------------------ lookups (F*)
 
-def article_exists(articles: DataFrame, keys: DataFrame) -> DataFrame:
+def article_exists(articles: DataFrame, keys: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """for each key (key_id, title, url): does an article have that
     title or that url?  Empty strings count as missing; both missing -> False.
+    ``titles`` may give the titles without the table's joins.  Titles and urls are
+    first narrowed to the probed ones and made distinct, so a title that a third of
+    all articles carry is one row.
 
     Two semi joins (one per equality) instead of one OR join, which Spark
     could only run as a nested loop.
@@ -100,24 +101,30 @@ def article_exists(articles: DataFrame, keys: DataFrame) -> DataFrame:
     t = F.when(F.col("title") != "", F.col("title"))
     u = F.when(F.col("url") != "", F.col("url"))
     k = keys.select("key_id", t.alias("title"), u.alias("url"))
-    by_title = k.join(articles.select("title").filter(F.col("title").isNotNull()), "title", "left_semi")
-    by_url = k.join(articles.select("url").filter(F.col("url").isNotNull()), "url", "left_semi")
+
+    def known(df: DataFrame, c: str) -> DataFrame:
+        probed = k.select(c).filter(F.col(c).isNotNull()).distinct()
+        return df.select(c).join(probed, c, "left_semi").distinct()
+    by_title = k.join(known(articles if titles is None else titles, "title"), "title", "left_semi")
+    by_url = k.join(known(articles, "url"), "url", "left_semi")
     hits = by_title.select("key_id").union(by_url.select("key_id")).distinct() \
         .withColumn("exists", F.lit(True))
     return (k.join(hits, "key_id", "left")
             .select("key_id", "title", "url", F.coalesce("exists", F.lit(False)).alias("exists")))
 
 
-def article_by_id(articles: DataFrame, history: DataFrame, ids: DataFrame) -> DataFrame:
+def article_by_id(articles: DataFrame, history: DataFrame, ids: DataFrame,
+                  columns: list[str] | None = None) -> DataFrame:
     """the requested articles (``ids.id``) with their analysis history
     as rows, newest first (``position`` 1 = newest)."""
     from veracity.operators.history import article_with_history
     a = articles.join(ids.select("id").distinct(), "id", "left_semi")
     h = history.join(ids.select(F.col("id").alias("article_id")).distinct(), "article_id", "left_semi")
-    return article_with_history(a, h, newest_first=True)
+    return article_with_history(a, h, newest_first=True, columns=columns)
 
 
-def article_by_url(articles: DataFrame, history: DataFrame, urls: DataFrame) -> DataFrame:
+def article_by_url(articles: DataFrame, history: DataFrame, urls: DataFrame,
+                   columns: list[str] | None = None) -> DataFrame:
     """the article of each requested url (lowest id when several share
     it) with its history rows."""
     from veracity.operators.history import article_with_history
@@ -126,30 +133,34 @@ def article_by_url(articles: DataFrame, history: DataFrame, urls: DataFrame) ->
          .groupBy("url").agg(F.min("id").alias("id")))
     hit = articles.join(a.select("id"), "id", "left_semi")
     h = history.join(a.select(F.col("id").alias("article_id")), "article_id", "left_semi")
-    return article_with_history(hit, h, newest_first=True)
+    return article_with_history(hit, h, newest_first=True, columns=columns)
 
 
-def daily_buzz(articles: DataFrame, history: DataFrame) -> DataFrame:
+def daily_buzz(articles: DataFrame, history: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """the featured article (latest, then lowest id) and its history."""
     from veracity.operators.history import article_with_history
     feat = page(articles.filter(F.col("is_featured")), _newest(), 1)
-    h = history.join(_bounded(feat.select(F.col("id").alias("article_id")), 1), "article_id", "left_semi")
-    return article_with_history(feat, h, newest_first=True)
+    h = history.join(feat.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    return article_with_history(feat, h, newest_first=True, columns=columns)
 
 
-def article_history(history: DataFrame, ids: DataFrame) -> DataFrame:
-    """the analyses of the requested articles, newest first."""
+def article_history(history: DataFrame, ids: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """the analyses of the requested articles, newest first, with the history's
+    ``columns`` (all by default)."""
     from veracity.plans.ordered import with_previous
+    if columns is not None:
+        history = history.select(*dict.fromkeys(["article_id", "created_at", "id", *columns]))
     h = history.join(ids.select(F.col("id").alias("article_id")).distinct(), "article_id", "left_semi")
     seq = with_previous(h, ["article_id"], "created_at", "id", [])
     return seq.withColumn("position", F.col("group_size") - F.col("seq") + 1) \
         .drop("seq", "has_prev", "group_size")
 
 
-def articles_by_source(articles: DataFrame, history: DataFrame, source: str, limit: int = 10) -> DataFrame:
+def articles_by_source(articles: DataFrame, history: DataFrame, source: str, limit: int = 10,
+                       keys: DataFrame | None = None) -> DataFrame:
     """newest articles of one source with latest analysis and count."""
-    cand = articles.filter(F.col("source") == source).select(*PAGE_COLUMNS)
-    return _page_with_latest(cand, history, _newest(), limit).drop("source")
+    cand = (articles if keys is None else keys).filter(F.col("source") == source)
+    return _page_with_latest(cand, articles, history, _newest(), limit).drop("source")
 
 
 def recent_filter(days: int, as_of: str) -> Column:
@@ -158,12 +169,12 @@ def recent_filter(days: int, as_of: str) -> Column:
 
 
 def recent_articles(articles: DataFrame, history: DataFrame, days: int = 7, limit: int = 10,
-                    as_of: str | None = None) -> DataFrame:
+                    as_of: str | None = None, keys: DataFrame | None = None) -> DataFrame:
     """newest articles created within ``days`` of ``as_of`` (a date;
     defaults to today, pass it for reproducible results)."""
     as_of = as_of or dt.date.today().isoformat()
-    cand = articles.filter(recent_filter(days, as_of)).select(*PAGE_COLUMNS)
-    return _page_with_latest(cand, history, _newest(), limit)
+    cand = (articles if keys is None else keys).filter(recent_filter(days, as_of))
+    return _page_with_latest(cand, articles, history, _newest(), limit)
 
 
 def _ts_bound(d: str) -> Column:
@@ -189,34 +200,34 @@ def filter_predicate(source: str | None = None, level: str | None = None,
 
 def filter_articles(articles: DataFrame, history: DataFrame, source: str | None = None,
                     level: str | None = None, date_from: str | None = None,
-                    date_to: str | None = None, limit: int = 10, offset: int = 0
-                    ) -> tuple[DataFrame, DataFrame]:
+                    date_to: str | None = None, limit: int = 10, offset: int = 0,
+                    keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """F8: (page, page_info) of the articles matching every given filter."""
-    cand = articles.filter(filter_predicate(source, level, date_from, date_to)).select(*PAGE_COLUMNS)
-    rows = _page_with_latest(cand, history, _newest(), limit, offset)
+    cand = (articles if keys is None else keys).filter(filter_predicate(source, level, date_from, date_to))
+    rows = _page_with_latest(cand, articles, history, _newest(), limit, offset)
     return rows, page_info(count_total(cand), limit, offset)
 
 
 def articles_in_range(articles: DataFrame, history: DataFrame, start: str, end: str,
-                      limit: int = 10, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+                      limit: int = 10, offset: int = 0, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """inclusive BETWEEN on created_at, paged, with the total."""
-    cand = articles.filter(F.col("created_at").between(_ts_bound(start), _ts_bound(end))) \
-        .select(*PAGE_COLUMNS)
-    rows = _page_with_latest(cand, history, _newest(), limit, offset)
+    cand = (articles if keys is None else keys).filter(F.col("created_at").between(_ts_bound(start), _ts_bound(end)))
+    rows = _page_with_latest(cand, articles, history, _newest(), limit, offset)
     return rows, page_info(count_total(cand), limit, offset)
 
 
-def history_page(articles: DataFrame, history: DataFrame, limit: int = 10, offset: int = 0
-                 ) -> tuple[DataFrame, DataFrame]:
+def history_page(articles: DataFrame, history: DataFrame, limit: int = 10, offset: int = 0,
+                 keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All articles newest first with latest analysis and count, paged."""
-    cand = articles.select(*PAGE_COLUMNS)
-    rows = _page_with_latest(cand, history, _newest(), limit, offset)
+    cand = articles if keys is None else keys
+    rows = _page_with_latest(cand, articles, history, _newest(), limit, offset)
     return rows, page_info(count_total(cand), limit, offset)
 
 
 # ------------------------------------------------------------------ search (Q*)
 
-def search_articles(articles: DataFrame, history: DataFrame, term: str, limit: int = 10) -> DataFrame:
+def search_articles(articles: DataFrame, history: DataFrame, term: str, limit: int = 10,
+                    keys: DataFrame | None = None) -> DataFrame:
     """Q1: match in title, summary or content (SQLite LIKE folding); rank
     title 1, summary 2, content 3; then High, Medium, other; then newest."""
     if not term:
@@ -224,32 +235,34 @@ def search_articles(articles: DataFrame, history: DataFrame, term: str, limit: i
     t, s = like_ci("title", term), like_ci("short_summary", term)
     match = any_like_ci(["title", "short_summary", "content"], [term])
     rank = F.when(F.coalesce(t, F.lit(False)), 1).when(F.coalesce(s, F.lit(False)), 2).otherwise(3)
-    cand = (articles.filter(match)
-            .select(*PAGE_COLUMNS, rank.alias("match_rank"),
+    cand = ((articles if keys is None else keys).filter(match)
+            .select("id", "created_at", rank.alias("match_rank"),
                     level_rank("credibility_level").alias("level_rank")))
     order = [F.asc("match_rank"), F.asc("level_rank"), *_newest()]
-    return _page_with_latest(cand, history, order, limit)
+    return _page_with_latest(cand, articles, history, order, limit, rank_cols=("match_rank", "level_rank"))
 
 
-def similar_articles(articles: DataFrame, history: DataFrame, topics: list[str], limit: int = 5) -> DataFrame:
+def similar_articles(articles: DataFrame, history: DataFrame, topics: list[str], limit: int = 5,
+                     keys: DataFrame | None = None) -> DataFrame:
     """Q2: any topic in summary or content; High/Medium only; level rank,
     then newest.  No topics -> no rows."""
     if not topics:
         return articles.limit(0).select(*PAGE_COLUMNS)
-    cand = (articles.filter(any_like_ci(["short_summary", "content"], topics)
-                            & F.col("credibility_level").isin("High", "Medium"))
-            .select(*PAGE_COLUMNS, level_rank("credibility_level").alias("level_rank")))
-    return _page_with_latest(cand, history, [F.asc("level_rank"), *_newest()], limit)
+    cand = ((articles if keys is None else keys)
+            .filter(any_like_ci(["short_summary", "content"], topics) & F.col("credibility_level").isin("High", "Medium"))
+            .select("id", "created_at", level_rank("credibility_level").alias("level_rank")))
+    return _page_with_latest(cand, articles, history, [F.asc("level_rank"), *_newest()], limit,
+                             rank_cols=("level_rank",))
 
 
 def articles_with_topics(articles: DataFrame, history: DataFrame, topics: list[str], limit: int = 10,
-                         offset: int = 0) -> tuple[DataFrame, DataFrame]:
+                         offset: int = 0, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Q3: as Q2 without the level filter, newest first, paged, with total."""
     if not topics:
         empty = articles.limit(0).select(*PAGE_COLUMNS)
         return empty, page_info(count_total(empty), limit, offset)
-    cand = articles.filter(any_like_ci(["short_summary", "content"], topics)).select(*PAGE_COLUMNS)
-    rows = _page_with_latest(cand, history, _newest(), limit, offset)
+    cand = (articles if keys is None else keys).filter(any_like_ci(["short_summary", "content"], topics))
+    rows = _page_with_latest(cand, articles, history, _newest(), limit, offset)
     return rows, page_info(count_total(cand), limit, offset)
 
 
@@ -281,11 +294,8 @@ def similar_for_all(articles: DataFrame, k: int = 3, salt: int = 64) -> DataFram
             .select("tag", F.col("id").alias("similar_id"),
                     F.col("created_at").alias("similar_created_at"),
                     F.col("tags").alias("similar_tags")))
-    from veracity.functions.text import FALLBACK_TOPICS, TOPIC_KEYWORDS
-    from veracity.plans.ordered import bounded_broadcast
-    n_tags = len(TOPIC_KEYWORDS) + len(FALLBACK_TOPICS)
     pairs = (tagged.select("id", "query_tags", F.explode("query_tags").alias("tag"))
-             .join(bounded_broadcast(best, n_tags * (k + 1)), "tag")
+             .join(best, "tag")
              .filter(F.col("similar_id") != F.col("id"))
              .select("id", "similar_id", "similar_created_at",
                      F.size(F.array_intersect("query_tags", "similar_tags")).cast("long").alias("shared_topics"))

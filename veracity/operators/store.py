@@ -61,10 +61,11 @@ def validate_articles(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     level one of High/Medium/Low or NULL (a NULL passes a CHECK); id
     unique.  Quarantined rows carry every failed rule in ``reasons``.
 
-    Duplicate ids are found with a per-id count joined back (an aggregation
-    with map-side combine), not a window that would gather a hot id.
+    Duplicate ids are found with a per-id count (an aggregation
+    with map-side combine), not a window that would gather a hot id; only the ids
+    that do repeat are joined back.
     """
-    dup = articles.groupBy("id").agg(F.count(F.lit(1)).alias("_copies"))
+    dup = articles.groupBy("id").agg(F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > 1)
     checked = articles.join(dup, "id", "left")
     rules = [
         (F.col("title").isNull(), "title is null"),
@@ -126,12 +127,12 @@ def resolve_batch(articles: DataFrame, batch: DataFrame) -> DataFrame:
     # the batch feeds four branches (per-url summary, creators, blank ids,
     # the rows themselves): compute it once
     b = batch.withColumn("_key", _url_key()).persist(StorageLevel.MEMORY_AND_DISK)
+    asked = (b.filter(F.col("_key").isNotNull())
+             .groupBy("_key").agg(F.min("seq").alias("_first"), F.max("seq").alias("_last")))
     existing = (articles.select(F.col("url").alias("_key"), "id")
-                .filter(F.col("_key").isNotNull() & (F.col("_key") != ""))
+                .join(asked.select("_key"), "_key", "left_semi")
                 .groupBy("_key").agg(F.min("id").alias("_existing")))
-    per_url = (b.filter(F.col("_key").isNotNull())
-               .groupBy("_key").agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"))
-               .join(existing, "_key", "left"))
+    per_url = asked.join(existing, "_key", "left")
     # rows that create an article: first row of a new url, every blank-url row
     creators = (per_url.filter(F.col("_existing").isNull()).select("_key", F.col("_first").alias("seq"))
                 .unionByName(b.filter(F.col("_key").isNull()).select("_key", "seq")))
@@ -169,11 +170,11 @@ def upsert_articles(articles: DataFrame, batch: DataFrame, now: str | Column) ->
     fields = ["title", "source", "content", "short_summary", "credibility_level", "is_featured"]
     upd = r.filter(~F.col("created_in_batch")).select(F.col("article_id").alias("id"),
                                                       *[F.col(c).alias(f"_n_{c}") for c in fields])
-    kept = articles.join(upd.select("id"), "id", "left_anti")
-    updated = articles.join(upd, "id", "inner").select(
-        "id", *[F.col(f"_n_{c}").alias(c) for c in fields[:4]], "url",
-        F.col("_n_credibility_level").alias("credibility_level"), "created_at",
-        ts.alias("updated_at"), F.col("_n_is_featured").alias("is_featured"))
+    # one join: an article keeps its fields or takes the batch row's
+    hit = F.col("_hit").isNotNull()
+    after = articles.join(upd.withColumn("_hit", F.lit(True)), "id", "left").select(
+        "id", *[F.when(hit, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in fields], "url", "created_at",
+        F.when(hit, ts).otherwise(F.col("updated_at")).alias("updated_at"))
     # a url created by the batch may repeat later in it: the id comes from
     # its first row, the values from its last row
     inserted = (r.filter("created_in_batch")
@@ -181,8 +182,7 @@ def upsert_articles(articles: DataFrame, batch: DataFrame, now: str | Column) ->
                         "short_summary", "credibility_level", ts.alias("created_at"),
                         ts.alias("updated_at"), "is_featured"))
     cols = [c for c in ARTICLE_COLUMNS if c in articles.columns]
-    return (kept.select(*cols).unionByName(updated.select(*cols))
-            .unionByName(inserted.select(*cols)))
+    return after.select(*cols).unionByName(inserted.select(*cols))
 
 
 def append_history(history: DataFrame, articles: DataFrame, batch: DataFrame, now: str | Column,
@@ -192,7 +192,8 @@ def append_history(history: DataFrame, articles: DataFrame, batch: DataFrame, no
     r = resolve_batch(articles, batch)
     start = F.coalesce(history.agg(F.max("id")).scalar(), F.lit(0)) + 1
     rows = dense_index(r, ["seq"], "id", start)
-    analysis_cols = analysis_cols or [c for c in ANALYSIS.fieldNames() if c in batch.columns]
+    if analysis_cols is None:
+        analysis_cols = [c for c in ANALYSIS.fieldNames() if c in batch.columns]
     return rows.select("id", "article_id", _now(now).alias("created_at"), *analysis_cols)
 
 

@@ -58,6 +58,11 @@ def q_seed_source_stats(spark, d):
     return _stats(spark, d).select("source", "high", "medium", "low", "total_analyzed", "is_initial")
 
 
+@register("total_sources")
+def q_total_sources(spark, d):
+    return stats.total_sources(_stats(spark, d))
+
+
 @register("credibility_distribution")
 def q_credibility_distribution(spark, d):
     return stats.credibility_distribution(views.articles(spark, d, url=False))
@@ -114,10 +119,15 @@ def q_analysis_quality(spark, d):
     return H.analysis_quality(*_ah(spark, d))
 
 
-for _metric in ("consistency", "depth", "completeness", "timeliness"):
+@register("consistency")
+def q_consistency(spark, d):
+    return H.consistency(*_ah(spark, d))
+
+
+for _metric in ("depth", "completeness", "timeliness"):
     def _mk(metric):
         def q(spark, d):
-            return H.analysis_quality(*_ah(spark, d)).select("id", metric)
+            return H.oldest_metrics(*_ah(spark, d)).select("id", metric)
         return q
     register(_metric)(_mk(_metric))
 
@@ -251,7 +261,7 @@ def _labelled_ids(spark, d):
 @register("article_exists")
 def q_article_exists(spark, d):
     a = views.articles(spark, d, level=False)
-    return L.article_exists(a, lookup_keys(spark, d))
+    return L.article_exists(a, lookup_keys(spark, d), titles=_keys(spark, d))
 
 
 def _hist_rows(df):
@@ -261,25 +271,25 @@ def _hist_rows(df):
 @register("article_by_id")
 def q_article_by_id(spark, d):
     a, h = _ah(spark, d)
-    return _hist_rows(L.article_by_id(a, h, _labelled_ids(spark, d)))
+    return _hist_rows(L.article_by_id(a, h, _labelled_ids(spark, d), columns=[]))
 
 
 @register("article_by_url")
 def q_article_by_url(spark, d):
     a, h = _ah(spark, d, url=True)
     urls = read_table(spark, d, "pages").select("url")
-    return _hist_rows(L.article_by_url(a, h, urls))
+    return _hist_rows(L.article_by_url(a, h, urls, columns=[]))
 
 
 @register("daily_buzz")
 def q_daily_buzz(spark, d):
-    return _hist_rows(L.daily_buzz(*_ah(spark, d)))
+    return _hist_rows(L.daily_buzz(*_ah(spark, d), columns=[]))
 
 
 @register("article_history")
 def q_article_history(spark, d):
     h = views.history(spark, d)
-    return L.article_history(h, _labelled_ids(spark, d)).select(
+    return L.article_history(h, _labelled_ids(spark, d), columns=["credibility_score"]).select(
         "id", "article_id", "created_at", "position", "credibility_score")
 
 
@@ -287,18 +297,19 @@ def _full(spark, d):
     return views.articles(spark, d), views.history(spark, d)
 
 
-def _full_text(spark, d):
-    return views.articles(spark, d, text_work=True), views.history(spark, d)
+def _keys(spark, d, level=False):
+    """The article table without the joins that a filter or an order doesn't need."""
+    return views.articles(spark, d, level=level, url=False)
 
 
 @register("articles_by_source")
 def q_articles_by_source(spark, d):
-    return L.articles_by_source(*_full(spark, d), source="src3", limit=10)
+    return L.articles_by_source(*_full(spark, d), source="src3", limit=10, keys=_keys(spark, d))
 
 
 @register("recent_articles")
 def q_recent_articles(spark, d):
-    return L.recent_articles(*_full(spark, d), days=7, limit=10, as_of=AS_OF)
+    return L.recent_articles(*_full(spark, d), days=7, limit=10, as_of=AS_OF, keys=_keys(spark, d))
 
 
 FILTER_ARGS = dict(source="src1", level="High", date_from="2024-01-02", date_to="2024-01-20",
@@ -308,32 +319,32 @@ RANGE_ARGS = dict(start="2024-01-03", end="2024-01-09", limit=10, offset=5)
 
 @register("filter_articles")
 def q_filter_articles(spark, d):
-    return L.filter_articles(*_full(spark, d), **FILTER_ARGS)[0]
+    return L.filter_articles(*_full(spark, d), **FILTER_ARGS, keys=_keys(spark, d, level=True))[0]
 
 
 @register("filter_articles_info")
 def q_filter_articles_info(spark, d):
-    return L.filter_articles(*_full(spark, d), **FILTER_ARGS)[1]
+    return L.filter_articles(*_full(spark, d), **FILTER_ARGS, keys=_keys(spark, d, level=True))[1]
 
 
 @register("articles_in_range")
 def q_articles_in_range(spark, d):
-    return L.articles_in_range(*_full(spark, d), **RANGE_ARGS)[0]
+    return L.articles_in_range(*_full(spark, d), **RANGE_ARGS, keys=_keys(spark, d))[0]
 
 
 @register("articles_in_range_info")
 def q_articles_in_range_info(spark, d):
-    return L.articles_in_range(*_full(spark, d), **RANGE_ARGS)[1]
+    return L.articles_in_range(*_full(spark, d), **RANGE_ARGS, keys=_keys(spark, d))[1]
 
 
 @register("history_page")
 def q_history_page(spark, d):
-    return L.history_page(*_full(spark, d), limit=10, offset=20)[0]
+    return L.history_page(*_full(spark, d), limit=10, offset=20, keys=_keys(spark, d))[0]
 
 
 @register("page_info")
 def q_page_info(spark, d):
-    return L.history_page(*_full(spark, d), limit=10, offset=20)[1]
+    return L.history_page(*_full(spark, d), limit=10, offset=20, keys=_keys(spark, d))[1]
 
 
 @register("article_page")
@@ -344,27 +355,27 @@ def q_article_page(spark, d):
 
 @register("search_articles")
 def q_search_articles(spark, d):
-    return L.search_articles(*_full_text(spark, d), term=SEARCH_TERM, limit=10)
+    return L.search_articles(*_full(spark, d), term=SEARCH_TERM, limit=10, keys=_keys(spark, d, level=True))
 
 
 @register("similar_articles")
 def q_similar_articles(spark, d):
-    return L.similar_articles(*_full_text(spark, d), topics=SIMILAR_TOPICS, limit=5)
+    return L.similar_articles(*_full(spark, d), topics=SIMILAR_TOPICS, limit=5, keys=_keys(spark, d, level=True))
 
 
 @register("articles_with_topics")
 def q_articles_with_topics(spark, d):
-    return L.articles_with_topics(*_full_text(spark, d), topics=TOPIC_TERMS, limit=10, offset=10)[0]
+    return L.articles_with_topics(*_full(spark, d), topics=TOPIC_TERMS, limit=10, offset=10, keys=_keys(spark, d))[0]
 
 
 @register("articles_with_topics_info")
 def q_articles_with_topics_info(spark, d):
-    return L.articles_with_topics(*_full_text(spark, d), topics=TOPIC_TERMS, limit=10, offset=10)[1]
+    return L.articles_with_topics(*_full(spark, d), topics=TOPIC_TERMS, limit=10, offset=10, keys=_keys(spark, d))[1]
 
 
 @register("similar_for_all")
 def q_similar_for_all(spark, d):
-    return L.similar_for_all(views.articles(spark, d, level=False, url=False, text_work=True), k=3)
+    return L.similar_for_all(views.articles(spark, d, level=False, url=False), k=3)
 
 
 # ------------------------------------------------------------------ scoring / text
@@ -397,20 +408,20 @@ def q_short_summary(spark, d):
 
 @register("content_preview")
 def q_content_preview(spark, d):
-    a = views.articles(spark, d, level=False, url=False, text_work=True)
+    a = views.articles(spark, d, level=False, url=False)
     return a.select("id", TX.content_preview("content").alias("content_preview"))
 
 
 @register("tag_topics")
 def q_tag_topics(spark, d):
-    a = views.articles(spark, d, level=False, url=False, text_work=True)
+    a = views.articles(spark, d, level=False, url=False)
     return TX.with_tags(a.select("id", "content"), "content").select(
         "id", F.array_join("tags", ",").alias("topics"))
 
 
 @register("topic_counts")
 def q_topic_counts(spark, d):
-    return SC.topic_counts(views.articles(spark, d, level=False, url=False, text_work=True))
+    return SC.topic_counts(views.articles(spark, d, level=False, url=False))
 
 
 @register("build_topic_query")
@@ -442,13 +453,13 @@ def q_decode_response(spark, d):
 
 @register("build_prompt")
 def q_build_prompt(spark, d):
-    a = views.articles(spark, d, level=False, url=False, text_work=True)
+    a = views.articles(spark, d, level=False, url=False)
     return a.select("id", SF.build_prompt("content", "source").alias("prompt"))
 
 
 @register("analyze_articles")
 def q_analyze_articles(spark, d):
-    return SC.analyze_articles(views.articles(spark, d, level=False, url=False, text_work=True),
+    return SC.analyze_articles(views.articles(spark, d, level=False, url=False),
                                views.history(spark, d))
 
 
@@ -459,25 +470,30 @@ TALK_HOST = "talk.example.org"
 FEATURED_TITLE = "Featured: how the sources compare this week"
 
 
+def _seq(kind: int, first, second=None):
+    """The order of a submission: pages, then passages, then turns; unique at any scale."""
+    second = F.lit(0) if second is None else second
+    return F.struct(F.lit(kind).alias("kind"), first.cast("long").alias("first"),
+                    second.cast("long").alias("second")).alias("seq")
+
+
 def save_batch(spark, d):
-    """Submissions derived from the data: every page (its <title>, host and
-    url: all urls already stored, so updates), every benchmark passage (no
-    url: inserts) and every user turn of a conversation filed under one of
+    """Submissions derived from the data: every page (its extracted title and text,
+    host and url: all urls already stored, so updates), every benchmark passage (no
+    url: inserts) and every turn of a conversation filed under one of
     50 discussion urls (new urls, each repeated: first row creates, last
     row's values win)."""
-    p = read_table(spark, d, "pages").select("page_id", "url", "html")
-    title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
-    pages = p.select(F.col("page_id").alias("seq"), title.alias("title"), TX.bare_host("url").alias("source"),
-                     "url", title.alias("content"), TX.source_level("url").alias("credibility_level"),
+    p = PG.extract_pages(read_table(spark, d, "pages"))
+    pages = p.select(_seq(0, F.col("page_id")), "title", TX.bare_host("url").alias("source"),
+                     "url", F.coalesce("text", "title").alias("content"), TX.source_level("url").alias("credibility_level"),
                      F.lit(False).alias("is_featured"))
     bench = read_table(spark, d, "benchmark").select(
-        (F.lit(1_000_000_000) + F.col("item_id")).alias("seq"), F.substring("text", 1, 60).alias("title"),
+        _seq(1, F.col("item_id")), F.substring("text", 1, 60).alias("title"),
         F.lit("benchmark").alias("source"), F.lit(None).cast("string").alias("url"),
         F.col("text").alias("content"), F.lit("Medium").alias("credibility_level"),
         F.lit(False).alias("is_featured"))
-    c = read_table(spark, d, "conversations").filter(F.col("role") == "user")
-    talk = c.select(
-        (F.lit(2_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("seq"),
+    talk = read_table(spark, d, "conversations").select(
+        _seq(2, F.col("conv_id"), F.col("turn")),
         F.substring("text", 1, 60).alias("title"), F.lit(TALK_HOST).alias("source"),
         F.concat(F.lit(f"https://{TALK_HOST}/"), (F.col("conv_id") % 50).cast("string")).alias("url"),
         F.col("text").alias("content"), F.lit("Low").alias("credibility_level"),
@@ -555,6 +571,13 @@ def q_cascade_delete(spark, d):
     return h.select("id", "article_id")
 
 
+@register("cascade_delete_articles")
+def q_cascade_delete_articles(spark, d):
+    toxic = read_table(spark, d, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("id"))
+    a, _ = ST.cascade_delete(views.articles(spark, d, level=False, url=False), views.history(spark, d), toxic)
+    return a.select("id", "title", "source")
+
+
 @register("seed_featured")
 def q_seed_featured(spark, d):
     a = _store_articles(spark, d)
@@ -587,16 +610,18 @@ def q_decode_analysis(spark, d):
 
 NEWS_QUERY = "Ether OR the_"
 EVERYTHING_QUERY = "ether OR ai_"
+FEED_DOMAINS = ["blog.tionsh.example.net", "thther.example.org", "blog.ththan.example.net", "ththhe.example.com"]
+FEED_SOURCES = ["src1", "src2", "src3"]
 
 
 @register("extract_pages")
 def q_extract_pages(spark, d):
-    return PG.extract_pages(read_table(spark, d, "pages", rebalance=True))
+    return PG.extract_pages(read_table(spark, d, "pages"))
 
 
 @register("page_extraction_report")
 def q_page_extraction_report(spark, d):
-    return PG.page_extraction_report(PG.extract_pages(read_table(spark, d, "pages", rebalance=True)))
+    return PG.page_extraction_report(PG.extract_pages(read_table(spark, d, "pages")))
 
 
 def route_inputs(spark, d):
@@ -616,24 +641,31 @@ def q_route_input(spark, d):
                                                          F.length("input").cast("long").alias("input_length"))
 
 
-def _feed_articles(spark, d, tags: bool = False):
-    # feed searches are one regex per column; tagging pays for rebalancing the scan
-    return views.articles(spark, d, level=False, text_work=tags)
+def _feed_articles(spark, d):
+    return views.articles(spark, d, level=False)
 
 
 @register("search_news")
 def q_search_news(spark, d):
-    return FD.search_news(_feed_articles(spark, d), NEWS_QUERY, "2024-01-02", "2024-01-20", "en")[0]
+    return FD.search_news(_feed_articles(spark, d), NEWS_QUERY, "2024-01-02", "2024-01-20", "en",
+                          keys=_keys(spark, d))[0]
 
 
 @register("search_news_total")
 def q_search_news_total(spark, d):
-    return FD.search_news(_feed_articles(spark, d), NEWS_QUERY, "2024-01-02", "2024-01-20", "en")[1]
+    return FD.search_news(_keys(spark, d), NEWS_QUERY, "2024-01-02", "2024-01-20", "en")[1]
+
+
+@register("search_news_relevancy")
+def q_search_news_relevancy(spark, d):
+    hosts = FEED_DOMAINS
+    return FD.search_news(_feed_articles(spark, d), NEWS_QUERY, language=None, sort_by="relevancy", page_size=15,
+                          domains=hosts)[0]
 
 
 @register("get_everything")
 def q_get_everything(spark, d):
-    return FD.get_everything(_feed_articles(spark, d), EVERYTHING_QUERY, page_size=5)
+    return FD.get_everything(_feed_articles(spark, d), EVERYTHING_QUERY, page_size=5, keys=_keys(spark, d))
 
 
 @register("news_article_by_url")
@@ -643,17 +675,28 @@ def q_news_article_by_url(spark, d):
 
 @register("top_headlines")
 def q_top_headlines(spark, d):
-    return FD.top_headlines(_feed_articles(spark, d, tags=True), country="fr", category="technology")[0]
+    return FD.top_headlines(_feed_articles(spark, d), country="fr", category="technology", keys=_keys(spark, d))[0]
 
 
 @register("top_headlines_total")
 def q_top_headlines_total(spark, d):
-    return FD.top_headlines(_feed_articles(spark, d, tags=True), country="fr", category="technology")[1]
+    return FD.top_headlines(_keys(spark, d), country="fr", category="technology")[1]
+
+
+@register("top_headlines_by_source")
+def q_top_headlines_by_source(spark, d):
+    return FD.top_headlines(_feed_articles(spark, d), country="us", sources=FEED_SOURCES, page_size=12,
+                            keys=_keys(spark, d))[0]
+
+
+@register("list_sources_by_country")
+def q_list_sources_by_country(spark, d):
+    return FD.list_sources(_keys(spark, d), category="technology", country="fr")
 
 
 @register("list_sources")
 def q_list_sources(spark, d):
-    return FD.list_sources(_feed_articles(spark, d), language="en")
+    return FD.list_sources(_keys(spark, d), language="en")
 
 
 # ------------------------------------------------------------------ streams

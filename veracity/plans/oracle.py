@@ -24,6 +24,9 @@ FROM source_stats WHERE total_analyzed > 0""", "source_stats")
 sql("seed_source_stats", """
 SELECT source, high, medium, low, total_analyzed, is_initial FROM source_stats""", "source_stats")
 
+sql("total_sources", """
+SELECT count(*) AS total_sources FROM source_stats WHERE total_analyzed > 0""", "source_stats")
+
 sql("credibility_distribution", """
 SELECT credibility_level, count(*) AS count,
   CAST(round(CAST(count(*) * 1.0 / (SELECT count(*) FROM articles) * 100 AS DECIMAL(18,6)), 1) AS DOUBLE) AS percentage
@@ -606,7 +609,8 @@ SELECT conv_id, turn,
          THEN CAST(json_extract({j}, '$.credibility.score') AS DOUBLE) ELSE {_d(S.FALLBACK_SCORE)} END
        ELSE {_d(S.FALLBACK_SCORE)} END AS credibility_score,
   CASE WHEN text IS NULL OR text = '' THEN {_q(S.FALLBACK_EXPLANATION + S.EMPTY_RESPONSE_ERROR)}
-       WHEN {ok} THEN coalesce(json_extract_string({j}, '$.credibility.explanation'), {_q(S.NORMALIZED_EXPLANATION)})
+       WHEN {ok} THEN CASE WHEN json_extract({j}, '$.credibility') IS NOT NULL
+         THEN json_extract_string({j}, '$.credibility.explanation') ELSE {_q(S.NORMALIZED_EXPLANATION)} END
        ELSE {_q(S.TEXT_EXPLANATION)} END AS explanation,
   CASE WHEN text IS NULL OR text = '' THEN 'General News,Politics'
        WHEN {ok} THEN CASE WHEN json_extract({j}, '$.topics') IS NOT NULL THEN array_to_string({names}, ',')
@@ -658,21 +662,73 @@ def host_sql(col: str) -> str:
     return f"replace(regexp_extract({col}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', '')"
 
 
+# The text of a page by regular expressions: enough for the fixture's regular pages,
+# and nothing of the parser that the engine uses.
+_BLOCK = ("</?(?:address|article|aside|blockquote|div|dl|fieldset|footer|form|h[1-6]|header|hr|main|nav|ol|p|pre|"
+          "section|table|ul)\\b")
+
+
+def _plain(x: str) -> str:
+    out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for entity, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&nbsp;", "chr(160)")):
+        out = f"replace({out}, '{entity}', {char})"
+    return f"regexp_replace({out}, '&amp;?', '&', 'g')"
+
+
+PAGE_TEXT = f"""page_article AS (
+  SELECT page_id, url, html LIKE '%<article%' AS found,
+    regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*?)(?:</article>|$)', 1),
+      '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)\\b.*?</(script|style)>', '', 'g') AS art FROM pages
+),
+page_parts AS (SELECT *, string_split(art, '<p>')[2:] AS parts FROM page_article),
+page_cut AS (
+  SELECT *, [regexp_extract(x, '(?s)^(.*?)(?:{_BLOCK}|$)', 1) for x in parts] AS paras,
+    regexp_extract(art, '(?s)<h1>(.*?)(?:</h1>|$)', 1) AS h1 FROM page_parts
+),
+page_text AS (
+  SELECT page_id, url, regexp_matches(url, '^[A-Za-z]+://[^/?#]+') AS valid, found,
+    CASE WHEN valid AND found THEN {_plain("array_to_string(paras, ' ')")} END AS text,
+    CASE WHEN valid THEN replace(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1), 'www.', '') END AS host,
+    CASE WHEN valid AND art LIKE '%<h1>%' THEN {_plain('h1')} WHEN valid THEN 'No title available' END AS title,
+    CASE WHEN NOT valid THEN 'Invalid URL format' WHEN NOT found THEN 'Failed to extract content' END AS error
+  FROM page_cut
+)"""
+
+ORACLE["extract_pages"] = f"WITH {PAGE_TEXT}\nSELECT page_id, url, text, host, title, error FROM page_text"
+ORACLE["page_extraction_report"] = f"""WITH {PAGE_TEXT}
+SELECT coalesce(host, url) AS host, count(*) AS pages, count(error) AS failures, avg(length(text)) AS mean_text_length
+FROM page_text GROUP BY 1"""
+
+_PERSPECTIVE_JSON = """'{' || array_to_string([
+  '"' || x || '":{' || concat_ws(',', CASE WHEN credibility_score >= 0.8 THEN '"credibility":"High"'
+    WHEN credibility_score >= 0.6 THEN '"credibility":"Medium"'
+    WHEN credibility_score IS NOT NULL THEN '"credibility":"Low"' END,
+    '"summary":"' || x || ':' || CAST(k % 3 AS VARCHAR) || '"', '"key_points":[]') || '}'
+  for x in perspective_keys], ',') || '}'"""
+sql("encode_analysis", f"""
+SELECT id, '{{' || concat_ws(',',
+  '"credibility_score":' || CAST(credibility_score AS VARCHAR), '"sentiment_score":' || CAST(sentiment_score AS VARCHAR),
+  '"bias_score":' || CAST(bias_score AS VARCHAR),
+  '"topics":["' || array_to_string(topics, '","') || '"]', '"key_arguments":["' || array_to_string(key_arguments, '","') || '"]',
+  CASE WHEN perspective_keys IS NOT NULL THEN '"perspectives":' || {_PERSPECTIVE_JSON} END) || '}}' AS analysis_data
+FROM analysis_history""", "analysis_history")
+
+
 def _store_sql():
     from veracity.plans import catalog as C
     now = f"TIMESTAMP '{C.NOW}'"
-    title = "regexp_extract(html, '<title>(.*?)</title>', 1)"
     batch = f""",
+{PAGE_TEXT},
 batch AS (
-  SELECT page_id AS seq, {title} AS title, {host_sql('url')} AS source, url, {title} AS content,
-    {source_level_sql('url')} AS credibility_level, false AS is_featured FROM pages
+  SELECT page_id AS seq, title, {host_sql('url')} AS source, url, coalesce(text, title) AS content,
+    {source_level_sql('url')} AS credibility_level, false AS is_featured FROM page_text
   UNION ALL
   SELECT 1000000000 + item_id, substring(text, 1, 60), 'benchmark', CAST(NULL AS VARCHAR), text, 'Medium', false
   FROM benchmark
   UNION ALL
   SELECT 2000000000 + conv_id * 1000 + turn, substring(text, 1, 60), '{C.TALK_HOST}',
     'https://{C.TALK_HOST}/' || CAST(conv_id % 50 AS VARCHAR), text, 'Low', false
-  FROM conversations WHERE role = 'user'
+  FROM conversations
 ),
 b AS (SELECT *, nullif(url, '') AS k FROM batch),
 existing AS (SELECT url AS k, min(id) AS eid FROM articles WHERE url IS NOT NULL AND url <> '' GROUP BY url),
@@ -760,6 +816,9 @@ WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.id = h.article_id)"""
     out["cascade_delete"] = """
 SELECT id, article_id FROM analysis_history
 WHERE article_id IS NULL OR article_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)"""
+    out["cascade_delete_articles"] = """
+SELECT id, title, source FROM articles
+WHERE id IS NULL OR id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)"""
     out["seed_featured"] = f"""
 SELECT id, title, is_featured FROM articles
 UNION ALL
@@ -808,6 +867,16 @@ FROM k"""
     out["search_news_total"] = f"\nSELECT count(*) AS total_results FROM articles WHERE {where}"
     ev = _any_like(["title", "short_summary", "content"], query_terms(C.EVERYTHING_QUERY))
     out["get_everything"] = f"\nSELECT {cols} FROM articles WHERE {ev} ORDER BY created_at DESC, id LIMIT 5"
+    rel = _any_like(["title"], query_terms(C.NEWS_QUERY))
+    hosts = ", ".join(f"'{h}'" for h in C.FEED_DOMAINS)
+    out["search_news_relevancy"] = (f"\nSELECT {cols} FROM articles WHERE {match} AND {host_sql('url')} IN ({hosts})"
+                                    f" ORDER BY CASE WHEN {rel} THEN 1 ELSE 2 END, created_at DESC, id LIMIT 15")
+    chosen = ", ".join(f"'{x}'" for x in C.FEED_SOURCES)
+    out["top_headlines_by_source"] = (f"\nSELECT {cols} FROM articles WHERE lang = 'en' AND source IN ({chosen})"
+                                      " ORDER BY created_at DESC, id LIMIT 12")
+    out["list_sources_by_country"] = f"""
+SELECT source, count(*) AS articles, max(created_at) AS latest_published_at FROM articles
+WHERE lang = 'fr' AND list_contains({tags_sql('content')}, 'technology') GROUP BY source"""
     out["news_article_by_url"] = f"\nSELECT {cols} FROM articles WHERE url IN (SELECT url FROM pages WHERE url <> '')"
     th = f"lang = 'fr' AND list_contains({tags_sql('content')}, 'technology')"
     out["top_headlines"] = f"\nSELECT {cols} FROM articles WHERE {th} ORDER BY created_at DESC, id LIMIT 20"

@@ -12,8 +12,8 @@ articles AS (
     d.lang AS lang, d.text AS content,
     CASE WHEN length(d.text) > 200 THEN concat(substring(d.text, 1, 200), '...') ELSE d.text END AS short_summary,
     CASE WHEN l.quality = 0 THEN 'Low' WHEN l.quality = 1 AND l.toxic = 0 THEN 'High' ELSE 'Medium' END AS credibility_level,
-    TIMESTAMP '2024-01-01 00:00:00' + d.doc_id * INTERVAL '37' MINUTE AS created_at,
-    TIMESTAMP '2024-01-01 00:00:00' + d.doc_id * INTERVAL '37' MINUTE AS updated_at,
+    TIMESTAMP '2024-01-01 00:00:00' + (d.doc_id % 14200000) * INTERVAL '37' MINUTE AS created_at,
+    TIMESTAMP '2024-01-01 00:00:00' + (d.doc_id % 14200000) * INTERVAL '37' MINUTE AS updated_at,
     d.doc_id = 0 AS is_featured
   FROM documents d
   LEFT JOIN labels l ON l.doc_id = d.doc_id

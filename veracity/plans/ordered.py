@@ -7,19 +7,24 @@ job.  ``with_previous`` instead range-partitions the rows on
 into several balanced partitions, each a contiguous piece of the group's
 order.  Then:
 
-1. rows:    ``lag`` / ``row_number`` over (group, partition) ordered by the
-            row's position in its sorted partition
-2. pieces:  one aggregation per (group, partition): row count and the last
-            row's values
+1. rows:    ``lag`` / ``row_number`` over (group, piece)
+2. pieces:  one aggregation per (group, piece): row count and the last row's
+            (or last known) values
 3. offsets: a window over a group's pieces (at most one row per partition,
             so bounded by the partition count, not by the group's rows) gives
-            the previous piece's last row and the running row offset
-4. join the offsets back on (group, partition).
+            the previous piece's values and the running row offset
+4. join the offsets back on (group, piece): rows and pieces are already
+            distributed by that, so no shuffle is added.
 
 Result: every row gets ``seq`` (1-based position in its group),
 ``group_size`` and ``prev_<c>`` for each requested column; ``has_prev`` marks
 rows with a predecessor (a predecessor's value may itself be NULL).  The
 order (ts, tiebreak) must be unique within a group.
+
+The number of partitions is left to the session (``spark.sql.shuffle.partitions``
+and adaptive coalescing).  Rows and pieces must see one and the same cut, and
+two evaluations of a sampled range partitioning need not agree, so the cut is
+materialised with ``checkpoint()``: pass only the columns that are needed.
 """
 
 from __future__ import annotations
@@ -29,65 +34,41 @@ from pyspark.sql import functions as F
 
 from veracity.session import ensure_checkpoint_dir
 
-_POS_MASK = (1 << 33) - 1
-
 
-def with_previous(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
-                  cols: list[str], partitions: int | None = None) -> DataFrame:
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    order = [*keys, ts, tiebreak]
-    # the rows and the piece summary must see one and the same numbering:
-    # materialise it (checkpoint in the session's checkpoint folder) instead
-    # of trusting two evaluations of a sampled range partitioning to agree
+def _cut(df: DataFrame, order: list[str], name: str, partitions: int | None) -> DataFrame:
+    """``df`` range-partitioned on ``order``, with the partition's number, materialised."""
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *[F.col(c) for c in order])
-              .sortWithinPartitions(*order)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .select("*", F.shiftright("_mid", 33).alias("_chunk"),
-                      F.col("_mid").bitwiseAND(_POS_MASK).alias("_pos"))
-              .drop("_mid")
-              .checkpoint())
-    part = [*keys, "_chunk"]
-    w_row = Window.partitionBy(*part).orderBy("_pos")
+    cols = [F.col(c) for c in order]
+    ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
+    return ranged.withColumn(name, F.spark_partition_id()).checkpoint()
+
+
+def with_previous(df: DataFrame, keys: list[str], ts: str, tiebreak: str, cols: list[str],
+                  partitions: int | None = None, known: bool = False) -> DataFrame:
+    """``seq``, ``group_size``, ``has_prev`` and ``prev_<c>``; with ``known`` the previous
+    value that is not NULL instead of the previous row's value."""
+    ranged = _cut(df, [*keys, ts, tiebreak], "_piece", partitions)
+    part, place = [*keys, "_piece"], F.struct(ts, tiebreak)
+    w_row = Window.partitionBy(*part).orderBy(ts, tiebreak)
+    w_before = w_row.rowsBetween(Window.unboundedPreceding, -1)
     rows = ranged.select(
-        "*",
-        F.row_number().over(w_row).alias("_rn"),
-        *[F.lag(c).over(w_row).alias(f"_lag_{c}") for c in cols],
-    )
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    if cols:
-        aggs.append(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("_pos")).alias("_last"))
-    summary = ranged.groupBy(*part).agg(*aggs)
-    w_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    offsets = summary.select(
-        *part,
-        F.coalesce(F.sum("_n").over(w_chunk.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
+        "*", F.row_number().over(w_row).alias("_rn"),
+        *[(F.last(c, ignorenulls=True).over(w_before) if known else F.lag(c).over(w_row)).alias(f"_lag_{c}") for c in cols])
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), place) if known else place).alias(f"_last_{c}") for c in cols]
+    pieces = ranged.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), *last)
+    w_piece = Window.partitionBy(*keys).orderBy("_piece")
+    w_pieces = w_piece.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(
+        *part, F.coalesce(F.sum("_n").over(w_pieces), F.lit(0)).alias("_off"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("group_size"),
-        *([F.lag("_last").over(w_chunk).alias("_plast")] if cols else []),
-    )
-    joined = rows.join(offsets, part)
-    first = F.col("_rn") == 1
-    prev = {f"prev_{c}": F.when(first, F.col("_plast")[c]).otherwise(F.col(f"_lag_{c}")) for c in cols}
-    drop = ["_chunk", "_pos", "_rn", "_off", *[f"_lag_{c}" for c in cols]] + (["_plast"] if cols else [])
-    return (joined
-            .withColumns(prev)
+        *[(F.last(f"_last_{c}", ignorenulls=True).over(w_pieces) if known else F.lag(f"_last_{c}").over(w_piece))
+          .alias(f"_plast_{c}") for c in cols])
+    outside = {c: F.col(f"_lag_{c}").isNull() if known else F.col("_rn") == 1 for c in cols}
+    return (rows.join(offsets, part)
+            .withColumns({f"prev_{c}": F.when(outside[c], F.col(f"_plast_{c}")).otherwise(F.col(f"_lag_{c}")) for c in cols})
             .withColumn("seq", F.col("_off") + F.col("_rn"))
             .withColumn("has_prev", F.col("seq") > 1)
-            .drop(*drop))
-
-
-# Largest row count we broadcast on a bound proven by parameters (a page's k,
-# tags x (k+1), one row per partition).  Beyond it the plan falls back to a
-# shuffle join and AQE decides at runtime.
-BROADCAST_ROWS_MAX = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` when its row count is bounded by ``max_rows`` (a
-    bound the caller proves from its parameters) and that bound is small;
-    otherwise leave the choice to AQE's size-checked runtime planning."""
-    return F.broadcast(df) if max_rows <= BROADCAST_ROWS_MAX else df
+            .drop("_piece", "_rn", "_off", *[f"_lag_{c}" for c in cols], *[f"_plast_{c}" for c in cols]))
 
 
 def first_last(order_ts: str, order_id: str, value: Column | str, name: str) -> list[Column]:
@@ -107,25 +88,16 @@ def dense_index(df: DataFrame, order: list[str], name: str = "idx", start: Colum
     """Number the rows 1..n (plus ``start`` - 1) in ``order`` without a
     global window on one task (zipWithIndex, in DataFrame form).
 
-    The rows are range-partitioned and sorted on ``order`` (which must be
-    unique), each row's position inside its partition comes from
-    ``monotonically_increasing_id`` (partition id in the high bits, position
-    in the low 33 bits), and per-partition counts — one row per partition,
-    so a bounded, broadcastable table — give the running offsets.
+    The rows are range-partitioned on ``order`` (which must be unique) and
+    numbered inside their partition; per-partition counts — one row per
+    partition — give the running offsets.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    # materialised so the counts and the rows read one and the same numbering
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *[F.col(c) for c in order])
-              .sortWithinPartitions(*order)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint())
-    ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
-        .withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))
+    ranged = _cut(df, order, "_pid", partitions)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     first = start if isinstance(start, Column) else F.lit(start)
-    return (ranged.join(bounded_broadcast(offsets, n), "_pid")  # one row per partition
-            .withColumn(name, (first + F.col("_off") + F.col("_pos")).cast("long"))
-            .drop("_mid", "_pid", "_pos", "_off"))
+    place = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
+    return (ranged.withColumn("_rn", place).join(offsets, "_pid")
+            .withColumn(name, (first + F.col("_off") + F.col("_rn") - 1).cast("long"))
+            .drop("_pid", "_rn", "_off"))

@@ -21,6 +21,7 @@ from veracity.sources.tables import read_table
 # Fixed values of the fixture mapping (FIXTURES.md §2).
 ARTICLE_EPOCH = "2024-01-01 00:00:00"
 ARTICLE_STEP_MINUTES = 37
+ARTICLE_CYCLE = 14_200_000
 TITLE_CHARS = 60
 TOPIC_BY_K5 = ["politics", "economy", "technology", "science", "health"]
 TOPIC_BY_K3 = ["politics", "conflict", "media"]
@@ -37,8 +38,15 @@ def _pick(index: Column, values: list) -> Column:
     return expr
 
 
+def article_time(doc_id: Column) -> Column:
+    """The article's time: one step of ARTICLE_STEP_MINUTES per id, starting over after
+    ARTICLE_CYCLE ids (about a thousand years), so that every BIGINT id has a time."""
+    steps = F.pmod(doc_id.cast("long"), F.lit(ARTICLE_CYCLE).cast("long"))
+    return F.timestamp_add("MINUTE", steps * ARTICLE_STEP_MINUTES, F.lit(ARTICLE_EPOCH).cast("timestamp_ntz"))
+
+
 def articles(spark: SparkSession, sf_dir: str, *, level: bool = True,
-             url: bool = True, text_work: bool = False) -> DataFrame:
+             url: bool = True) -> DataFrame:
     """Article table: id, title, source, url, lang, content, short_summary,
     credibility_level, created_at, updated_at, is_featured.
 
@@ -58,8 +66,7 @@ def articles(spark: SparkSession, sf_dir: str, *, level: bool = True,
     lvl = (F.when(F.col("quality") == 0, "Low")
            .when((F.col("quality") == 1) & (F.col("toxic") == 0), "High")
            .otherwise("Medium")) if level else F.lit(None).cast("string")
-    created = F.lit(ARTICLE_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(
-        mins=F.col("doc_id") * ARTICLE_STEP_MINUTES)
+    created = article_time(F.col("doc_id"))
     return df.select(
         F.col("doc_id").alias("id"),
         F.substring("text", 1, TITLE_CHARS).alias("title"),
@@ -146,6 +153,6 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model responses kept for re-decoding: the assistant turns."""
-    c = read_table(spark, sf_dir, "conversations", rebalance=True).select("conv_id", "turn", "role", "text")
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return (c.filter(F.col("role") == "assistant")
              .select("conv_id", "turn", F.col("text").alias("response_text")))

@@ -9,7 +9,10 @@ key (``read_changelog``: one ``max_by`` aggregation).  ``<base>`` lives under
 the cluster's ``spark.checkpoint.dir`` unless given.
 
 Each stream has a batch twin that defines its answer; after the stream has
-consumed all files, ``read_changelog`` equals the twin.
+consumed all files, ``read_changelog`` equals the twin, in whatever order the
+files arrive, as long as no row is older than the watermark allows.  Rows that
+are older and that Spark therefore drops are counted (``dropped_rows``).
+A table may be one file, several files beside each other, or a folder of part files.
 """
 
 from __future__ import annotations
@@ -17,13 +20,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from veracity.functions.text import score_band  # noqa: F401  (re-exported for callers)
-from veracity.operators import stats
+from veracity.operators import reuse, stats
+from veracity.plans.ordered import with_previous
 from veracity.session import ensure_checkpoint_dir
 from veracity.sources.tables import read_table
 from veracity.sources.views import history_from_events
@@ -38,13 +42,13 @@ def stream_base(spark: SparkSession, name: str) -> str:
 def read_stream_table(spark: SparkSession, folder: str, name: str,
                       max_files_per_trigger: int | None = None) -> DataFrame:
     """Stream the parquet files of table ``name`` in ``folder`` (schema from
-    the current files; new files arriving there become new micro-batches)."""
-    glob = f"{name}*.parquet"
-    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    the current files; new files arriving there become new micro-batches).
+    ``<name>*.parquet`` may be files or folders of part files."""
+    path = f"{folder.rstrip('/')}/{name}*.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(folder)
+    return r.parquet(path)
 
 
 def changelog_writer(base: str) -> Callable[[DataFrame, int], None]:
@@ -54,13 +58,21 @@ def changelog_writer(base: str) -> Callable[[DataFrame, int], None]:
 
 
 def run_available(sdf: DataFrame, base: str, mode: str = "update") -> None:
-    """Run a streaming DataFrame over everything available, then stop."""
+    """Run a streaming DataFrame over everything available, then stop, and keep the
+    number of rows that the watermark dropped beside the change log."""
     q = (sdf.writeStream.outputMode(mode)
          .foreachBatch(changelog_writer(base))
          .option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
+    dropped = sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
+    sdf.sparkSession.range(1).selectExpr(f"{dropped}L as dropped").write.mode("append").parquet(f"{base}/dropped")
+
+
+def dropped_rows(spark: SparkSession, base: str) -> int:
+    """Rows that arrived behind the watermark and are not in the change log."""
+    return spark.read.parquet(f"{base}/dropped").agg(F.sum("dropped")).first()[0] or 0
 
 
 def read_changelog(spark: SparkSession, base: str, keys: list[str]) -> DataFrame:
@@ -71,6 +83,23 @@ def read_changelog(spark: SparkSession, base: str, keys: list[str]) -> DataFrame
             .select(*keys, "_v.*"))
 
 
+def compact_changelog(spark: SparkSession, base: str, keys: list[str]) -> None:
+    """Merge the change log of a stopped stream into one folder of its newest rows
+    (``batch_id`` of the newest batch merged) and drop the older folders.  The merged
+    rows are written before anything is removed, so a failure leaves a log that reads
+    the same."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{base}/changes")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [st.getPath().getName() for st in fs.listStatus(folder)]
+    batches = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch_id="))
+    read_changelog(spark, base, keys).write.mode("overwrite").parquet(f"{base}/merged")
+    # the newest batch takes the merged rows, then what they replace goes
+    spark.read.parquet(f"{base}/merged").write.mode("overwrite").parquet(f"{base}/changes/batch_id={batches[-1]}")
+    for n in batches[:-1]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(folder, f"batch_id={n}"), True)
+
+
 # ---------------------------------------------------------------- T1
 
 def source_counts_stream(articles_stream: DataFrame) -> DataFrame:
@@ -84,7 +113,7 @@ def source_stats_stream(spark: SparkSession, sf_dir: str, base: str | None = Non
     labels table, count per source, then add the seed counters."""
     base = base or stream_base(spark, "source_stats")
     docs = read_stream_table(spark, sf_dir, "documents", max_files_per_trigger).select("doc_id", "source")
-    labels = read_table(spark, sf_dir, "labels", rebalance=False).select("doc_id", "quality", "toxic")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     lvl = (F.when(F.col("quality") == 0, "Low")
            .when((F.col("quality") == 1) & (F.col("toxic") == 0), "High").otherwise("Medium"))
     arts = docs.join(labels, "doc_id", "left").select("source", lvl.alias("credibility_level"))
@@ -108,15 +137,13 @@ def quota_admissions(events: DataFrame, per: str = "1 minute", n: int = 10) -> D
     """T2 batch, per request: its position within its client's window and
     whether the fixed-window limit admits it (the first ``n`` do).
 
-    The window key (client, window) is fine-grained: a client with a third
-    of all requests still spreads over its windows.
+    A flooding client's window may hold any share of the rows, so positions come
+    from the skew-safe sequence, not from a window on one task.
     """
-    from pyspark.sql import Window
-    e = events.withColumn("window_start", F.window("ts", per)["start"])
-    w = Window.partitionBy("user_id", "window_start").orderBy("ts", "event_id")
-    return (e.withColumn("position", F.row_number().over(w).cast("long"))
-            .select("event_id", "user_id", "window_start", "position",
-                    (F.col("position") <= n).alias("admitted")))
+    e = events.select("event_id", "user_id", "ts", F.window("ts", per)["start"].alias("window_start"))
+    seq = with_previous(e, ["user_id", "window_start"], "ts", "event_id", [])
+    return seq.select("event_id", "user_id", "window_start", F.col("seq").cast("long").alias("position"),
+                      (F.col("seq") <= n).alias("admitted"))
 
 
 def quota_windows_stream(spark: SparkSession, sf_dir: str, per: str = "1 minute", n: int = 10,
@@ -140,76 +167,59 @@ def quota_windows_stream(spark: SparkSession, sf_dir: str, per: str = "1 minute"
 
 # ---------------------------------------------------------------- T3
 
-REUSE_SCHEMA = "event_id long, key string, ts timestamp_ntz, hit boolean, cached_at timestamp_ntz"
-
-
 def submissions_from_events(events: DataFrame) -> DataFrame:
     """Scoring requests derived from the events: the event type plays the
     source and the properties text the content; key = sha2(source || content)."""
     return events.select("event_id", "ts", F.sha2(F.concat_ws("\u0001", "event_type", "props"), 256).alias("key"))
 
 
-def _reuse_group(ttl_us: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort")
-        ts = pdf["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
-        hit, anchor_out = [], []
-        anchor = None
-        for t in ts:
-            if anchor is None or t >= anchor + ttl_us:
-                anchor = t
-                hit.append(False)
-            else:
-                hit.append(True)
-            anchor_out.append(anchor)
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "key": pdf["key"].to_numpy(),
-                             "ts": pdf["ts"].to_numpy(), "hit": hit,
-                             "cached_at": pd.to_datetime(pd.Series(anchor_out, dtype="int64"), unit="us")})
-    return run
+reusable_results = reuse.reusable_results
 
-
-def reusable_results(submissions: DataFrame, ttl_seconds: int = 3600, hot_rows: int | None = None) -> DataFrame:
-    """T3 batch: is each submission answered from a result computed less
-    than ``ttl_seconds`` before?  A miss recomputes and restarts the expiry
-    clock; a hit does not renew it.  See ``operators.reuse``: small keys are
-    walked per key, hot keys by an exact parallel plan."""
-    from veracity.operators import reuse
-    return reuse.reusable_results(submissions, ttl_seconds,
-                                  reuse.HOT_ROWS if hot_rows is None else hot_rows)
+REUSE_SCHEMA = "event_id long, key string, ts timestamp_ntz, hit boolean, cached_at timestamp_ntz"
+REUSE_STATE = "anchor long, ids array<long>, times array<long>"
 
 
 def _reuse_stateful(ttl_us: int):
+    """One key's new rows.  The state holds the newest anchor that is final (older than
+    the watermark) and the rows since; they are answered anew with what arrives between
+    them, so late files inside the watermark change earlier answers and the newest
+    answer of a row is the one the batch twin gives."""
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        anchor = state.get[0] if state.exists else None
-        frames = [b for b in batches]
-        if not frames:
+        anchor, ids, times = state.get if state.exists else (None, [], [])
+        ids, times = [np.array(ids or [], np.int64)], [np.array(times or [], np.int64)]
+        for b in batches:
+            ids.append(b["event_id"].to_numpy(np.int64))
+            times.append(b["ts"].to_numpy(dtype="datetime64[us]").astype(np.int64))
+        ids, times = np.concatenate(ids), np.concatenate(times)
+        if not len(ids):
             return
-        pdf = pd.concat(frames).sort_values(["ts", "event_id"], kind="mergesort")
-        ts = pdf["ets"].to_numpy(dtype="datetime64[us]").astype("int64")
-        hit, anchors = [], []
-        for t in ts:
-            if anchor is None or t >= anchor + ttl_us:
-                anchor, h = int(t), False
-            else:
-                h = True
-            hit.append(h)
-            anchors.append(anchor)
-        state.update((int(anchor),))
-        state.setTimeoutTimestamp(int(anchor // 1000 + ttl_us // 1000))
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "key": pdf["key"].to_numpy(),
-                            "ts": pdf["ts"].to_numpy(), "hit": hit,
-                            "cached_at": pd.to_datetime(pd.Series(anchors, dtype="int64"), unit="us")})
+        order = np.lexsort((ids, times))
+        ids, times = ids[order], times[order]
+        first = 0 if anchor is None else int(np.searchsorted(times, anchor + ttl_us))
+        mark = reuse.orbit(np.arange(first, min(first + 1, len(ids))),
+                           reuse.next_rows(np.zeros(1, np.int64), times, ttl_us))
+        latest = np.maximum.accumulate(np.where(mark, np.arange(len(ids)), -1))
+        cached = np.where(latest >= 0, times[latest], 0 if anchor is None else anchor)
+        final = int(np.searchsorted(times, state.getCurrentWatermarkMs() * 1000))
+        if final:
+            anchor = int(cached[final - 1])
+        state.update((anchor, ids[final:].tolist(), times[final:].tolist()))
+        newest = int(times[-1]) if final < len(ids) else anchor + ttl_us
+        state.setTimeoutTimestamp(max(newest + ttl_us, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
+        yield pd.DataFrame({"event_id": ids, "key": key[0], "ts": pd.to_datetime(pd.Series(times), unit="us"),
+                            "hit": ~mark, "cached_at": pd.to_datetime(pd.Series(cached), unit="us")})
     return run
 
 
 def reusable_results_stream(spark: SparkSession, sf_dir: str, ttl_seconds: int = 3600,
                             watermark: str = "1 day", base: str | None = None,
-                            max_files_per_trigger: int | None = None) -> DataFrame:
-    """T3 stream: per key, the anchor time lives in the state store; expired
-    anchors are dropped by an event-time timeout."""
+                            max_files_per_trigger: int | None = 64) -> DataFrame:
+    """T3 stream: answers in any file order within ``watermark``.  State per key: one
+    anchor and the rows newer than the watermark; expired keys leave by an event-time
+    timeout.  A trigger takes a bounded number of files."""
     from veracity.session import ship_package
     ship_package(spark)
     base = base or stream_base(spark, "reusable_results")
@@ -217,9 +227,9 @@ def reusable_results_stream(spark: SparkSession, sf_dir: str, ttl_seconds: int =
     subs = (submissions_from_events(ev).withColumn("ets", F.col("ts").cast("timestamp"))
             .withWatermark("ets", watermark))
     out = subs.groupBy("key").applyInPandasWithState(
-        _reuse_stateful(ttl_seconds * 1_000_000), REUSE_SCHEMA, "anchor long", "append",
+        _reuse_stateful(ttl_seconds * 1_000_000), REUSE_SCHEMA, REUSE_STATE, "update",
         GroupStateTimeout.EventTimeTimeout)
-    run_available(out, base, mode="append")
+    run_available(out, base, mode="update")
     return read_changelog(spark, base, ["event_id"])
 
 
