@@ -31,6 +31,9 @@ TEXT_EXPLANATION = "Automated credibility assessment based on text content"
 NORMALIZED_EXPLANATION = "Normalized credibility score"
 TEXT_KEY_POINTS = ["Main points could not be determined"]
 TEXT_BIASES = ["No biases identified"]
+DEFAULT_ANALYSIS_SCORE = 0.5   # the second fallback document
+DEFAULT_ANALYSIS_EXPLANATION = "Default score due to analysis error: "
+DEFAULT_ANALYSIS_TOPICS = ["General"]
 UNKNOWN_SOURCE = "Unknown source"
 NO_CONTENT = "No content provided"
 PROMPT_TEMPLATE = """Analyze the following article content with focus on credibility assessment:
@@ -121,6 +124,52 @@ def fallback_analysis(error: Column | str) -> Column:
                 empty, empty, F.lit(DEFAULT_TOPIC_QUERY), e, "error_fallback")
 
 
+def default_analysis(error: Column | str) -> Column:
+    """E10, second variant: score 0.5 and the one topic "General"; its query is that topic."""
+    e = F.lit(error) if isinstance(error, str) else error
+    empty = F.array().cast("array<string>")
+    topics = F.array(*[F.lit(t) for t in DEFAULT_ANALYSIS_TOPICS])
+    return _doc(F.lit(DEFAULT_ANALYSIS_SCORE), F.concat(F.lit(DEFAULT_ANALYSIS_EXPLANATION), e), topics,
+                empty, empty, F.array_join(topics, " OR "), e, "default")
+
+
+_PERSPECTIVE = "struct<credibility:string,summary:string,key_points:array<string>>"
+_SUFFIX = "_perspective"
+
+
+def fold_analysis(text: Column | str) -> Column:
+    """A stored document of any of the three shapes (model response, featured seed,
+    flat) as one canonical struct; a field that the document lacks is NULL.
+
+    credibility: ``credibility_score``, ``credibility.score`` or ``index_of_credibility``;
+    bias: ``bias_score`` or ``bias.level``; key arguments: ``key_arguments`` or
+    ``key_points``; perspectives: the ``perspectives`` map or the top-level
+    ``<name>_perspective`` objects; topics: strings or objects by name, with their
+    relevance where given.  Text that is no JSON object folds to all NULL.
+    """
+    v = F.try_parse_json(col_of(text))
+
+    def get(path: str, kind: str) -> Column:
+        return F.try_variant_get(v, path, kind)
+    own = F.map_filter(get("$", "map<string,variant>"), lambda k, _: k.endswith(_SUFFIX))
+    own = F.transform_values(F.transform_keys(own, lambda k, _: F.substring(k, F.lit(1), F.length(k) - len(_SUFFIX))),
+                             lambda _, x: F.try_variant_get(x, "$", _PERSPECTIVE))
+    objects = get("$.topics", "array<variant>")
+    return F.struct(
+        F.coalesce(get("$.credibility_score", "double"), get("$.credibility.score", "double"),
+                   get("$.index_of_credibility", "double")).alias("credibility_score"),
+        get("$.sentiment_score", "double").alias("sentiment_score"),
+        F.coalesce(get("$.bias_score", "double"), get("$.bias.level", "double")).alias("bias_score"),
+        _topic_names(v).alias("topics"),
+        F.transform(objects, lambda t: F.try_variant_get(t, "$.relevance", "double")).alias("topic_relevance"),
+        F.coalesce(get("$.key_arguments", "array<string>"), get("$.key_points", "array<string>")).alias("key_arguments"),
+        F.coalesce(get("$.perspectives", f"map<string,{_PERSPECTIVE}>"), F.when(F.size(own) > 0, own)).alias("perspectives"),
+        get("$.summary", "string").alias("summary"),
+        get("$.similar_articles_query", "string").alias("similar_articles_query"),
+        get("$.news_integrity", "double").alias("news_integrity"),
+        get("$.error", "string").alias("error"))
+
+
 def text_fallback(text: Column) -> Column:
     """Document built from free text: score 0.6 and keyword topics."""
     return _doc(F.lit(FALLBACK_SCORE), F.lit(TEXT_EXPLANATION), tag_topics(text),

@@ -24,6 +24,7 @@ TOPIC_KEYWORDS = {
 }
 # Topics used when no keyword matches (names and relevances).
 FALLBACK_TOPICS = [("General News", 0.8), ("Politics", 0.7), ("Economy", 0.6)]
+KEYWORD_RELEVANCE = 0.8
 SUMMARY_LIMIT = 200
 PREVIEW_MAX = 5000
 PREVIEW_EDGE = 200
@@ -187,6 +188,18 @@ def tag_topics(text: Column | str) -> Column:
     return tags_from_string(topic_tag_string(text))
 
 
+def with_relevance(tags: Column | str) -> Column:
+    """E7 tags as (name, relevance): a fallback topic's own relevance, else that of a keyword hit."""
+    known = {n: r for n, r in FALLBACK_TOPICS}
+
+    def relevance(t: Column) -> Column:
+        out = F.lit(KEYWORD_RELEVANCE)
+        for n, r in known.items():
+            out = F.when(t == n, F.lit(r)).otherwise(out)
+        return out
+    return F.transform(col_of(tags), lambda t: F.struct(t.alias("name"), relevance(t).alias("relevance")))
+
+
 def with_tags(df, text_col: str, out: str = "tags"):
     """Add the E7 tags of ``text_col`` as column ``out``, scanning the text
     once (the tag string is projected first, so the optimizer does not

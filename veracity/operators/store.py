@@ -30,7 +30,7 @@ UPDATABLE = ["title", "source", "url", "content", "short_summary", "analysis_dat
              "credibility_level", "is_featured"]
 LEVELS = ["High", "Medium", "Low"]
 ARTICLE_COLUMNS = ["id", "title", "source", "url", "content", "short_summary",
-                   "credibility_level", "created_at", "updated_at", "is_featured"]
+                   "credibility_level", "created_at", "updated_at", "is_featured", "analysis_data"]
 
 
 def _now(now: str | Column) -> Column:
@@ -168,6 +168,10 @@ def upsert_articles(articles: DataFrame, batch: DataFrame, now: str | Column) ->
     r = resolve_batch(articles, batch).filter("is_last_for_url").persist(StorageLevel.MEMORY_AND_DISK)
     ts = _now(now)
     fields = ["title", "source", "content", "short_summary", "credibility_level", "is_featured"]
+    if "analysis_data" in batch.columns:
+        fields.append("analysis_data")
+        if "analysis_data" not in articles.columns:
+            articles = articles.withColumn("analysis_data", F.lit(None).cast("string"))
     upd = r.filter(~F.col("created_in_batch")).select(F.col("article_id").alias("id"),
                                                       *[F.col(c).alias(f"_n_{c}") for c in fields])
     # one join: an article keeps its fields or takes the batch row's
@@ -180,7 +184,9 @@ def upsert_articles(articles: DataFrame, batch: DataFrame, now: str | Column) ->
     inserted = (r.filter("created_in_batch")
                 .select(F.col("article_id").alias("id"), "title", "source", F.col("url"), "content",
                         "short_summary", "credibility_level", ts.alias("created_at"),
-                        ts.alias("updated_at"), "is_featured"))
+                        ts.alias("updated_at"), "is_featured",
+                        (F.col("analysis_data") if "analysis_data" in batch.columns else F.lit(None).cast("string"))
+                        .alias("analysis_data")))
     cols = [c for c in ARTICLE_COLUMNS if c in articles.columns]
     return after.select(*cols).unionByName(inserted.select(*cols))
 
@@ -193,7 +199,7 @@ def append_history(history: DataFrame, articles: DataFrame, batch: DataFrame, no
     start = F.coalesce(history.agg(F.max("id")).scalar(), F.lit(0)) + 1
     rows = dense_index(r, ["seq"], "id", start)
     if analysis_cols is None:
-        analysis_cols = [c for c in ANALYSIS.fieldNames() if c in batch.columns]
+        analysis_cols = [c for c in (*ANALYSIS.fieldNames(), "analysis_data") if c in batch.columns]
     return rows.select("id", "article_id", _now(now).alias("created_at"), *analysis_cols)
 
 

@@ -442,6 +442,30 @@ def q_normalize_analysis(spark, d):
     return h.select("id", c.alias("credibility_score"), F.array_join(t, ",").alias("topics"))
 
 
+@register("fold_analysis")
+def q_fold_analysis(spark, d):
+    doc = views.analysis_documents(spark, d).withColumn("a", SF.fold_analysis("analysis_data"))
+    return doc.select("id", "a.credibility_score", "a.sentiment_score", "a.bias_score",
+                      F.array_join("a.topics", ",").alias("topics"), F.array_max("a.topic_relevance").alias("top_relevance"),
+                      F.array_join("a.key_arguments", ",").alias("key_arguments"),
+                      F.array_join(F.array_sort(F.map_keys("a.perspectives")), ",").alias("perspectives"),
+                      F.col("a.perspectives")["western"]["summary"].alias("western_summary"),
+                      "a.similar_articles_query", "a.news_integrity")
+
+
+@register("topic_relevance")
+def q_topic_relevance(spark, d):
+    a = TX.with_tags(views.articles(spark, d, level=False, url=False).select("id", "content"), "content")
+    return a.select("id", F.explode(TX.with_relevance("tags")).alias("t")).select("id", "t.name", "t.relevance")
+
+
+@register("default_documents")
+def q_default_documents(spark, d):
+    p = read_table(spark, d, "pages").select("page_id", SF.default_analysis(F.col("url")).alias("a"))
+    return p.select("page_id", "a.credibility_score", "a.explanation", F.array_join("a.topics", ",").alias("topics"),
+                    "a.similar_articles_query", "a.error", "a.outcome")
+
+
 @register("decode_response")
 def q_decode_response(spark, d):
     r = SC.decode_responses(views.stored_responses(spark, d))
@@ -498,7 +522,23 @@ def save_batch(spark, d):
         F.concat(F.lit(f"https://{TALK_HOST}/"), (F.col("conv_id") % 50).cast("string")).alias("url"),
         F.col("text").alias("content"), F.lit("Low").alias("credibility_level"),
         F.lit(False).alias("is_featured"))
-    return pages.unionByName(bench).unionByName(talk)
+    return _with_document(pages.unionByName(bench).unionByName(talk))
+
+
+def _with_document(df):
+    """The analysis document of a submission: a score by its level and the content's topics."""
+    score = (F.when(F.col("credibility_level") == "High", 0.9).when(F.col("credibility_level") == "Medium", 0.6)
+             .otherwise(0.3))
+    return (TX.with_tags(df, "content", "_tags")
+            .withColumn("analysis_data", F.to_json(F.struct(score.alias("credibility_score"), F.col("_tags").alias("topics"))))
+            .drop("_tags"))
+
+
+def _document(df, *cols):
+    """``cols`` and the stored document's score and topics, decoded."""
+    return df.withColumn("_d", SF.fold_analysis("analysis_data")).select(
+        *cols, F.col("_d.credibility_score").alias("credibility_score"),
+        F.array_join("_d.topics", ",").alias("topics"))
 
 
 def _store_articles(spark, d):
@@ -508,14 +548,15 @@ def _store_articles(spark, d):
 @register("upsert_articles")
 def q_upsert_articles(spark, d):
     out = ST.upsert_articles(_store_articles(spark, d), save_batch(spark, d), NOW)
-    return out.select("id", "title", "source", "url", "short_summary", "credibility_level",
-                      "created_at", "updated_at", "is_featured")
+    return _document(out, "id", "title", "source", "url", "short_summary", "credibility_level",
+                     "created_at", "updated_at", "is_featured")
 
 
 @register("append_history")
 def q_append_history(spark, d):
     h = views.history(spark, d)
-    return ST.append_history(h, _store_articles(spark, d), save_batch(spark, d), NOW, analysis_cols=[])
+    rows = ST.append_history(h, _store_articles(spark, d), save_batch(spark, d), NOW)
+    return _document(rows, "id", "article_id", "created_at")
 
 
 def label_patch(spark, d):
@@ -524,13 +565,22 @@ def label_patch(spark, d):
     lab = read_table(spark, d, "labels")
     return lab.select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"),
                       F.when(F.col("toxic") == 1, F.lit("Low")).alias("credibility_level"),
-                      F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(True)).alias("is_featured"))
+                      F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(True)).alias("is_featured"),
+                      F.when(F.col("quality") == 0, F.lit('{"credibility":{"score":0.2},"topics":["review"]}'))
+                      .alias("analysis_data"))
 
 
 @register("update_articles")
 def q_update_articles(spark, d):
-    out = ST.update_articles(_store_articles(spark, d), label_patch(spark, d), NOW)
-    return out.select("id", "source", "credibility_level", "is_featured", "updated_at", "was_updated")
+    a = _store_articles(spark, d).withColumn("analysis_data", F.lit(None).cast("string"))
+    out = ST.update_articles(a, label_patch(spark, d), NOW)
+    return _document(out, "id", "source", "credibility_level", "is_featured", "updated_at", "was_updated")
+
+
+@register("history_from_update")
+def q_history_from_update(spark, d):
+    rows = ST.history_from_update(views.history(spark, d), _keys(spark, d), label_patch(spark, d), NOW, ["analysis_data"])
+    return _document(rows, "id", "article_id", "created_at")
 
 
 @register("restate_source_stats")

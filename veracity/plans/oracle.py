@@ -602,6 +602,22 @@ FROM analysis_history"""
     names = (f"list_transform(CAST(json_extract({j}, '$.topics') AS JSON[]), lambda t: coalesce("
              f"json_extract_string(t, '$.name'), CASE WHEN json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$') END))")
     tp = f"array_to_string({tags_sql('text')}, ',')"
+    out["fold_analysis"] = """
+SELECT id, credibility_score, CASE WHEN id % 3 <> 0 THEN sentiment_score END AS sentiment_score, bias_score,
+  array_to_string(topics, ',') AS topics, CASE WHEN id % 3 = 0 AND topics IS NOT NULL THEN 0.8::DOUBLE END AS top_relevance,
+  array_to_string(key_arguments, ',') AS key_arguments,
+  CASE WHEN id % 3 <> 0 THEN array_to_string(list_sort(perspective_keys), ',') END AS perspectives,
+  CASE WHEN id % 3 <> 0 AND list_contains(perspective_keys, 'western') THEN 'western:' || CAST(k % 3 AS VARCHAR) END
+    AS western_summary,
+  CASE WHEN id % 3 = 0 THEN array_to_string(topics[1:3], ' OR ') END AS similar_articles_query,
+  CASE WHEN id % 3 = 1 THEN 0.85::DOUBLE END AS news_integrity
+FROM analysis_history"""
+    out["topic_relevance"] = f"""
+SELECT id, name, CASE WHEN name = 'Politics' THEN 0.7::DOUBLE ELSE 0.8::DOUBLE END AS relevance
+FROM (SELECT id, unnest({tags_sql('content')}) AS name FROM articles)"""
+    out["default_documents"] = f"""
+SELECT page_id, 0.5::DOUBLE AS credibility_score, 'Default score due to analysis error: ' || url AS explanation,
+  'General' AS topics, 'General' AS similar_articles_query, url AS error, 'default' AS outcome FROM pages"""
     out["decode_response"] = f"""
 SELECT conv_id, turn,
   CASE WHEN text IS NULL OR text = '' THEN {_d(S.FALLBACK_SCORE)}
@@ -747,6 +763,12 @@ resolved AS (
   LEFT JOIN new_ids nb ON nb.seq = b.seq AND b.k IS NULL
 ),
 last_rows AS (SELECT * FROM resolved WHERE is_last)"""
+    def doc_score(t):
+        return (f"CASE WHEN {t}credibility_level = 'High' THEN 0.9::DOUBLE WHEN {t}credibility_level = 'Medium' THEN 0.6::DOUBLE "
+                "ELSE 0.3::DOUBLE END")
+
+    def doc_topics(t):
+        return f"array_to_string({tags_sql(t + 'content')}, ',')"
     summ = "CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END"
     out = {}
     out["upsert_articles"] = batch + f"""
@@ -756,27 +778,35 @@ SELECT a.id, CASE WHEN u.article_id IS NULL THEN a.title ELSE u.title END AS tit
     (CASE WHEN length(u.content) > 200 THEN substring(u.content, 1, 200) || '...' ELSE u.content END) END AS short_summary,
   CASE WHEN u.article_id IS NULL THEN a.credibility_level ELSE u.credibility_level END AS credibility_level,
   a.created_at, CASE WHEN u.article_id IS NULL THEN a.updated_at ELSE {now} END AS updated_at,
-  CASE WHEN u.article_id IS NULL THEN a.is_featured ELSE u.is_featured END AS is_featured
+  CASE WHEN u.article_id IS NULL THEN a.is_featured ELSE u.is_featured END AS is_featured,
+  CASE WHEN u.article_id IS NOT NULL THEN {doc_score('u.')} END AS credibility_score,
+  CASE WHEN u.article_id IS NOT NULL THEN {doc_topics('u.')} END AS topics
 FROM articles a LEFT JOIN (SELECT * FROM last_rows WHERE NOT created_in_batch) u ON u.article_id = a.id
 UNION ALL
-SELECT article_id, title, source, url, {summ}, credibility_level, {now}, {now}, is_featured
+SELECT article_id, title, source, url, {summ}, credibility_level, {now}, {now}, is_featured,
+  {doc_score('')}, {doc_topics('')}
 FROM last_rows WHERE created_in_batch"""
     out["append_history"] = batch + f"""
 SELECT (SELECT max(id) FROM analysis_history) + row_number() OVER (ORDER BY seq) AS id, article_id,
-  {now} AS created_at
+  {now} AS created_at, {doc_score('')} AS credibility_score, {doc_topics('')} AS topics
 FROM resolved"""
     patch = """,
 patch AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'Low' END AS lvl,
-  CASE WHEN quality = 1 AND toxic = 0 THEN true END AS feat FROM labels),
+  CASE WHEN quality = 1 AND toxic = 0 THEN true END AS feat, quality = 0 AS reviewed FROM labels),
 updated AS (
   SELECT a.id, a.source, a.credibility_level AS old_level, coalesce(p.lvl, a.credibility_level) AS credibility_level,
     coalesce(p.feat, a.is_featured) AS is_featured,
-    CASE WHEN p.lvl IS NOT NULL OR p.feat IS NOT NULL THEN """ + now + """ ELSE a.updated_at END AS updated_at,
-    coalesce(p.lvl IS NOT NULL OR p.feat IS NOT NULL, false) AS was_updated
+    coalesce(p.lvl IS NOT NULL OR p.feat IS NOT NULL OR p.reviewed, false) AS was_updated,
+    CASE WHEN was_updated THEN """ + now + """ ELSE a.updated_at END AS updated_at,
+    CASE WHEN p.reviewed THEN 0.2::DOUBLE END AS credibility_score, CASE WHEN p.reviewed THEN 'review' END AS topics
   FROM articles a LEFT JOIN patch p ON p.id = a.id
 )"""
     out["update_articles"] = patch + """
-SELECT id, source, credibility_level, is_featured, updated_at, was_updated FROM updated"""
+SELECT id, source, credibility_level, is_featured, updated_at, was_updated, credibility_score, topics FROM updated"""
+    out["history_from_update"] = f"""
+SELECT (SELECT max(id) FROM analysis_history) + row_number() OVER (ORDER BY l.doc_id) AS id, l.doc_id AS article_id,
+  {now} AS created_at, 0.2::DOUBLE AS credibility_score, 'review' AS topics
+FROM labels l WHERE l.quality = 0 AND l.doc_id IN (SELECT id FROM articles)"""
     out["restate_source_stats"] = patch + """,
 changed AS (SELECT * FROM updated WHERE old_level IS DISTINCT FROM credibility_level),
 deltas AS (

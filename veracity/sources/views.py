@@ -156,3 +156,20 @@ def stored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return (c.filter(F.col("role") == "assistant")
              .select("conv_id", "turn", F.col("text").alias("response_text")))
+
+
+def analysis_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored analysis documents as JSON text: id, article_id, created_at, analysis_data.
+    The shape is that of the model response, the featured seed or the flat document,
+    by id mod 3."""
+    h = history(spark, sf_dir)
+    model = ("to_json(struct(struct(credibility_score AS score, 'stored' AS explanation) AS credibility, "
+             "transform(topics, t -> struct(t AS name, 0.8D AS relevance)) AS topics, key_arguments AS key_points, "
+             "array() AS potential_biases, struct(bias_score AS level) AS bias, "
+             "array_join(slice(topics, 1, 3), ' OR ') AS similar_articles_query))")
+    seed = ("to_json(struct(0.85D AS news_integrity, credibility_score AS index_of_credibility, sentiment_score, bias_score, "
+            "topics, key_arguments, perspectives['western'] AS western_perspective, "
+            "perspectives['neutral'] AS neutral_perspective, perspectives['eastern'] AS eastern_perspective))")
+    flat = ("to_json(struct(credibility_score, sentiment_score, bias_score, topics, key_arguments, perspectives))")
+    return h.selectExpr("id", "article_id", "created_at",
+                        f"CASE id % 3 WHEN 0 THEN {model} WHEN 1 THEN {seed} ELSE {flat} END AS analysis_data")
