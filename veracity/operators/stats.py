@@ -40,11 +40,12 @@ def seed_rows(spark: SparkSession) -> DataFrame:
 def seed_source_stats(stats: DataFrame) -> DataFrame:
     """The seed counters when ``stats`` is empty, else ``stats`` itself.
 
-    The emptiness probe reads at most one row (``isEmpty``), not the table.
+    One plan for both: the seed rows stand behind a scalar subquery that counts at
+    most one row of the table.
     """
-    if stats.isEmpty():
-        return seed_rows(stats.sparkSession)
-    return stats
+    held = stats.limit(1).agg(F.count(F.lit(1))).scalar()
+    seeds = seed_rows(stats.sparkSession).withColumn("_held", held).filter("_held = 0").drop("_held")
+    return stats.select(*SOURCE_STATS.fieldNames()).unionByName(seeds)
 
 
 def batch_counts(batch: DataFrame) -> DataFrame:

@@ -63,6 +63,16 @@ def q_total_sources(spark, d):
     return stats.total_sources(_stats(spark, d))
 
 
+@register("seed_when_empty")
+def q_seed_when_empty(spark, d):
+    # an empty table takes the seeds, a table with rows none
+    full = stats.batch_counts(views.articles(spark, d, url=False))
+    cols = ("source", "high", "medium", "low", "total_analyzed", "is_initial")
+    out = [stats.seed_source_stats(t).select(F.lit(case).alias("case"), *cols)
+           for case, t in (("empty", full.filter("total_analyzed < 0")), ("kept", full))]
+    return out[0].unionByName(out[1])
+
+
 @register("credibility_distribution")
 def q_credibility_distribution(spark, d):
     return stats.credibility_distribution(views.articles(spark, d, url=False))
@@ -388,6 +398,21 @@ def q_source_level(spark, d):
                     TX.source_level("url").alias("level_by_url"))
 
 
+def named_hosts(spark, d):
+    """Every page's url under one of several hosts, so that each rule of E1 is met."""
+    hosts = ["www.bbc.com", "reuters.com", "edition.cnn.com", "www.dailymail.co.uk", "data.agency.gov",
+             "lab.college.edu", "plain.example.org", "breitbart.com"]
+    host = F.element_at(F.array(*[F.lit(h) for h in hosts]), (F.col("page_id") % len(hosts) + 1).cast("int"))
+    return read_table(spark, d, "pages").select(
+        "page_id", F.when(F.col("page_id") % 9 == 8, host)
+        .otherwise(F.concat(F.lit("https://"), host, F.lit("/"), F.col("page_id").cast("string"))).alias("source"))
+
+
+@register("source_level_by_host")
+def q_source_level_by_host(spark, d):
+    return named_hosts(spark, d).select("page_id", "source", TX.source_level("source").alias("level"))
+
+
 @register("score_band")
 def q_score_band(spark, d):
     h = views.history(spark, d)
@@ -475,6 +500,16 @@ def q_decode_response(spark, d):
                     "similar_articles_query", "error", "outcome")
 
 
+@register("decode_stored_documents")
+def q_decode_stored_documents(spark, d):
+    # responses that hold a JSON document inside prose
+    docs = views.analysis_documents(spark, d).select(
+        "id", F.concat(F.lit("Here it is:\n"), "analysis_data", F.lit("\nDone.")).alias("response_text"))
+    return SC.decode_responses(docs).select(
+        "id", "credibility_score", "explanation", F.array_join("topics", ",").alias("topics"),
+        F.array_join("key_points", "|").alias("key_points"), "similar_articles_query", "error", "outcome")
+
+
 @register("build_prompt")
 def q_build_prompt(spark, d):
     a = views.articles(spark, d, level=False, url=False)
@@ -592,6 +627,17 @@ def q_restate_source_stats(spark, d):
         "source", "high", "medium", "low", "total_analyzed", "is_initial")
 
 
+@register("restate_moved_sources")
+def q_restate_moved_sources(spark, d):
+    # low-quality articles move to another source; the observed rule (compat)
+    a = _store_articles(spark, d)
+    moves = read_table(spark, d, "labels").filter("quality = 0").select(
+        F.col("doc_id").alias("seq"), F.col("doc_id").alias("id"), F.lit("moved.example.org").alias("source"))
+    after = ST.update_articles(a, moves, NOW)
+    return stats.restate_source_stats(stats.source_stats_from(a), a, after, compat=True).select(
+        "source", "high", "medium", "low", "total_analyzed", "is_initial")
+
+
 @register("update_source_stats")
 def q_update_source_stats(spark, d):
     st = stats.source_stats_from(_store_articles(spark, d))
@@ -608,6 +654,24 @@ def q_validate_articles(spark, d):
     return g.unionByName(b)
 
 
+def broken_articles(spark, d):
+    """The articles with rule violations: missing titles and sources, an unknown level, ids twice."""
+    a = views.articles(spark, d, url=False).select(
+        "id", F.when(F.col("id") % 7 != 0, F.col("title")).alias("title"),
+        F.when(F.col("id") % 11 != 0, F.col("source")).alias("source"),
+        F.when(F.col("id") % 17 != 0, F.col("content")).alias("content"),
+        F.when(F.col("id") % 5 == 0, F.lit("Unknown")).when(F.col("id") % 5 == 1, F.lit(None))
+        .otherwise(F.col("credibility_level")).alias("credibility_level"))
+    return a.unionByName(a.filter(F.col("id") % 13 == 0))
+
+
+@register("validate_broken_articles")
+def q_validate_broken_articles(spark, d):
+    good, bad = ST.validate_articles(broken_articles(spark, d))
+    return good.select("id", F.lit("").alias("reasons")).unionByName(
+        bad.select("id", F.array_join("reasons", "; ").alias("reasons")))
+
+
 @register("orphan_history")
 def q_orphan_history(spark, d):
     return ST.orphan_history(views.history(spark, d), views.articles(spark, d, level=False, url=False)) \
@@ -770,6 +834,17 @@ def q_quota_windows(spark, d):
     return SS.quota_windows(_events(spark, d), QUOTA_PER, QUOTA_N)
 
 
+@register("quota_windows_daily")
+def q_quota_windows_daily(spark, d):
+    # a limit that the events exceed
+    return SS.quota_windows(_events(spark, d), "1 day", 1)
+
+
+@register("quota_admissions_daily")
+def q_quota_admissions_daily(spark, d):
+    return SS.quota_admissions(_events(spark, d), "1 day", 1)
+
+
 @register("quota_admissions")
 def q_quota_admissions(spark, d):
     return SS.quota_admissions(_events(spark, d), QUOTA_PER, QUOTA_N)

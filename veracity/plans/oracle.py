@@ -27,6 +27,13 @@ SELECT source, high, medium, low, total_analyzed, is_initial FROM source_stats""
 sql("total_sources", """
 SELECT count(*) AS total_sources FROM source_stats WHERE total_analyzed > 0""", "source_stats")
 
+sql("seed_when_empty", """
+SELECT 'empty' AS "case", source, high, medium, low, high + medium + low AS total_analyzed, true AS is_initial FROM seed_stats
+UNION ALL
+SELECT 'kept', source, count(*) FILTER (WHERE credibility_level = 'High'), count(*) FILTER (WHERE credibility_level = 'Medium'),
+  count(*) FILTER (WHERE credibility_level IS NULL OR credibility_level NOT IN ('High', 'Medium')), count(*), false
+FROM articles GROUP BY source""", "source_stats")
+
 sql("credibility_distribution", """
 SELECT credibility_level, count(*) AS count,
   CAST(round(CAST(count(*) * 1.0 / (SELECT count(*) FROM articles) * 100 AS DECIMAL(18,6)), 1) AS DOUBLE) AS percentage
@@ -602,6 +609,19 @@ FROM analysis_history"""
     names = (f"list_transform(CAST(json_extract({j}, '$.topics') AS JSON[]), lambda t: coalesce("
              f"json_extract_string(t, '$.name'), CASE WHEN json_type(t) = 'VARCHAR' THEN json_extract_string(t, '$') END))")
     tp = f"array_to_string({tags_sql('text')}, ',')"
+    out["source_level_by_host"] = f"""
+SELECT page_id, source, {source_level_sql('source')} AS level FROM (
+  SELECT page_id, CASE WHEN page_id % 9 = 8 THEN host ELSE 'https://' || host || '/' || CAST(page_id AS VARCHAR) END AS source
+  FROM (SELECT page_id, ['www.bbc.com', 'reuters.com', 'edition.cnn.com', 'www.dailymail.co.uk', 'data.agency.gov',
+    'lab.college.edu', 'plain.example.org', 'breitbart.com'][page_id % 8 + 1] AS host FROM pages))"""
+    out["decode_stored_documents"] = f"""
+SELECT id, CASE WHEN id % 3 = 0 THEN credibility_score ELSE 0.6::DOUBLE END AS credibility_score,
+  CASE WHEN id % 3 = 0 THEN 'stored' ELSE {_q(S.NORMALIZED_EXPLANATION)} END AS explanation,
+  CASE WHEN topics IS NULL THEN 'General News,Politics' ELSE array_to_string(topics, ',') END AS topics,
+  CASE WHEN id % 3 = 0 THEN array_to_string(key_arguments, '|') END AS key_points,
+  CASE WHEN id % 3 = 0 THEN array_to_string(topics[1:3], ' OR ') END AS similar_articles_query,
+  CAST(NULL AS VARCHAR) AS error, 'parsed' AS outcome
+FROM analysis_history"""
     out["fold_analysis"] = """
 SELECT id, credibility_score, CASE WHEN id % 3 <> 0 THEN sentiment_score END AS sentiment_score, bias_score,
   array_to_string(topics, ',') AS topics, CASE WHEN id % 3 = 0 AND topics IS NOT NULL THEN 0.8::DOUBLE END AS top_relevance,
@@ -840,6 +860,27 @@ SELECT id, concat_ws('; ',
   CASE WHEN credibility_level IS NOT NULL AND credibility_level NOT IN ('High', 'Medium', 'Low') THEN 'unknown credibility level' END,
   CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id' END) AS reasons
 FROM articles"""
+    out["validate_broken_articles"] = """
+SELECT id, concat_ws('; ', CASE WHEN id % 7 = 0 OR title IS NULL THEN 'title is null' END,
+  CASE WHEN id % 11 = 0 OR source IS NULL THEN 'source is null' END,
+  CASE WHEN id % 17 = 0 OR content IS NULL THEN 'content is null' END,
+  CASE WHEN id % 5 = 0 THEN 'unknown credibility level' END, CASE WHEN id % 13 = 0 THEN 'duplicate id' END) AS reasons
+FROM (SELECT id, title, source, content FROM articles UNION ALL
+      SELECT id, title, source, content FROM articles WHERE id % 13 = 0)"""
+    out["restate_moved_sources"] = """,
+moved AS (SELECT a.source, a.credibility_level AS lvl FROM articles a WHERE id IN (SELECT doc_id FROM labels WHERE quality = 0)),
+deltas AS (
+  SELECT source, -count(*) FILTER (WHERE lvl = 'High') AS high, -count(*) FILTER (WHERE lvl = 'Medium') AS medium,
+    -count(*) FILTER (WHERE lvl = 'Low') AS low, -count(*) AS total, true AS is_initial FROM moved GROUP BY source
+  UNION ALL
+  SELECT 'moved.example.org', count(*) FILTER (WHERE lvl = 'High'), count(*) FILTER (WHERE lvl = 'Medium'),
+    count(*) FILTER (WHERE lvl IS NULL OR lvl NOT IN ('High', 'Medium')), count(*), false FROM moved HAVING count(*) > 0
+  UNION ALL
+  SELECT source, high, medium, low, total_analyzed, is_initial FROM source_stats
+)
+SELECT source, CAST(sum(high) AS BIGINT) AS high, CAST(sum(medium) AS BIGINT) AS medium, CAST(sum(low) AS BIGINT) AS low,
+  CAST(sum(total) AS BIGINT) AS total_analyzed, bool_and(is_initial) AS is_initial
+FROM deltas GROUP BY source"""
     out["orphan_history"] = """
 SELECT id, article_id, created_at FROM analysis_history h
 WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.id = h.article_id)"""
@@ -932,6 +973,15 @@ SELECT user_id, date_trunc('minute', ts) AS window_start, count(*) AS requests,
   least(count(*), {n}) AS admitted, greatest(count(*) - {n}, 0) AS rejected
 FROM events GROUP BY user_id, date_trunc('minute', ts)"""
     out["quota_windows_stream"] = out["quota_windows"]
+    out["quota_windows_daily"] = """
+SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS requests,
+  least(count(*), 1) AS admitted, greatest(count(*) - 1, 0) AS rejected
+FROM events GROUP BY user_id, date_trunc('day', ts)"""
+    out["quota_admissions_daily"] = """
+SELECT event_id, user_id, date_trunc('day', ts)::TIMESTAMP AS window_start,
+  row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS position,
+  row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 1 AS admitted
+FROM events"""
     out["quota_admissions"] = f"""
 SELECT event_id, user_id, date_trunc('minute', ts) AS window_start,
   row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS position,
