@@ -42,12 +42,19 @@ def test_machine_equals_ridge_on_the_full_kernel():
     k = np.array([[len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b)) for _, b in sample] for _, a in sample])
     y = np.array([[1.0 if lang == n else -1.0 for n in "ab"] for lang, _ in sample])
     want = k @ np.linalg.solve(k + li.RIDGE * len(sample) / 100 * np.eye(len(k)), y)
-    assert np.allclose(model.decide(x), want, atol=1e-3)
-
-
-def accuracy(rows, truth):
-    rows = [r for r in rows if r["held_out"] and truth.get(r["doc_id"]) is not None]
-    return rows, truth
+    scores, known = model.decide(x)
+    assert np.allclose(scores, want, atol=1e-3) and np.allclose(known, 1)
+
+
+def test_unknown_scripts_are_rejected_and_mixed_texts_kept(spark):
+    docs = read_table(spark, SF_CHECK, "documents").limit(0).unionByName(spark.createDataFrame(
+        [(1, "Это русский текст, который никто не учил", None, "x", 1), (2, "日本語のテキストです", None, "x", 1),
+         (3, "The and of that. Die und der nicht. " * 5, None, "x", 1)],
+        "doc_id long, text string, lang string, source string, n_chars long"))
+    both = docs.unionByName(read_table(spark, SF_CHECK, "documents"))
+    kept = li.keep_known_languages(both, training=both["source"] != "x")
+    assert {r["doc_id"] for r in kept.where("source = 'x'").collect()} == {3}
+    assert kept.where("source <> 'x'").count() == 1000
 
 
 def test_language_accuracy_on_held_out_documents(spark):

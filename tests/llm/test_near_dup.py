@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from veracity.llm import near_dup as nd
+from veracity.llm import similar as sm
 from veracity.llm._shared import U64, mix64
 from veracity.llm.components import components
 
@@ -56,10 +57,31 @@ def test_estimate_is_closer_than_independent_hashing():
 
 @pytest.mark.parametrize("threshold", [0.8, 0.85])
 def test_banding_finds_pairs_at_the_threshold(threshold):
-    bands, rows = nd.bands_for(threshold)
+    bands, rows = sm.bands_for(threshold, nd.SLOTS)
     assert bands * rows <= nd.SLOTS and 1 - (1 - threshold ** rows) ** bands >= 0.999
 
 
+def test_collisions_over_batches_and_pieces(spark):
+    """Every bucket of two rows or more is whole, whatever the pieces and Arrow batches."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(400), n) for n in range(700)] + [(1000, n) for n in range(300)] + [(n, 0) for n in range(2000, 2500)]
+    size = {}
+    for b, _ in rows:
+        size[b] = size.get(b, 0) + 1
+    old = {c: spark.conf.get(c) for c in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    try:
+        for batch, parts in ((7, 5), (1, 3), (10000, 1), (50, 40)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got = {(r["bucket"], r["node"]) for r in sm.collisions(
+                spark.createDataFrame(rows, "bucket long, node long")).collect()}
+            assert {x for x in rows if size[x[0]] > 1} <= got <= set(rows)
+            assert len(got) <= sum(1 for x in rows if size[x[0]] > 1) + 2 * parts
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]

@@ -27,27 +27,35 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = out.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], int(row["s"] or 0)
+def _round(edges: DataFrame) -> DataFrame:
+    return materialise(_star(_star(edges, True), False).distinct(), "edges")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _is_finished(edges: DataFrame) -> bool:
+    """Whether every node has one link at most to a smaller node, which has none itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    odd = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where(
+        "ups > 1 or (ups = 1 and n > 1)")
+    return not odd.take(1)
+
+
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """links (a, b) -> (node, component): the smallest node reachable, for every
     node that has a link (itself included).  Self links and repeats are ignored;
-    nulls too; no links give an empty table."""
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = materialise(edges, "edges")
-    state = _state(edges)
-    while state[0]:
-        edges = materialise(_star(_star(edges, True), False), "edges")
-        after = _state(edges)
-        if after == state:
-            break
-        state = after
-    leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return materialise(leaves.unionByName(roots), "components")
+    nulls too; no links give an empty table.  With ``rounds`` it stops after so many:
+    nodes of one component may then still differ, never those of two agree.
+    ``links`` is read more than once: pass a table."""
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if rounds is None:
+        edges = edges.distinct()
+        while not _is_finished(edges):
+            edges = _round(edges)
+    for _ in range(rounds or 0):
+        edges = _round(edges)
+    leaves = edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("component"))
+    both = leaves.unionByName(edges.select(F.col("v").alias("x"), F.col("v").alias("component")))
+    return materialise(both.groupBy(F.col("x").alias("node")).agg(F.min("component").alias("component")), "components")

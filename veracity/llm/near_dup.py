@@ -9,20 +9,14 @@ ranks only grow, a document is finished as soon as every slot holds a value
 below the current rank (two or three ranks for a few hundred shingles).
 
 Plan: signatures are made in one pass over the text; documents with the same
-shingle set fall into one class by a map-side-combined minimum; the signature
-bands of the classes are grouped (only ids and keys are shuffled).  In a bucket,
-members are verified against one pivot, the member that sits in the largest
-buckets, so a group of copies costs one comparison a member and band, not one a
-pair.  Links form components by large-star / small-star rounds.  What is still
-unconnected inside a bucket after the pivot rounds is compared pairwise, behind a
-sketch of the whole signature whose cut lies 4.5 standard deviations below the
-threshold.  Every link rests on the exact Jaccard index of the full sets of
-64-bit shingle hashes.
+shingle set fall into one class by a map-side-combined minimum; the classes' signature
+bands go through the shared steps of ``similar.py`` (collisions, pivots, exact
+verification, components).  Every link rests on the exact Jaccard index of the full
+sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veracity.llm._shared import (GOLDEN, U64, as_int64, binary_values, materialise, mix64,
-                                  session_of)
-from veracity.llm.components import components
+from veracity.llm._shared import GOLDEN, U64, as_int64, binary_values, materialise, mix64, session_of
+from veracity.llm.similar import (band_keys, bands_for, collisions, linked, long_lists, marks_of, node_weights,
+                                  set_lists, sketch_of)
 
 SLOTS = 192
 SLICE = 1 << 15     # shingles whose permutations are held at a time in a task
-SKETCH_BITS = 4     # bits of every slot in the sketch that guards verification
-PIVOT_ROUNDS = 2
 _FULL = np.iinfo(np.uint64).max
 
 
@@ -96,50 +88,10 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     return out
 
 
-def bands_for(threshold: float, slots: int = SLOTS) -> tuple[int, int]:
-    """(bands, rows) of the most selective banding that finds a pair at the
-    threshold with probability 0.999 or more."""
-    for rows in range(slots, 1, -1):
-        bands = slots // rows
-        if 1 - (1 - threshold ** rows) ** bands >= 0.999:
-            return bands, rows
-    return slots, 1
-
-
-def sketch_limit(threshold: float, slots: int = SLOTS, bits: int = SKETCH_BITS) -> int:
-    """Most differing sketch bits of a pair at the threshold (4.5 deviations)."""
-    off = slots * (1 - threshold)
-    mean = off * bits / 2
-    var = slots * threshold * (1 - threshold) * (bits / 2) ** 2 + off * bits / 4
-    return math.ceil(mean + 4.5 * math.sqrt(var))
-
-
-def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    acc = np.broadcast_to(np.arange(1, bands + 1, dtype=U64) * GOLDEN, (len(sig), bands)).copy()
-    cut = sig[:, :bands * rows].reshape(len(sig), bands, rows)
-    for r in range(rows):
-        acc = mix64(acc * GOLDEN + cut[:, :, r])
-    return acc
-
-
-def _sketch(sig: np.ndarray, bits: int) -> np.ndarray:
-    mixed = mix64(sig)
-    planes = [((mixed >> U64(b)) & U64(1)).astype(np.uint8) for b in range(bits)]
-    packed = np.packbits(np.concatenate(planes, axis=1), axis=1)
-    return packed.view(U64)
-
-
-def _long_lists(a: np.ndarray) -> pa.Array:
-    a = as_int64(np.ascontiguousarray(a))
-    return pa.ListArray.from_arrays(
-        np.arange(0, a.size + 1, max(a.shape[1], 1), dtype=np.int32) if len(a) else np.zeros(1, np.int32),
-        pa.array(a.reshape(-1)))
-
-
 def signature_table(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
     """id, th (text hash), n (set size), h1, h2 (128-bit set digest), keys (band keys), sketch."""
     session_of(docs)
-    bands, rows = bands_for(threshold)
+    bands, rows = bands_for(threshold, SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +104,7 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, k: int, thresho
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(i, len(sets)), hashes.slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(as_int64(np.array(h1, U64))), pa.array(as_int64(np.array(h2, U64))),
-                    _long_lists(_band_keys(sig, bands, rows)), _long_lists(_sketch(sig, SKETCH_BITS)),
+                    long_lists(band_keys(sig, bands, rows)), long_lists(sketch_of(sig)),
                 ], names=["id", "th", "n", "h1", "h2", "keys", "sketch"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
@@ -161,34 +113,21 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, k: int, thresho
 
 
 def set_table(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, k: int) -> DataFrame:
-    """node, shingles: the full sets of the documents in ``nodes``."""
+    """node, shingles (the full set), marks (a bit map of the set) of the documents in ``nodes``."""
     session_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = binary_values(batch.column(1))
             for i in range(0, len(texts), 256):
-                sets = [as_int64(shingle_set(t, k)) for t in texts[i:i + 256]]
-                ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, len(sets)),
-                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))],
-                    names=["node", "shingles"])
+                sets = [shingle_set(t, k) for t in texts[i:i + 256]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), set_lists(sets), marks_of(sets)],
+                                                 names=["node", "shingles", "marks"])
 
     src = (docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
            .join(nodes, "node", "left_semi")
            .groupBy("node").agg(F.max_by("text", F.xxhash64("text")).alias("text")))
-    return src.mapInArrow(run, "node long, shingles array<long>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, numerator: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |A and B| >= numerator * |A or B|."""
-    left = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    both = pairs.select("a", "b").join(left, "b").join(right, "a")
-    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"),
-                       (F.size("sa") + F.size("sb")).cast("long").alias("s"))
-    return both.where(100 * F.col("i") >= numerator * (F.col("s") - F.col("i"))).select("a", "b")
+    return src.mapInArrow(run, "node long, shingles array<long>, marks array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
@@ -208,26 +147,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = materialise(signature_table(docs, id_col, text_col, words, percent / 100), "signatures")
     members = (sigs.where("id is not null").groupBy("id")
                .agg(F.max(F.struct("th", *digest)).alias("s")).select("id", "s.*").where("n > 0"))
-    classes = members.groupBy(*digest).agg(F.min("id").alias("node"))
+    # written, so that the join below deals out both sides and can split a hot class
+    classes = materialise(members.groupBy(*digest).agg(F.min("id").alias("node")), "digests")
     members = materialise(members.join(classes, digest).select("id", "node", "n"), "members")
     reps = (sigs.join(classes, digest).where("id = node")
             .select("node", "n", "keys", "sketch").dropDuplicates(["node"]))
     reps = materialise(reps, "classes")
-    rows = reps.select("node", F.explode("keys").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = materialise(rows.join(sizes, "bucket"), "buckets")
-
-    central = materialise(buckets.groupBy("node").agg(F.sum("size").alias("weight")), "weights")
-    sets = materialise(set_table(docs, id_col, text_col, central.select("node"), words), "sets")
-
-    links = buckets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    labels = components(links)
-    for turn in range(PIVOT_ROUNDS):
-        links = materialise(links.unionByName(_verified(
-            _pivot_pairs(buckets, central, labels, turn), sets, percent)), "links")
-        labels = components(links)
-    links = links.unionByName(_verified(_open_pairs(buckets, reps, labels, percent), sets, percent))
-    labels = components(materialise(links, "links"))
+    buckets = materialise(collisions(reps.select("node", F.explode("keys").alias("bucket"))), "buckets")
+    weights = materialise(node_weights(buckets), "weights")
+    sets = materialise(set_table(docs, id_col, text_col, weights.select("node"), words), "sets")
+    facts = reps.select("node", "n", "sketch").join(sets.select("node", "marks"), "node")
+    labels = linked(buckets, weights, sets, facts, percent, SLOTS)
 
     own = members.join(labels, "node", "left").select(
         "id", "n", F.coalesce("component", "node").alias("component"))
@@ -250,43 +180,3 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     standing = (rows.join(kept, "__id", "left_semi").groupBy("__id")
                 .agg(F.max_by("row", F.xxhash64(F.col(f"row.`{text_col}`").cast("string"))).alias("row")))
     return standing.select("row.*").unionByName(rows.where("__id is null").select("row.*"))
-
-
-def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, node, component of the buckets that hold two components or more."""
-    named = (buckets.join(labels, "node", "left")
-             .select("bucket", "node", F.coalesce("component", "node").alias("component")))
-    split = (named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo < hi").select("bucket"))
-    return named.join(split, "bucket", "left_semi")
-
-
-def _pivot_pairs(buckets: DataFrame, central: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """(a, b) = (pivot, member of another component) for every open bucket.  The
-    pivot is the member with the largest weight, in later rounds the heaviest one
-    outside the components that earlier pivots have drawn together."""
-    open_ = _open_buckets(buckets, labels).join(central, "node")
-    if turn:
-        # a component's size stands for how much a pivot has already gathered
-        heavy = labels.groupBy("component").agg(F.count("*").alias("gathered"))
-        open_ = open_.join(heavy, "component", "left").withColumn(
-            "weight", F.col("weight") - F.when(F.col("gathered") > 2, F.lit(1 << 40)).otherwise(0))
-    pivots = open_.groupBy("bucket").agg(
-        F.max(F.struct("weight", (-F.col("node")).alias("neg"), "component")).alias("p"))
-    pivots = pivots.select("bucket", (-F.col("p.neg")).alias("pivot"), F.col("p.component").alias("home"))
-    return (open_.select("bucket", "node", "component").join(pivots, "bucket")
-            .where("component <> home").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-
-
-def _open_pairs(buckets: DataFrame, reps: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket whose components still differ and whose sizes and
-    sketches allow the threshold."""
-    cols = [f"sketch[{i}]" for i in range(SLOTS * SKETCH_BITS // 64)]
-    flat = reps.select("node", "n", *[F.expr(c).alias(f"w{i}") for i, c in enumerate(cols)])
-    side = _open_buckets(buckets, labels).join(flat, "node")
-    x, y = side.alias("x"), side.alias("y")
-    differ = " + ".join(f"bit_count(x.w{i} ^ y.w{i})" for i in range(len(cols)))
-    near = (F.col("x.bucket") == F.col("y.bucket")) & F.expr(
-        f"x.component < y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-        f" and {differ} <= {sketch_limit(percent / 100)}")
-    return x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()

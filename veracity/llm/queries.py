@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veracity.llm import decontaminate, language_id, lm_score, mixing, near_dup, oracle, quality_cnn, quality_rules, sharding, toxicity
+from veracity.llm import decontaminate, language_id, line_dedup, lm_score, mixing, near_dup, oracle, quality_cnn, quality_rules, sharding, toxicity
 from veracity.llm._shared import id_bucket, labelled_texts
 from veracity.sources.tables import read_table
 
@@ -21,6 +21,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_fuzzy_lines(spark, d):
+    found = line_dedup.line_report(read_table(spark, d, "documents"))
+    return found.select("doc_id", "n_lines", "n_kept", F.array_join(
+        F.col("dropped_lines").cast("array<string>"), ",").alias("dropped_lines"))
+
+
 @query
 def op2_string_kernel(spark, d):
     docs = read_table(spark, d, "documents")
