@@ -28,7 +28,7 @@ SAMPLE_MAX = 20_000      # texts in the fit, at most
 LANDMARKS = 40           # landmarks of a language, at most
 LANGUAGES_MAX = 500
 RIDGE = 1e-2
-MIN_SCORE = 0.4          # below it no learned language fits; 0.5 is no evidence either way
+MIN_KNOWN = 0.1          # least share of a text's n-grams that any landmark has, for a document to be kept
 TRIGRAM_BITS = 17
 SPACE = 256 + (1 << 16) + (1 << TRIGRAM_BITS)
 BATCH_DOCS, BATCH_BYTES = 64, 1 << 20
@@ -80,10 +80,12 @@ class Model:
     landmarks: np.ndarray
     coef: np.ndarray
 
-    def decide(self, rows: np.ndarray) -> np.ndarray:
-        own = np.sqrt(np.maximum(np.count_nonzero(rows, axis=1), 1)).astype(np.float32)
-        kernel = (rows[:, self.features].astype(np.float32) @ self.landmarks) / own[:, None]
-        return kernel @ self.coef
+    def decide(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores of each language, share of the n-grams that a landmark has) of each text."""
+        own = np.maximum(np.count_nonzero(rows, axis=1), 1)
+        known = rows[:, self.features].astype(np.float32)
+        kernel = (known @ self.landmarks) / np.sqrt(own).astype(np.float32)[:, None]
+        return kernel @ self.coef, known.sum(axis=1) / own
 
 
 def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
@@ -161,11 +163,12 @@ def learn(training: DataFrame, text_col: str, lang_col: str, *, per_language: in
 
 
 def classify(docs: DataFrame, model: Model | None, id_col: str, text_col: str, *extra: Column) -> DataFrame:
-    """id, the extra columns, lang_pred, score; one row per input row.
+    """id, the extra columns, lang_pred, score, known; one row per input row.
 
-    ``und`` with score 0 for a null text, a text without a letter, or without a
+    ``und`` with score and known 0 for a null text, a text without a letter, or without a
     model; else the language with the largest score s, first in alphabetical order
-    on a tie, and min(1, max(0, (1 + s) / 2)).
+    on a tie, and min(1, max(0, (1 + s) / 2)).  ``known``: the share of the text's
+    n-grams that any landmark has.
     """
     spark = session_of(docs)
     shared = spark.sparkContext.broadcast(model)
@@ -177,26 +180,27 @@ def classify(docs: DataFrame, model: Model | None, id_col: str, text_col: str, *
         buffer = np.zeros((BATCH_DOCS, SPACE), bool) if m else None
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            names, scores = [UND] * len(texts), np.zeros(len(texts))
+            names, scores, known = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             todo = [i for i, t in enumerate(texts) if m and t is not None and _LETTER.search(t)]
             picked = [texts[i] for i in todo]
             for a, b in batches_of(picked):
-                s = m.decide(presence(picked[a:b], buffer))
+                s, share = m.decide(presence(picked[a:b], buffer))
                 best = s.argmax(axis=1)
+                known[todo[a:b]] = share
                 for k, i in enumerate(todo[a:b]):
                     names[i] = m.languages[best[k]]
                     scores[i] = min(1.0, max(0.0, (1.0 + float(s[k, best[k]])) / 2))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(keep))] + [pa.array(names), pa.array(scores)],
-                names=[*keep, "lang_pred", "score"])
+                [batch.column(i) for i in range(len(keep))] + [pa.array(names), pa.array(scores), pa.array(known)],
+                names=[*keep, "lang_pred", "score", "known"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, f"{ddl}, lang_pred string, score double")
+    return src.mapInArrow(run, f"{ddl}, lang_pred string, score double, known double")
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
                        training: Column | None = None) -> DataFrame:
-    """One row per input row: id, lang_pred, score.  Learns from the rows where
+    """One row per input row: id, lang_pred, score, known.  Learns from the rows where
     ``training`` holds (all by default) that have a text with a letter and a
     language; the language, id and other columns are never inputs of a prediction.
     Rows that repeat an id are judged alone.  An empty table gives no rows; without
@@ -206,13 +210,14 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
-                         training: Column | None = None, min_score: float = MIN_SCORE) -> DataFrame:
+                         training: Column | None = None, min_known: float = MIN_KNOWN) -> DataFrame:
     """The documents in a learned language with all their columns; ``lang_col`` becomes
-    the predicted language.  ``und`` and scores below ``min_score`` are rejected.  Each
+    the predicted language.  Rejected are ``und`` and texts in none of the learned
+    languages: those whose n-grams the landmarks hardly have (``known`` < ``min_known``).  Each
     row is judged alone and nothing is joined, so extra columns and repeated ids pass."""
     model = learn(docs if training is None else docs.where(training), text_col, lang_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                          F.col(f"`{text_col}`").alias("text"))
-    judged = classify(packed, model, "row", "text").where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+    judged = classify(packed, model, "row", "text").where((F.col("lang_pred") != UND) & (F.col("known") >= min_known))
     return judged.select(*[(F.col("lang_pred") if c == lang_col else F.col(f"row.`{c}`")).alias(c)
                            for c in docs.columns])

@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from veracity.llm._shared import GOLDEN, U64, binary_values, materialise, mix64, session_of
 
 END = xxhash.xxh3_64_intdigest(b" end ")   # holds blanks, so no word is equal
-BLOCK_BYTES = 32 << 20
-PART_BYTES = 16 << 20      # text that a part of the key space stands for
+BLOCK_BYTES = 8 << 20
+PART_BYTES = 8 << 20       # text that a part of the key space stands for
 BUCKETS = 48
 GRID = 8                   # grid steps of an estimate for each factor of two
 EM_ROUNDS = 60
