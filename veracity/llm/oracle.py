@@ -55,7 +55,72 @@ def mixing_ctes(docs: str, rounds: int = 12) -> str:
     return ",\n".join(out)
 
 
+_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_NEAR_DUPLICATES = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) LEFT JOIN n USING (doc_id)
+"""
+
+_RULES = {"symbols": "n_symbols / word_chars", "capitals": "n_capitals / word_chars",
+          "exclamations": "n_exclamations / word_chars", "dup_lines": "n_dup_lines / n_lines",
+          "repeats": "n_repeat_words / n_words"}
+_CUTOFFS = ", ".join([f"0.0{i}" for i in range(1, 10)] + [f"{i / 100:.2f}" for i in range(10, 96, 5)])
+
+
+def _quality_rules() -> str:
+    def chars(of: str) -> str:
+        return f"length(t) - length(translate(t, '{of}', ''))"
+    values = ", ".join(f"coalesce({v.split(' / ')[0]}::DOUBLE / nullif({v.split(' / ')[1]}, 0), 0) AS {k}" for k, v in _RULES.items())
+    longer = " UNION ALL ".join(f"SELECT doc_id, stratum, '{k}' AS rule, {k}::DOUBLE AS v FROM m" for k in _RULES)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '(none)') AS stratum FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS ws,
+  [l for l in string_split(t, chr(10)) if regexp_matches(l, '{_WORD}')] AS ls FROM d),
+win AS (SELECT doc_id, i, ws[i:i + 4] AS g FROM (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+twice AS (SELECT doc_id, g FROM win GROUP BY doc_id, g HAVING count(*) > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS c FROM (
+  SELECT doc_id, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+f AS (SELECT w.doc_id, stratum, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  ({chars('#*$%&|<>')})::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(cov.c, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, {chars(UPPER)} AS n_capitals, {chars('!')} AS n_exclamations
+  FROM w LEFT JOIN cov USING (doc_id)),
+m AS (SELECT *, {values} FROM f),
+v AS ({longer}),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+counted AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE v.v > cutoff) AS k
+  FROM v JOIN good USING (doc_id), (SELECT unnest([{_CUTOFFS}]::DOUBLE[]) AS cutoff) GROUP BY stratum, rule, cutoff),
+tail AS (SELECT *, CASE WHEN k >= n * 0.01 THEN 1 ELSE list_sum(
+    [exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)) for i in range(0, k + 1)]) END AS p
+  FROM counted),
+passed AS (SELECT *, min((p <= 0.05 / (5 * (SELECT count(DISTINCT stratum) FROM counted)))::INT)
+  OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS ok FROM tail),
+cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM passed WHERE ok = 1 GROUP BY stratum, rule),
+bad AS (SELECT doc_id, string_agg(rule, ',' ORDER BY rule) AS rules FROM v JOIN cut USING (stratum, rule)
+  WHERE v.v > cutoff GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND rules IS NULL AS kept, coalesce(rules, '') AS failed_rules
+FROM m LEFT JOIN bad USING (doc_id)
+"""
+
+
 ORACLE = {
+    "op3_superminhash": _NEAR_DUPLICATES,
+    "op7_risk_controlled_rules": _quality_rules(),
     "op5_decontamination": _DECONTAMINATION,
     "op9_raking": f"""WITH {mixing_ctes('documents')}
 SELECT doc_id, source, lang, topic, n_tokens, rate, least(rate, 1.0) AS probability,
