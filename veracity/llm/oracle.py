@@ -74,6 +74,32 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id, doc_id = c AS
 FROM (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) LEFT JOIN n USING (doc_id)
 """
 
+_LINES = f"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS line_no
+  FROM (SELECT doc_id, {_LOWER} AS t FROM documents)),
+occ AS (SELECT doc_id, line_no, regexp_replace(l, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS line FROM raw),
+line AS (SELECT line, row_number() OVER () AS id, hex(encode(line)) AS h FROM (SELECT DISTINCT line FROM occ WHERE line <> '')),
+sh AS (
+  SELECT DISTINCT id, substr(h, 2 * i + 1, 16) AS g FROM (
+    SELECT id, h, unnest(range(0, length(h) // 2 - 7)) AS i FROM line WHERE length(h) >= 16)
+  UNION ALL SELECT id, h FROM line WHERE length(h) < 16),
+n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+link AS (
+  SELECT a.id AS x, b.id AS y FROM sh a JOIN sh b ON a.g = b.g AND a.id < b.id
+  JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id WHERE 100 * least(na.n, nb.n) >= 80 * greatest(na.n, nb.n)
+  GROUP BY a.id, b.id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT DISTINCT x, x AS y FROM ways UNION SELECT reach.x, ways.y FROM reach JOIN ways ON ways.x = reach.y),
+grp AS (SELECT x AS id, min(y) AS c FROM reach GROUP BY x),
+seen AS (SELECT doc_id, line_no, row_number() OVER (PARTITION BY coalesce(grp.c, line.id) ORDER BY doc_id, line_no) = 1 AS kept
+  FROM occ JOIN line USING (line) LEFT JOIN grp USING (id)),
+per AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE kept) AS n_kept,
+  coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (WHERE NOT kept), '') AS dropped FROM seen GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, coalesce(dropped, '') AS dropped_lines
+FROM documents LEFT JOIN per USING (doc_id)
+"""
+
 _RULES = {"symbols": "n_symbols / word_chars", "capitals": "n_capitals / word_chars",
           "exclamations": "n_exclamations / word_chars", "dup_lines": "n_dup_lines / n_lines",
           "repeats": "n_repeat_words / n_words"}
@@ -119,6 +145,7 @@ FROM m LEFT JOIN bad USING (doc_id)
 
 
 ORACLE = {
+    "op1_fuzzy_lines": _LINES,
     "op3_superminhash": _NEAR_DUPLICATES,
     "op7_risk_controlled_rules": _quality_rules(),
     "op5_decontamination": _DECONTAMINATION,
