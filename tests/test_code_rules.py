@@ -26,9 +26,9 @@ def test_windows_are_partitioned():
     assert hits == [(str(ROOT / "plans" / "ordered.py"), 'Window.orderBy("_pid")')], hits
 
 
-def test_broadcasts_are_bounded():
-    raw = [(str(p), i) for p, s in _sources().items() for i, line in enumerate(s.splitlines())
-           if "F.broadcast(" in line and "bounded_broadcast" not in line and "if max_rows" not in line]
+def test_no_broadcast_hints():
+    # sizes are measured at run time by adaptive execution, never assumed
+    raw = [(str(p), i) for p, s in _sources().items() for i, line in enumerate(s.splitlines()) if "F.broadcast(" in line]
     assert not raw, raw
 
 
@@ -36,9 +36,9 @@ def test_no_cross_or_nested_loop_joins_in_any_plan(spark):
     import contextlib
     import io
 
-    import __spark_entry__ as entry
+    from veracity.plans.catalog import QUERIES
     bad = []
-    for name, q in entry.queries().items():
+    for name, q in QUERIES.items():
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
             q(spark, "/root/testdata/sf0.001").explain()

@@ -13,10 +13,10 @@ QUERIES = entry.queries()
 ORACLE = entry.oracle_sql()
 
 
-def test_every_query_has_an_oracle_or_a_unit_test():
-    without = set(QUERIES) - set(ORACLE)
-    # rows-only keys are covered by their own tests
-    assert without <= {"extract_pages", "page_extraction_report", "encode_analysis"}, without
+def test_every_library_query_has_an_oracle():
+    # the optional training-data queries have tests of their own in tests/llm
+    from veracity.plans.catalog import QUERIES as LIBRARY
+    assert set(LIBRARY) <= set(ORACLE), set(LIBRARY) - set(ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -45,5 +45,5 @@ def test_query_matches_oracle_sf001(spark, name):
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     rows = df.collect()
-    assert len(rows) >= 0
+    assert len(rows) > 0
     assert "overall_rating" in df.columns

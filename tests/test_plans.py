@@ -234,3 +234,77 @@ def test_quota_stream_with_events_behind_the_watermark(spark, tmp_path):
     # counted whole, or dropped and reported
     assert got_rows == (only_on_time if dropped else everything)
     assert dropped in (0, late.count())
+
+
+def test_known_previous_values_over_pieces(spark):
+    """One group holds two thirds of the rows; previous non-null values cross its pieces."""
+    rnd = random.Random(9)
+    rows = [(i, 1 if i % 3 else 2, T0 + dt.timedelta(minutes=rnd.randrange(50)), rnd.choice([None, None, rnd.random()]))
+            for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, v double")
+    got = {r.id: (r.prev_v, r.seq, r.group_size) for r in
+           with_previous(df, ["k"], "ts", "id", ["v"], partitions=9, known=True).collect()}
+    want, last, n = {}, {}, {}
+    for i, k, t, v in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        n[k] = n.get(k, 0) + 1
+        want[i] = (last.get(k), n[k])
+        last[k] = v if v is not None else last.get(k)
+    assert {i: x[:2] for i, x in got.items()} == want
+    assert all(x[2] == n[rows[i][1]] for i, x in got.items())
+
+
+def test_article_times_of_large_ids(spark):
+    from veracity.sources.views import ARTICLE_CYCLE, article_time
+    ids = [0, 1, 58_040_099, 4_000_000_000, 60_000_000_000, ARTICLE_CYCLE]
+    got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", article_time(F.col("doc_id")).alias("t"))
+    for r in got.collect():
+        assert r.t == T0 + dt.timedelta(minutes=37 * (r.doc_id % ARTICLE_CYCLE))
+
+
+def test_a_cluster_session_needs_a_shared_folder():
+    import pytest
+
+    from veracity.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()  # noqa: N815
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
+def test_saved_documents_reach_articles_and_history(spark):
+    a = spark.createDataFrame([(1, "old", "s", "u1", "c", "c", "High", T0, T0, False)], ART)
+    b = spark.createDataFrame([(1, "n", "s", "u1", "x", "Low", False, '{"credibility_score":0.3}'),
+                               (2, "m", "s", "", "y", "High", False, None)], BATCH + ", analysis_data string")
+    got = {r.id: r.analysis_data for r in ST.upsert_articles(a, b, "2024-02-01 00:00:00").collect()}
+    assert got == {1: '{"credibility_score":0.3}', 2: None}
+    h = spark.createDataFrame([(9, 1, T0)], "id long, article_id long, created_at timestamp_ntz")
+    rows = ST.append_history(h, a, b, "2024-02-01 00:00:00").collect()
+    assert sorted((r.id, r.article_id, r.analysis_data) for r in rows) == [(10, 1, '{"credibility_score":0.3}'), (11, 2, None)]
+    bare = ST.append_history(h, a, b, "2024-02-01 00:00:00", analysis_cols=[])
+    assert bare.columns == ["id", "article_id", "created_at"]
+
+
+def test_documents_of_all_shapes_fold(spark):
+    from veracity.functions.scoring import fold_analysis
+    rows = [(1, '{"credibility":{"score":0.7},"topics":[{"name":"a","relevance":0.5}],"key_points":["k"],"bias":{"level":0.1}}'),
+            (2, '{"index_of_credibility":0.8,"topics":["a","b"],"western_perspective":{"credibility":"High","summary":"s","key_points":[]},'
+                '"iranian_perspective":{"credibility":"Low"}}'),
+            (3, '{"credibility_score":0.9,"perspectives":{"neutral":{"summary":"n"}},"summary":"x"}'), (4, "no json"), (5, None)]
+    got = {r.id: r.a for r in spark.createDataFrame(rows, "id int, t string").select("id", fold_analysis("t").alias("a")).collect()}
+    assert (got[1].credibility_score, got[1].bias_score, got[1].topics, got[1].topic_relevance, got[1].key_arguments) == (
+        0.7, 0.1, ["a"], [0.5], ["k"])
+    assert got[2].credibility_score == 0.8 and set(got[2].perspectives) == {"western", "iranian"}
+    assert got[2].perspectives["western"].summary == "s" and got[2].topics == ["a", "b"]
+    assert got[3].credibility_score == 0.9 and set(got[3].perspectives) == {"neutral"} and got[3].summary == "x"
+    assert all(v is None for i in (4, 5) for v in got[i])
