@@ -187,10 +187,11 @@ def _totals(requests: DataFrame) -> DataFrame:
 
 
 def _counted(blocks: DataFrame, totals: DataFrame, n: int, v: int, id_type: str) -> DataFrame:
-    """id, train, n_known, base_score, c1 and c2 (counts of each token and of its bigram)."""
+    """One row a block: ids, train, lens, n_known and base_score of its texts, and packed
+    c1 and c2, the counts of each token and of its bigram."""
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
+        row = left.drop_columns(["ids"]).to_pylist()[0]
         words, numbers, _ = _decoded(row)
         answers: dict[int, list[tuple[int, bytes]]] = {1: [], 2: []}
         for r in right.to_pylist():
@@ -201,15 +202,17 @@ def _counted(blocks: DataFrame, totals: DataFrame, n: int, v: int, id_type: str)
         by_number[np.argsort(words)] = uni
         c1 = by_number[numbers]
         c2 = bi[np.unique(bigram_keys(words, numbers), return_inverse=True)[1]]
-        ends = np.cumsum([0, *row["lens"]])
-        base = np.log10((c1 + 1) / (n + (v + 1)))
-        lists = [pa.LargeListArray.from_arrays(ends, pa.array(x)).cast(pa.list_(pa.int64())) for x in (c1, c2)]
-        return pa.table({"id": left.column("ids").chunk(0).flatten(), "train": pa.array(row["train"]),
-                         "n_known": np.add.reduceat((c1 > 0).astype(np.int64), ends[:-1]),
-                         "base_score": np.add.reduceat(base, ends[:-1]), "c1": lists[0], "c2": lists[1]})
+        start = np.cumsum([0, *row["lens"]])[:-1]
+        known = np.add.reduceat((c1 > 0).astype(np.int64), start)
+        base = np.add.reduceat(np.log10((c1 + 1) / (n + (v + 1))), start)
+        return pa.table({"ids": left.column("ids"), "train": left.column("train"), "lens": left.column("lens"),
+                         "n_known": pa.array([known], pa.list_(pa.int64())),
+                         "base_score": pa.array([base], pa.list_(pa.float64())),
+                         "c1": pa.array([packed(c1)], pa.binary()), "c2": pa.array([packed(c2)], pa.binary())})
 
     return blocks.groupBy("block").cogroup(totals.select("block", "kind", "part", "totals").groupBy("block")).applyInArrow(
-        join, f"id {id_type}, train boolean, n_known long, base_score double, c1 array<long>, c2 array<long>")
+        join, f"ids array<{id_type}>, train array<boolean>, lens array<long>, n_known array<long>, "
+              "base_score array<double>, c1 binary, c2 binary")
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -217,11 +220,10 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.minimum(1 + np.floor(np.log2(np.maximum(context, 1))), BUCKETS - 1), 0).astype(np.int64)
 
 
-def _flat(batch: pa.RecordBatch, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(c(w), c(v w), c(v), first token of each text) of a batch's tokens."""
-    c1, c2 = batch.column("c1"), batch.column("c2")
-    start = c1.offsets.to_numpy()[:-1] - c1.offsets.to_numpy()[0]
-    one, two = c1.flatten().to_numpy(), c2.flatten().to_numpy()
+def _flat(row: dict, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(c(w), c(v w), c(v), first token of each text) of a block's tokens."""
+    one, two = unpacked(row["c1"]).astype(np.int64), unpacked(row["c2"]).astype(np.int64)
+    start = np.cumsum([0, *row["lens"]])[:-1]
     context = np.empty_like(one)
     context[1:] = one[:-1]
     context[start] = docs   # a text's first token follows an end
@@ -243,15 +245,18 @@ def deleted_histogram(counted: DataFrame, n: int, docs: int) -> tuple[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two, context, _ = _flat(batch, docs)
-            rest = context - 1
-            bigram = np.where(rest > 0, (two - 1) / np.maximum(rest, 1), 0.0)
-            unigram = (one - 1) / max(n - 1, 1)
-            code = (bucket_of(rest) << 40) | (_grid(bigram) << 20) | _grid(unigram)
-            codes, counts = np.unique(code, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
-
-    table = (counted.where("train").select("c1", "c2").mapInArrow(run, "code long, n long")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                one, two, context, _ = _flat(row, docs)
+                train = np.repeat(np.array(row["train"], bool), row["lens"])
+                one, two, rest = one[train], two[train], context[train] - 1
+                bigram = np.where(rest > 0, (two - 1) / np.maximum(rest, 1), 0.0)
+                unigram = (one - 1) / max(n - 1, 1)
+                code = (bucket_of(rest) << 40) | (_grid(bigram) << 20) | _grid(unigram)
+                codes, counts = np.unique(code, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+
+    table = (counted.select("train", "lens", "c1", "c2").mapInArrow(run, "code long, n long")
              .groupBy("code").agg(F.sum("n").alias("n")).toArrow())   # bounded by buckets and grid
     code, weight = table.column("code").to_numpy(), table.column("n").to_numpy().astype(np.float64)
     return code >> 40, _off_grid((code >> 20) & 0xFFFFF), _off_grid(code & 0xFFFFF), weight
@@ -319,19 +324,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     sums = totals.where("kind = 1").agg(F.sum("types").alias("v"), F.sum("tokens").alias("n")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
     counted = materialise(_counted(blocks, totals, n, v, id_type), "counted")
-    texts = counted.where("train").count()
+    texts = counted.agg(F.sum(F.size(F.filter("train", lambda t: t)))).first()[0] or 0
     model = Model(n, v, texts, em_weights(*deleted_histogram(counted, n, texts), v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two, context, start = _flat(batch, model.docs)
-            found = np.add.reduceat(model.log10_tokens(one, two, context), start) if len(start) else np.empty(0)
-            lens = np.diff(np.append(start, len(one)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(lens.astype(np.int64)), batch.column("n_known"),
-                 pa.array(np.full(len(lens), model.n)), batch.column("base_score"), pa.array(found)],
-                names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return (counted.select("id", "n_known", "base_score", "c1", "c2")
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                row = part.drop_columns(["ids"]).to_pylist()[0]
+                one, two, context, start = _flat(row, model.docs)
+                found = np.add.reduceat(model.log10_tokens(one, two, context), start)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("ids").flatten(), pa.array(row["lens"], pa.int64()), pa.array(row["n_known"], pa.int64()),
+                     pa.array(np.full(len(start), model.n)), pa.array(row["base_score"], pa.float64()), pa.array(found)],
+                    names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return (counted.select("ids", "lens", "n_known", "base_score", "c1", "c2")
             .mapInArrow(run, f"id {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
             .withColumnRenamed("id", id_col))
