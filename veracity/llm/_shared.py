@@ -58,4 +58,5 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     y = (labels.select(F.col(label_id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
          .where("__id is not null and y is not null").groupBy("__id").agg(F.max("y").alias("y")))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(y, "__id").select("text", "y")
+    # merged at every size: labels grow with the documents
+    return rows.join(y.hint("merge"), "__id").select("text", "y")

@@ -29,8 +29,8 @@ LENGTHS = (3, 4, 5)
 FEATURES = 4096          # n-grams the regression sees
 SAMPLE = 12_000          # training texts the regression is fitted on, at most
 SMOOTH = 1.0
-PENALTY = 1e-4
-STEPS = 250
+PENALTY = 1e-5
+STEPS = 500
 BATCH_DOCS, BATCH_BYTES = 64, 1 << 20
 
 
