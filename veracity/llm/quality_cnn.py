@@ -1,6 +1,6 @@
 """Quality classification with a byte-level convolutional network in numpy.
 
-Bytes are embedded; learned filters of 16 bytes run over the whole text, 4 bytes
+Bytes are embedded; learned filters of 48 bytes run over the whole text, 4 bytes
 apart.  Filter answers are max-pooled over chunks of 512 bytes that overlap by
 half, so a document of any length is covered to its end.  A small hidden layer
 turns each chunk's pooled answers into a badness, and the chunks are combined by a
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from veracity.llm._shared import binary_values, session_of
 
-DIM, WIDTH, STRIDE, FILTERS, HIDDEN = 4, 16, 4, 16, 16
+DIM, WIDTH, STRIDE, FILTERS, HIDDEN = 4, 48, 4, 24, 16
 BLOCK = 64                       # windows of a half chunk: 256 bytes
 BLOCK_BYTES = BLOCK * STRIDE
-SAMPLE, SAMPLE_BYTES = 4000, 1 << 16
-STEPS, BATCH, RATE = 1500, 32, 4e-3
+SAMPLE, SAMPLE_BYTES = 8000, 1 << 15
+STEPS, BATCH, RATE = 2500, 32, 4e-3
 SLICE_BLOCKS = 2048              # half chunks that are convolved at a time: 512 kB of text
 
 
@@ -60,7 +60,7 @@ class Net:
         def normal(*shape: int, scale: float) -> np.ndarray:
             return (rng.standard_normal(shape) * scale).astype(np.float32)
         bias = np.log(max(share_bad, 1e-3) / max(1 - share_bad, 1e-3))
-        return cls(normal(256, DIM, scale=0.7), normal(WIDTH * DIM, FILTERS, scale=0.18),
+        return cls(normal(256, DIM, scale=0.7), normal(WIDTH * DIM, FILTERS, scale=0.1),
                    np.zeros(FILTERS, np.float32), normal(FILTERS, HIDDEN, scale=0.3), np.zeros(HIDDEN, np.float32),
                    normal(HIDDEN, scale=0.1), np.full(1, bias, np.float32))
 
