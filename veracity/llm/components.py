@@ -21,6 +21,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if not large:
         both = both.where("v < u")
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    if large:   # a centre may have any share of the links: both sides dealt out anew, the join can be split
+        low = materialise(low, "minima")
     out = both.join(low, "u")
     if large:
         out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -155,6 +155,7 @@ def _open_buckets(buckets: DataFrame, labels: DataFrame) -> DataFrame:
              .select("bucket", "node", F.coalesce("component", "node").alias("component")))
     split = (named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo < hi").select("bucket"))
+    split = materialise(split, "open")   # dealt out anew, so that the join can be split at a large bucket
     return named.join(split, "bucket", "left_semi")
 
 
