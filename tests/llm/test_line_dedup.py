@@ -68,6 +68,7 @@ def test_shingles_of_many_lines_at_once():
     codes, owner = ld.shingles(lines)
     for i, x in enumerate(lines):
         assert {int(c) for c in codes[owner == i]} == {int.from_bytes(s, "little") for s in shingle_set(x)}
+        assert ld._set_of(x).tolist() == sorted({int(c) for c in codes[owner == i]})
     assert ld.shingles([b"abc"])[0].tolist() == [int.from_bytes(b"abc", "little")]
 
 

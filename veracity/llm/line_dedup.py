@@ -11,7 +11,8 @@ components are the shared steps of ``similar.py``.  Of each component the first
 line, by document id and place, is kept.
 
 A task works on all lines of a batch of documents at once; a line that repeats in a
-batch sends its bands once.  Texts are shuffled only for lines that collide.
+batch sends its bands once.  Only lines that collide send their text, found by a
+Bloom filter of fixed size and an exact join.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veracity.llm._shared import GOLDEN, U64, as_int64, binary_values, materialise, mix64, session_of
-from veracity.llm.similar import (band_keys, collisions, linked, long_lists, marks_of, node_weights, set_lists,
-                                  sketch_of)
+from veracity.llm.similar import MARKS, band_keys, collisions, linked, long_lists, node_weights, sketch_of
 
 WIDTH = 8                  # bytes of a shingle
-SLOTS, BANDS, ROWS = 64, 12, 5
+SLOT_BITS = 6
+SLOTS, BANDS, ROWS = 1 << SLOT_BITS, 12, 5
 PERCENT = 80
-TASK_BYTES = 1 << 20       # text a task looks at in one go
+TASK_BYTES = 1 << 17       # text a task looks at in one go
+FILTER_WORDS = 1 << 18     # 64-bit words of the Bloom filter of colliding lines: 2 MB, whatever the input
 _FULL = np.iinfo(np.uint64).max
 
 
@@ -53,19 +55,24 @@ def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = b"".join(lines)
     if len(data) < WIDTH:
         return codes, short
+    inside = np.ones(len(data) + WIDTH, bool)       # windows that end in their line
+    ends = np.cumsum(lens)
+    for k in range(1, WIDTH):
+        inside[np.maximum(ends - k, ends - lens)] = False
     every = np.ndarray((len(data) - WIDTH + 1,), "<u8", data, strides=(1,))
-    owner = np.repeat(np.arange(len(lines)), lens)
-    place = np.arange(len(data)) - np.repeat(np.cumsum(lens) - lens, lens)
-    inside = np.flatnonzero(place + WIDTH <= np.repeat(lens, lens))
-    return np.concatenate([every[inside], codes]), np.concatenate([owner[inside], short])
+    owner = np.repeat(np.arange(len(lines)), np.maximum(lens - (WIDTH - 1), 0))
+    return np.concatenate([every[inside[:len(every)]], codes]), np.concatenate([owner, short])
 
 
 def signatures(codes: np.ndarray, owner: np.ndarray, lines: int) -> np.ndarray:
     """One-permutation MinHash signatures (lines x SLOTS)."""
-    x = mix64(codes + GOLDEN)
-    slot = ((x >> U64(32)) * U64(SLOTS)) >> U64(32)
+    x = codes * GOLDEN
+    x ^= x >> U64(32)
+    x *= U64(0xBF58476D1CE4E5B9)
+    slot = (x >> U64(64 - SLOT_BITS)).astype(np.int64)
+    slot += owner << SLOT_BITS
     sig = np.full((lines, SLOTS), _FULL, U64)
-    np.minimum.at(sig.reshape(-1), owner * SLOTS + slot.astype(np.int64), x)
+    np.minimum.at(sig.reshape(-1), slot, x)
     own = sig != _FULL
     row, col = np.nonzero(~own)
     turn = 0
@@ -111,23 +118,53 @@ def _bands(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, keys array<long>")
 
 
-def _line_texts(docs: DataFrame) -> DataFrame:
-    """node, line: the distinct lines of each batch."""
+def _bits(ids: np.ndarray) -> np.ndarray:
+    """The two bits of each line in the filter."""
+    return mix64(np.concatenate([ids ^ GOLDEN, ids + GOLDEN])) % U64(FILTER_WORDS * 64)
+
+
+def _filter(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size of the nodes: it spares most other lines the shuffle,
+    and the join after it is exact, so a full filter only costs time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unique(_bits(batch.column(0).to_numpy().view(U64)))
+            yield pa.RecordBatch.from_arrays([pa.array(as_int64(bits >> U64(6))), pa.array(as_int64(U64(1) << (bits & U64(63))))],
+                                             names=["word", "bit"])
+
+    table = (nodes.select("node").mapInArrow(run, "word long, bit long").groupBy("word")
+             .agg(F.bit_or("bit").alias("bits")).toArrow())     # at most FILTER_WORDS rows
+    words = np.zeros(FILTER_WORDS, U64)
+    words[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(U64)
+    return words
+
+
+def _line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, line of the lines in ``nodes``."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(nodes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
             texts = binary_values(batch.column("text"))
             for a, b in _groups(texts):
                 lines, ids = _distinct(texts[a:b])
-                if lines:
-                    yield pa.RecordBatch.from_arrays([pa.array(as_int64(ids)), pa.array(lines, pa.binary())],
-                                                     names=["node", "line"])
+                if not lines:
+                    continue
+                bits = _bits(ids)
+                hit = ((words[bits >> U64(6)] >> (bits & U64(63))) & U64(1)).astype(bool)
+                at = np.flatnonzero(hit[:len(ids)] & hit[len(ids):])
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(as_int64(ids[at])), pa.array([lines[i] for i in at], pa.binary())], names=["node", "line"])
 
-    return docs.select("text").mapInArrow(run, "node long, line binary")
+    found = docs.select("text").mapInArrow(run, "node long, line binary")
+    return found.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.max("line").alias("line"))
 
 
-def _sets(lines: DataFrame) -> DataFrame:
-    """node, line -> node, n, shingles, marks, sketch."""
+def _facts(lines: DataFrame) -> DataFrame:
+    """node, line -> node, n (shingles), sketch, marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,16 +172,42 @@ def _sets(lines: DataFrame) -> DataFrame:
             for a, b in _groups(texts):
                 codes, owner = shingles(texts[a:b])
                 sig = signatures(codes, owner, b - a)
-                order = np.lexsort((codes, owner))
-                codes, owner = codes[order], owner[order]
-                new = np.append(True, (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1]))
-                sets = np.split(codes[new], np.cumsum(np.bincount(owner[new], minlength=b - a))[:-1])
+                marks = np.zeros((b - a, MARKS), np.uint8)
+                marks[owner, (mix64(codes) % U64(MARKS)).astype(np.int64)] = 1
+                n = [len(_set_of(x)) for x in texts[a:b]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), set_lists(sets),
-                     marks_of([mix64(s) for s in sets]), long_lists(sketch_of(sig))],
-                    names=["node", "n", "shingles", "marks", "sketch"])
+                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), long_lists(sketch_of(sig)),
+                     long_lists(np.packbits(marks, axis=1).view(U64))], names=["node", "n", "sketch", "marks"])
+
+    return lines.mapInArrow(run, "node long, n long, sketch array<long>, marks array<long>")
+
+
+def _set_of(line: bytes) -> np.ndarray:
+    """The sorted distinct shingles of a line."""
+    if len(line) < WIDTH:
+        return np.array([int.from_bytes(line, "little")], U64)
+    return np.unique(np.ndarray((len(line) - WIDTH + 1,), "<u8", line, strides=(1,)))
 
-    return lines.mapInArrow(run, "node long, n long, shingles array<long>, marks array<long>, sketch array<long>")
+
+def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose lines' shingle sets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, last, x = [], None, None
+            for i, (la, lb) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if la != last:
+                    last, x = la, _set_of(la)
+                y = _set_of(lb)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    good.append(i)
+            at = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    both = (pairs.select("a", "b").join(lines.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b")
+            .join(lines.select(F.col("node").alias("a"), F.col("line").alias("la")), "a"))
+    return both.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -186,10 +249,9 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialise(_bands(src), "bands").select("node", F.explode("keys").alias("bucket"))
     buckets = materialise(collisions(rows).groupBy("bucket", "node").agg(F.max("size").alias("size")), "buckets")
     weights = materialise(node_weights(buckets), "weights")
-    texts = (_line_texts(src).join(weights.select("node"), "node", "left_semi")
-             .groupBy("node").agg(F.max("line").alias("line")))
-    sets = materialise(_sets(texts), "sets")
-    labels = linked(buckets, weights, sets, sets, percent, SLOTS)
+    texts = materialise(_line_texts(src, weights), "texts")
+    facts = materialise(_facts(texts), "facts")
+    labels = linked(buckets, weights, lambda pairs: _verified(pairs, texts, percent), facts, percent, SLOTS)
 
     occ = materialise(_occurrences(src), "lines").join(labels, "node", "left")
     occ = materialise(occ.select("id", "line_no", "node", F.coalesce("component", "node").alias("group_id")), "groups")

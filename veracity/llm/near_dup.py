@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from veracity.llm._shared import GOLDEN, U64, as_int64, binary_values, materialise, mix64, session_of
 from veracity.llm.similar import (band_keys, bands_for, collisions, linked, long_lists, marks_of, node_weights,
-                                  set_lists, sketch_of)
+                                  same_sets, set_lists, sketch_of)
 
 SLOTS = 192
 SLICE = 1 << 15     # shingles whose permutations are held at a time in a task
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = materialise(node_weights(buckets), "weights")
     sets = materialise(set_table(docs, id_col, text_col, weights.select("node"), words), "sets")
     facts = reps.select("node", "n", "sketch").join(sets.select("node", "marks"), "node")
-    labels = linked(buckets, weights, sets, facts, percent, SLOTS)
+    labels = linked(buckets, weights, lambda pairs: same_sets(pairs, sets, percent), facts, percent, SLOTS)
 
     own = members.join(labels, "node", "left").select(
         "id", "n", F.coalesce("component", "node").alias("component"))

@@ -1,8 +1,8 @@
 """From signatures to groups: the steps that near-duplicate documents and lines share.
 
 ``rows`` (bucket, node) are range-partitioned on (bucket, node), so that a bucket of
-any size is cut into balanced pieces, and runs of a bucket are found in sorted order
-(one shuffle; nothing is gathered).  In a bucket, members are verified against one
+any size is cut into balanced pieces, and each piece finds its buckets by sorting (one
+shuffle; a piece is a shuffle partition).  In a bucket, members are verified against one
 pivot, the member that sits in the largest buckets, so a group of copies costs one
 comparison a member and band, not one a pair.  Links form components.  What is still
 unconnected inside a bucket is then compared pairwise, behind a sketch of the whole
@@ -14,7 +14,7 @@ changed copies next to none get through that could not be linked.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,38 +83,30 @@ def set_lists(sets: list[np.ndarray]) -> pa.Array:
 
 def collisions(rows: DataFrame) -> DataFrame:
     """rows (bucket, node) -> bucket, node, size of the buckets with two rows or more.
-    ``size`` is the length of the run that a task saw together (a weight, not a
-    count).  The outermost bucket of a piece may be there with a single row."""
+    ``size`` is the number of rows that a piece has of the bucket (a weight, not a
+    count).  A piece's first and last bucket may be there with a single row."""
     session_of(rows)
 
-    def batch_of(part: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(part[:, 0])), pa.array(np.ascontiguousarray(part[:, 1])), pa.array(size)],
-            names=["bucket", "node", "size"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 2), np.int64)      # a last row that may be alone in its bucket
-        shown, first = None, True              # the bucket that the last batch ended in and has shown
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = np.concatenate([held, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)])
-            start = np.flatnonzero(np.append(True, part[1:, 0] != part[:-1, 0]))
-            size = np.diff(np.append(start, len(part)))
-            show = size > 1
-            show[0] |= first or part[0, 0] == shown
-            first = False
-            if show[-1]:
-                held, shown = part[:0], part[-1, 0]
-            else:
-                held, shown = part[-1:], None
-            kept = np.repeat(show, size)
-            if kept.any():
-                yield batch_of(part[kept], np.repeat(size, size)[kept])
-        if len(held):
-            yield batch_of(held, np.ones(1, np.int64))
-
-    return (rows.select("bucket", "node").repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node")
+        parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
+        if not parts:
+            return
+        bucket, node = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        del parts
+        order = np.argsort(bucket)
+        bucket, node = bucket[order], node[order]
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        size = np.diff(np.append(start, len(bucket)))
+        show = size > 1
+        show[[0, -1]] = True       # a neighbouring piece may have more of them
+        kept = np.flatnonzero(np.repeat(show, size))
+        size = np.repeat(size, size)
+        for i in range(0, len(kept), 1 << 16):
+            at = kept[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(node[at]), pa.array(size[at])],
+                                             names=["bucket", "node", "size"])
+
+    return (rows.select("bucket", "node").repartitionByRange("bucket", "node")
             .mapInArrow(run, "bucket long, node long, size long"))
 
 
@@ -123,24 +115,23 @@ def node_weights(buckets: DataFrame) -> DataFrame:
     return buckets.groupBy("node").agg(F.sum("size").alias("weight"))
 
 
-def linked(buckets: DataFrame, weights: DataFrame, sets: DataFrame, facts: DataFrame, percent: int,
-           slots: int) -> DataFrame:
-    """(node, component) of all nodes that have a link: two nodes of a bucket with
-    100 * |A and B| >= percent * |A or B|.
+def linked(buckets: DataFrame, weights: DataFrame, verified: Callable[[DataFrame], DataFrame], facts: DataFrame,
+           percent: int, slots: int) -> DataFrame:
+    """(node, component) of all nodes that have a link: two nodes of a bucket whose
+    pair ``verified`` (a, b) -> (a, b) lets pass, by 100 * |A and B| >= percent * |A or B|.
 
-    ``sets``: node, shingles; ``facts``: node, n, sketch, marks; both at least for the
-    nodes in ``buckets``, all four tables written ones."""
-    links = materialise(_verified(_pivot_pairs(buckets, weights), sets, percent), "links")
+    ``facts``: node, n, sketch, marks, at least for the nodes in ``buckets``; all tables
+    written ones."""
+    links = materialise(verified(_pivot_pairs(buckets, weights)), "links")
     # these labels only say which pairs need no comparison, so one round will do
     labels = components(links, rounds=1)
     pairs = materialise(_open_pairs(buckets, facts, labels, percent, slots), "pairs")
-    links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(
-        _verified(pairs, sets, percent))
+    links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(pairs))
     return components(materialise(links, "links"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |A and B| >= percent * |A or B|."""
+def same_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * |A and B| >= percent * |A or B|, by sets (node, shingles)."""
     left = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     both = pairs.select("a", "b").join(left, "b").join(right, "a")
