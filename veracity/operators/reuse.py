@@ -167,7 +167,7 @@ def _entries(ranged: DataFrame, crossing: dict, ttl: int) -> dict[tuple[str, int
 def reusable_results(submissions: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     """T3 batch: is each submission (event_id, key, ts) answered from a result
     computed less than ``ttl_seconds`` before, and from when is that result?
-    ``event_id`` must be unique."""
+    ``event_id`` must be unique and ``key`` not NULL."""
     spark = submissions.sparkSession
     ensure_checkpoint_dir(spark)
     ship_package(spark)
