@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = materialise(node_weights(buckets), "weights")
     sets = materialise(set_table(docs, id_col, text_col, weights.select("node"), words), "sets")
     facts = reps.select("node", "n", "sketch").join(sets.select("node", "marks"), "node")
-    labels = linked(buckets, weights, lambda pairs: same_sets(pairs, sets, percent), facts, percent, SLOTS)
+    labels = linked(buckets, weights, lambda pairs: same_sets(pairs, sets, percent), facts, percent, SLOTS, rounds=1)
 
     own = members.join(labels, "node", "left").select(
         "id", "n", F.coalesce("component", "node").alias("component"))

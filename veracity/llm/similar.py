@@ -116,15 +116,15 @@ def node_weights(buckets: DataFrame) -> DataFrame:
 
 
 def linked(buckets: DataFrame, weights: DataFrame, verified: Callable[[DataFrame], DataFrame], facts: DataFrame,
-           percent: int, slots: int) -> DataFrame:
+           percent: int, slots: int, rounds: int | None = None) -> DataFrame:
     """(node, component) of all nodes that have a link: two nodes of a bucket whose
     pair ``verified`` (a, b) -> (a, b) lets pass, by 100 * |A and B| >= percent * |A or B|.
 
     ``facts``: node, n, sketch, marks, at least for the nodes in ``buckets``; all tables
-    written ones."""
+    written ones.  ``rounds``: of the components between the two comparisons, which only
+    say what needs no second one; where groups are few and tight, one is enough."""
     links = materialise(verified(_pivot_pairs(buckets, weights)), "links")
-    # these labels only say which pairs need no comparison, so one round will do
-    labels = components(links, rounds=1)
+    labels = components(links, rounds)
     pairs = materialise(_open_pairs(buckets, facts, labels, percent, slots), "pairs")
     links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(pairs))
     return components(materialise(links, "links"))
