@@ -247,7 +247,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     src = _prepared(docs, id_col, text_col)
     rows = materialise(_bands(src), "bands").select("node", F.explode("keys").alias("bucket"))
-    buckets = materialise(collisions(rows).groupBy("bucket", "node").agg(F.max("size").alias("size")), "buckets")
+    buckets = materialise(collisions(rows).distinct(), "buckets")
     weights = materialise(node_weights(buckets), "weights")
     texts = materialise(_line_texts(src, weights), "texts")
     facts = materialise(_facts(texts), "facts")

@@ -82,9 +82,8 @@ def set_lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def collisions(rows: DataFrame) -> DataFrame:
-    """rows (bucket, node) -> bucket, node, size of the buckets with two rows or more.
-    ``size`` is the number of rows that a piece has of the bucket (a weight, not a
-    count).  A piece's first and last bucket may be there with a single row."""
+    """rows (bucket, node) -> those of the buckets with two rows or more.  A piece's
+    first and last bucket may be there with a single row."""
     session_of(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,19 +99,18 @@ def collisions(rows: DataFrame) -> DataFrame:
         show = size > 1
         show[[0, -1]] = True       # a neighbouring piece may have more of them
         kept = np.flatnonzero(np.repeat(show, size))
-        size = np.repeat(size, size)
         for i in range(0, len(kept), 1 << 16):
             at = kept[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(node[at]), pa.array(size[at])],
-                                             names=["bucket", "node", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(node[at])], names=["bucket", "node"])
 
     return (rows.select("bucket", "node").repartitionByRange("bucket", "node")
-            .mapInArrow(run, "bucket long, node long, size long"))
+            .mapInArrow(run, "bucket long, node long"))
 
 
 def node_weights(buckets: DataFrame) -> DataFrame:
-    """node, weight: how large the buckets are that a node sits in."""
-    return buckets.groupBy("node").agg(F.sum("size").alias("weight"))
+    """node, weight: the rows of all buckets that a node sits in."""
+    sizes = materialise(buckets.groupBy("bucket").agg(F.count("*").alias("size")), "bucket-sizes")
+    return buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
 
 
 def linked(buckets: DataFrame, weights: DataFrame, verified: Callable[[DataFrame], DataFrame], facts: DataFrame,
