@@ -308,3 +308,59 @@ def test_documents_of_all_shapes_fold(spark):
     assert got[2].perspectives["western"].summary == "s" and got[2].topics == ["a", "b"]
     assert got[3].credibility_score == 0.9 and set(got[3].perspectives) == {"neutral"} and got[3].summary == "x"
     assert all(v is None for i in (4, 5) for v in got[i])
+
+
+def _event_files(spark, folder, parts):
+    """Files of (id, type, second), read in the order of ``parts``."""
+    import os
+
+    import pandas as pd
+    folder.mkdir()
+    for n, part in enumerate(parts):
+        rows = pd.DataFrame([(i, e, pd.Timestamp(T0) + pd.Timedelta(seconds=s), "p") for i, e, s in part],
+                            columns=["event_id", "event_type", "ts", "props"])
+        rows.to_parquet(folder / f"events_{n:03}.parquet", index=False, coerce_timestamps="us")
+        os.utime(folder / f"events_{n:03}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    return str(folder)
+
+
+def test_reuse_query_over_more_files_than_a_trigger_takes(spark, tmp_path):
+    """140 files without order over 30 days (three triggers): the registered query equals the walk."""
+    from veracity.plans import catalog
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["hot", "hot", "a", "b"]), rnd.randrange(30 * 86400)) for i in range(2100)]
+    d = _event_files(spark, tmp_path / "tables", [rows[i::140] for i in range(140)])
+    got = catalog.q_reusable_results_stream(spark, d).collect()
+    want = walk([(i, e, s) for i, e, s in rows], catalog.REUSE_TTL)
+    assert {r.event_id: (not r.hit, int((r.cached_at - T0).total_seconds())) for r in got} == want
+
+
+def test_reuse_stream_with_ties_over_many_triggers(spark, tmp_path):
+    """Late rows before, at and after anchors, at equal times with smaller and larger ids."""
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice("ab"), 600 * rnd.randrange(40)) for i in range(120)]
+    rnd.shuffle(rows)
+    d = _event_files(spark, tmp_path / "tables", [rows[i::6] for i in range(6)])
+    got = SS.reusable_results_stream(spark, d, base=str(tmp_path / "s"), max_files_per_trigger=1).collect()
+    assert {r.event_id: (not r.hit, int((r.cached_at - T0).total_seconds())) for r in got} == walk(rows, 3600)
+
+
+def test_dropped_rows_of_triggers_that_recent_progress_forgot(spark, tmp_path):
+    """File 2 is behind the watermark of file 1; with a short memory of reports it still counts."""
+    conf = "spark.sql.streaming.numRecentProgressUpdates"
+    day = 86400
+    parts = [[(1, "a", 90 * day)], [(2, "a", 91 * day)], [(3, "a", 0)], *[[(4 + k, "a", (92 + k) * day)] for k in range(4)]]
+    d = _event_files(spark, tmp_path / "tables", [[(i, e, s) for i, e, s in p] for p in parts])
+    import pandas as pd
+    for n in range(len(parts)):
+        f = tmp_path / "tables" / f"events_{n:03}.parquet"
+        at = f.stat().st_mtime
+        pd.read_parquet(f).assign(user_id=7).to_parquet(f, index=False, coerce_timestamps="us")
+        import os
+        os.utime(f, (at, at))
+    spark.conf.set(conf, "1")
+    try:
+        got = SS.quota_windows_stream(spark, d, base=str(tmp_path / "s"), max_files_per_trigger=1).count()
+    finally:
+        spark.conf.unset(conf)
+    assert (got, SS.dropped_rows(spark, str(tmp_path / "s"))) == (6, 1)

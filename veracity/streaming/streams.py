@@ -10,21 +10,20 @@ the cluster's ``spark.checkpoint.dir`` unless given.
 
 Each stream has a batch twin that defines its answer; after the stream has
 consumed all files, ``read_changelog`` equals the twin, in whatever order the
-files arrive, as long as no row is older than the watermark allows.  Rows that
+files arrive; T2 as long as no row is older than its watermark allows.  Rows that
 are older and that Spark therefore drops are counted (``dropped_rows``).
 A table may be one file, several files beside each other, or a folder of part files.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from veracity.operators import reuse, stats
 from veracity.plans.ordered import with_previous
@@ -57,17 +56,55 @@ def changelog_writer(base: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_available(sdf: DataFrame, base: str, mode: str = "update") -> None:
+class _Dropped(StreamingQueryListener):
+    """Rows that the watermark dropped, by run and micro-batch: every progress report
+    comes by here, while ``recentProgress`` holds only the last hundred."""
+
+    def __init__(self) -> None:
+        self.rows: dict[tuple[str, int], int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        at = (str(p.runId), p.batchId)
+        self.rows[at] = max(self.rows.get(at, 0), sum(op.numRowsDroppedByWatermark for op in p.stateOperators))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def of(self, run: str, wait_s: int = 60) -> int:
+        """The count of a run that has ended; its last report may be still on its way."""
+        until = time.monotonic() + wait_s
+        while run not in self.ended:
+            if time.monotonic() > until:
+                raise TimeoutError(f"no report of the end of stream run {run}")
+            time.sleep(0.02)
+        return sum(n for (r, _), n in self.rows.items() if r == run)
+
+
+def run_available(sdf: DataFrame, base: str, mode: str = "update",
+                  writer: Callable[[DataFrame, int], None] | None = None) -> None:
     """Run a streaming DataFrame over everything available, then stop, and keep the
     number of rows that the watermark dropped beside the change log."""
-    q = (sdf.writeStream.outputMode(mode)
-         .foreachBatch(changelog_writer(base))
-         .option("checkpointLocation", f"{base}/checkpoint")
-         .trigger(availableNow=True)
-         .start())
-    q.awaitTermination()
-    dropped = sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
-    sdf.sparkSession.range(1).selectExpr(f"{dropped}L as dropped").write.mode("append").parquet(f"{base}/dropped")
+    spark, reports = sdf.sparkSession, _Dropped()
+    spark.streams.addListener(reports)
+    try:
+        q = (sdf.writeStream.outputMode(mode)
+             .foreachBatch(writer or changelog_writer(base))
+             .option("checkpointLocation", f"{base}/checkpoint")
+             .trigger(availableNow=True)
+             .start())
+        q.awaitTermination()
+        dropped = reports.of(str(q.runId))
+    finally:
+        spark.streams.removeListener(reports)
+    spark.range(1).selectExpr(f"{dropped}L as dropped").write.mode("append").parquet(f"{base}/dropped")
 
 
 def dropped_rows(spark: SparkSession, base: str) -> int:
@@ -175,61 +212,42 @@ def submissions_from_events(events: DataFrame) -> DataFrame:
 
 reusable_results = reuse.reusable_results
 
-REUSE_SCHEMA = "event_id long, key string, ts timestamp_ntz, hit boolean, cached_at timestamp_ntz"
-REUSE_STATE = "anchor long, ids array<long>, times array<long>"
-
-
-def _reuse_stateful(ttl_us: int):
-    """One key's new rows.  The state holds the newest anchor that is final (older than
-    the watermark) and the rows since; they are answered anew with what arrives between
-    them, so late files inside the watermark change earlier answers and the newest
-    answer of a row is the one the batch twin gives."""
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        anchor, ids, times = state.get if state.exists else (None, [], [])
-        ids, times = [np.array(ids or [], np.int64)], [np.array(times or [], np.int64)]
-        for b in batches:
-            ids.append(b["event_id"].to_numpy(np.int64))
-            times.append(b["ts"].to_numpy(dtype="datetime64[us]").astype(np.int64))
-        ids, times = np.concatenate(ids), np.concatenate(times)
-        if not len(ids):
-            return
-        order = np.lexsort((ids, times))
-        ids, times = ids[order], times[order]
-        first = 0 if anchor is None else int(np.searchsorted(times, anchor + ttl_us))
-        mark = reuse.orbit(np.arange(first, min(first + 1, len(ids))),
-                           reuse.next_rows(np.zeros(1, np.int64), times, ttl_us))
-        latest = np.maximum.accumulate(np.where(mark, np.arange(len(ids)), -1))
-        cached = np.where(latest >= 0, times[latest], 0 if anchor is None else anchor)
-        final = int(np.searchsorted(times, state.getCurrentWatermarkMs() * 1000))
-        if final:
-            anchor = int(cached[final - 1])
-        state.update((anchor, ids[final:].tolist(), times[final:].tolist()))
-        newest = int(times[-1]) if final < len(ids) else anchor + ttl_us
-        state.setTimeoutTimestamp(max(newest + ttl_us, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
-        yield pd.DataFrame({"event_id": ids, "key": key[0], "ts": pd.to_datetime(pd.Series(times), unit="us"),
-                            "hit": ~mark, "cached_at": pd.to_datetime(pd.Series(cached), unit="us")})
-    return run
+def _reuse_writer(base: str, ttl_seconds: int) -> Callable[[DataFrame, int], None]:
+    """Answers of a micro-batch by the batch plan.  A new row can change only what follows
+    it in its key, so the rows of the key since the last anchor before its earliest new row
+    are answered anew with the new ones; rows whose answer is new or another go to the
+    change log, which is all the state there is."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = new = batch.select("event_id", "key", "ts").checkpoint()
+        again = None
+        if batch_id:
+            since = new.groupBy("key").agg(F.min("ts").alias("since"))
+            log = batch.sparkSession.read.parquet(f"{base}/changes").where(F.col("batch_id") < batch_id)
+            known = (log.join(since, "key").groupBy("event_id")
+                     .agg(F.max_by(F.struct("key", "ts", "hit", "cached_at", "since"), "batch_id").alias("_v"))
+                     .select("event_id", "_v.*").checkpoint())
+            anchors = known.where("not hit and ts < since").groupBy("key").agg(F.max("ts").alias("anchor"))
+            # an anchor is the first row of its time; without one, all rows follow the new one
+            again = (known.join(anchors, "key", "left").where("anchor is null or ts >= anchor")
+                     .select("event_id", "key", "ts", "hit", "cached_at"))
+            rows = new.unionByName(again.select("event_id", "key", "ts"))
+        out = reuse.reusable_results(rows, ttl_seconds)
+        if again is not None:
+            was = again.select("event_id", F.col("hit").alias("_hit"), F.col("cached_at").alias("_at"))
+            out = (out.join(was, "event_id", "left")
+                   .where("not (hit <=> _hit and cached_at <=> _at)").drop("_hit", "_at"))
+        changelog_writer(base)(out, batch_id)
+    return write
 
 
 def reusable_results_stream(spark: SparkSession, sf_dir: str, ttl_seconds: int = 3600,
-                            watermark: str = "1 day", base: str | None = None,
-                            max_files_per_trigger: int | None = 64) -> DataFrame:
-    """T3 stream: answers in any file order within ``watermark``.  State per key: one
-    anchor and the rows newer than the watermark; expired keys leave by an event-time
-    timeout.  A trigger takes a bounded number of files."""
-    from veracity.session import ship_package
-    ship_package(spark)
+                            base: str | None = None, max_files_per_trigger: int | None = 64) -> DataFrame:
+    """T3 stream: the batch twin's answers for any number and order of files; no row is
+    ever too late.  A trigger takes a bounded number of files."""
     base = base or stream_base(spark, "reusable_results")
+    ensure_checkpoint_dir(spark)
     ev = read_stream_table(spark, sf_dir, "events", max_files_per_trigger)
-    subs = (submissions_from_events(ev).withColumn("ets", F.col("ts").cast("timestamp"))
-            .withWatermark("ets", watermark))
-    out = subs.groupBy("key").applyInPandasWithState(
-        _reuse_stateful(ttl_seconds * 1_000_000), REUSE_SCHEMA, REUSE_STATE, "update",
-        GroupStateTimeout.EventTimeTimeout)
-    run_available(out, base, mode="update")
+    run_available(submissions_from_events(ev), base, "append", _reuse_writer(base, ttl_seconds))
     return read_changelog(spark, base, ["event_id"])
 
 
