@@ -103,3 +103,17 @@ def test_edge_rows(edge_docs, empty_docs):
     assert cleaned.columns == edge_docs.columns and cleaned.count() == edge_docs.count()
     assert ld.line_report(empty_docs).count() == 0 and ld.drop_fuzzy_lines(empty_docs).count() == 0
     assert ld.fuzzy_lines(empty_docs).count() == 0
+
+
+def test_pairs_at_the_threshold_become_candidates(spark):
+    """Pairs of random lines whose Jaccard index is exactly 0.8 (one letter of 79 changed)."""
+    rng = random.Random(8)
+    docs = []
+    for i in range(6000):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(79))
+        at = rng.randrange(8, 71)
+        docs += [(2 * i, line), (2 * i + 1, line[:at] + "#" + line[at + 1:])]
+    a, b = shingle_set(docs[0][1].encode()), shingle_set(docs[1][1].encode())
+    assert (len(a & b), len(a | b)) == (64, 80)
+    found = ld.line_report(spark.createDataFrame(docs, "doc_id long, text string")).where("n_kept = 0").count()
+    assert found >= 0.997 * 6000

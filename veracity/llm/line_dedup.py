@@ -5,8 +5,8 @@ bytes without outer white space, and known by the 64-bit hash of that.  Its
 shingles are its 8-byte windows, each exactly one 64-bit number.  Signatures are
 one-permutation MinHash: one hash a shingle picks the slot and competes in it, and
 a slot that no shingle picked borrows from another slot that the slot's number and
-the try decide (the same in every line).  Bands of five slots find pairs at 0.8
-with probability 0.99 and more above it; collisions, exact Jaccard verification and
+the try decide (the same in every line).  The threshold decides the bands (sixteen of
+four slots at 0.8, which find a pair there with probability 0.999); collisions, exact Jaccard verification and
 components are the shared steps of ``similar.py``.  Of each component the first
 line, by document id and place, is kept.
 
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veracity.llm._shared import GOLDEN, U64, as_int64, binary_values, materialise, mix64, session_of
-from veracity.llm.similar import MARKS, band_keys, collisions, linked, long_lists, node_weights, sketch_of
+from veracity.llm.similar import MARKS, band_keys, bands_for, collisions, linked, long_lists, node_weights, sketch_of
 
 WIDTH = 8                  # bytes of a shingle
 SLOT_BITS = 6
-SLOTS, BANDS, ROWS = 1 << SLOT_BITS, 12, 5
+SLOTS = 1 << SLOT_BITS
 PERCENT = 80
 TASK_BYTES = 1 << 17       # text a task looks at in one go
 FILTER_WORDS = 1 << 18     # 64-bit words of the Bloom filter of colliding lines: 2 MB, whatever the input
@@ -102,8 +102,9 @@ def _distinct(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
     return found, line_ids(found)
 
 
-def _bands(docs: DataFrame) -> DataFrame:
+def _bands(docs: DataFrame, percent: int) -> DataFrame:
     """node, keys: the band keys of every line."""
+    bands, rows = bands_for(percent / 100, SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +114,7 @@ def _bands(docs: DataFrame) -> DataFrame:
                 if lines:
                     sig = signatures(*shingles(lines), len(lines))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(as_int64(ids)), long_lists(band_keys(sig, BANDS, ROWS))], names=["node", "keys"])
+                        [pa.array(as_int64(ids)), long_lists(band_keys(sig, bands, rows))], names=["node", "keys"])
 
     return docs.select("text").mapInArrow(run, "node long, keys array<long>")
 
@@ -246,7 +247,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty and blank texts have no rows here.  An empty table gives no rows.
     """
     src = _prepared(docs, id_col, text_col)
-    rows = materialise(_bands(src), "bands").select("node", F.explode("keys").alias("bucket"))
+    rows = materialise(_bands(src, percent), "bands").select("node", F.explode("keys").alias("bucket"))
     buckets = materialise(collisions(rows).distinct(), "buckets")
     weights = materialise(node_weights(buckets), "weights")
     texts = materialise(_line_texts(src, weights), "texts")
