@@ -364,3 +364,25 @@ def test_dropped_rows_of_triggers_that_recent_progress_forgot(spark, tmp_path):
     finally:
         spark.conf.unset(conf)
     assert (got, SS.dropped_rows(spark, str(tmp_path / "s"))) == (6, 1)
+
+
+def test_similar_articles_follow_the_stored_analysis(spark):
+    """The stored query comes before stored topics, and those before the text's tags."""
+    from veracity.operators import scoring as SC
+    arts = [(1, "s", "software news", 0), (2, "s", "an election", 1), (3, "s", "a new vaccine study", 2), (4, "s", "an election", 3),
+            (5, "s", "zzz", 4)]
+    a = spark.createDataFrame([(i, s, c, T0 + dt.timedelta(days=n)) for i, s, c, n in arts],
+                              "id long, source string, content string, created_at timestamp_ntz")
+    docs = [(10, 1, 0, '{"topics": ["technology"]}'),
+            (11, 1, 1, '{"topics": [{"name": "technology"}], "similar_articles_query": "Politics", "potential_biases": ["b"]}'),
+            (12, 2, 0, '{"topics": ["technology"], "key_arguments": ["k"]}'), (13, 3, 0, '{"topics": []}')]
+    d = spark.createDataFrame([(i, n, T0 + dt.timedelta(days=t), x) for i, n, t, x in docs],
+                              "id long, article_id long, created_at timestamp_ntz, analysis_data string")
+    h = spark.createDataFrame([(i, n, T0 + dt.timedelta(days=t), 0.5, 0.5, None) for i, n, t, _ in docs],
+                              "id long, article_id long, created_at timestamp_ntz, credibility_score double,"
+                              " bias_score double, topics array<string>")
+    got = {r.id: r for r in SC.analyze_with_documents(a, h, d).collect()}
+    assert {i: r.similar_query for i, r in got.items()} == {
+        1: "Politics", 2: "technology", 3: "general news", 4: "politics", 5: "General News OR Politics"}
+    assert got[1].similar_ids == [5, 4, 2] and got[2].similar_ids == [1] and got[3].similar_ids == [5]
+    assert (got[1].potential_biases, got[2].key_points) == (["b"], ["k"])

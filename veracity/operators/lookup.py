@@ -266,10 +266,15 @@ def articles_with_topics(articles: DataFrame, history: DataFrame, topics: list[s
     return rows, page_info(count_total(cand), limit, offset)
 
 
-def similar_for_all(articles: DataFrame, k: int = 3, salt: int = 64) -> DataFrame:
+def similar_for_all(articles: DataFrame, k: int = 3, salt: int = 64,
+                    queries: DataFrame | None = None) -> DataFrame:
     """Q4: for every article, the ``k`` newest other articles that share a
     topic of its query (query topics = the article's first three tags, E7).
 
+    ``queries`` (article_id, query; one row an article) holds the queries of the stored
+    analyses, topics joined by ' OR ' (``scoring.latest_documents``): an article that has
+    one is answered by it, the others by their tags, and letter case doesn't count.
+
     Never builds all pairs: only the k+1 newest articles of a tag can be
     anyone's answer, so those are found first (a two-level top-k: per
     (tag, salt) then per tag, so a tag holding a third of all articles is
@@ -283,8 +288,14 @@ def similar_for_all(articles: DataFrame, k: int = 3, salt: int = 64) -> DataFram
     # (id, created_at, tags) projection instead of scanning the text twice
     tagged = (with_tags(articles.select("id", "created_at", "content"), "content")
               .select("id", "created_at", F.array_distinct("tags").alias("tags"),
-                      F.array_distinct(F.slice("tags", 1, 3)).alias("query_tags"))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+                      F.array_distinct(F.slice("tags", 1, 3)).alias("query_tags")))
+    if queries is not None:
+        terms = F.transform(F.split(F.lower("query"), " or "), F.trim)
+        q = queries.select(F.col("article_id").alias("id"), F.array_distinct(terms).alias("_terms"))
+        tagged = (tagged.join(q, "id", "left")
+                  .select("id", "created_at", F.array_distinct(F.transform("tags", F.lower)).alias("tags"),
+                          F.coalesce("_terms", F.array_distinct(F.transform("query_tags", F.lower))).alias("query_tags")))
+    tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
     per_tag = tagged.select("id", "created_at", "tags", F.explode("tags").alias("tag"))
     salted = per_tag.withColumn("_s", F.abs(F.xxhash64("id")) % salt)
     w1 = Window.partitionBy("tag", "_s").orderBy(F.desc("created_at"), "id")

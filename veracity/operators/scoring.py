@@ -15,6 +15,7 @@ from veracity.functions import scoring as S
 from veracity.functions.text import (bare_host, short_summary, source_level, tags_from_string,
                                      topic_query, topic_tag_string, with_tags)
 from veracity.operators.history import latest_analysis
+from veracity.operators.lookup import similar_for_all
 
 
 def analyze_articles(articles: DataFrame, history: DataFrame) -> DataFrame:
@@ -49,6 +50,42 @@ def analyze_articles(articles: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
+def latest_documents(documents: DataFrame) -> DataFrame:
+    """The newest stored document (id, article_id, created_at, analysis_data) of every
+    article, highest id on ties: article_id, topics (normalised, E9), key_points,
+    potential_biases and query (the stored one, else the topics, else "general news")."""
+    lat = documents.groupBy("article_id").agg(F.max_by("analysis_data", F.struct("created_at", "id")).alias("_d"))
+    d = lat.withColumn("_f", S.fold_analysis("_d")).select(
+        "article_id", F.coalesce("_f.topics", S.fallback_topics()).alias("topics"),
+        F.col("_f.key_arguments").alias("key_points"),
+        F.try_variant_get(F.try_parse_json("_d"), "$.potential_biases", "array<string>").alias("potential_biases"),
+        F.col("_f.similar_articles_query").alias("_q"))
+    return d.withColumn("query", topic_query("topics", "_q")).drop("_q")
+
+
+def similar_by_analysis(articles: DataFrame, documents: DataFrame, k: int = 3) -> DataFrame:
+    """Q4 by each article's own stored analysis (``similar_for_all`` with its queries)."""
+    return similar_for_all(articles, k, queries=latest_documents(documents).select("article_id", "query"))
+
+
+def analyze_with_documents(articles: DataFrame, history: DataFrame, documents: DataFrame, k: int = 3) -> DataFrame:
+    """E13 whole: ``analyze_articles`` with the topics, key points and potential biases of
+    the stored document (of the keyword fallback where there is none), the query that Q4
+    takes, and the ids of its similar articles in order."""
+    docs = latest_documents(documents)
+    own = articles.select("id", "content").join(docs, F.col("id") == F.col("article_id"), "left")
+    none = F.col("article_id").isNull()
+    own = own.withColumn("_fb", F.when(none, S.text_fallback(F.col("content")))).select(
+        "id", *[F.when(none, F.col(f"_fb.{c}")).otherwise(F.col(c)).alias(c)
+                for c in ("topics", "key_points", "potential_biases")], F.col("query").alias("_q"))
+    own = own.withColumn("similar_query", topic_query("topics", "_q")).drop("_q")
+    found = (similar_for_all(articles, k, queries=docs.select("article_id", "query")).groupBy("id")
+             .agg(F.array_sort(F.collect_list(F.struct("rank", "similar_id"))).alias("_s"))
+             .select("id", F.col("_s.similar_id").alias("similar_ids")))      # at most k of an article
+    return (analyze_articles(articles, history).drop("similar_query").join(own, "id").join(found, "id", "left")
+            .withColumn("similar_ids", F.coalesce("similar_ids", F.array().cast("array<bigint>"))))
+
+
 def decode_responses(responses: DataFrame, text_col: str = "response_text") -> DataFrame:
     """E8 over a table of stored responses: one decoded document per row."""
     keys = [c for c in responses.columns if c != text_col]

@@ -388,6 +388,11 @@ def q_similar_for_all(spark, d):
     return L.similar_for_all(views.articles(spark, d, level=False, url=False), k=3)
 
 
+@register("similar_by_analysis")
+def q_similar_by_analysis(spark, d):
+    return SC.similar_by_analysis(views.articles(spark, d, level=False, url=False), views.analysis_documents(spark, d))
+
+
 # ------------------------------------------------------------------ scoring / text
 
 
@@ -522,6 +527,16 @@ def q_analyze_articles(spark, d):
                                views.history(spark, d))
 
 
+@register("analyze_with_documents")
+def q_analyze_with_documents(spark, d):
+    a = SC.analyze_with_documents(views.articles(spark, d, level=False, url=False), views.history(spark, d),
+                                  views.analysis_documents(spark, d))
+    return a.select("id", "source_credibility", "credibility_score", "similar_query",
+                    F.array_join("topics", ",").alias("topics"), F.array_join("key_points", "|").alias("key_points"),
+                    F.array_join("potential_biases", "|").alias("potential_biases"),
+                    F.array_join(F.col("similar_ids").cast("array<string>"), ",").alias("similar_ids"))
+
+
 # ------------------------------------------------------------------ store
 
 NOW = "2024-02-01 00:00:00"

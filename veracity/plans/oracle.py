@@ -693,6 +693,41 @@ for _k, _v in _scoring_sql().items():
     sql(_k, _v, "articles", "analysis_history")
 
 
+def _analysis_sql() -> dict[str, str]:
+    """Q4 and E13 by the stored documents, written from what the documents hold."""
+    from veracity.functions import scoring as S
+    base = f""",
+lat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS rn
+                       FROM analysis_history) x WHERE rn = 1),
+own AS (
+  SELECT a.id, a.source, a.created_at, a.content, l.id AS doc, l.credibility_score AS cs, {tags_sql('a.content')} AS tags,
+    CASE WHEN l.id IS NULL THEN {tags_sql('a.content')} ELSE coalesce(l.topics, ['General News', 'Politics']) END AS topics,
+    l.key_arguments
+  FROM articles a LEFT JOIN lat l ON l.article_id = a.id),
+q AS (SELECT *, list_distinct(list_transform(topics[1:3], lambda x: lower(x))) AS qt,
+        list_distinct(list_transform(tags, lambda x: lower(x))) AS lt FROM own),
+pairs AS (SELECT q.id, t.id AS similar_id, t.created_at AS similar_at, len(list_intersect(q.qt, t.lt)) AS shared_topics
+          FROM q JOIN q t ON t.id <> q.id AND len(list_intersect(q.qt, t.lt)) > 0),
+ranked AS (SELECT id, similar_id, shared_topics, row_number() OVER (PARTITION BY id ORDER BY similar_at DESC, similar_id) AS rank
+           FROM pairs)"""
+    cred = f"CASE WHEN q.doc IS NULL THEN {_d(S.FALLBACK_SCORE)} ELSE coalesce(q.cs, {_d(S.FALLBACK_SCORE)}) END"
+    return {
+        "similar_by_analysis": base + """
+SELECT id, rank, similar_id, shared_topics FROM ranked WHERE rank <= 3""",
+        "analyze_with_documents": base + f"""
+SELECT q.id, {source_level_sql('q.source')} AS source_credibility, {cred} AS credibility_score,
+  array_to_string(q.topics[1:3], ' OR ') AS similar_query, array_to_string(q.topics, ',') AS topics,
+  CASE WHEN q.doc IS NULL THEN {_q('|'.join(S.TEXT_KEY_POINTS))} ELSE array_to_string(q.key_arguments, '|') END AS key_points,
+  CASE WHEN q.doc IS NULL THEN {_q('|'.join(S.TEXT_BIASES))} WHEN q.doc % 3 = 0 THEN '' END AS potential_biases,
+  coalesce((SELECT string_agg(CAST(r.similar_id AS VARCHAR), ',' ORDER BY r.rank) FROM ranked r
+            WHERE r.id = q.id AND r.rank <= 3), '') AS similar_ids
+FROM q"""}
+
+
+for _k, _v in _analysis_sql().items():
+    sql(_k, _v, "articles", "analysis_history")
+
+
 # ------------------------------------------------------------------ store
 def host_sql(col: str) -> str:
     return f"replace(regexp_extract({col}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', '')"
