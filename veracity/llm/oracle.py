@@ -144,11 +144,78 @@ FROM m LEFT JOIN bad USING (doc_id)
 """
 
 
+
+def _crc32(strings: str, name: str) -> str:
+    """CTEs that end in ``name`` (s, crc): the unsigned CRC-32 of the UTF-8 bytes of every
+    s of the table ``strings``, a byte a round (the query must be WITH RECURSIVE)."""
+    return f"""
+{name}_bits AS (SELECT range AS b, range AS v, 0 AS k FROM range(256) UNION ALL
+  SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM {name}_bits WHERE k < 8),
+{name}_table AS MATERIALIZED (SELECT b, v FROM {name}_bits WHERE k = 8),
+{name}_steps AS (
+  SELECT s, hex(encode(s)) AS h, 0 AS i, 4294967295::BIGINT AS c FROM {strings} UNION ALL
+  SELECT s, h, i + 1, xor(c >> 8, t.v) FROM {name}_steps JOIN {name}_table t
+    ON t.b = (xor(c, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) & 255) WHERE 2 * i < length(h)),
+{name} AS MATERIALIZED (SELECT s, xor(c, 4294967295) AS crc FROM {name}_steps WHERE 2 * i = length(h))"""
+
+
+_SPELLING = f"""
+WITH RECURSIVE run AS MATERIALIZED (
+  SELECT k, r, count(*) AS n FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS r
+    FROM documents) WHERE length(r) >= 5 GROUP BY k, r),
+strs AS (SELECT DISTINCT k || ':' || r AS s FROM run),{_crc32('strs', 'hashed')},
+cut AS (SELECT CASE WHEN crc % 97 = 0 THEN substr(r, 1, (crc % length(r))::INT) || substr(r, (crc % length(r))::INT + 2) ELSE r END AS word, n
+  FROM run JOIN hashed ON s = k || ':' || r),
+word AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (
+  SELECT word, unnest(range(1, length(word) + 1)) AS i FROM word)),
+near AS MATERIALIZED (
+  SELECT a.word AS x, b.word AS y FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT less.word, word.word FROM less JOIN word ON word.word = less.d
+  UNION SELECT word.word, less.word FROM less JOIN word ON word.word = less.d),
+best AS (SELECT x, n_near, y, m FROM (
+  SELECT x, y, word.n AS m, count(*) OVER (PARTITION BY x) AS n_near,
+    row_number() OVER (PARTITION BY x ORDER BY word.n DESC, encode(y)) AS place FROM near JOIN word ON word.word = y) WHERE place = 1),
+formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN y END AS form,
+  CASE WHEN m >= 2 * n THEN m END AS form_n FROM word LEFT JOIN best ON x = word),
+chain AS (SELECT word, word AS at FROM formed UNION ALL
+  SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.at WHERE formed.form IS NOT NULL)
+SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN chain ON chain.word = f.word
+  JOIN formed l ON l.word = chain.at WHERE l.form IS NULL
+"""
+
+_IMPORTANCE = f"""
+WITH RECURSIVE b AS ({_folded_words('benchmark')}), d AS ({_folded_words('documents')}),
+runs AS MATERIALIZED (
+  SELECT 0 AS of, doc_id AS id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS s FROM d
+  UNION ALL
+  SELECT 1, NULL, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b),
+strs AS (SELECT DISTINCT s FROM runs),{_crc32('strs', 'hashed')},
+feature AS MATERIALIZED (SELECT of, id, crc % 10000 AS bucket, count(*) AS n FROM runs JOIN hashed USING (s) GROUP BY ALL),
+bucket AS (SELECT bucket, sum(n) FILTER (WHERE of = 0) AS s, sum(n) FILTER (WHERE of = 1) AS t FROM feature GROUP BY bucket),
+total AS (SELECT sum(n) FILTER (WHERE of = 0) AS s, coalesce(sum(n) FILTER (WHERE of = 1), 0) AS t FROM feature),
+gain AS (SELECT bucket, floor(1000 * ln(((coalesce(bucket.t, 0) + 1) * (total.s + 10000))::DOUBLE
+  / ((coalesce(bucket.s, 0) + 1) * (total.t + 10000))::DOUBLE))::BIGINT AS g FROM bucket, total),
+weighed AS (SELECT id AS doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * g) / sum(n)::DOUBLE)::BIGINT AS weight
+  FROM feature JOIN gain USING (bucket) WHERE of = 0 GROUP BY id),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+    / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN weighed USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+  FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
 ORACLE = {
     "op1_fuzzy_lines": _LINES,
     "op3_superminhash": _NEAR_DUPLICATES,
     "op7_risk_controlled_rules": _quality_rules(),
     "op5_decontamination": _DECONTAMINATION,
+    "op11_spelling_chunks": _SPELLING,
+    "op12_importance_resampling": _IMPORTANCE,
     "op9_raking": f"""WITH {mixing_ctes('documents')}
 SELECT doc_id, source, lang, topic, n_tokens, rate, least(rate, 1.0) AS probability,
   greatest(rate, 1.0) AS weight, sampled FROM mixed""",

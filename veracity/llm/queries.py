@@ -3,10 +3,14 @@ over its whole tables, and their DuckDB SQL where SQL can say the same."""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from veracity.llm import decontaminate, language_id, line_dedup, lm_score, mixing, near_dup, oracle, quality_cnn, quality_rules, sharding, toxicity
+from veracity.llm import decontaminate, importance, language_id, line_dedup, lm_score, mixing, near_dup, oracle, quality_cnn, quality_rules, sharding, spelling, token_counts, toxicity
 from veracity.llm._shared import id_bucket, labelled_texts
+from veracity.session import ensure_checkpoint_dir
 from veracity.sources.tables import read_table
 
 QUERIES = {}
@@ -91,3 +95,23 @@ def op10_deleted_interpolation(spark, d):
     scored = lm_score.lm_scores(read_table(spark, d, "documents"), training=~held_out)
     return scored.withColumn("held_out", held_out).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_spelling_chunks(spark, d):
+    return spelling.spelling_variants(read_table(spark, d, "documents"))
+
+
+@query
+def op12_importance_resampling(spark, d):
+    return importance.importance_scores(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
+
+
+#: names the folder of stored token counts; unset, a run starts with an empty cache
+TOKEN_CACHE = "spark.veracity.token.cache"
+
+
+@query
+def op13_digest_cache(spark, d):
+    cache = spark.conf.get(TOKEN_CACHE, None) or f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-token-cache-{uuid.uuid4().hex}"
+    return token_counts.token_counts(read_table(spark, d, "documents"), cache, public_tokenizers.path("piece_bpe_32k.model"))
