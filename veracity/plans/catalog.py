@@ -865,6 +865,31 @@ def q_quota_admissions(spark, d):
     return SS.quota_admissions(_events(spark, d), QUOTA_PER, QUOTA_N)
 
 
+#: limits that the events exceed, of clients that share a route
+TIGHT_LIMITS = [(60, 1), (3600, 2), (86_400, 12)]
+
+
+@register("quota_admissions_combined")
+def q_quota_admissions_combined(spark, d):
+    return SS.quota_admissions_combined(_events(spark, d))
+
+
+@register("quota_admissions_combined_tight")
+def q_quota_admissions_combined_tight(spark, d):
+    return SS.quota_admissions_combined(_events(spark, d), TIGHT_LIMITS, "event_type")
+
+
+@register("quota_admissions_stream")
+def q_quota_admissions_stream(spark, d):
+    return SS.quota_admissions_stream(spark, d, TIGHT_LIMITS, "event_type").select(
+        "event_id", "client", "admitted", "refused_by", "late")
+
+
+@register("restated_stats_stream")
+def q_restated_stats_stream(spark, d):
+    return SS.restated_stats_stream(spark, d).select("source", "high", "medium", "low", "total_analyzed", "is_initial")
+
+
 @register("quota_windows_stream")
 def q_quota_windows_stream(spark, d):
     return SS.quota_windows_stream(spark, d, QUOTA_PER, QUOTA_N)

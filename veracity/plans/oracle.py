@@ -1022,6 +1022,25 @@ SELECT event_id, user_id, date_trunc('minute', ts) AS window_start,
   row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS position,
   row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) <= {n} AS admitted
 FROM events"""
+    def limited(limits, client, late=""):
+        # one request after the other: the state of every window, as SQL
+        def start(w, of="s.t"):
+            return f"({of} - {of} % {w * 1_000_000})"
+        used = {w: f"(CASE WHEN {start(w)} = {start(w, 'r.t')} THEN r.used{w} ELSE 0 END)" for w, _ in limits}
+        refused = "CASE " + " ".join(f"WHEN {used[w]} >= {m} THEN {w}" for w, m in limits) + " END"
+        room = " AND ".join(f"{used[w]} < {m}" for w, m in limits)
+        return f"""RECURSIVE_MARK
+s AS (SELECT event_id, {client}::VARCHAR AS client, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {client} ORDER BY ts, event_id) AS rn FROM events),
+r AS (
+  SELECT client, rn, event_id, t, NULL::BIGINT AS refused_by, {", ".join(f"1 AS used{w}" for w, _ in limits)} FROM s WHERE rn = 1
+  UNION ALL
+  SELECT s.client, s.rn, s.event_id, s.t, {refused}, {", ".join(f"{used[w]} + ({room})::INT" for w, _ in limits)}
+  FROM r JOIN s ON s.client = r.client AND s.rn = r.rn + 1
+)
+SELECT event_id, client, refused_by IS NULL AS admitted, refused_by::BIGINT AS refused_by{late} FROM r"""
+    out["quota_admissions_combined"] = limited([(60, 10), (3600, 50), (86_400, 200)], "user_id")
+    out["quota_admissions_combined_tight"] = limited([(60, 1), (3600, 2), (86_400, 12)], "event_type")
+    out["quota_admissions_stream"] = limited([(60, 1), (3600, 2), (86_400, 12)], "event_type", ", false AS late")
     reuse = f""",
 subs AS (SELECT event_id, ts, sha256(event_type || chr(1) || props) AS key FROM events),
 s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM subs),
@@ -1061,3 +1080,5 @@ for _k, _v in _streams_sql().items():
     _sql = W(_v, "articles", "analysis_history", "feedback", "source_stats")
     ORACLE[_k] = _sql.replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_MARK", ",") \
         if "RECURSIVE_MARK" in _sql else _sql
+
+ORACLE["restated_stats_stream"] = ORACLE["restate_source_stats"]

@@ -45,6 +45,12 @@ def article_time(doc_id: Column) -> Column:
     return F.timestamp_add("MINUTE", steps * ARTICLE_STEP_MINUTES, F.lit(ARTICLE_EPOCH).cast("timestamp_ntz"))
 
 
+def article_level() -> Column:
+    """The level of an article by its label (quality, toxic)."""
+    return (F.when(F.col("quality") == 0, "Low")
+            .when((F.col("quality") == 1) & (F.col("toxic") == 0), "High").otherwise("Medium"))
+
+
 def articles(spark: SparkSession, sf_dir: str, *, level: bool = True,
              url: bool = True) -> DataFrame:
     """Article table: id, title, source, url, lang, content, short_summary,
@@ -63,9 +69,7 @@ def articles(spark: SparkSession, sf_dir: str, *, level: bool = True,
     if url:
         pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
         df = df.join(pages, "doc_id", "left")
-    lvl = (F.when(F.col("quality") == 0, "Low")
-           .when((F.col("quality") == 1) & (F.col("toxic") == 0), "High")
-           .otherwise("Medium")) if level else F.lit(None).cast("string")
+    lvl = article_level() if level else F.lit(None).cast("string")
     created = article_time(F.col("doc_id"))
     return df.select(
         F.col("doc_id").alias("id"),

@@ -21,7 +21,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
@@ -29,7 +29,8 @@ from veracity.operators import reuse, stats
 from veracity.plans.ordered import with_previous
 from veracity.session import ensure_checkpoint_dir
 from veracity.sources.tables import read_table
-from veracity.sources.views import history_from_events
+from veracity.sources.views import article_level, history_from_events
+from veracity.streaming import keyed
 
 
 def stream_base(spark: SparkSession, name: str) -> str:
@@ -151,14 +152,35 @@ def source_stats_stream(spark: SparkSession, sf_dir: str, base: str | None = Non
     base = base or stream_base(spark, "source_stats")
     docs = read_stream_table(spark, sf_dir, "documents", max_files_per_trigger).select("doc_id", "source")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    lvl = (F.when(F.col("quality") == 0, "Low")
-           .when((F.col("quality") == 1) & (F.col("toxic") == 0), "High").otherwise("Medium"))
-    arts = docs.join(labels, "doc_id", "left").select("source", lvl.alias("credibility_level"))
+    arts = docs.join(labels, "doc_id", "left").select("source", article_level().alias("credibility_level"))
     run_available(source_counts_stream(arts), base)
     counts = read_changelog(spark, base, ["source"]).withColumn("is_initial", F.lit(False))
     return stats.merge_counts(stats.seed_rows(spark), counts)
 
 
+def restated_stats_stream(spark: SparkSession, sf_dir: str, base: str | None = None,
+                          max_files_per_trigger: int | None = 64) -> DataFrame:
+    """T1 with S13 end to end: the documents come as inserts, the labels as patches (toxic:
+    level Low), in files of any order; each change of an article takes back what it counted
+    for before.  Equal to ``stats.restate_source_stats`` for levels High, Medium and Low."""
+    base = base or stream_base(spark, "restated_stats")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    inserts = (read_stream_table(spark, sf_dir, "documents", max_files_per_trigger).select("doc_id", "source")
+               .join(labels, "doc_id", "left")
+               .select(F.col("doc_id").alias("id"), F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("inserts"),
+                       "source", article_level().alias("credibility_level")))
+    patches = read_stream_table(spark, sf_dir, "labels", max_files_per_trigger).select(
+        F.col("doc_id").alias("id"), F.col("doc_id").cast("long").alias("seq"), F.lit(False).alias("inserts"),
+        F.lit(None).cast("string").alias("source"), F.when(F.col("toxic") == 1, F.lit("Low")).alias("credibility_level"))
+    write = changelog_writer(base)
+    with keyed.rocksdb_state(spark):
+        run_available(keyed.change_stream(inserts.unionByName(patches)), base, "append",
+                      lambda batch, n: write(keyed.counted_changes(batch), n))
+    counts = spark.read.parquet(f"{base}/changes").drop("batch_id")
+    counts = counts.withColumns({"is_initial": F.lit(False), "last_updated": F.lit(None).cast("timestamp_ntz")})
+    return stats.merge_counts(stats.seed_rows(spark), counts)
+
+
 # ---------------------------------------------------------------- T2
 
 def quota_windows(events: DataFrame, per: str = "1 minute", n: int = 10) -> DataFrame:
@@ -202,6 +224,55 @@ def quota_windows_stream(spark: SparkSession, sf_dir: str, per: str = "1 minute"
                       F.greatest(F.col("requests") - n, F.lit(0)).alias("rejected"))
 
 
+def quota_admissions_combined(events: DataFrame, limits: list[tuple[int, int]] | None = None,
+                              client: str = "user_id") -> DataFrame:
+    """T2 batch with several limits (seconds, requests) at once: event_id, client, admitted,
+    refused_by (seconds of the smallest full window).
+
+    A request is admitted if all its windows have room; a refused one uses up none of them,
+    so positions alone don't decide.  Windows that divide each other compose: of a smallest
+    window's requests the first ones are admitted, as many as every wider window has left, so
+    the admitted numbers of the smallest windows are running sums cut off at each wider
+    window's limit in turn.  These tables hold a row per client and smallest window; a wider
+    window has a bounded number of them, however many requests a client makes.  Positions
+    inside the smallest window come from the skew-safe sequence; once a request is refused,
+    so are the others of its smallest window, and by the same limit."""
+    limits = keyed.check_nested(limits or keyed.REQUEST_LIMITS)
+    starts = [f"_start{i}" for i in range(len(limits))]
+    t = keyed.micros("ts")
+    rows = events.select("event_id", F.col(client).cast("string").alias("client"), "ts", *[
+        (t - F.pmod(t, F.lit(w * 1_000_000))).alias(s) for s, (w, _) in zip(starts, limits)])
+    bins = rows.groupBy("client", *starts).agg(F.least(F.count(F.lit(1)), F.lit(limits[0][1])).alias("_room0"))
+    for i, (_, n) in enumerate(limits[1:], 1):
+        before = Window.partitionBy("client", starts[i]).orderBy(starts[0]).rowsBetween(Window.unboundedPreceding, -1)
+        left = F.lit(n) - F.coalesce(F.sum(f"_room{i - 1}").over(before), F.lit(0))
+        bins = bins.withColumn(f"_room{i}", F.greatest(F.least(f"_room{i - 1}", left), F.lit(0)))
+    room = f"_room{len(limits) - 1}"
+    used = [F.coalesce(F.sum(room).over(Window.partitionBy("client", s).orderBy(starts[0])
+                                        .rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) for s in starts]
+    full = F.coalesce(*[F.when(u >= n, F.lit(w)) for u, (w, n) in zip(used, limits)]).cast("long")
+    bins = bins.select("client", starts[0], F.col(room).alias("_room"), full.alias("_full"))
+    placed = with_previous(rows.select("event_id", "client", "ts", starts[0]), ["client", starts[0]], "ts", "event_id", [])
+    return placed.join(bins, ["client", starts[0]]).select(
+        "event_id", "client", (F.col("seq") <= F.col("_room")).alias("admitted"),
+        F.when(F.col("seq") > F.col("_room"), F.col("_full")).alias("refused_by"))
+
+
+def quota_admissions_stream(spark: SparkSession, sf_dir: str, limits: list[tuple[int, int]] | None = None,
+                            client: str = "user_id", watermark: str = "1 day", base: str | None = None,
+                            max_files_per_trigger: int | None = 64) -> DataFrame:
+    """T2 stream, per request: decided on arrival by one row of counters a client
+    (``keyed.LimitMachine``).  Equal to the batch twin for files in order; requests that come
+    after their windows have closed are put out as late (``late``, neither admitted nor
+    refused) and count in no window."""
+    base = base or stream_base(spark, "quota_admissions")
+    ev = read_stream_table(spark, sf_dir, "events", max_files_per_trigger).select(
+        "event_id", F.col(client).alias("client"), "ts")
+    with keyed.rocksdb_state(spark):
+        run_available(keyed.limit_stream(ev, limits or keyed.REQUEST_LIMITS, watermark), base, "append")
+    return spark.read.parquet(f"{base}/changes").drop("batch_id")
+
+
 # ---------------------------------------------------------------- T3
 
 def submissions_from_events(events: DataFrame) -> DataFrame:
@@ -212,43 +283,32 @@ def submissions_from_events(events: DataFrame) -> DataFrame:
 
 reusable_results = reuse.reusable_results
 
-def _reuse_writer(base: str, ttl_seconds: int) -> Callable[[DataFrame, int], None]:
-    """Answers of a micro-batch by the batch plan.  A new row can change only what follows
-    it in its key, so the rows of the key since the last anchor before its earliest new row
-    are answered anew with the new ones; rows whose answer is new or another go to the
-    change log, which is all the state there is."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = new = batch.select("event_id", "key", "ts").checkpoint()
-        again = None
-        if batch_id:
-            since = new.groupBy("key").agg(F.min("ts").alias("since"))
-            log = batch.sparkSession.read.parquet(f"{base}/changes").where(F.col("batch_id") < batch_id)
-            known = (log.join(since, "key").groupBy("event_id")
-                     .agg(F.max_by(F.struct("key", "ts", "hit", "cached_at", "since"), "batch_id").alias("_v"))
-                     .select("event_id", "_v.*").checkpoint())
-            anchors = known.where("not hit and ts < since").groupBy("key").agg(F.max("ts").alias("anchor"))
-            # an anchor is the first row of its time; without one, all rows follow the new one
-            again = (known.join(anchors, "key", "left").where("anchor is null or ts >= anchor")
-                     .select("event_id", "key", "ts", "hit", "cached_at"))
-            rows = new.unionByName(again.select("event_id", "key", "ts"))
-        out = reuse.reusable_results(rows, ttl_seconds)
-        if again is not None:
-            was = again.select("event_id", F.col("hit").alias("_hit"), F.col("cached_at").alias("_at"))
-            out = (out.join(was, "event_id", "left")
-                   .where("not (hit <=> _hit and cached_at <=> _at)").drop("_hit", "_at"))
-        changelog_writer(base)(out, batch_id)
-    return write
-
 
-def reusable_results_stream(spark: SparkSession, sf_dir: str, ttl_seconds: int = 3600,
-                            base: str | None = None, max_files_per_trigger: int | None = 64) -> DataFrame:
-    """T3 stream: the batch twin's answers for any number and order of files; no row is
-    ever too late.  A trigger takes a bounded number of files."""
+def settled_reuse(spark: SparkSession, base: str, ttl_seconds: int = 3600) -> DataFrame:
+    """The answers that the stream under ``base`` has given so far; keys with a late row are
+    answered anew from all their logged rows by the batch plan."""
+    log = spark.read.parquet(f"{base}/changes").drop("batch_id")
+    cols = ["event_id", "key", "ts", "hit", "cached_at"]
+    late = log.where("late").select("key").distinct()
+    if not late.take(1):
+        return log.select(*cols)
+    late = late.checkpoint()
+    again = reuse.reusable_results(log.join(late, "key", "left_semi").select("event_id", "key", "ts"), ttl_seconds)
+    return log.join(late, "key", "left_anti").select(*cols).unionByName(again.select(*cols))
+
+
+def reusable_results_stream(spark: SparkSession, sf_dir: str, ttl_seconds: int = 3600, base: str | None = None,
+                            max_files_per_trigger: int | None = 64, watermark: str = "1 day") -> DataFrame:
+    """T3 stream: one anchor a key as state (``keyed.ReuseMachine``).  A trigger reads its
+    files and the state of their keys, nothing that came before.  Rows that come out of
+    order within their key go to the log as late and ``settled_reuse`` answers their keys by
+    the batch plan, so any number and order of files gives the batch twin's answers."""
     base = base or stream_base(spark, "reusable_results")
     ensure_checkpoint_dir(spark)
     ev = read_stream_table(spark, sf_dir, "events", max_files_per_trigger)
-    run_available(submissions_from_events(ev), base, "append", _reuse_writer(base, ttl_seconds))
-    return read_changelog(spark, base, ["event_id"])
+    with keyed.rocksdb_state(spark):
+        run_available(keyed.reuse_stream(submissions_from_events(ev), ttl_seconds, watermark), base, "append")
+    return settled_reuse(spark, base, ttl_seconds)
 
 
 # ---------------------------------------------------------------- T4
