@@ -1,9 +1,7 @@
 """Write paths of the article store as batch DataFrame jobs.
 
 Every operator is a pure function from table versions (and a batch) to new
-table versions; ``write_version`` stores a result as a new version folder,
-so a failed job leaves the previous version untouched and a retried job
-rewrites the same folder (idempotent by version id).
+table versions; ``versions`` keeps a store on disk and saves batches into it.
 
 Row-by-row upserts become set operations:
 * the batch is reduced per url with ``max_by(row, seq)`` (last row wins,
@@ -23,6 +21,7 @@ from pyspark.sql import functions as F
 
 from veracity.functions.text import short_summary
 from veracity.plans.ordered import dense_index
+from veracity.session import ensure_checkpoint_dir
 from veracity.sources.schemas import ANALYSIS
 
 # The eight columns a partial update may change.
@@ -112,13 +111,14 @@ def _url_key(c: str = "url") -> Column:
     return F.when(F.col(c) != "", F.col(c))
 
 
-def resolve_batch(articles: DataFrame, batch: DataFrame) -> DataFrame:
+def resolve_batch(articles: DataFrame, batch: DataFrame, next_id: int | None = None) -> DataFrame:
     """Give every batch row the id it is saved under, as the sequential
     reference would: an existing url keeps its article (lowest id when the
     table repeats the url); a new url gets one new id at its first
     occurrence in the batch; a blank url always gets a new id.
 
-    ``batch`` needs a unique ordering column ``seq``.  Output: the batch
+    ``articles`` need only hold the rows whose url the batch has when ``next_id``, the
+    first free id, is given.  ``batch`` needs a unique ordering column ``seq``.  Output: the batch
     with ``article_id``, ``is_new_article`` (the row that creates it),
     ``is_last_for_url`` (the row whose values survive) and
     ``created_in_batch`` (its article did not exist before the batch).
@@ -136,7 +136,7 @@ def resolve_batch(articles: DataFrame, batch: DataFrame) -> DataFrame:
     # rows that create an article: first row of a new url, every blank-url row
     creators = (per_url.filter(F.col("_existing").isNull()).select("_key", F.col("_first").alias("seq"))
                 .unionByName(b.filter(F.col("_key").isNull()).select("_key", "seq")))
-    start = F.coalesce(articles.agg(F.max("id")).scalar(), F.lit(0)) + 1
+    start = F.coalesce(articles.agg(F.max("id")).scalar(), F.lit(0)) + 1 if next_id is None else next_id
     new_ids = dense_index(creators, ["seq"], "_new_id", start)
     url_ids = (per_url.join(new_ids.filter(F.col("_key").isNotNull()).select("_key", "_new_id"), "_key", "left")
                .select("_key", F.coalesce("_existing", "_new_id").alias("_url_id"), "_first", "_last",
@@ -166,9 +166,14 @@ def upsert_articles(articles: DataFrame, batch: DataFrame, now: str | Column) ->
         batch = batch.withColumn("short_summary", short_summary("content"))
     from pyspark.storagelevel import StorageLevel
     r = resolve_batch(articles, batch).filter("is_last_for_url").persist(StorageLevel.MEMORY_AND_DISK)
+    return apply_resolved(articles, r, now)
+
+
+def apply_resolved(articles: DataFrame, r: DataFrame, now: str | Column) -> DataFrame:
+    """``articles`` with the surviving rows of a resolved batch (one for each article)."""
     ts = _now(now)
     fields = ["title", "source", "content", "short_summary", "credibility_level", "is_featured"]
-    if "analysis_data" in batch.columns:
+    if "analysis_data" in r.columns:
         fields.append("analysis_data")
         if "analysis_data" not in articles.columns:
             articles = articles.withColumn("analysis_data", F.lit(None).cast("string"))
@@ -185,7 +190,7 @@ def upsert_articles(articles: DataFrame, batch: DataFrame, now: str | Column) ->
                 .select(F.col("article_id").alias("id"), "title", "source", F.col("url"), "content",
                         "short_summary", "credibility_level", ts.alias("created_at"),
                         ts.alias("updated_at"), "is_featured",
-                        (F.col("analysis_data") if "analysis_data" in batch.columns else F.lit(None).cast("string"))
+                        (F.col("analysis_data") if "analysis_data" in r.columns else F.lit(None).cast("string"))
                         .alias("analysis_data")))
     cols = [c for c in ARTICLE_COLUMNS if c in articles.columns]
     return after.select(*cols).unionByName(inserted.select(*cols))
@@ -195,11 +200,17 @@ def append_history(history: DataFrame, articles: DataFrame, batch: DataFrame, no
                    analysis_cols: list[str] | None = None) -> DataFrame:
     """One new analysis row per saved batch row (repeated urls too),
     ids after the current maximum, in batch order."""
-    r = resolve_batch(articles, batch)
-    start = F.coalesce(history.agg(F.max("id")).scalar(), F.lit(0)) + 1
-    rows = dense_index(r, ["seq"], "id", start)
     if analysis_cols is None:
         analysis_cols = [c for c in (*ANALYSIS.fieldNames(), "analysis_data") if c in batch.columns]
+    return history_rows(history, resolve_batch(articles, batch), now, analysis_cols)
+
+
+def history_rows(history: DataFrame, resolved: DataFrame, now: str | Column, analysis_cols: list[str],
+                 next_id: int | None = None) -> DataFrame:
+    """The analysis rows of a resolved batch; ``history`` need not be read when ``next_id``,
+    its first free id, is given."""
+    start = F.coalesce(history.agg(F.max("id")).scalar(), F.lit(0)) + 1 if next_id is None else next_id
+    rows = dense_index(resolved, ["seq"], "id", start)
     return rows.select("id", "article_id", _now(now).alias("created_at"), *analysis_cols)
 
 
@@ -238,9 +249,8 @@ def history_from_update(history: DataFrame, articles: DataFrame, patch: DataFram
 def write_version(df: DataFrame, base: str, version: int | str, partition_by: list[str] | None = None) -> str:
     """Write ``df`` as version ``version`` of a table under ``base``.
 
-    The folder is written whole (a failed write leaves no committed
-    version: readers only look at folders with a ``_SUCCESS`` marker) and
-    overwriting the same version is idempotent, so a retried job is safe.
+    The folder is written whole, so a retried job rewrites it.  ``versions`` holds the
+    store that is saved in part and read by version.
     """
     path = f"{base.rstrip('/')}/v={version}"
     w = df.write.mode("overwrite")
@@ -258,10 +268,13 @@ def save_articles(articles: DataFrame, history: DataFrame, stats: DataFrame, bat
     table versions: articles after the upsert, history with one new row per
     batch row, source counters with one count per batch row."""
     from veracity.operators import stats as st
-    new_articles = upsert_articles(articles, batch, now)
-    new_rows = append_history(history, articles, batch, now,
-                              analysis_cols=[c for c in history.columns
-                                             if c not in ("id", "article_id", "created_at") and c in batch.columns])
+    if "short_summary" not in batch.columns:
+        batch = batch.withColumn("short_summary", short_summary("content"))
+    ensure_checkpoint_dir(articles.sparkSession)
+    resolved = resolve_batch(articles, batch).checkpoint()      # once, for articles and history
+    new_articles = apply_resolved(articles, resolved.filter("is_last_for_url"), now)
+    new_rows = history_rows(history, resolved, now, [c for c in history.columns
+                                                     if c not in ("id", "article_id", "created_at") and c in batch.columns])
     new_history = history.unionByName(new_rows, allowMissingColumns=True)
     counted = batch.withColumn("updated_at", _now(now))
     return new_articles, new_history, st.update_source_stats(stats, counted)
@@ -272,7 +285,7 @@ def commit_save(base: str, version: int | str, articles: DataFrame, history: Dat
     """Write the three tables of one save as version ``version`` under
     ``base`` (``articles/``, ``history/``, ``source_stats/``).  Each table is
     written whole into its own version folder, so a retry of the same version
-    rewrites it and readers never see a half-written version (they read the
-    highest version that has all three ``_SUCCESS`` markers)."""
+    rewrites it.  A version is whole when all three have their ``_SUCCESS`` marker;
+    for a reader and saves that cost only what changes see ``versions``."""
     return {name: write_version(df, f"{base.rstrip('/')}/{name}", version)
             for name, df in (("articles", articles), ("history", history), ("source_stats", stats))}

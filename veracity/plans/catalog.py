@@ -8,6 +8,7 @@ answer and the SQL oracle can be compared value by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,12 @@ from veracity.functions.text import join_set
 from veracity.operators import feed as FD
 from veracity.operators import history as H
 from veracity.operators import lookup as L
+from veracity.operators import ranked as RK
 from veracity.operators import scoring as SC
 from veracity.operators import stats
 from veracity.operators import store as ST
+from veracity.operators import versions as VS
+from veracity.session import ensure_checkpoint_dir
 from veracity.sources import pages as PG
 from veracity.sources import views
 from veracity.sources.tables import read_table
@@ -363,6 +367,18 @@ def q_article_page(spark, d):
     return L.page(a, [F.desc("created_at"), F.asc("id")], limit=10, offset=30)
 
 
+@register("article_page_deep")
+def q_article_page_deep(spark, d):
+    a = views.articles(spark, d, level=False, url=False).select("id", "title", "created_at")
+    return RK.deep_page(a, limit=10, offset=a.count() // 2)
+
+
+@register("history_page_deep")
+def q_history_page_deep(spark, d):
+    keys = _keys(spark, d)
+    return RK.deep_history_page(*_full(spark, d), limit=10, offset=keys.count() // 2, keys=keys)[0]
+
+
 @register("search_articles")
 def q_search_articles(spark, d):
     return L.search_articles(*_full(spark, d), term=SEARCH_TERM, limit=10, keys=_keys(spark, d, level=True))
@@ -609,6 +625,34 @@ def q_append_history(spark, d):
     return _document(rows, "id", "article_id", "created_at")
 
 
+def _saved_store(spark, d):
+    """A store made of the views, into which the batch is saved in two parts."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/veracity-store-{uuid.uuid4().hex[:12]}"
+    h = _encoded_history(spark, d)
+    a = _store_articles(spark, d).withColumn("analysis_data", F.lit(None).cast("string"))
+    VS.create_store(spark, base, a, h, stats.source_stats_from(_store_articles(spark, d)), buckets=32)
+    batch = save_batch(spark, d)
+    VS.save_batch(spark, base, batch.where("seq.kind = 0"), NOW)
+    return VS.save_batch(spark, base, batch.where("seq.kind > 0"), NOW)
+
+
+def _encoded_history(spark, d):
+    return views.history(spark, d).select("id", "article_id", "created_at", F.lit(None).cast("string").alias("analysis_data"))
+
+
+@register("stored_articles")
+def q_stored_articles(spark, d):
+    return _document(_saved_store(spark, d).table("articles"), "id", "title", "source", "url", "short_summary",
+                     "credibility_level", "created_at", "updated_at", "is_featured")
+
+
+@register("stored_history")
+def q_stored_history(spark, d):
+    # the rows that the saves added
+    new = _saved_store(spark, d).table("history").where("analysis_data is not null")
+    return _document(new, "id", "article_id", "created_at")
+
+
 def label_patch(spark, d):
     """Partial updates derived from the labels: toxic -> level Low,
     good and clean -> featured; other fields left alone."""

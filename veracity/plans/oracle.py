@@ -477,6 +477,9 @@ FROM analysis_history WHERE article_id IN (SELECT doc_id FROM labels)"""
     out["history_page"] = _page_sql("true", _NEWEST, 10, 20)
     out["page_info"] = _info_sql("true", 10, 20)
     out["article_page"] = "\nSELECT id, title, created_at FROM articles ORDER BY created_at DESC, id LIMIT 10 OFFSET 30"
+    half = "(SELECT count(*) // 2 FROM articles)"
+    out["article_page_deep"] = out["article_page"].replace("OFFSET 30", f"OFFSET {half}")
+    out["history_page_deep"] = _page_sql("true", _NEWEST, 10, half)
     t = C.SEARCH_TERM
     search_where = _any_like(["title", "short_summary", "content"], [t])
     rank = (f", CASE WHEN coalesce({_like('title', t)}, false) THEN 1 WHEN coalesce({_like('short_summary', t)}, false)"
@@ -1082,3 +1085,5 @@ for _k, _v in _streams_sql().items():
         if "RECURSIVE_MARK" in _sql else _sql
 
 ORACLE["restated_stats_stream"] = ORACLE["restate_source_stats"]
+for _k, _of in (("stored_articles", "upsert_articles"), ("stored_history", "append_history")):
+    ORACLE[_k] = ORACLE[_of]
