@@ -386,3 +386,17 @@ def test_similar_articles_follow_the_stored_analysis(spark):
         1: "Politics", 2: "technology", 3: "general news", 4: "politics", 5: "General News OR Politics"}
     assert got[1].similar_ids == [5, 4, 2] and got[2].similar_ids == [1] and got[3].similar_ids == [5]
     assert (got[1].potential_biases, got[2].key_points) == (["b"], ["k"])
+
+
+def test_json_is_parsed_once(spark):
+    """One parse and one search for braces, however many fields are read."""
+    from veracity.plans import catalog
+    conf = "spark.sql.debug.maxToStringFields"
+    spark.conf.set(conf, "2000")
+    try:
+        for name in ("decode_response", "decode_stored_documents", "fold_analysis"):
+            plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.lower().count("parsejson(") + plan.lower().count("parse_json(") == 1, name
+            assert plan.count("{.*") == (0 if name == "fold_analysis" else 1), name
+    finally:
+        spark.conf.unset(conf)

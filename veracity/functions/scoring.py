@@ -8,6 +8,8 @@ All built-in Column expressions; model responses are parsed with
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,6 +135,13 @@ def default_analysis(error: Column | str) -> Column:
                 empty, empty, F.array_join(topics, " OR "), e, "default")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: as the variable of a transform over one
+    item.  A plain Column would be written out, and evaluated, wherever ``use`` has it, and
+    a struct of such columns once more for each field that is read from it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 _PERSPECTIVE = "struct<credibility:string,summary:string,key_points:array<string>>"
 _SUFFIX = "_perspective"
 
@@ -147,8 +156,10 @@ def fold_analysis(text: Column | str) -> Column:
     ``<name>_perspective`` objects; topics: strings or objects by name, with their
     relevance where given.  Text that is no JSON object folds to all NULL.
     """
-    v = F.try_parse_json(col_of(text))
+    return bound(F.try_parse_json(col_of(text)), _folded)
+
 
+def _folded(v: Column) -> Column:
     def get(path: str, kind: str) -> Column:
         return F.try_variant_get(v, path, kind)
     own = F.map_filter(get("$", "map<string,variant>"), lambda k, _: k.endswith(_SUFFIX))
@@ -206,11 +217,9 @@ def decode_response(text: Column | str) -> Column:
     """Greedy first ``{`` to last ``}``; valid JSON -> normalised
     document; otherwise a document from the text; empty -> error fallback."""
     t = col_of(text)
-    found = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-    v = F.try_parse_json(F.when(found != "", found))
-    return (F.when(t.isNull() | (t == ""), fallback_analysis(EMPTY_RESPONSE_ERROR))
-            .when(v.isNotNull() & (F.schema_of_variant(v).startswith("OBJECT")), parsed_analysis(v))
-            .otherwise(text_fallback(t)))
+    v = F.try_parse_json(F.regexp_extract(t, r"(?s)\{.*\}", 0))      # no braces: no JSON
+    return F.when(t.isNull() | (t == ""), fallback_analysis(EMPTY_RESPONSE_ERROR)).otherwise(bound(v, lambda v: (
+        F.when(v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT"), parsed_analysis(v)).otherwise(text_fallback(t)))))
 
 
 def normalize_scores(credibility: Column | str, topics: Column | str) -> tuple[Column, Column]:
