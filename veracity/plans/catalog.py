@@ -20,6 +20,7 @@ from veracity.functions.text import join_set
 from veracity.operators import feed as FD
 from veracity.operators import history as H
 from veracity.operators import lookup as L
+from veracity.operators import postings as PO
 from veracity.operators import ranked as RK
 from veracity.operators import scoring as SC
 from veracity.operators import stats
@@ -409,6 +410,15 @@ def q_similar_by_analysis(spark, d):
     return SC.similar_by_analysis(views.articles(spark, d, level=False, url=False), views.analysis_documents(spark, d))
 
 
+@register("similar_by_text")
+def q_similar_by_text(spark, d):
+    # what is similar by the words of an article's own title
+    a = views.articles(spark, d, level=False, url=False).select("id", "title", "short_summary", "content", "created_at")
+    words = F.regexp_extract_all(TX.ascii_lower("title"), F.lit("[a-z]{6,}"), 0)
+    queries = a.select("id", F.array_join(F.slice(words, 1, 2), " OR ").alias("query"))
+    return PO.similar_by_text(a, queries).select("id", "rank", "similar_id")
+
+
 # ------------------------------------------------------------------ scoring / text
 
 

@@ -495,6 +495,15 @@ FROM analysis_history WHERE article_id IN (SELECT doc_id FROM labels)"""
     tw = _any_like(["short_summary", "content"], C.TOPIC_TERMS)
     out["articles_with_topics"] = _page_sql(tw, _NEWEST, 10, 10)
     out["articles_with_topics_info"] = _info_sql(tw, 10, 10)
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out["similar_by_text"] = f""",
+txt AS (SELECT id, created_at, {fold.format("concat_ws(chr(10), title, short_summary, content)")} AS t,
+  regexp_extract_all({fold.format("title")}, '[a-z]{{6,}}')[1:2] AS q FROM articles),
+asked AS (SELECT DISTINCT id, unnest(q) AS term FROM txt),
+held AS MATERIALIZED (SELECT term, txt.id, created_at FROM (SELECT DISTINCT term FROM asked) JOIN txt ON contains(t, term)),
+hit AS (SELECT DISTINCT asked.id, held.id AS similar_id, held.created_at FROM asked JOIN held USING (term) WHERE held.id <> asked.id),
+placed AS (SELECT id, similar_id, row_number() OVER (PARTITION BY id ORDER BY created_at DESC, similar_id) AS rank FROM hit)
+SELECT id, rank, similar_id FROM placed WHERE rank <= 3"""
     out["similar_for_all"] = f""",
 tagged AS (SELECT id, created_at, {tags_sql('content')} AS tags FROM articles),
 q AS (SELECT id, list_distinct(tags[1:3]) AS qt FROM tagged),
