@@ -46,6 +46,15 @@ def test_machine_equals_ridge_on_the_full_kernel():
     assert np.allclose(scores, want, atol=1e-3) and np.allclose(known, 1)
 
 
+def test_a_text_without_a_letter_has_no_language(spark):
+    rows = [(i, f"the cat sat on the mat {i}", "en") for i in range(8)] + [(i, f"le chat est assis {i}", "fr") for i in range(8, 16)]
+    odd = ["½ ² ¾ 12", "Ⅳ Ⅷ", "́̀", "5 ¼", "日", "ª"]
+    docs = spark.createDataFrame(rows + [(100 + i, t, None) for i, t in enumerate(odd)], "doc_id int, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in li.identify_languages(docs).collect()}
+    assert [got[100 + i] for i in range(4)] == [("und", 0.0)] * 4
+    assert got[104][0] != "und" and got[105][0] != "und"      # letters, though of no learned language
+
+
 def test_unknown_scripts_are_rejected_and_mixed_texts_kept(spark):
     docs = read_table(spark, SF_CHECK, "documents").limit(0).unionByName(spark.createDataFrame(
         [(1, "Это русский текст, который никто не учил", None, "x", 1), (2, "日本語のテキストです", None, "x", 1),

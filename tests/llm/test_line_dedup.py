@@ -93,6 +93,16 @@ def test_texts_lose_the_lines(spark):
     assert got == {1: "The first line of it all\n\nAnother line that differs", 2: "keep me here", 3: None}
 
 
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    rows = [(1, "alpha beta gamma delta\nsecond line of the first"), (1, "alpha beta gamma delta\ncompletely other content 123"),
+            (None, "alpha beta gamma delta"), (2, "one more line here"), (2, "one more line here")]
+    got = sorted((r["text"] for r in ld.drop_fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    # the common line stays once (a null id comes first); no unique line goes
+    assert sum("alpha" in t for t in got) == 1 and "alpha beta gamma delta" in got
+    assert any("second line of the first" in t for t in got) and any("completely other content 123" in t for t in got)
+    assert got.count("one more line here") == 2      # rows alike in id and text keep the same lines
+
+
 def test_edge_rows(edge_docs, empty_docs):
     got = ld.line_report(edge_docs)
     assert got.count() == edge_docs.select("doc_id").distinct().count()

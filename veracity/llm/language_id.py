@@ -11,12 +11,12 @@ presence gives the kernel rows, kernel rows x coefficients the languages' scores
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ TRIGRAM_BITS = 17
 SPACE = 256 + (1 << 16) + (1 << TRIGRAM_BITS)
 BATCH_DOCS, BATCH_BYTES = 64, 1 << 20
 _BLANK = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")      # as in learn(): no number signs, no marks
 
 
 def prepared(text: str) -> np.ndarray:
@@ -211,10 +211,11 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
                          training: Column | None = None, min_known: float = MIN_KNOWN) -> DataFrame:
-    """The documents in a learned language with all their columns; ``lang_col`` becomes
-    the predicted language.  Rejected are ``und`` and texts in none of the learned
-    languages: those whose n-grams the landmarks hardly have (``known`` < ``min_known``).  Each
-    row is judged alone and nothing is joined, so extra columns and repeated ids pass."""
+    """The documents with a predicted language and all their columns; ``lang_col`` becomes
+    the prediction.  Rejected are ``und`` and texts whose n-grams the landmarks hardly have
+    (``known`` < ``min_known``): other scripts, symbols.  A text in an unlearned language of
+    the same script shares most n-grams and passes under the nearest learned one.  Each row
+    is judged alone and nothing is joined, so extra columns and repeated ids pass."""
     model = learn(docs if training is None else docs.where(training), text_col, lang_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                          F.col(f"`{text_col}`").alias("text"))

@@ -281,11 +281,15 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                      percent: int = PERCENT) -> DataFrame:
     """The documents with all their columns, their texts without the lines that are not
-    kept (blank lines stay).  Rows that repeat an id lose the same line numbers."""
-    report = line_report(docs, id_col, text_col, percent=percent).where("n_kept < n_lines").select(
-        F.col(id_col).alias("__id"), F.col("dropped_lines").alias("__gone"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("__key"), F.col(f"`{text_col}`").cast("string").alias("text"),
-                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept (blank lines stay).  Rows that repeat an id are told apart by their text; of rows
+    that repeat both, all keep the same lines."""
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    key = F.struct(id_.alias("id"), F.xxhash64(text).alias("h"))
+    report = line_report(docs.select(key.alias("key"), text.alias("text")), "key", "text", percent=percent)
+    report = report.where("n_kept < n_lines").select(F.col("key").alias("__id"), F.col("dropped_lines").alias("__gone"))
+    # the same lines of rows that repeat id and text are one
+    report = report.withColumn("__gone", F.array_distinct("__gone"))
+    rows = docs.select(key.alias("__key"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     joined = rows.join(report, F.col("__key").eqNullSafe(F.col("__id")), "left").select("row", "text", "__gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
