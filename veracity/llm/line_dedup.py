@@ -10,9 +10,11 @@ four slots at 0.8, which find a pair there with probability 0.999); collisions,
 components are the shared steps of ``similar.py``.  Of each component the first
 line, by document id and place, is kept.
 
-A task works on all lines of a batch of documents at once; a line that repeats in a
-batch sends its bands once.  Only lines that collide send their text, found by a
-Bloom filter of fixed size and an exact join.
+A task works on all lines of a batch of documents at once.  A line that repeats in a
+batch, or that the task remembers to have sent (a table of fixed size, which may forget
+but never err), isn't sent again; what tasks send twice counts once among the collisions.
+Only lines that collide with another line send their text, found by a Bloom filter of
+fixed size and an exact join.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ SLOT_BITS = 6
 SLOTS = 1 << SLOT_BITS
 PERCENT = 80
 TASK_BYTES = 1 << 17       # text a task looks at in one go
+SENT = 1 << 18             # lines that a task remembers to have sent, at most
 FILTER_WORDS = 1 << 18     # 64-bit words of the Bloom filter of colliding lines: 2 MB, whatever the input
 _FULL = np.iinfo(np.uint64).max
 
@@ -102,19 +105,35 @@ def _distinct(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
     return found, line_ids(found)
 
 
+class _Sent:
+    """The lines a task has sent, in a table where a newer line takes an older one's place."""
+
+    def __init__(self) -> None:
+        self.ids, self.used = np.zeros(SENT, U64), np.zeros(SENT, bool)
+
+    def new(self, ids: np.ndarray) -> np.ndarray:
+        """Places of the distinct ``ids`` that aren't known to be sent; they are from now on."""
+        at = (mix64(ids) % U64(SENT)).astype(np.int64)
+        fresh = np.flatnonzero(~(self.used[at] & (self.ids[at] == ids)))
+        self.ids[at[fresh]], self.used[at[fresh]] = ids[fresh], True
+        return fresh
+
+
 def _bands(docs: DataFrame, percent: int) -> DataFrame:
     """node, keys: the band keys of every line."""
     bands, rows = bands_for(percent / 100, SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = _Sent()
         for batch in batches:
             texts = binary_values(batch.column("text"))
             for a, b in _groups(texts):
                 lines, ids = _distinct(texts[a:b])
-                if lines:
-                    sig = signatures(*shingles(lines), len(lines))
+                at = sent.new(ids)
+                if len(at):
+                    sig = signatures(*shingles([lines[i] for i in at]), len(at))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(as_int64(ids)), long_lists(band_keys(sig, bands, rows))], names=["node", "keys"])
+                        [pa.array(as_int64(ids[at])), long_lists(band_keys(sig, bands, rows))], names=["node", "keys"])
 
     return docs.select("text").mapInArrow(run, "node long, keys array<long>")
 
@@ -146,7 +165,7 @@ def _line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_filter(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        words, sent = shared.value, _Sent()
         for batch in batches:
             texts = binary_values(batch.column("text"))
             for a, b in _groups(texts):
@@ -156,6 +175,7 @@ def _line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 bits = _bits(ids)
                 hit = ((words[bits >> U64(6)] >> (bits & U64(63))) & U64(1)).astype(bool)
                 at = np.flatnonzero(hit[:len(ids)] & hit[len(ids):])
+                at = at[sent.new(ids[at])]
                 if len(at):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(as_int64(ids[at])), pa.array([lines[i] for i in at], pa.binary())], names=["node", "line"])
@@ -248,7 +268,7 @@ def fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     src = _prepared(docs, id_col, text_col)
     rows = materialise(_bands(src, percent), "bands").select("node", F.explode("keys").alias("bucket"))
-    buckets = materialise(collisions(rows).distinct(), "buckets")
+    buckets = materialise(collisions(rows), "buckets")
     weights = materialise(node_weights(buckets), "weights")
     texts = materialise(_line_texts(src, weights), "texts")
     facts = materialise(_facts(texts), "facts")

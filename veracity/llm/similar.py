@@ -82,10 +82,20 @@ def set_lists(sets: list[np.ndarray]) -> pa.Array:
 
 
 def collisions(rows: DataFrame) -> DataFrame:
-    """rows (bucket, node) -> those of the buckets with two rows or more.  A piece's
+    """rows (bucket, node) -> the distinct ones of the buckets with two nodes or more.
+    Rows that repeat a bucket and node sit in one piece, so they count once.  A piece's
     first and last bucket may be there with a single row."""
     session_of(rows)
 
+    def shared(bucket: np.ndarray) -> np.ndarray:
+        """Places of the rows of sorted buckets that hold several, or that a
+        neighbouring piece may have more of."""
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        size = np.diff(np.append(start, len(bucket)))
+        show = size > 1
+        show[[0, -1]] = True
+        return np.flatnonzero(np.repeat(show, size))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
         if not parts:
@@ -93,12 +103,13 @@ def collisions(rows: DataFrame) -> DataFrame:
         bucket, node = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
         del parts
         order = np.argsort(bucket)
+        kept = order[shared(bucket[order])]
+        bucket, node = bucket[kept], node[kept]
+        order = np.lexsort((node, bucket))
         bucket, node = bucket[order], node[order]
-        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        size = np.diff(np.append(start, len(bucket)))
-        show = size > 1
-        show[[0, -1]] = True       # a neighbouring piece may have more of them
-        kept = np.flatnonzero(np.repeat(show, size))
+        first = np.append(True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]))
+        bucket, node = bucket[first], node[first]
+        kept = shared(bucket)
         for i in range(0, len(kept), 1 << 16):
             at = kept[i:i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(node[at])], names=["bucket", "node"])
@@ -163,12 +174,12 @@ def _open_pairs(buckets: DataFrame, facts: DataFrame, labels: DataFrame, percent
     threshold by their sizes, their sketches and their marks.  Marks give an exact
     bound: what one set marks and the other doesn't is certainly not in both."""
     words, marks = slots * SKETCH_BITS // 64, MARKS // 64
-    flat = facts.select("node", "n", *[F.expr(f"sketch[{i}] as w{i}") for i in range(words)],
-                        *[F.expr(f"marks[{i}] as m{i}") for i in range(marks)])
+    # the join loads the columns of its condition for every pair: the marks are one, not looked into before the sketch passes
+    flat = facts.select("node", "n", "marks", *[F.expr(f"sketch[{i}] as w{i}") for i in range(words)])
     side = materialise(_open_buckets(buckets, labels).join(flat, "node"), "sides")
     differ = " + ".join(f"bit_count(x.w{i} ^ y.w{i})" for i in range(words))
-    only_x = " + ".join(f"bit_count(x.m{i} & ~y.m{i})" for i in range(marks))
-    only_y = " + ".join(f"bit_count(y.m{i} & ~x.m{i})" for i in range(marks))
+    only_x = " + ".join(f"bit_count(x.marks[{i}] & ~y.marks[{i}])" for i in range(marks))
+    only_y = " + ".join(f"bit_count(y.marks[{i}] & ~x.marks[{i}])" for i in range(marks))
     x, y = side.alias("x"), side.alias("y")
     near = (F.col("x.bucket") == F.col("y.bucket")) & F.expr(
         f"x.component < y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
