@@ -7,6 +7,7 @@ import random
 import numpy as np
 
 from veracity.llm import line_dedup as ld
+from veracity.llm import similar
 
 
 def shingle_set(line: bytes) -> set[bytes]:
@@ -127,3 +128,42 @@ def test_pairs_at_the_threshold_become_candidates(spark):
     assert (len(a & b), len(a | b)) == (64, 80)
     found = ld.line_report(spark.createDataFrame(docs, "doc_id long, text string")).where("n_kept = 0").count()
     assert found >= 0.997 * 6000
+
+
+def test_short_lines_near_the_threshold_become_candidates():
+    """Candidates of pairs of few shingles, Jaccard index 0.8 or a little more, by a shared band."""
+    rng = np.random.default_rng(9)
+    for common, each in ((8, 1), (12, 1), (16, 2), (20, 2)):      # 8/10, 12/14, 16/20, 20/24
+        hit = 0
+        for _ in range(20):
+            sets = rng.integers(0, 2**63, (100, common + 2 * each), dtype=np.int64).astype(np.uint64)
+            a, b = sets[:, :common + each], np.concatenate([sets[:, :common], sets[:, common + each:]], axis=1)
+            keys = [similar.band_keys(ld.signatures(x.reshape(-1), np.repeat(np.arange(100), x.shape[1]), 100),
+                                      *similar.bands_for(0.8, ld.SLOTS)) for x in (a, b)]
+            hit += int((keys[0] == keys[1]).any(axis=1).sum())
+        assert hit >= 0.997 * 2000
+
+
+def test_a_task_remembers_what_it_sent(monkeypatch):
+    monkeypatch.setattr(ld, "SENT", 4)
+    sent, rng = ld._Sent(), random.Random(10)
+    ever: set[int] = set()
+    for _ in range(200):
+        ids = np.array(sorted({rng.randrange(12) for _ in range(5)}), np.uint64)
+        fresh = {int(x) for x in ids[sent.new(ids)]}
+        assert {int(x) for x in ids} - ever <= fresh      # it may send twice, never leave out
+        ever |= {int(x) for x in ids}
+    assert not len(sent.new(ids[-1:]))
+
+
+def test_collisions_count_a_repeated_row_once(spark):
+    rng = random.Random(11)
+    rows = [(rng.randrange(300), rng.randrange(40)) for _ in range(400)] + [(1000, 7)] * 500 + [(1001, x % 3) for x in range(500)]
+    got = [tuple(r) for r in similar.collisions(spark.createDataFrame(rows, "bucket long, node long").repartition(8)).collect()]
+    nodes: dict[int, set[int]] = {}
+    for bucket, node in rows:
+        nodes.setdefault(bucket, set()).add(node)
+    wanted = {(b, n) for b, ns in nodes.items() if len(ns) > 1 for n in ns}
+    assert len(got) == len(set(got)) and wanted <= set(got) <= set(rows)
+    # besides those, a piece may show its first and last bucket
+    assert len(set(got) - wanted) <= 2 * spark.sparkContext.defaultParallelism + 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
