@@ -30,7 +30,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
-def mixing_ctes(docs: str, rounds: int = 12) -> str:
+def mixing_ctes(docs: str, rounds: int = 36) -> str:
     """CTEs up to ``mixed`` (doc_id, source, lang, topic, n_tokens, rate, sampled)."""
     marks = [("licence", ("Licensed under", "All rights reserved")), ("table", (" | ",)),
              ("symbols", ("%%%", "&&&", "$$$", "***", "###")), ("shouting", ("!!",))]
@@ -39,19 +39,24 @@ def mixing_ctes(docs: str, rounds: int = 12) -> str:
   CASE {cases} ELSE 'prose' END AS topic,
   greatest(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')), 1)::BIGINT AS n_tokens
   FROM (SELECT *, coalesce(text, '') AS t FROM {docs}))""",
-           """cells AS (SELECT *, pow(sum(tokens) OVER (PARTITION BY source), 0.5) AS t_source,
-  pow(sum(tokens) OVER (PARTITION BY lang), 0.7) AS t_lang, pow(sum(tokens) OVER (PARTITION BY topic), 1.0) AS t_topic
-  FROM (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM tokens GROUP BY ALL))""",
-           "r0 AS (SELECT *, tokens AS w FROM cells)"]
+           "sums AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM tokens GROUP BY ALL)"]
+    for dim, power in (("source", 0.5), ("lang", 0.7), ("topic", 1.0)):
+        out.append(f"""{dim}s AS (SELECT {dim}, 0.5 * sum(s) OVER () * pow(s, {power}) / sum(pow(s, {power})) OVER () AS t_{dim}
+  FROM (SELECT {dim}, sum(tokens) AS s FROM sums GROUP BY ALL))""")
+    out.append("r0 AS (SELECT *, 0.5 * tokens AS w FROM sums JOIN sources USING (source) JOIN langs USING (lang) JOIN topics USING (topic))")
     n = 0
     for _ in range(rounds):
         for dim in ("source", "lang", "topic"):
-            out.append(f"r{n + 1} AS MATERIALIZED (SELECT * REPLACE (w * t_{dim} / sum(w) OVER (PARTITION BY {dim}) AS w) FROM r{n})")
+            out.append(f"""r{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (w, f, g), least(w * CASE
+  WHEN g > 0 AND t_{dim} > f THEN (t_{dim} - f) / g WHEN f + g > 0 THEN t_{dim} / (f + g) ELSE 0.0 END, 1e6 * tokens) AS w
+  FROM (SELECT *, sum(if(w >= tokens, tokens, 0.0)) OVER (PARTITION BY {dim}) AS f,
+    sum(if(w >= tokens, 0.0, w)) OVER (PARTITION BY {dim}) AS g FROM r{n}))""")
             n += 1
-    out.append(f"""mixed AS (SELECT doc_id, source, lang, topic, n_tokens, rate, h < rate AS sampled FROM (
-  SELECT tokens.*, round(0.5 * (SELECT sum(n_tokens) FROM tokens) * (w / (SELECT sum(w) FROM r{n})) / tokens, 6) AS rate,
-  ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT / 4294967296.0 AS h
-  FROM tokens JOIN r{n} USING (source, lang, topic)))""")
+    out.append(f"""rates AS (SELECT source, lang, topic, round(r * p) / p AS rate FROM (
+  SELECT *, pow(10, 5 - floor(log10(r))) AS p FROM (SELECT *, least(w, tokens) / tokens AS r FROM r{n})))""")
+    out.append("""mixed AS (SELECT doc_id, source, lang, topic, n_tokens, rate, h < rate AS sampled FROM (
+  SELECT tokens.*, rate, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT / 4294967296.0 AS h
+  FROM tokens JOIN rates USING (source, lang, topic)))""")
     return ",\n".join(out)
 
 
@@ -217,6 +222,5 @@ ORACLE = {
     "op11_spelling_chunks": _SPELLING,
     "op12_importance_resampling": _IMPORTANCE,
     "op9_raking": f"""WITH {mixing_ctes('documents')}
-SELECT doc_id, source, lang, topic, n_tokens, rate, least(rate, 1.0) AS probability,
-  greatest(rate, 1.0) AS weight, sampled FROM mixed""",
+SELECT doc_id, source, lang, topic, n_tokens, rate, sampled FROM mixed""",
 }
