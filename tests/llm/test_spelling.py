@@ -90,6 +90,16 @@ def test_every_single_edit_is_found_once(spark):
     assert set(got) == want and set(got.values()) == {1}
 
 
+def test_no_side_of_the_words_is_broadcast(spark, tmp_path):
+    """However small the words' file is: the sides made of it are many times its size."""
+    rows = [(i, w, n) for i, (w, n) in enumerate([("abcdef", 9), ("abcdeg", 4), ("abcde", 3)], 1)]
+    spark.createDataFrame(rows, "id long, word string, n long").write.parquet(str(tmp_path / "words"))
+    words = spark.read.parquet(str(tmp_path / "words"))
+    for df in (spelling.near_pairs(words), spelling.grouped_words(words)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_long_texts_are_counted_in_parts(spark, monkeypatch):
     docs = sample(4, 40)
     parts = [c for key, text in docs for c in spelling._text_words(str(key), text.encode(), re.compile("[a-zÀ-ÿ]{5,}"), 5, 97)]

@@ -17,6 +17,10 @@ Words are counted over the whole corpus: tasks add up the words of many document
 anything is shuffled, and counts combine map-side, so a word of any frequency is one row
 a task.  Words are numbered by (n descending, word), so "the near word of largest n" is
 the smallest number, an aggregate of longs.  Forms are followed by pointer jumping.
+
+Every join is merged, at any size: all sides grow with the vocabulary, and a side of
+several keys a word is judged by the small file of words it is made of, so it would be
+gathered and broadcast by the driver.
 """
 
 from __future__ import annotations
@@ -120,7 +124,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
         "key", "kind", "m", F.col("id").alias("a"), F.col("word").alias("x"))
     grams = _chunk_keys(words.select("id", "word", F.explode(F.array(size, size - 1)).alias("m"))).select(
         "key", F.col("id").alias("b"), F.col("word").alias("y"))
-    near = chunks.join(grams, "key").where("(char_length(y) > m or x < y) and levenshtein(x, y, 1) = 1")
+    near = chunks.join(grams.hint("merge"), "key").where("(char_length(y) > m or x < y) and levenshtein(x, y, 1) = 1")
     # a pair that agrees in several keys counts at the first
     first = " ".join(f"when left(x, {a}) = left(y, {a}) and right(x, {b}) = right(y, {b}) then {k}"
                      for k, (a, b) in enumerate(_KEPT.values()))
@@ -133,7 +137,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     jumps = forms.select("id", F.col("form").alias("root"))
     while True:
         ahead = jumps.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        step = materialise(jumps.join(ahead, "root", "left").select("id", F.coalesce("next", "root").alias("root"),
+        step = materialise(jumps.join(ahead.hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("root"),
                                                                    F.col("next").isNotNull().alias("moved")), "roots")
         jumps = step.select("id", "root")
         if not step.where("moved").take(1):
@@ -167,11 +171,12 @@ def grouped_words(words: DataFrame, ratio: int = RATIO) -> DataFrame:
                                          F.struct(F.col("b").alias("id"), F.col("a").alias("near")))))
     best = materialise(both.groupBy("id").agg(F.count("*").alias("n_near"), F.min("near").alias("best")), "near-words")
     named = words.select(F.col("id").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
-    joined = words.join(best, "id", "left").join(named, "best", "left")
+    joined = words.join(best.hint("merge"), "id", "left").join(named.hint("merge"), "best", "left")
     big = F.col("form_n") >= ratio * F.col("n")
     facts = materialise(joined.select("id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
                                       *[F.when(big, F.col(c)).alias(c) for c in ("best", "form", "form_n")]), "forms")
     roots = _roots(facts.where("best is not null").select("id", F.col("best").alias("form")))
     named = words.select(F.col("id").alias("root"), F.col("word").alias("root_word"))
-    return (facts.join(roots.join(named, "root").select("id", "root_word"), "id", "left")
+    ends = roots.join(named.hint("merge"), "root").select("id", "root_word")
+    return (facts.join(ends.hint("merge"), "id", "left")
             .select("word", "form", F.coalesce("root_word", "word").alias("root"), "n", "n_near", "form_n"))
