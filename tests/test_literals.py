@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from veracity.functions import scoring as S
 from veracity.functions import text as TX
 from veracity.operators import history as H
 from veracity.operators import stats
+from veracity.sources import pages
 from veracity.sources.pages import extract_one
 
 T0 = dt.datetime(2024, 1, 1)
@@ -201,3 +203,18 @@ def test_extract_pages_rules():
     assert extract_one("http://b.org", "<p>none</p>") == (None, "b.org", "No title available",
                                                           "Failed to extract content")
     assert extract_one("not a url", "")[3] == "Invalid URL format"
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark):
+    """A task holds few pages as strings, however many an Arrow batch has."""
+    n = 5 * pages.PAGES_AT_ONCE + 3
+    rows = [(i, f"https://a.org/{i}", f"<article><h1>t{i}</h1><p>x{i}</p></article>") for i in range(n)]
+    rows += [(None, None, None), (n, "https://a.org/", None), (n, "no url", "<p>x</p>")]
+    want = [(i, u, *extract_one(u, h)) for i, u, h in rows]
+    columns = [pa.array(c) for c in zip(*rows)]
+    taken = list(pages._extract_batches(iter([pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "html"])])))
+    assert max(b.num_rows for b in taken) <= pages.PAGES_AT_ONCE
+    assert [tuple(r.values()) for b in taken for r in b.to_pylist()] == want
+    got = pages.extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert pages.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
