@@ -118,6 +118,54 @@ def test_late_requests_are_counted_and_use_up_nothing(spark, tmp_path):
     assert got == {1: yes, 2: yes, 3: yes, 4: late, 5: late, 6: (False, 60, False), 7: yes, 8: late, 9: yes, 10: (False, 60, False)}
 
 
+class HeldState:
+    """One key's value state and timers."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+
+def test_a_hot_clients_answers_come_in_bounded_frames(monkeypatch):
+    monkeypatch.setattr(keyed, "ROWS_AT_ONCE", 50)
+    rows = [(i, 7, s) for i, _, _, s in requests(5, 900)]
+    held, machine = HeldState(), keyed.LimitMachine(LIMITS)
+    machine.init(held)
+    got = {}
+    for days in (range(0, 1), range(1, 3)):      # two triggers, each of many frames in any order
+        mine = [(i, s * 1_000_000, True) for i, _, s in rows if s // 86400 in days]
+        frames = [pd.DataFrame(mine[k:k + 40], columns=["event_id", "t", "known"]) for k in range(0, len(mine), 40)]
+        for pdf in machine.handleInputRows(("7",), iter(frames), held):
+            assert len(pdf) <= 50
+            got |= {r.event_id: (r.admitted, r.refused_by) for r in pdf.itertuples()}
+    assert got == limited(rows, LIMITS) and len(held.timers) == 1
+
+
+def test_requests_without_id_or_client_are_answered(spark, tmp_path):
+    d = str(tmp_path / "t")
+    big = 2**60 + 1     # no float holds it
+    rows = [(1, "a", 0), (None, "a", 5), (big, "a", 5), (3, None, 1), (4, None, 2), (None, None, 90)]
+    df = spark.createDataFrame([(i, e, T0 + dt.timedelta(seconds=s)) for i, e, s in rows],
+                               "event_id long, event_type string, ts timestamp_ntz")
+    df.coalesce(1).write.parquet(f"{d}/events.parquet")
+    got = SS.quota_admissions_stream(spark, d, [(60, 1)], "event_type", base=str(tmp_path / "s")).collect()
+    assert {(r.event_id, r.client, r.admitted, r.refused_by, r.late) for r in got} == {
+        (1, "a", True, None, False), (None, "a", False, 60, False), (big, "a", False, 60, False),
+        (3, None, True, None, False), (4, None, False, 60, False), (None, None, True, None, False)}
+
+
 def test_reuse_state_is_an_anchor_and_expires(spark, tmp_path):
     rnd = random.Random(3)
     rows = sorted(((i, 0, f"k{rnd.randrange(30)}", rnd.randrange(20 * 86400)) for i in range(600)), key=lambda r: (r[3], r[0]))
