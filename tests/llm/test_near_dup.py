@@ -182,3 +182,55 @@ def test_drop_keeps_one_of_a_group_and_all_columns(edge_docs):
 def test_empty(empty_docs):
     assert nd.near_duplicates(empty_docs).count() == 0
     assert nd.drop_near_duplicates(empty_docs).columns == empty_docs.columns
+
+
+def changed_copies(spark, words, n=40):
+    """Rows of one bucket as ``_near_pairs`` takes them: a set, copies with some changes, and others."""
+    rng = random.Random(3)
+    base, rows, sets = rng.sample(range(1, 1 << 60), 200), [], []
+    for i in range(n):
+        s = base[rng.randrange(30):] + rng.sample(range(1, 1 << 60), rng.randrange(30))
+        sets.append(set(s))
+        marks = sm.marks_of([np.array(s, U64)]).to_pylist()[0]
+        rows.append((7, i, i // 2, len(set(s)), marks, *[int(i % 5 == 0)] * words))
+    schema = "bucket long, node long, component long, n long, marks array<long>, " + ", ".join(f"w{i} long" for i in range(words))
+    return spark.createDataFrame(rows, schema), sets
+
+
+@pytest.mark.parametrize("slots", [64, nd.SLOTS])
+def test_the_comparison_of_pairs_is_compiled(spark, slots):
+    """A method of more than 8000 bytes is interpreted, whatever the number of pairs."""
+    words, was = slots * sm.SKETCH_BITS // 64, {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(was, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        pairs = sm._near_pairs(changed_copies(spark, words)[0], 80, slots, words, sm.MARKS // 64)
+        code = spark._jvm.PythonSQLUtils.explainString(pairs._jdf.queryExecution(), "codegen")
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    sizes = [int(x.split(";")[0]) for x in code.split("maxMethodCodeSize:")[1:]]
+    assert "SortMergeJoin" in code and sizes and max(sizes) < 8000
+
+
+def test_the_bound_of_the_marks(spark):
+    side, sets = changed_copies(spark, 4)
+    marked = [{x % sm.MARKS for x in s} for s in sets]
+    want = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets)
+            if a // 2 < b // 2 and 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y))
+            and 180 * min(len(x) - len(marked[a] - marked[b]), len(y) - len(marked[b] - marked[a])) >= 80 * (len(x) + len(y))}
+    got = [(r["a"], r["b"]) for r in sm._near_pairs(side, 80, 64, 4, sm.MARKS // 64).collect()]
+    assert set(got) == want and len(got) == len(want)
+    close = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets)
+             if a // 2 < b // 2 and 100 * len(x & y) >= 80 * len(x | y)}
+    assert close and close <= want
+
+
+def test_components_of_repeated_links_in_rounds(spark):
+    links = [(i, i + 1) for i in range(40)] + [(i + 1, i) for i in range(10)] + [(100, 100), (None, 5), (7, None), (60, 61)] * 2
+    table = spark.createDataFrame(links, "a long, b long")
+    got = components(table).collect()
+    assert {r["node"]: r["component"] for r in got} == {i: 0 for i in range(41)} | {60: 60, 61: 60} and len(got) == 43
+    part = {r["node"]: r["component"] for r in components(table, 1).collect()}
+    assert set(part) == {r["node"] for r in got} and part[61] == 60 and all(c <= n for n, c in part.items())
+    assert len({r["component"] for r in components(table, 0).collect()}) > len(set(part.values()))

@@ -16,33 +16,33 @@ from pyspark.sql import functions as F
 from veracity.llm._shared import materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if not large:
-        both = both.where("v < u")
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    if large:   # a centre may have any share of the links: both sides dealt out anew, the join can be split
-        low = materialise(low, "minima")
-    out = both.join(low, "u")
-    if large:
-        out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = out.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.select("u", F.col("m").alias("v")))
-    return out.where("u <> v")
-
-
-def _round(edges: DataFrame) -> DataFrame:
-    return materialise(_star(_star(edges, True), False).distinct(), "edges")
-
-
-def _is_finished(edges: DataFrame) -> bool:
-    """Whether every node has one link at most to a smaller node, which has none itself."""
-    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(
-        edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
-    odd = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where(
-        "ups > 1 or (ups = 1 and n > 1)")
-    return not odd.take(1)
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _minima(edges: DataFrame) -> DataFrame:
+    """u, m (the smallest of a node and its neighbours), odd of every node.  ``odd``: it has
+    a smaller neighbour and another one besides; where no node is, every component is a star
+    around its smallest node and ``m`` is that.  Written, so that the join on a centre with any
+    share of the links has both sides dealt out anew and can be split."""
+    low = _both(edges).groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return materialise(low.select("u", F.least("lo", "u").alias("m"), F.expr("lo < u and lo < hi").alias("odd")), "minima")
+
+
+def _large_star(edges: DataFrame, minima: DataFrame) -> DataFrame:
+    linked = _both(edges).join(minima.select("u", "m"), "u").where("v > u")
+    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Of edges (u, v) with v < u, as the large star gives them."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        low.select("u", F.col("m").alias("v")))
+
+
+def _round(edges: DataFrame, minima: DataFrame) -> DataFrame:
+    return materialise(_small_star(_large_star(edges, minima)).distinct(), "edges")
 
 
 def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -52,12 +52,9 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     nodes of one component may then still differ, never those of two agree.
     ``links`` is read more than once: pass a table."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    if rounds is None:
-        edges = edges.distinct()
-        while not _is_finished(edges):
-            edges = _round(edges)
-    for _ in range(rounds or 0):
-        edges = _round(edges)
-    leaves = edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("component"))
-    both = leaves.unionByName(edges.select(F.col("v").alias("x"), F.col("v").alias("component")))
-    return materialise(both.groupBy(F.col("x").alias("node")).agg(F.min("component").alias("component")), "components")
+    minima = _minima(edges)
+    while (rounds is None and minima.where("odd").take(1)) or rounds:
+        rounds = rounds and rounds - 1
+        edges = _round(edges, minima)
+        minima = _minima(edges)
+    return minima.select(F.col("u").alias("node"), F.col("m").alias("component"))

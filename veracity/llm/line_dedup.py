@@ -207,7 +207,11 @@ def _set_of(line: bytes) -> np.ndarray:
     """The sorted distinct shingles of a line."""
     if len(line) < WIDTH:
         return np.array([int.from_bytes(line, "little")], U64)
-    return np.unique(np.ndarray((len(line) - WIDTH + 1,), "<u8", line, strides=(1,)))
+    codes = np.sort(np.ndarray((len(line) - WIDTH + 1,), "<u8", line, strides=(1,)))
+    first = np.empty(len(codes), bool)
+    first[0] = True
+    np.not_equal(codes[1:], codes[:-1], out=first[1:])
+    return codes[first]
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -220,7 +224,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
                 if la != last:
                     last, x = la, _set_of(la)
                 y = _set_of(lb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                every = np.concatenate((x, y))
+                every.sort()
+                both = int(np.count_nonzero(every[1:] == every[:-1]))
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     good.append(i)
             at = pa.array(good, pa.int64())

@@ -174,15 +174,28 @@ def _open_pairs(buckets: DataFrame, facts: DataFrame, labels: DataFrame, percent
     threshold by their sizes, their sketches and their marks.  Marks give an exact
     bound: what one set marks and the other doesn't is certainly not in both."""
     words, marks = slots * SKETCH_BITS // 64, MARKS // 64
-    # the join loads the columns of its condition for every pair: the marks are one, not looked into before the sketch passes
     flat = facts.select("node", "n", "marks", *[F.expr(f"sketch[{i}] as w{i}") for i in range(words)])
     side = materialise(_open_buckets(buckets, labels).join(flat, "node"), "sides")
+    return _near_pairs(side, percent, slots, words, marks).distinct()
+
+
+def _near_pairs(side: DataFrame, percent: int, slots: int, words: int, marks: int) -> DataFrame:
+    """The pairs of ``side`` that a bucket has and that the bounds let pass, once a bucket.
+
+    The join's condition is compiled into one method, and the JVM interprets a method of
+    more than 8000 bytes, at some hundred times the cost a pair.  So the words of the marks
+    are columns that can't be null, and only the marks in both are counted: what a set
+    marks alone is its count less those."""
+    one = [f"m{i}" for i in range(marks)]
+    side = side.select("*", *[F.expr(f"marks[{i}] as m{i}") for i in range(marks)])
+    side = side.select("bucket", "node", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in
+                                           ("component", "n", *[f"w{i}" for i in range(words)], *one)],
+                       F.expr(" + ".join(f"bit_count(coalesce({c}, 0L))" for c in one)).alias("marked"))
     differ = " + ".join(f"bit_count(x.w{i} ^ y.w{i})" for i in range(words))
-    only_x = " + ".join(f"bit_count(x.marks[{i}] & ~y.marks[{i}])" for i in range(marks))
-    only_y = " + ".join(f"bit_count(y.marks[{i}] & ~x.marks[{i}])" for i in range(marks))
+    both = " + ".join(f"bit_count(x.{c} & y.{c})" for c in one)
     x, y = side.alias("x"), side.alias("y")
     near = (F.col("x.bucket") == F.col("y.bucket")) & F.expr(
         f"x.component < y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
         f" and {differ} <= {sketch_limit(percent / 100, slots)}"
-        f" and {100 + percent} * least(x.n - ({only_x}), y.n - ({only_y})) >= {percent} * (x.n + y.n)")
-    return x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        f" and {100 + percent} * (least(x.n - x.marked, y.n - y.marked) + {both}) >= {percent} * (x.n + y.n)")
+    return x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
