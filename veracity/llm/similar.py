@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.llm._shared import GOLDEN, U64, as_int64, materialise, mix64, session_of
@@ -175,12 +175,14 @@ def _open_pairs(buckets: DataFrame, facts: DataFrame, labels: DataFrame, percent
     bound: what one set marks and the other doesn't is certainly not in both."""
     words, marks = slots * SKETCH_BITS // 64, MARKS // 64
     flat = facts.select("node", "n", "marks", *[F.expr(f"sketch[{i}] as w{i}") for i in range(words)])
-    side = materialise(_open_buckets(buckets, labels).join(flat, "node"), "sides")
-    return _near_pairs(side, percent, slots, words, marks).distinct()
+    # the buckets of a node, at most one a band
+    side = _open_buckets(buckets, labels).withColumn("buckets", F.collect_list("bucket").over(Window.partitionBy("node")))
+    return _near_pairs(materialise(side.join(flat, "node"), "sides"), percent, slots, words, marks)
 
 
 def _near_pairs(side: DataFrame, percent: int, slots: int, words: int, marks: int) -> DataFrame:
-    """The pairs of ``side`` that a bucket has and that the bounds let pass, once a bucket.
+    """The pairs of ``side`` that a bucket has and that the bounds let pass.  A pair with
+    several buckets comes from the first of them alone.
 
     The join's condition is compiled into one method, and the JVM interprets a method of
     more than 8000 bytes, at some hundred times the cost a pair.  So the words of the marks
@@ -188,7 +190,7 @@ def _near_pairs(side: DataFrame, percent: int, slots: int, words: int, marks: in
     marks alone is its count less those."""
     one = [f"m{i}" for i in range(marks)]
     side = side.select("*", *[F.expr(f"marks[{i}] as m{i}") for i in range(marks)])
-    side = side.select("bucket", "node", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in
+    side = side.select("bucket", "node", "buckets", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in
                                            ("component", "n", *[f"w{i}" for i in range(words)], *one)],
                        F.expr(" + ".join(f"bit_count(coalesce({c}, 0L))" for c in one)).alias("marked"))
     differ = " + ".join(f"bit_count(x.w{i} ^ y.w{i})" for i in range(words))
@@ -197,5 +199,6 @@ def _near_pairs(side: DataFrame, percent: int, slots: int, words: int, marks: in
     near = (F.col("x.bucket") == F.col("y.bucket")) & F.expr(
         f"x.component < y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
         f" and {differ} <= {sketch_limit(percent / 100, slots)}"
-        f" and {100 + percent} * (least(x.n - x.marked, y.n - y.marked) + {both}) >= {percent} * (x.n + y.n)")
+        f" and {100 + percent} * (least(x.n - x.marked, y.n - y.marked) + {both}) >= {percent} * (x.n + y.n)"
+        f" and array_min(array_intersect(x.buckets, y.buckets)) = x.bucket")
     return x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
