@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import sys
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -218,3 +220,20 @@ def test_pages_are_parsed_a_few_at_a_time(spark):
     got = pages.extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert pages.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_one_large_page_is_held_as_a_string_at_a_time():
+    """What a task holds goes by a page and by the size of the results, not by 64 pages of any size."""
+    n, text = pages.PAGES_AT_ONCE, "\u20ac uro " * 50_000
+    html = pa.array([f"<article><p>{text}</p></article>"] * n)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["https://a.org/"] * n), html],
+                                       names=["page_id", "url", "html"])
+    ids = []
+    tracemalloc.start()
+    for out in pages._extract_batches(iter([batch])):
+        ids += out.column("page_id").to_pylist()
+        assert set(out.column("text").to_pylist()) == {text}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == list(range(n))
+    assert peak < n // 2 * sys.getsizeof(text), peak
